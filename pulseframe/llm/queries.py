@@ -35,9 +35,33 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), vocabulary_file(VOCABULARY), keep=["doc_id"])
 
 
+def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .pii import find_pii, span_counts, span_text
+
+    found = find_pii(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", *span_counts(F.col("base")), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_preferences, paired_by_parity
+
+    return format_preferences(paired_by_parity(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_trees, op6_token_files, op7_token_counts)}
+    found = (op2_quality_trees, op4_fair_mix, op6_token_files, op7_token_counts, op8_personal_data, op9_preference_pairs)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import chat, mixing
+
+    return {"op4_fair_mix": mixing.ORACLE, "op9_preference_pairs": chat.ORACLE}

@@ -32,6 +32,9 @@ def seeds(n: int, seed: int) -> np.ndarray:
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything that is no ASCII letter or digit and no part of a wider character.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _CODE = seeds(256, 7)
 _CODE_LOWER = _CODE.copy()
 _CODE_LOWER[65:91] = _CODE[97:123]
@@ -71,8 +74,8 @@ class Texts:
         whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         self.buf, self.off, self.rows = whole[off[0] : off[-1]], off - off[0], n
 
-    def words(self, lower: bool = False) -> "Words":
-        return Words(self, lower)
+    def words(self, lower: bool = False, separators: np.ndarray = _IS_SEP) -> "Words":
+        return Words(self, lower, separators)
 
     def prefix(self, lower: bool = False) -> np.ndarray:
         """Running sums from which any byte range can be hashed."""
@@ -88,10 +91,10 @@ class Texts:
 class Words:
     """Words of a slice: start, end (byte), first (rows + 1, word index), row, hash."""
 
-    def __init__(self, t: Texts, lower: bool = False) -> None:
+    def __init__(self, t: Texts, lower: bool = False, separators: np.ndarray = _IS_SEP) -> None:
         buf, off = t.buf, t.off
         n = len(buf)
-        inside = ~_IS_SEP[buf]
+        inside = ~separators[buf]
         cut = np.zeros(n + 1, bool)
         cut[off] = True
         begin = inside.copy()
