@@ -70,8 +70,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY pair_id, is_chosen ORDER BY turn
 p AS (SELECT pair_id, count(*) FILTER (is_chosen) AS n_chosen, count(*) FILTER (NOT is_chosen) AS n_rejected FROM t GROUP BY pair_id),
 m AS (SELECT c.pair_id, c.i FROM (SELECT * FROM k WHERE is_chosen) c JOIN (SELECT * FROM k WHERE NOT is_chosen) r
       ON c.pair_id = r.pair_id AND c.i = r.i WHERE c.role <> r.role OR c.text <> r.text),
-n AS (SELECT p.*, CAST(coalesce(min(m.i) - 1, least(n_chosen, n_rejected)) AS BIGINT) AS n_prefix
-      FROM p LEFT JOIN m USING (pair_id) GROUP BY ALL),
+d AS (SELECT pair_id, min(i) - 1 AS same FROM m GROUP BY pair_id),
+n AS (SELECT p.*, CAST(coalesce(d.same, least(n_chosen, n_rejected)) AS BIGINT) AS n_prefix FROM p LEFT JOIN d USING (pair_id)),
 x AS (SELECT k.*, n.n_prefix, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM k JOIN n USING (pair_id)),
 y AS (SELECT *, coalesce(sum(length(s)) FILTER (i > n_prefix) OVER (PARTITION BY pair_id, is_chosen ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x),
 z AS (SELECT *, CAST(pos + length(role) + 5 AS VARCHAR) || ':' || CAST(pos + length(s) AS VARCHAR) AS span FROM y)

@@ -35,8 +35,10 @@ def statistics(t: Texts) -> dict[str, np.ndarray]:
     out = {"n_words": n, "word_chars": t.per_row(w.inside & ((buf & 0xC0) != 0x80)), "n_symbols": t.per_row(_SYMBOL[buf])}
 
     newline = np.flatnonzero(buf == 10)
-    lo = np.union1d(t.off[:-1][t.off[:-1] < t.off[1:]], newline + 1)
-    lo = lo[lo < len(buf)]
+    begins = np.zeros(len(buf) + 1, bool)
+    begins[newline + 1] = True
+    begins[t.off] = True
+    lo = np.flatnonzero(begins[:-1])
     hi = np.r_[lo[1:], len(buf)]
     hi = np.where((hi > 0) & (buf[np.maximum(hi - 1, 0)] == 10), hi - 1, hi) if len(lo) else hi[:0]
     used = np.searchsorted(w.start, hi) > np.searchsorted(w.start, lo)

@@ -1,10 +1,13 @@
 """Token counts and ids with public tokenizer files, in Arrow batches.
 
-A text is cut before a single space that stands between two visible ASCII
-characters.  For byte-level BPE no token crosses such a place (its words begin
-there, and the special strings hold no space), so the pieces' ids joined are
-the ids of the whole text.  Equal pieces are encoded once: a worker keeps up to
-`CACHE` pieces by 64-bit hash (a false match needs two of them to collide).
+A text is cut where byte-level BPE begins a new word whatever stands around:
+before a single space between two visible ASCII characters, on both sides of a
+single newline between such characters, and between an ASCII letter and a full
+stop or comma.  No token crosses such a place (the special strings hold none),
+so the pieces' ids joined are the ids of the whole text.  Equal pieces are
+encoded once: a worker keeps up to `CACHE` pieces by 64-bit hash (a false match
+needs two of them to collide).  A new piece that is one word of letters goes
+straight to the library's BPE model, any other through its whole pipeline.
 Other tokenizers get whole texts, in batches balanced by bytes.
 
 Edge cases: a null text counts as empty (0 tokens); special strings in a text
@@ -14,6 +17,7 @@ are treated as the library does by default; there is no truncation or padding.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,19 @@ from .textops import Texts, map_texts, range_hash
 CACHE = 1_000_000
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[33:127] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?#$%&*+-/()")] = True  # no character of a special string
+#: One word of Latin-1 letters, with or without its leading space.
+_WORD = r" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+"
+
+
+def _byte_names() -> dict[int, str]:
+    """The character by which byte-level vocabularies name each byte: itself if printable, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 def vocabulary_file(name: str) -> str:
@@ -71,23 +88,45 @@ class Encoder:
                 pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not kind.get("normalizer")
                 and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or " " in a["content"] for a in kind.get("added_tokens", ()))
             )
-        self.forget()
-
-    def forget(self) -> None:
+        if self.pieces:
+            self.word, self.names = re.compile(_WORD.encode("latin-1")), _byte_names()
+            self.bpe = model.model.tokenize
         self.keys = np.zeros(0, np.uint64)  # sorted hashes of known pieces
-        self.slot = np.zeros(0, np.int64)  # of each key, its place in first / size
+        self.slot = np.zeros(0, np.int64)  # of each key, its place in first and size
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.store = np.zeros(0, np.int32)
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        got = self.encode(texts)
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        out, rest = [], []
+        for k, p in enumerate(pieces):
+            if self.word.fullmatch(p):
+                out.append([t.id for t in self.bpe(p.decode("latin-1").translate(self.names))])
+            else:
+                out.append(None)
+                rest.append(k)
+        for k, ids in zip(rest, self.encode([pieces[k].decode("utf-8", "replace") for k in rest])):
+            out[k] = ids
+        return out
+
+    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Slots of new pieces (hashes are sorted); beyond CACHE they serve this slice only."""
+        got = self.encode_pieces(pieces)
         size = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for ids in got for i in ids), np.int32, int(size.sum()))
-        base = len(self.first)
+        slot = len(self.first) + np.arange(len(hashes))
         self.first = np.r_[self.first, len(self.store) + np.cumsum(size) - size]
         self.size, self.store = np.r_[self.size, size], np.r_[self.store, flat]
-        place = np.searchsorted(self.keys, hashes)  # hashes are sorted
-        self.keys, self.slot = np.insert(self.keys, place, hashes), np.insert(self.slot, place, base + np.arange(len(hashes)))
+        if len(self.keys) + len(hashes) <= CACHE:
+            place = np.searchsorted(self.keys, hashes)
+            self.keys, self.slot = np.insert(self.keys, place, hashes), np.insert(self.slot, place, slot)
+        return slot
+
+    def settle(self) -> None:
+        """Forget what has no key."""
+        n = len(self.keys)
+        if len(self.first) > n:
+            self.first, self.size = self.first[:n], self.size[:n]
+            self.store = self.store[: int(self.first[-1] + self.size[-1]) if n else 0]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -102,28 +141,36 @@ class Encoder:
             off = np.r_[0, np.cumsum(size)]
             return (None, off) if lengths_only else (np.fromiter((i for ids in got for i in ids), np.int32, int(off[-1])), off)
         buf = t.buf
-        cut = np.flatnonzero((buf[1:-1] == 32) & _VISIBLE[buf[:-2]] & _VISIBLE[buf[2:]]) + 1 if len(buf) > 2 else np.zeros(0, np.int64)
-        lo = np.union1d(cut, t.off[:-1][t.off[:-1] < t.off[1:]])
+        cut = np.zeros(len(buf), bool)
+        if len(buf) > 2:
+            here = buf[1:-1]
+            edge = _VISIBLE[buf[:-2]] & _VISIBLE[buf[2:]]
+            line = edge & (here == 10)
+            cut[1:-1] = edge & (here == 32) | line | (_ASCII_LETTER[buf[:-2]] & _STOP[here])
+            cut[2:] |= line
+        cut[t.off[:-1][t.off[:-1] < t.off[1:]]] = True
+        lo = np.flatnonzero(cut)
         hi = np.r_[lo[1:], len(buf)].astype(np.int64)[: len(lo)]
-        keys, first, back = np.unique(range_hash(t.prefix(), lo, hi), return_index=True, return_inverse=True)
+        h = range_hash(t.prefix(), lo, hi)
+        order = np.argsort(h)
+        new = np.ones(len(h), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        first = order[new]
+        keys, back = h[first], np.empty(len(h), np.int64)
+        back[order] = np.cumsum(new) - 1
         slot, known = self.find(keys)
         if not known.all():
             new = np.flatnonzero(~known)
-            texts = [bytes(buf[a:b]).decode("utf-8", "replace") for a, b in zip(lo[first[new]], hi[first[new]])]
-            if len(self.keys) + len(new) > CACHE and len(self.keys):  # begin anew with this slice's pieces
-                self.forget()
-                new = np.arange(len(keys))
-                texts = [bytes(buf[a:b]).decode("utf-8", "replace") for a, b in zip(lo[first], hi[first])]
-            self.learn(keys[new], texts)
-            slot, _ = self.find(keys)
+            data, a, b = buf.tobytes(), lo[first[new]].tolist(), hi[first[new]].tolist()
+            slot[new] = self.learn(keys[new], [data[x:y] for x, y in zip(a, b)])
         slot = slot[back]
         size = self.size[slot]
         ends = np.r_[0, np.cumsum(size)]
         off = ends[np.searchsorted(lo, t.off)]
-        if lengths_only:
-            return None, off
-        at = np.arange(ends[-1]) + np.repeat(self.first[slot] - ends[:-1], size)
-        return self.store[at], off
+        at = None if lengths_only else np.arange(ends[-1]) + np.repeat(self.first[slot] - ends[:-1], size)
+        out = None if lengths_only else self.store[at]
+        self.settle()
+        return out, off
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "text", keep=None) -> DataFrame:
