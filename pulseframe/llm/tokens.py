@@ -1,7 +1,7 @@
 """Token counts and ids with public tokenizer files, in Arrow batches.
 
 A text is cut where byte-level BPE begins a new word whatever stands around:
-before a single space between two visible ASCII characters, on both sides of a
+before a single space between two visible ASCII or Latin-1 characters, on both sides of a
 single newline between such characters, and between an ASCII letter and a full
 stop or comma.  No token crosses such a place (the special strings hold none),
 so the pieces' ids joined are the ids of the whole text.  Equal pieces are
@@ -144,9 +144,12 @@ class Encoder:
         cut = np.zeros(len(buf), bool)
         if len(buf) > 2:
             here = buf[1:-1]
-            edge = _VISIBLE[buf[:-2]] & _VISIBLE[buf[2:]]
+            latin = np.zeros(len(buf) - 2, bool)  # the byte before ends one of U+00C0 to U+00FF
+            latin[1:] = buf[:-3] == 0xC3
+            edge = (_VISIBLE[buf[:-2]] | latin) & (_VISIBLE[buf[2:]] | (buf[2:] == 0xC3))
             line = edge & (here == 10)
-            cut[1:-1] = edge & (here == 32) | line | (_ASCII_LETTER[buf[:-2]] & _STOP[here])
+            letter = _ASCII_LETTER[buf[:-2]] | latin & (buf[:-2] != 0x97) & (buf[:-2] != 0xB7)
+            cut[1:-1] = edge & (here == 32) | line | (letter & _STOP[here])
             cut[2:] |= line
         cut[t.off[:-1][t.off[:-1] < t.off[1:]]] = True
         lo = np.flatnonzero(cut)
