@@ -19,6 +19,12 @@ def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, keep=["doc_id"])
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary import read_token_files, write_token_files
     from .shared import shared_dir
@@ -56,8 +62,19 @@ def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(paired_by_parity(_table(spark, sf_dir, "conversations")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    found = (op2_quality_trees, op4_fair_mix, op6_token_files, op7_token_counts, op8_personal_data, op9_preference_pairs)
+    found = (op2_quality_trees, op4_fair_mix, op5_benchmark_leaks, op6_token_files, op7_token_counts, op8_personal_data, op9_preference_pairs, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
