@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, score_quality
 
@@ -74,7 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op2_quality_trees, op4_fair_mix, op5_benchmark_leaks, op6_token_files, op7_token_counts, op8_personal_data, op9_preference_pairs, op10_toxicity)
+    found = (op1_jaccard_join, op2_quality_trees, op4_fair_mix, op5_benchmark_leaks, op6_token_files, op7_token_counts, op8_personal_data, op9_preference_pairs, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
