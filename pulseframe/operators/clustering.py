@@ -39,7 +39,7 @@ def ward(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
         p = p.sort_values(key)
         return p[[key]].assign(cluster=ward_labels(standardised(p[columns].to_numpy(float)), k).astype("int32"))
 
-    return df.groupBy(F.lit(1)).applyInPandas(run, schema)
+    return df.select(key, *columns).withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(run, schema)
 
 
 def bootstrap_ward(df: DataFrame, key: str, columns: list[str], k: int, rounds: int = 1000, seed: int = 42) -> DataFrame:

@@ -65,11 +65,11 @@ def average_rank(x: str, keys) -> Column:
 
 def spearman_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """a, b, rho, n of all column pairs; ranks are taken on the rows that have both."""
-    long = df.unpivot([key], columns, "k", "v").where("v IS NOT NULL")
+    long = df.unpivot([key], columns, "__c", "__v").where("__v IS NOT NULL")
     order = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)])
-    long = long.withColumn("i", order[F.col("k")])
+    long = long.withColumn("i", order[F.col("__c")])
     a, b = long.alias("a"), long.alias("b")
-    p = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
+    p = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.__c").alias("a"), F.col("b.__c").alias("b"), F.col("a.__v").alias("x"), F.col("b.__v").alias("y"))
     p = p.withColumn("rx", average_rank("x", ("a", "b"))).withColumn("ry", average_rank("y", ("a", "b")))
     return p.groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 

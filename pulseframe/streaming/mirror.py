@@ -14,6 +14,5 @@ def tumbling_features(stream: DataFrame, ts: str, x: str, keys, width: str = "1
 
 def session_episodes(stream: DataFrame, ts: str, x: str, keys, threshold: float, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Episodes as sessions of samples over the threshold that are less than `gap` apart."""
-    s = stream.where(F.col(x) >= threshold)
-    s = s.withWatermark(ts, late) if stream.isStreaming else s
-    return s.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.min(ts).alias("t_on"), F.max(ts).alias("t_off"), F.max(x).alias("peak"), F.count(F.lit(1)).alias("n"))
+    s = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    return s.where(F.col(x) >= threshold).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.min(ts).alias("t_on"), F.max(ts).alias("t_off"), F.max(x).alias("peak"), F.count(F.lit(1)).alias("n"))
