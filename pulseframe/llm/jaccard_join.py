@@ -268,7 +268,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id (least id of its class), n_links (other rows with a similarity of the threshold or more)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
