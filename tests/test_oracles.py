@@ -5,9 +5,9 @@ import os
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-from conftest import SMALL  # noqa: E402
+SMALL = "/root/testdata/sf0.001" 
 
-from pulseframe.queries import oracle_sql, queries  # noqa: E402
+from pulseframe.queries import oracle_sql, queries 
 
 
 @pytest.fixture(scope="module")
