@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.functions import dims
-from pulseframe.operators import clustering, episodes, exact_tests, features, kpis, mixed_model, normalisation, signal_quality, signals, statistics, supervised, windowing
+from pulseframe.operators import batteries, clustering, episodes, exact_tests, features, kpis, mixed_model, normalisation, reports, signal_quality, signals, statistics, supervised, windowing
 from pulseframe.sources import exports
 
 _QUERIES: dict = {}
@@ -714,6 +714,59 @@ def loso_prediction_table(t):
     return supervised.prediction_table(_folds(t), "k", list(supervised.MODELS))
 
 
+# --- batteries and reports ---
+
+
+@query()
+def two_group_battery(t):
+    d = t("lineitem").where(F.col("l_returnflag").isin("A", "R")).groupBy("l_suppkey", F.col("l_returnflag").alias("g")).agg(F.median("l_quantity").alias("q"), F.avg("l_extendedprice").alias("e"), F.avg("l_tax").alias("x"))
+    return batteries.two_group_battery(d, "l_suppkey", "g", ["q", "e", "x"], "A", "R")
+
+
+@query()
+def paired_battery(t):
+    d = t("lineitem").select("l_suppkey", "l_linestatus", "l_returnflag", "l_quantity", "l_extendedprice")
+    return batteries.paired_battery(d, "l_suppkey", "l_linestatus", ["l_quantity", "l_extendedprice"], "O", "F", ("l_returnflag",))
+
+
+@query()
+def shape_battery(t):
+    n = _nations(t).withColumn("g", F.when(F.col("n_regionkey") < 2, "A").otherwise("B"))
+    return batteries.shape_battery(n, "k", "g", ["a", "b", "c"])
+
+
+@query(_WIN + """, c AS (SELECT wd.user_id, wd.episode_id, any_value(wn.t_on) AS t_on, any_value(wn.t_off) AS t_off, count(*) AS n FROM wd JOIN wn USING (user_id, episode_id) GROUP BY ALL)
+SELECT user_id, episode_id, n, CAST(floor((t_off - t_on - 86400 + 1e-9) / 43200) + 1 AS BIGINT) AS expected, abs(n - (floor((t_off - t_on - 86400 + 1e-9) / 43200) + 1)) <= 1 AS matches FROM c""")
+def window_count_check(t):
+    return _long(reports.window_counts(_windows(t), ("user_id", "episode_id"), 86_400.0, 43_200.0).withColumn("window_id", F.lit(0))).select("user_id", "episode_id", "n", "expected", "matches")
+
+
+@query()
+def window_report(t):
+    q = windowing.window_quality(_events(t), _windows(t).select(*WN, "t_start", "t_end"), 86_400.0, 43_200.0, 0.6, 40_000.0, TR)
+    return reports.window_report(q, TR)
+
+
+@query("""WITH q AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS x, quantile_cont(l_extendedprice, 0.25) OVER w AS q1, quantile_cont(l_extendedprice, 0.75) OVER w AS q3 FROM lineitem WINDOW w AS (PARTITION BY l_returnflag, l_linestatus))
+SELECT l_returnflag, l_linestatus, round(any_value(q1), 6) AS q1, round(median(x), 6) AS median, round(any_value(q3), 6) AS q3, round(min(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS low,
+round(max(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS high, count(*) AS n FROM q GROUP BY ALL""")
+def box_table(t):
+    return reports.box_table(t("lineitem"), "l_extendedprice", ("l_returnflag", "l_linestatus"))
+
+
+@query(f"""WITH {_CUS}, h AS (SELECT g, x, min(x) OVER (PARTITION BY g) AS lo, (max(x) OVER (PARTITION BY g) - min(x) OVER (PARTITION BY g)) / 12 AS w FROM c)
+SELECT g, CAST(least(floor((x - lo) / w), 11) AS BIGINT) AS bin, round(any_value(lo) + least(floor((x - lo) / w), 11) * any_value(w), 6) AS edge, count(*) AS n FROM h GROUP BY g, least(floor((x - lo) / w), 11)""")
+def histogram(t):
+    return reports.histogram(_customers(t), "x", 12, ("g",))
+
+
+@query("""SELECT l_suppkey, event AS l_returnflag, coalesce(fs, 148.0) AS fs_used FROM (SELECT DISTINCT l_suppkey, l_returnflag AS event FROM lineitem) LEFT JOIN
+(SELECT l_suppkey AS s, l_returnflag AS f, round(min(l_quantity), 6) AS fs FROM lineitem WHERE l_linenumber = 7 GROUP BY ALL HAVING count(*) = 1) ON s = l_suppkey AND f = event""")
+def rate_or_fallback(t):
+    channels = t("lineitem").select("l_suppkey", "l_returnflag").distinct()
+    return reports.rate_or_fallback(channels, t("lineitem").where("l_linenumber = 7"), ("l_suppkey", "l_returnflag"), 148.0, "l_quantity")
+
+
 def _driver_rows(t, rows: list, schema: str) -> DataFrame:
     return t("nation").sparkSession.createDataFrame(rows, schema)
 
