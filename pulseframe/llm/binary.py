@@ -31,7 +31,7 @@ from .textops import Texts, slices
 from .tokens import encoder
 
 MAGIC = b"ACMX1\0\0\0"
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 PART_IDS = 4_000_000
 _HEAD = "<8sIIIIQ"
 

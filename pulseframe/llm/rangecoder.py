@@ -24,8 +24,8 @@ import numpy as np
 
 BITS = 12
 TOTAL = 1 << BITS
-SEGMENT = 64
-ORDER1_BITS, ORDER2_BITS = 11, 12
+SEGMENT = 128
+ORDER1_BITS, ORDER2_BITS = 10, 11
 #: Classes of the order-0 estimate: `count` classes of 2**bits ids each, in id order; the last kind goes on as far as ids do.
 KINDS = ((16, 4), (15, 8), (None, 12))
 
@@ -39,7 +39,7 @@ def _classes(most: int) -> tuple[np.ndarray, np.ndarray]:
             bits.append(b)
             at += 1 << b
             count = None if count is None else count - 1
-    return np.array(first, np.int32), np.array(bits, np.uint64)
+    return np.array(first, np.int32), np.array(bits, np.uint32)
 
 
 class Model:
@@ -65,30 +65,32 @@ class Model:
         share = self.seen / self.seen.sum(2, keepdims=True)
         mixed = (share[0][[0, 0, 1, 1, 2, 2, 3, 3]] + share[1][[0, 1, 0, 1, 2, 3, 2, 3]]) / 2  # by agreement, order 2's flag, order 1's flag
         f = (mixed[:, :2] * (TOTAL - 128)).astype(np.int32) + 16
-        self.f2, self.f1 = np.ascontiguousarray(f[:, 0]).ravel(), np.ascontiguousarray(f[:, 1]).ravel()
+        self.f2 = np.ascontiguousarray(f[:, 0]).ravel().view(np.uint32)
+        self.either = np.ascontiguousarray(f[:, 0] + f[:, 1]).ravel().view(np.uint32)
         n = len(self.first)
         total = np.cumsum(self.used, 0)
         edge = (total * ((TOTAL - n) / total[-1])).astype(np.int32) + np.arange(1, n + 1, dtype=np.int32)[:, None]
         edge[-1] = TOTAL
         self.edge = np.concatenate([np.zeros((1, self.lanes), np.int32), edge])
-        self.flat = self.edge.ravel()
+        self.flat = self.edge.ravel().view(np.uint32)
         self.high = self.edge[1:-1].astype(np.int16)
 
     def predict(self):
-        """Frequencies of "order 2 is right" and "order 1 is right"."""
+        """Frequencies of "order 2 is right" and of "order 2 or order 1 is right"."""
         self.k1 = ((self.prev1 * np.int32(40503)) >> 4 & ((1 << ORDER1_BITS) - 1)) + self.base1
         self.k2 = ((self.prev2 * np.int32(-1640531535) + self.prev1 * np.int32(-2048144777)) >> 15 & ((1 << ORDER2_BITS) - 1)) + self.base2
         e1, e2 = self.one.take(self.k1), self.two.take(self.k2)
         self.p1, self.p2 = e1 >> 1, e2 >> 1
         self.context = ((self.p1 == self.p2) << 2) + ((e2 & 1) << 1) + (e1 & 1)
         at = self.context * self.lanes + self.lane
-        return self.f2.take(at), self.f1.take(at)
+        return self.f2.take(at), self.either.take(at)
 
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, at: np.ndarray, kind: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, hit2: np.ndarray, held: np.ndarray, at: np.ndarray, kind: np.ndarray) -> None:
+        """held: 0, 1 or 2 as order 2, order 1 or neither was right."""
         self.one[self.k1] = (ids << 1) + (self.p1 == ids)
         self.two[self.k2] = (ids << 1) + hit2
         self.prev2, self.prev1 = self.prev1, ids
-        self.held[self.step] = self.context * 3 + (2 - 2 * hit2 - hit1)
+        self.held[self.step] = self.context * 3 + held
         self.class_of[self.step][at] = kind
         self.step += 1
         if self.step == SEGMENT:
@@ -118,46 +120,47 @@ def encode_blocks(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, i
     kind_of = np.repeat(np.arange(len(m.first), dtype=np.int32), 1 << m.bits.astype(np.int64))
     room = 3 * steps + 4  # a step moves at most 12 + 12 + 12 bits
     out, count = np.zeros(lanes * room, np.uint32), (np.arange(lanes, dtype=np.int64) * room)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 32) - 1, np.uint64)
-    word, rest = np.uint64(16), np.uint64(0xFFFF)
-
-    def renorm(low, span, who):
-        full = np.flatnonzero(span < 65536)
-        if len(full):
-            v = low[full]
-            own = full if who is None else who[full]
-            place = count[own]
-            out[place] = v >> word
-            count[own] = place + 1
-            low[full] = (v & rest) << word
-            span[full] <<= word
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 32) - 1, np.uint32)
+    word, bits, over = np.uint64(16), np.uint32(BITS), np.uint64((1 << 64) - (1 << 32))
+
+    def renorm(low, span, place):
+        """Move a word where the range is short. All lanes write; only those that move go on."""
+        need = span < 65536
+        out[place] = low >> word
+        place += need
+        wide = need.astype(np.uint64)
+        low <<= wide << np.uint64(4)
+        low &= ~(wide * over)
+        span <<= need.astype(np.uint32) << np.uint32(4)
 
     for step in range(steps):
         x = grid[step]
-        f2, f1 = m.predict()
+        f2, either = m.predict()
         hit2 = m.p2 == x
-        hit1 = (m.p1 == x) & ~hit2
-        either = f2 + f1
-        none = ~(hit2 | hit1)
-        r = span >> np.uint64(BITS)
-        low += r * (hit1 * f2 + none * either).view(np.uint32)
-        span = r * (hit2 * f2 + hit1 * f1 + none * (TOTAL - either)).view(np.uint32)
-        renorm(low, span, None)
+        none = ~(hit2 | (m.p1 == x))
+        held = (~hit2).view(np.int8) + none
+        first, second = held > 0, none  # what lies below the coded part
+        r = span >> bits
+        a, b = r * f2, r * either
+        low += np.where(second, b, a * first)
+        span = np.where(second, (r << bits) - b, np.where(first, b - a, a))
+        renorm(low, span, count)
         at = np.flatnonzero(none)
         y = x.take(at)
         kind = kind_of.take(y)
         if len(at):
             where = kind * m.lanes + at.astype(np.int32)
             start = m.flat.take(where)
-            lo, r = low.take(at), span.take(at) >> np.uint64(BITS)
-            lo += r * start.view(np.uint32)
-            sp = r * (m.flat.take(where + m.lanes) - start).view(np.uint32)
-            renorm(lo, sp, at)
+            lo, r, place = low.take(at), span.take(at) >> bits, count.take(at)
+            lo += r * start
+            sp = r * (m.flat.take(where + m.lanes) - start)
+            renorm(lo, sp, place)
             sp >>= m.bits.take(kind)
             lo += sp * (y - m.first.take(kind)).view(np.uint32)
-            renorm(lo, sp, at)
-            low[at], span[at] = lo, sp
-        m.update(x, hit2, hit1, at, kind)
+            renorm(lo, sp, place)
+            low[at], span[at], count[at] = lo, sp, place
+        m.update(x, hit2, held, at, kind)
+    rest = np.uint64(0xFFFF)
     for _ in range(2):  # the rest of low
         out[count] = low >> word
         count += 1
@@ -177,57 +180,53 @@ def decode_blocks(words: np.ndarray, count: np.ndarray, size: int, most: int, to
     steps = min(size, total)
     m = Model(lanes, most)
     at_word = np.cumsum(count) - count
-    words = np.r_[words.astype(np.uint64), np.zeros(4, np.uint64)]
-    word = np.uint64(16)
+    words = np.r_[words.astype(np.uint32), np.zeros(4, np.uint32)]
+    word, bits = np.uint32(16), np.uint32(BITS)
     x = (words[at_word] << word) | words[at_word + 1]
     at_word += 2
-    span = np.full(lanes, (1 << 32) - 1, np.uint64)
+    span = np.full(lanes, (1 << 32) - 1, np.uint32)
     grid = np.zeros((steps, lanes), np.int32)
 
-    def renorm(x, span, who):
-        full = np.flatnonzero(span < 65536)
-        if len(full):
-            own = full if who is None else who[full]
-            place = at_word[own]
-            x[full] = (x[full] << word) | words.take(place, mode="clip")
-            at_word[own] = place + 1
-            span[full] <<= word
-
-    def within(x, r):
-        return (x.astype(np.float64) / r.astype(np.float64)).astype(np.int32)
+    def renorm(x, span, place):
+        """Take a word where the range is short."""
+        need = (span < 65536).astype(np.uint32)
+        more = need << np.uint32(4)
+        x <<= more
+        x |= words.take(place, mode="clip") * need
+        span <<= more
+        place += need
 
     for step in range(steps):
-        f2, f1 = m.predict()
-        either = f2 + f1
-        r = span >> np.uint64(BITS)
-        v = np.minimum(within(x, r), TOTAL - 1)
-        hit2 = v < f2
-        none = v >= either
-        hit1 = ~(hit2 | none)
-        x -= r * (hit1 * f2 + none * either).view(np.uint32)
-        span = r * (hit2 * f2 + hit1 * f1 + none * (TOTAL - either)).view(np.uint32)
-        renorm(x, span, None)
-        ids = hit2 * m.p2 + hit1 * m.p1
+        f2, either = m.predict()
+        r = span >> bits
+        a, b = r * f2, r * either
+        hit2, none = x < a, x >= b
+        held = (~hit2).view(np.int8) + none
+        first = held > 0
+        x -= np.where(none, b, a * first)
+        span = np.where(none, (r << bits) - b, np.where(first, b - a, a))
+        renorm(x, span, at_word)
+        ids = np.where(hit2, m.p2, m.p1)
         at = np.flatnonzero(none)
         kind = np.zeros(0, np.int32)
         if len(at):
-            z, r = x.take(at), span.take(at) >> np.uint64(BITS)
+            z, r, place = x.take(at), span.take(at) >> bits, at_word.take(at)
             v = np.zeros(lanes, np.int16)
-            v[at] = np.minimum(within(z, r), TOTAL - 1)
+            v[at] = np.minimum(z / r, TOTAL - 1)  # exact: both have 32 bits
             kind = np.add.reduce((m.high <= v).view(np.int8), 0, dtype=np.int8).take(at).astype(np.int32)
             where = kind * m.lanes + at.astype(np.int32)
             start = m.flat.take(where)
-            z -= r * start.view(np.uint32)
-            sp = r * (m.flat.take(where + m.lanes) - start).view(np.uint32)
-            renorm(z, sp, at)
-            bits = m.bits.take(kind)
-            sp >>= bits
-            v = np.minimum(within(z, sp), (1 << bits.astype(np.int32)) - 1).astype(np.int32)
-            z -= sp * v.view(np.uint32)
-            renorm(z, sp, at)
-            x[at], span[at] = z, sp
-            ids[at] = m.first.take(kind) + v
-        m.update(ids, hit2, hit1, at, kind)
+            z -= r * start
+            sp = r * (m.flat.take(where + m.lanes) - start)
+            renorm(z, sp, place)
+            shift = m.bits.take(kind)
+            sp >>= shift
+            v = np.minimum((z / sp).astype(np.uint32), (np.uint32(1) << shift) - np.uint32(1))
+            z -= sp * v
+            renorm(z, sp, place)
+            x[at], span[at], at_word[at] = z, sp, place
+            ids[at] = m.first.take(kind) + v.view(np.int32)
+        m.update(ids, hit2, held, at, kind)
         grid[step] = ids
     return grid.T.ravel()[:total]
 
