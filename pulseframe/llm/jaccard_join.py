@@ -121,8 +121,9 @@ def _groups(batches, width: int, limit: int | None = None):
             edge[1:-1] |= c[1:] != c[:-1]
         key = tuple(c[0] for c in cols)
         at = 0
-        if held and key != last:
-            yield pa.Table.from_batches(held), over, True
+        if key != last:
+            if held:
+                yield pa.Table.from_batches(held), over, True
             held, over = [], False
         for end in np.flatnonzero(edge[1:]) + 1:
             held.append(batch.slice(at, end - at))

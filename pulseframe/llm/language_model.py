@@ -13,7 +13,7 @@ tasks' parameters are averaged by tokens, in pieces.  Scoring: texts are laid
 end to end in lanes, the state is carried across windows and reset where a text
 begins, so a score is that of the complete text.
 
-Counts grow with the vocabulary, so tasks hold only the `HOT` most frequent
+Counts grow with the vocabulary, so tasks hold at most the `HOT` most frequent
 ones; other words are looked up by a join on their hash.
 
 Edge cases: a null or empty text has just its end mark; a null id counts as
@@ -79,8 +79,23 @@ def count_tokens(docs: DataFrame, text: str = "text", held: int = 1_000_000) ->
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """Tokens by descending count, whole steps of count of them as long as they are `most` at most.
+
+    A step is an eighth of a doubling, so its sizes are a few hundred rows for any input.
+    """
+    step = F.floor(F.log2("c") * 8).cast("int")
+    allowed, least = most, None
+    for row in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["s"]):
+        allowed -= row["n"]
+        if allowed < 0:
+            break
+        least = row["s"]
+    return [] if least is None else sorted(counts.where(step >= least).collect(), key=lambda r: (-r["c"], r["h"]))
+
+
 class Vocabulary:
-    """The HOT most frequent tokens: sorted hashes with count and model id (-1: in the shared class)."""
+    """Up to HOT most frequent tokens: sorted hashes with count and model id (-1: in the shared class)."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
         size = min(CLASSES * CLASS_SIZE, len(hashes))
@@ -153,10 +168,9 @@ class GRU:
         at = np.arange(len(target))
 
         def soft(x):
-            x -= x.max(1, keepdims=True)
+            np.minimum(x, 80.0, out=x)  # float32 holds e**80 times the classes
             e = np.exp(x)
-            total = e.sum(1, keepdims=True)
-            return x, e, total
+            return x, e, e @ np.ones((x.shape[1], 1), np.float32)  # a product is faster than a sum over short rows
 
         x, e, total = soft(states @ self.class_w + self.class_b)
         out = x[at, kind] - np.log(total[:, 0])
@@ -308,7 +322,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text:
     counts = written(count_tokens(learn), "lm-counts")
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     total = int(total or 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(HOT).collect()
+    top = _most_frequent(counts, HOT)
     vocabulary = Vocabulary(np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64), total, distinct)
     model = train(learn, vocabulary)
     base = float(np.log10(total + distinct + 1))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import bounded_sample
 from .textops import Texts, count_between, distinct_by_row, map_texts, mix, range_hash, sum_by_row
 
 _SYMBOL = np.zeros(256, bool)
@@ -171,11 +172,11 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone, trees: int = 60, depth: in
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str = "doc_id", text: str = "text", label: str = "quality", **fit) -> Trees:
     """Fit on at most `max_rows` labelled documents (those of least hash), whose statistics alone reach the driver."""
-    picked = (
+    labelled = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
         .groupBy(id_col).agg(F.max(label).cast("int").alias("__y"))
-        .orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     )
+    picked = bounded_sample(labelled, id_col, max_rows)
     rows = docs.select(id_col, text).join(F.broadcast(picked), id_col).where(F.col(text).isNotNull())  # 12 bytes a row, max_rows at most
     got = map_texts(rows, lambda: lambda t: [_lists(feature_matrix(statistics(t)))], [T.StructField("x", T.ArrayType(T.FloatType()))], text, ["__y"])
     table = got.limit(4 * max_rows).toArrow()  # repeated ids at most

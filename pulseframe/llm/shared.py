@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -22,3 +23,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, those of least hash of the key; a threshold on the hash leaves few to order."""
+    n = rows.count()
+    if n > most:
+        low = F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * (most + 4 * most**0.5) / n)
+        rows = rows.where(low)
+    return rows.orderBy(F.xxhash64(key), key).limit(most)

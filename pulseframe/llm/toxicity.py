@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import bounded_sample
 from .textops import NO_LETTER, Texts, map_texts, range_hash, slices
 
 #: Groups of identity terms; within a group any may stand for any other.
@@ -96,11 +97,11 @@ def _fit(x: np.ndarray, y: np.ndarray, tie: np.ndarray, l2: float, swap: float,
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, max_rows: int = 12_000, max_features: int = 600, least_z: float = 6.0, l2: float = 0.3, swap: float = 50.0, groups=IDENTITY_TERMS, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Toxicity:
     """Fit on at most `max_rows` labelled rows (those of least hash) for which `training`, a condition on the id, holds."""
-    picked = (
+    labelled = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & training)
         .groupBy(id_col).agg(F.max(label).cast("int").alias("__y"))
-        .orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     )
+    picked = bounded_sample(labelled, id_col, max_rows)
     rows = docs.select(id_col, F.col(text).alias("text")).join(F.broadcast(picked), id_col).select("__y", "text")  # 12 bytes a row, max_rows at most
     totals = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
