@@ -82,7 +82,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, directory: str, end_id:
             ids, off = e.ids(Texts(s.column(1)))
             lengths = np.diff(off) + 1
             whole = np.full(len(ids) + s.num_rows, end_id, np.int32)
-            whole[np.delete(np.arange(len(whole)), np.cumsum(lengths) - 1)] = ids
+            own = np.ones(len(whole), bool)
+            own[np.cumsum(lengths) - 1] = False
+            whole[own] = ids
             held.append((s.column(0).fill_null(0).to_numpy(zero_copy_only=False), s.column(0).is_null().to_numpy(zero_copy_only=False), lengths, whole))
             n += len(whole)
             if n >= part_ids:

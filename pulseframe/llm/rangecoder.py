@@ -24,7 +24,7 @@ import numpy as np
 
 BITS = 12
 TOTAL = 1 << BITS
-SEGMENT = 128
+SEGMENT = 256
 ORDER1_BITS, ORDER2_BITS = 10, 11
 #: Classes of the order-0 estimate: `count` classes of 2**bits ids each, in id order; the last kind goes on as far as ids do.
 KINDS = ((16, 4), (15, 8), (None, 12))
@@ -77,12 +77,13 @@ class Model:
 
     def predict(self):
         """Frequencies of "order 2 is right" and of "order 2 or order 1 is right"."""
-        self.k1 = ((self.prev1 * np.int32(40503)) >> 4 & ((1 << ORDER1_BITS) - 1)) + self.base1
-        self.k2 = ((self.prev2 * np.int32(-1640531535) + self.prev1 * np.int32(-2048144777)) >> 15 & ((1 << ORDER2_BITS) - 1)) + self.base2
+        # Places are made the index type once, not by each use.
+        self.k1 = (((self.prev1 * np.int32(40503)) >> 4 & ((1 << ORDER1_BITS) - 1)) + self.base1).astype(np.intp)
+        self.k2 = (((self.prev2 * np.int32(-1640531535) + self.prev1 * np.int32(-2048144777)) >> 15 & ((1 << ORDER2_BITS) - 1)) + self.base2).astype(np.intp)
         e1, e2 = self.one.take(self.k1), self.two.take(self.k2)
         self.p1, self.p2 = e1 >> 1, e2 >> 1
         self.context = ((self.p1 == self.p2) << 2) + ((e2 & 1) << 1) + (e1 & 1)
-        at = self.context * self.lanes + self.lane
+        at = (self.context * self.lanes + self.lane).astype(np.intp)
         return self.f2.take(at), self.either.take(at)
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, held: np.ndarray, at: np.ndarray, kind: np.ndarray) -> None:
@@ -149,7 +150,7 @@ def encode_blocks(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, i
         y = x.take(at)
         kind = kind_of.take(y)
         if len(at):
-            where = kind * m.lanes + at.astype(np.int32)
+            where = kind * np.intp(m.lanes) + at
             start = m.flat.take(where)
             lo, r, place = low.take(at), span.take(at) >> bits, count.take(at)
             lo += r * start
@@ -214,7 +215,7 @@ def decode_blocks(words: np.ndarray, count: np.ndarray, size: int, most: int, to
             v = np.zeros(lanes, np.int16)
             v[at] = np.minimum(z / r, TOTAL - 1)  # exact: both have 32 bits
             kind = np.add.reduce((m.high <= v).view(np.int8), 0, dtype=np.int8).take(at).astype(np.int32)
-            where = kind * m.lanes + at.astype(np.int32)
+            where = kind * np.intp(m.lanes) + at
             start = m.flat.take(where)
             z -= r * start
             sp = r * (m.flat.take(where + m.lanes) - start)

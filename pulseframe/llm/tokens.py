@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,8 +93,8 @@ class Encoder:
             self.word, self.names = re.compile(_WORD.encode("latin-1")), _byte_names()
             self.bpe = model.model.tokenize
         self.keys = np.zeros(0, np.uint64)  # sorted hashes of known pieces
-        self.slot = np.zeros(0, np.int64)  # of each key, its place in first and size
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.slot = np.zeros(0, np.int32)  # of each key, its place in first and size
+        self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.store = np.zeros(0, np.int32)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
@@ -111,10 +112,10 @@ class Encoder:
     def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> np.ndarray:
         """Slots of new pieces (hashes are sorted); beyond CACHE they serve this slice only."""
         got = self.encode_pieces(pieces)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.int32, int(size.sum()))
-        slot = len(self.first) + np.arange(len(hashes))
-        self.first = np.r_[self.first, len(self.store) + np.cumsum(size) - size]
+        size = np.fromiter(map(len, got), np.int32, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
+        slot = (len(self.first) + np.arange(len(hashes))).astype(np.int32)
+        self.first = np.r_[self.first, (len(self.store) + np.cumsum(size) - size).astype(np.int32)]
         self.size, self.store = np.r_[self.size, size], np.r_[self.store, flat]
         if len(self.keys) + len(hashes) <= CACHE:
             place = np.searchsorted(self.keys, hashes)
@@ -130,7 +131,7 @@ class Encoder:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return self.slot[at], self.keys[at] == keys
 
@@ -168,7 +169,7 @@ class Encoder:
             slot[new] = self.learn(keys[new], [data[x:y] for x, y in zip(a, b)])
         slot = slot[back]
         size = self.size[slot]
-        ends = np.r_[0, np.cumsum(size)]
+        ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
         off = ends[np.searchsorted(lo, t.off)]
         at = None if lengths_only else np.arange(ends[-1]) + np.repeat(self.first[slot] - ends[:-1], size)
         out = None if lengths_only else self.store[at]
