@@ -10,7 +10,7 @@ def test_batch_equality(spark, tmp_path):
     events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     src = str(tmp_path / "in")
     # A last row far ahead moves the watermark past all windows.
-    last = events.limit(1).withColumn("ts", F.lit("2030-01-01").cast("timestamp")).withColumn("value", F.lit(0.0))
+    last = events.limit(1).withColumn("ts", F.lit("2030-01-01").cast("timestamp")).withColumn("value", F.lit(1000.0))
     events.repartition(1).write.parquet(src)
     last.write.mode("append").parquet(src)
     stream = spark.readStream.schema(events.schema).parquet(src)
