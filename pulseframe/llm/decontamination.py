@@ -8,11 +8,13 @@ Search: a CGK walk embeds a window, moving on in it or staying at each step as
 one bit of a hash of (step, word) says, so that few edits change few symbols of
 the walk.  Each repetition has walk bits and sampled steps of its own; the
 sampled symbols are the bucket.  The number of repetitions is what the target
-recall asks for, measured on the items with that many random edits.  Windows
-that share a bucket with an item are verified by exact banded edit distance.
-Before the walk, windows are dropped that no match can be: an edit spares all but
-one word and three word triples, so a match holds at least m - edits words and
-m - 2 - 3 * edits triples of the benchmark.
+recall asks for, measured for each length of item with that many random edits.
+Where `most` repetitions do not reach it, nothing is left to chance: all pairs of
+a window and an item that share enough runs of words are taken.  Pairs are
+verified by exact banded edit distance.  Before either search, windows are
+dropped that no match can be: an edit spares all but one word and three word
+triples, so a match holds at least m - edits words and m - 2 - 3 * edits triples
+of the benchmark.
 
 The benchmark is taken in blocks of bounded bytes (a stated query set), each
 shipped with the tasks of one pass over all documents.
@@ -40,6 +42,11 @@ def _triples(words: np.ndarray) -> np.ndarray:
     return mix(mix(words[:-2] * np.uint64(0x9E3779B97F4A7C15) + words[1:-1]) + words[2:])
 
 
+def _runs(words: np.ndarray, q: int) -> np.ndarray:
+    """Hash of each run of q words, 1 to 3."""
+    return _triples(words) if q == 3 else mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) if q == 2 else words
+
+
 class _Set:
     """Membership of hashes, summed along a text."""
 
@@ -80,19 +87,33 @@ class Index:
         pair = np.unique(np.stack([np.searchsorted(self.known_triples.values, np.concatenate(triples)), np.repeat(of, [len(x) for x in triples])], 1), axis=0) if triples else np.zeros((0, 2), np.int64)
         self.triple_of, self.length_of = pair[:, 0], pair[:, 1]
         self.symbols = symbols
+        self.length_repeats = np.zeros(0, np.int64)  # 0: all pairs that share enough are taken
         self.repeats = most
         if self.words:
             flat, first = np.concatenate(self.words), np.cumsum(self.size) - self.size
-            self.repeats = self._needed(recall, most)
-            keys = self.keys(flat, first, self.size, first + self.size, of)
-            self.buckets = keys.ravel()
-            self.bucket_item = np.tile(np.arange(len(self.size)), self.repeats)
+            self.length_repeats = self._needed(recall, most, of)
+            self.repeats = int(self.length_repeats.max())
+            walked = np.flatnonzero(self.length_repeats[of] > 0)
+            keys = self.keys(flat, first[walked], self.size[walked], (first + self.size)[walked], of[walked], self.repeats)
+            used = np.arange(self.repeats)[:, None] < self.length_repeats[of[walked]]
+            self.buckets, self.bucket_item = keys[used], np.broadcast_to(walked, keys.shape)[used]
             order = np.argsort(self.buckets, kind="stable")
             self.buckets, self.bucket_item = self.buckets[order], self.bucket_item[order]
-
-    def keys(self, words: np.ndarray, start: np.ndarray, size: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """(repeats, windows) bucket of words[start : end] as a window of `size` words; kind: its place in lengths."""
-        n, r = len(start), self.repeats
+        # For lengths that are not walked: words in a run, least shared runs, sorted runs of the items, their items from `first` on.
+        self.shared: dict = {}
+        for k in np.flatnonzero(self.length_repeats == 0):
+            m, e = int(self.lengths[k]), int(self.length_edits[k])
+            q = next((q for q in (3, 2) if m - q + 1 - q * e >= 1), 1)
+            own = np.flatnonzero(of == k)
+            runs = [np.unique(_runs(self.words[i], q)) for i in own]
+            run, item = np.concatenate(runs), np.repeat(own, [len(x) for x in runs])
+            order = np.argsort(run, kind="stable")
+            values, first = np.unique(run[order], return_index=True)
+            self.shared[int(k)] = (q, m - q + 1 - q * e, values, np.r_[first, len(run)], item[order], own)
+
+    def keys(self, words: np.ndarray, start: np.ndarray, size: np.ndarray, end: np.ndarray, kind: np.ndarray, r: int) -> np.ndarray:
+        """(r, windows) bucket of words[start : end] as a window of `size` words; kind: its place in lengths."""
+        n = len(start)
         walk = seeds(r, 71)[:, None]
         share = (seeds(r * self.symbols, 72) >> np.uint64(11)).reshape(r, self.symbols) / float(1 << 53)
         at = np.sort((share[:, :, None] * 2 * self.lengths[None, None, :]).astype(np.int64), 1)[:, :, kind]  # sampled steps: (repeats, symbols, windows)
@@ -108,16 +129,23 @@ class Index:
             place += (mix(word ^ (walk + np.uint64(step))) & np.uint64(1)).astype(np.int64)
         return key
 
-    def _needed(self, recall: float, most: int) -> int:
-        """Repetitions for the target recall of items with the largest number of edits allowed."""
+    def _needed(self, recall: float, most: int, of: np.ndarray) -> np.ndarray:
+        """Repetitions for the target recall of each length's items with the largest number of edits allowed; 0 where `most` miss it."""
         rng = np.random.default_rng(11)
-        pick = np.unique(np.linspace(0, len(self.words) - 1, 48).astype(int))
-        own, changed, kind, size = [], [], [], []
-        for i in pick:
-            x = self.words[i]
-            for _ in range(8):
+        out, missed = np.zeros(len(self.lengths), np.int64), 0
+        for k, (m, e) in enumerate(zip(self.lengths.tolist(), self.length_edits.tolist())):
+            if e == 0:
+                out[k] = 1  # equal windows share all buckets
+                continue
+            if missed == 5:  # longer items with as large a share of edits are no easier, and to walk none is always right
+                break
+            own = np.flatnonzero(of == k)
+            pick = own[np.unique(np.linspace(0, len(own) - 1, 32).astype(int))]
+            each = -(-256 // len(pick))
+            changed = []
+            for x in (self.words[i] for i in np.repeat(pick, each)):
                 y = list(x)
-                for _ in range(int(self.edits[i])):
+                for _ in range(e):
                     at, how = int(rng.integers(len(y))) if y else 0, int(rng.integers(3))
                     if how == 0 and y:
                         y[at] = rng.integers(1, 1 << 62, dtype=np.uint64)
@@ -125,17 +153,19 @@ class Index:
                         y.insert(at, rng.integers(1, 1 << 62, dtype=np.uint64))
                     elif y:
                         del y[at]
-                y = (y + [rng.integers(1, 1 << 62, dtype=np.uint64) for _ in x])[: len(x)]
-                own.append(x)
-                changed.append(np.array(y, np.uint64))
-                kind.append(np.searchsorted(self.lengths, len(x)))
-                size.append(len(x))
-        size = np.array(size)
-        first = np.cumsum(size) - size
-        same = self.keys(np.concatenate(own), first, size, first + size, np.array(kind)) == self.keys(np.concatenate(changed), first, size, first + size, np.array(kind))
-        found = np.maximum.accumulate(same, 0).mean(1)  # share met within the first repetitions
-        enough = np.flatnonzero(found >= recall)
-        return int(enough[0]) + 1 if len(enough) else most
+                changed.append(np.array((y + [rng.integers(1, 1 << 62, dtype=np.uint64) for _ in x])[:m], np.uint64))
+
+            def walked(texts, k=k, m=m):
+                first = np.arange(len(texts)) * m
+                return self.keys(np.concatenate(texts), first, np.full(len(texts), m), first + m, np.full(len(texts), k), most)
+
+            same = np.repeat(walked([self.words[i] for i in pick]), each, 1) == walked(changed)
+            found = np.maximum.accumulate(same, 0).mean(1)  # share met within the first repetitions
+            sure = found - 2 * np.sqrt(found * (1 - found) / len(changed))  # two standard errors below what was met
+            enough = np.flatnonzero(sure >= recall)
+            out[k] = int(enough[0]) + 1 if len(enough) else 0
+            missed = 0 if len(enough) else missed + 1
+        return out
 
     def leaks(self, t: Texts) -> tuple[np.ndarray, ...]:
         """(row, item, edits, first word) of each leak, the nearest window of each row and item."""
@@ -159,7 +189,11 @@ class Index:
         start, kind = np.concatenate(starts), np.concatenate(kinds)
         ok = self._own_triples(w, start, kind, row_end)
         start, kind = start[ok], kind[ok]
+        walked = self.length_repeats[kind] > 0
         found = []
+        for k in np.unique(kind[~walked]).tolist():
+            found.extend(self._sharing(w, start[kind == k], k, row_end))
+        start, kind = start[walked], kind[walked]
         for lo in range(0, len(start), 4096):
             found.append(self._verified(w, start[lo : lo + 4096], kind[lo : lo + 4096], row_end))
         row, item, edits, first = (np.concatenate(x) for x in zip(*found)) if found else none
@@ -186,21 +220,83 @@ class Index:
     def _verified(self, w, start, kind, row_end):
         size = self.lengths[kind]
         end = np.minimum(start + size, row_end[w.row[start]])
-        keys = self.keys(w.hash, start, size, end, kind)
+        repeats = int(self.length_repeats[kind].max())
+        keys = self.keys(w.hash, start, size, end, kind, repeats)
         lo, hi = np.searchsorted(self.buckets, keys.ravel(), "left"), np.searchsorted(self.buckets, keys.ravel(), "right")
         n = hi - lo
-        window = np.repeat(np.tile(np.arange(len(start)), self.repeats), n)
+        window = np.repeat(np.tile(np.arange(len(start)), repeats), n)
         item = self.bucket_item[np.repeat(hi - np.cumsum(n), n) + np.arange(int(n.sum()))]
         pair = np.unique(window * len(self.size) + item)
         window, item = pair // len(self.size), pair % len(self.size)
         ok = self.size[item] == size[window]
         window, item = window[ok], item[ok]
+        return self._close(w, start[window], end[window], item)
+
+    def _close(self, w, start, end, item):
+        """(row, item, edits, first word) of the pairs within the item's edits."""
         edits = np.full(len(item), 1 << 30)
         for k in range(0, len(item), 2048):
-            edits[k : k + 2048] = self.distances(w.hash, start[window[k : k + 2048]], end[window[k : k + 2048]], item[k : k + 2048])
+            edits[k : k + 2048] = self.distances(w.hash, start[k : k + 2048], end[k : k + 2048], item[k : k + 2048])
         ok = edits <= self.edits[item]
-        row = w.row[start[window[ok]]]
-        return row, item[ok], edits[ok], start[window[ok]] - w.first[row]
+        row = w.row[start[ok]]
+        return row, item[ok], edits[ok], start[ok] - w.first[row]
+
+    def _sharing(self, w, start, k, row_end, held: int = 1 << 21):
+        """Leaks of all items of the k-th length in the windows at `start` (ascending), a group of rows at a time."""
+        q, need, values, first, items, own = self.shared[k]
+        m = int(self.lengths[k])
+        if need < 1:  # as many edits as words: all pairs
+            for lo in range(0, len(start), 2048):
+                s, item = np.repeat(start[lo : lo + 2048], len(own)), np.tile(own, len(start[lo : lo + 2048]))
+                yield self._close(w, s, np.minimum(s + m, row_end[w.row[s]]), item)
+            return
+        x = _runs(w.hash, q)
+        cover = np.zeros(len(w.hash) + 1, np.int64)
+        np.add.at(cover, start, 1)
+        np.add.at(cover, np.maximum(np.minimum(start + m, row_end[w.row[start]]) - q + 1, start), -1)
+        at = np.flatnonzero(np.cumsum(cover[: len(x)]) > 0)
+        place = np.minimum(np.searchsorted(values, x[at]), len(values) - 1)
+        hit = values[place] == x[at]
+        at, place = at[hit], place[hit]
+        n = first[place + 1] - first[place]
+        if not len(at):
+            return
+        group = (np.cumsum(n) - n) // held
+        group = group[np.searchsorted(w.row[at], w.row[at], "left")]  # a row is in one group
+        for g in np.unique(group):
+            lo, hi = np.searchsorted(group, (g, g + 1))
+            of, c = place[lo:hi], n[lo:hi]
+            item = items[np.repeat(first[of + 1] - np.cumsum(c), c) + np.arange(int(c.sum()))]
+            wide = len(w.hash) + 1
+            key = np.sort(item * wide + np.repeat(at[lo:hi], c))
+            item, pos = key // wide, key % wide
+            row = w.row[pos]
+            # Windows that hold the shared runs i to i + need - 1, without those that hold the run before them too.
+            last = np.arange(need - 1, len(key))
+            i = last - need + 1
+            ok = (item[i] == item[last]) & (row[i] == row[last])
+            i, last = i[ok], last[ok]
+            low = np.maximum(pos[last] - (m - q), w.first[row[i]])
+            before = np.maximum(i - 1, 0)
+            follows = (i > 0) & (item[before] == item[i]) & (row[before] == row[i])
+            low = np.where(follows, np.maximum(low, pos[before] + 1), low)
+            a = np.searchsorted(start, low, "left")
+            c = np.maximum(np.searchsorted(start, pos[i], "right") - a, 0)
+            s, item = start[np.repeat(a + c - np.cumsum(c), c) + np.arange(int(c.sum()))], np.repeat(item[i], c)
+            if not len(s):
+                continue
+            end = np.minimum(s + m, row_end[w.row[s]])
+            shares = np.searchsorted(key, item * wide + end - q, "right") - np.searchsorted(key, item * wide + s, "left")
+            # The window of each row and item that shares most bounds the edits, and so what others must share to be as near.
+            pair = w.row[s] * len(self.size) + item
+            order = np.lexsort((s, -shares, pair))
+            s, end, item, shares, pair = s[order], end[order], item[order], shares[order], pair[order]
+            new = np.r_[True, pair[1:] != pair[:-1]]
+            head = np.flatnonzero(new)
+            edits = np.concatenate([self.distances(w.hash, *(v[head[z : z + 2048]] for v in (s, end, item))) for z in range(0, len(head), 2048)])
+            bound = np.minimum(edits, self.length_edits[k])[np.cumsum(new) - 1]
+            ok = shares >= m - q + 1 - q * bound
+            yield self._close(w, s[ok], end[ok], item[ok])
 
     def distances(self, words, start, end, item) -> np.ndarray:
         """Word edit distance of each window and item, exact up to the item's edits and above them otherwise."""
@@ -224,9 +320,8 @@ class Index:
             new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
             new = np.where((j >= 0) & (j <= n[:, None]), new, far)
             np.copyto(new, i, where=(j == 0) & (new > i))
-            for k in range(1, len(offsets)):
-                new[:, k] = np.where((j[:, k] >= 1) & (j[:, k] <= n), np.minimum(new[:, k], new[:, k - 1] + 1), new[:, k])
-            cost = new
+            new = np.minimum.accumulate(new - offsets, 1) + offsets  # words inserted
+            cost = np.where((j >= 0) & (j <= n[:, None]), new, far)
             done = np.flatnonzero(m == i)
             d = (n - m)[done] + band
             ok = (d >= 0) & (d < len(offsets))

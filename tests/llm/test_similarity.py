@@ -159,3 +159,26 @@ def test_recall_target():
     index = Index([1], [prose(1, 40)], 0.2, 0.95)
     assert 1 <= index.repeats <= 64
     assert F.lit(1) is not None
+
+
+def test_leaks_of_long_items_at_the_most_edits():
+    r, texts, items, want = random.Random(17), [], [], set()
+    for k, m in enumerate((12, 20, 30, 40, 50, 58, 60, 75, 100, 150, 200, 300) * 8):
+        x = ["w%d" % r.randrange(3000) for _ in range(m)]
+        y = list(x)
+        for j, at in enumerate(sorted(r.sample(range(m), m // 5), reverse=True)):  # as many words in as out
+            y[at : at + 1] = (["new%d" % j], [], [x[at], "new%d" % j])[j % 3 if j < m // 5 // 3 * 3 else 0]
+        items.append(" ".join(x))
+        texts.append(" ".join(["a%d" % j for j in range(k)] + y + ["b%d" % j for j in range(k % 5)]))
+        if min(levenshtein(x, texts[k].split()[k : k + m]), levenshtein(x, texts[k].split()[k - 1 : k - 1 + m])) <= m // 5:
+            want.add((k, k))
+    assert len(want) >= 90
+    index = Index(list(range(len(items))), items, 0.2, 0.95)
+    row, item, edits, first = index.leaks(Texts(pa.array(texts, pa.large_string())))
+    got = set(zip(row.tolist(), item.tolist()))
+    for m in (12, 20, 30, 40, 50, 58, 60, 75, 100, 150, 200, 300):
+        own = {(k, i) for k, i in want if len(items[i].split()) == m}
+        assert len(own & got) >= 0.85 * len(own) if m < 60 else own <= got, m
+    for k, i, e, f in zip(row.tolist(), item.tolist(), edits.tolist(), first.tolist()):
+        m = items[i].split()
+        assert levenshtein(m, texts[k].split()[f : f + len(m)]) == e <= len(m) // 5
