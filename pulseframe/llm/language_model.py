@@ -79,10 +79,11 @@ def count_tokens(docs: DataFrame, text: str = "text", held: int = 1_000_000) ->
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _most_frequent(counts: DataFrame, most: int) -> list:
+def _most_frequent(counts: DataFrame, most: int, least_held: int = CLASSES * CLASS_SIZE) -> list:
     """Tokens by descending count, whole steps of count of them as long as they are `most` at most.
 
-    A step is an eighth of a doubling, so its sizes are a few hundred rows for any input.
+    A step is an eighth of a doubling, so its sizes are a few hundred rows for any input.  If those steps
+    hold fewer than `least_held` tokens, the next one fills them up, by count and hash.
     """
     step = F.floor(F.log2("c") * 8).cast("int")
     allowed, least = most, None
@@ -91,7 +92,10 @@ def _most_frequent(counts: DataFrame, most: int) -> list:
         if allowed < 0:
             break
         least = row["s"]
-    return [] if least is None else sorted(counts.where(step >= least).collect(), key=lambda r: (-r["c"], r["h"]))
+    got = [] if least is None else counts.where(step >= least).collect()
+    if allowed < 0 and len(got) < least_held:
+        got += counts.where(step == row["s"]).orderBy(F.desc("c"), "h").limit(least_held - len(got)).collect()
+    return sorted(got, key=lambda r: (-r["c"], r["h"]))
 
 
 class Vocabulary:

@@ -12,7 +12,7 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 from pyspark.sql import functions as F
 
-from pulseframe.llm.language_model import CLASS_SIZE, CLASSES, GRU, HIDDEN, Vocabulary, log_probabilities, score_texts, tokens
+from pulseframe.llm.language_model import CLASS_SIZE, CLASSES, GRU, HIDDEN, Vocabulary, _most_frequent, log_probabilities, score_texts, tokens
 from pulseframe.llm.pii import find_pii, span_counts, span_text
 from pulseframe.llm.quality import FEATURES, fit_quality, fit_trees, score_quality
 from pulseframe.llm.textops import Texts
@@ -170,3 +170,10 @@ def test_spans_against_brute_force(spark, odd):
         assert x["n_email"] == x["b"].count("email:")
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
     assert find_pii(docs.limit(0), ["text"]).count() == 0
+
+
+def test_flat_vocabulary_fills_the_model(spark):
+    flat = spark.range(66_000).selectExpr("id AS h", "1L AS c")
+    assert [r["h"] for r in _most_frequent(flat, 65_536)] == list(range(CLASSES * CLASS_SIZE))
+    mixed = flat.unionAll(spark.range(-10, 0).selectExpr("id AS h", "50L AS c"))
+    assert [r["h"] for r in _most_frequent(mixed, 65_536)] == list(range(-10, CLASSES * CLASS_SIZE - 10))
