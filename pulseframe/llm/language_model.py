@@ -201,12 +201,16 @@ class GRU:
                     d[own] += p @ self.word_w[c].T
         return out, d
 
-    def train_window(self, words, begins, target, h, memory: dict, rate: float) -> np.ndarray:
-        """One update of truncated backpropagation (Adagrad); returns the state after."""
+    def train_window(self, words, begins, target, h, memory: dict, rate: float, live: np.ndarray | None = None) -> np.ndarray:
+        """One update of truncated backpropagation (Adagrad); returns the state after.  Steps that are not live end lanes and teach nothing."""
         states, after, steps = self.window(words, begins, h, keep=True)
         g: dict = {}
-        _, d = self.outputs(states.reshape(-1, HIDDEN), target.ravel(), g)
-        d = d.reshape(states.shape)
+        if live is None or live.all():
+            _, d = self.outputs(states.reshape(-1, HIDDEN), target.ravel(), g)
+            d = d.reshape(states.shape)
+        else:
+            d = np.zeros_like(states)
+            d[live] = self.outputs(states[live], target[live], g)[1]
         g["gates"], g["candidate"] = np.zeros_like(self.gates), np.zeros_like(self.candidate)
         into = np.empty((*words.shape, 3 * HIDDEN), np.float32)
         later = np.zeros_like(h)
@@ -225,7 +229,7 @@ class GRU:
         flat, order = words.ravel(), np.argsort(words.ravel(), kind="stable")
         used, first = np.unique(flat[order], return_index=True)
         rows = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first)
-        n = len(flat)
+        n = len(flat) if live is None else int(live.sum())
         for k, grad, at in [("inputs", rows, used)] + [(k, g[k], slice(None)) for k in self.NAMES[1:]]:
             grad = grad / n
             m = memory.setdefault(k, np.full_like(getattr(self, k), 1e-8))
@@ -255,12 +259,15 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.05, text: str
             ids, _, _ = vocabulary.find(hashes)
             words, begins = _inputs(ids, off)
             lanes = max(1, min(LANES, len(ids) // WINDOW))
-            long = len(ids) // lanes
-            cut = lambda x: x[: lanes * long].reshape(lanes, long).T  # noqa: E731  # what is left over is shorter than the lanes' number
-            words, begins, target = cut(words), cut(begins), cut(ids)
+            edge = np.arange(lanes + 1) * len(ids) // lanes  # lanes differ by a token at most, so only the last step can be padding
+            long = int(np.diff(edge).max(initial=0))
+            place = edge[:-1] + np.arange(long)[:, None]
+            live = place < edge[1:]
+            place = np.where(live, place, 0)
+            words, begins, target = words[place], begins[place], ids[place]
             h = np.zeros((lanes, HIDDEN), np.float32)
             for t in range(0, long, WINDOW):
-                h = model.train_window(words[t : t + WINDOW], begins[t : t + WINDOW], target[t : t + WINDOW], h, memory, rate)
+                h = model.train_window(words[t : t + WINDOW], begins[t : t + WINDOW], target[t : t + WINDOW], h, memory, rate, live[t : t + WINDOW])
             seen += len(ids)
         if seen:
             for k, piece in enumerate(np.array_split(model.flat(), _PIECES)):

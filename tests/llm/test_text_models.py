@@ -12,7 +12,7 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 from pyspark.sql import functions as F
 
-from pulseframe.llm.language_model import CLASS_SIZE, CLASSES, GRU, HIDDEN, Vocabulary, _most_frequent, log_probabilities, score_texts, tokens
+from pulseframe.llm.language_model import CLASS_SIZE, CLASSES, GRU, HIDDEN, Vocabulary, _most_frequent, log_probabilities, score_texts, tokens, train
 from pulseframe.llm.pii import find_pii, span_counts, span_text
 from pulseframe.llm.quality import FEATURES, fit_quality, fit_trees, score_quality
 from pulseframe.llm.textops import Texts
@@ -177,3 +177,13 @@ def test_flat_vocabulary_fills_the_model(spark):
     assert [r["h"] for r in _most_frequent(flat, 65_536)] == list(range(CLASSES * CLASS_SIZE))
     mixed = flat.unionAll(spark.range(-10, 0).selectExpr("id AS h", "50L AS c"))
     assert [r["h"] for r in _most_frequent(mixed, 65_536)] == list(range(-10, CLASSES * CLASS_SIZE - 10))
+
+
+def test_training_uses_the_last_tokens(spark):
+    text = " ".join("w%d" % (i % 9) for i in range(63)) + " once"  # 65 tokens with the end: two lanes and one token over
+    h, n = np.unique(tokens(Texts(pa.array([text], pa.large_string())))[0], return_counts=True)
+    order = np.lexsort((h, -n))
+    vocabulary = Vocabulary(h[order], n[order], 65, len(h))
+    model = train(spark.createDataFrame([(text,)], "text string").coalesce(1), vocabulary)
+    at = vocabulary.find(tokens(Texts(pa.array(["once"], pa.large_string())))[0])[0][0]
+    assert at >= 0 and not np.array_equal(model.inputs[at], GRU(vocabulary).inputs[at])
