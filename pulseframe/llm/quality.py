@@ -171,20 +171,24 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone, trees: int = 60, depth: in
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str = "doc_id", text: str = "text", label: str = "quality", **fit) -> Trees:
-    """Fit on at most `max_rows` labelled documents (those of least hash), whose statistics alone reach the driver."""
+    """Fit on at most `max_rows` labelled documents (those of least hash), whose statistics alone reach the driver.
+
+    A repeated id counts once, with its text of least hash.
+    """
     labelled = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
         .groupBy(id_col).agg(F.max(label).cast("int").alias("__y"))
     )
     picked = bounded_sample(labelled, id_col, max_rows)
     rows = docs.select(id_col, text).join(F.broadcast(picked), id_col).where(F.col(text).isNotNull())  # 12 bytes a row, max_rows at most
-    got = map_texts(rows, lambda: lambda t: [_lists(feature_matrix(statistics(t)))], [T.StructField("x", T.ArrayType(T.FloatType()))], text, ["__y"])
-    table = got.limit(4 * max_rows).toArrow()  # repeated ids at most
+    rows = rows.withColumn("__h", F.xxhash64(text))
+    got = map_texts(rows, lambda: lambda t: [_lists(feature_matrix(statistics(t)))], [T.StructField("x", T.ArrayType(T.FloatType()))], text, [id_col, "__y", "__h"])
+    table = got.groupBy(id_col).agg(F.max("__y").alias("__y"), F.min(F.struct("__h", "x")).alias("__m")).select("__y", F.col("__m.x").alias("x")).toArrow()
     if not table.num_rows:
         return fit_trees(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0), list(FEATURES.values()), **fit)
-    x = np.array(table["x"].to_pylist(), np.float32)
-    order = np.lexsort(x.T[::-1])  # the order of arrival does not matter
-    return fit_trees(x[order], table["__y"].to_numpy()[order], list(FEATURES.values()), **fit)
+    x, y = np.array(table["x"].to_pylist(), np.float32), table["__y"].to_numpy()
+    order = np.lexsort((y, *x.T[::-1]))  # the order of arrival does not matter
+    return fit_trees(x[order], y[order], list(FEATURES.values()), **fit)
 
 
 def _lists(x: np.ndarray):

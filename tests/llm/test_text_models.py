@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm.language_model import CLASS_SIZE, CLASSES, GRU, HIDDEN, Vocabulary, _most_frequent, log_probabilities, score_texts, tokens, train
 from pulseframe.llm.pii import find_pii, span_counts, span_text
+from pulseframe.llm import quality
 from pulseframe.llm.quality import FEATURES, fit_quality, fit_trees, score_quality
 from pulseframe.llm.textops import Texts
 from pulseframe.llm.toxicity import IDENTITY_TERMS, fit_toxicity, score_toxicity
 
-from .conftest import words
+from .conftest import prose, words
 
 
 def test_statistics_against_brute_force(spark, odd, labels):
@@ -187,3 +188,14 @@ def test_training_uses_the_last_tokens(spark):
     model = train(spark.createDataFrame([(text,)], "text string").coalesce(1), vocabulary)
     at = vocabulary.find(tokens(Texts(pa.array(["once"], pa.large_string())))[0])[0][0]
     assert at >= 0 and not np.array_equal(model.inputs[at], GRU(vocabulary).inputs[at])
+
+
+def test_copies_of_an_id_crowd_out_no_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_trees", lambda x, y, monotone, **fit: seen.append((x, y)))
+    docs = [(0, prose(i % 2, 30 + i % 2)) for i in range(400)] + [(i, prose(i, 40 + i)) for i in range(1, 8)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    for rows in (docs, docs[::-1]):
+        fit_quality(spark.createDataFrame(rows, "doc_id long, text string"), marks, max_rows=8)
+    (x, y), (x2, y2) = seen
+    assert len(y) == 8 and y.sum() == 4 and np.array_equal(x, x2) and np.array_equal(y, y2)
