@@ -125,6 +125,21 @@ def trial_status(t):
     return signal_quality.trial_status(report, TR, gap_limit=3, saturation_limit=2.0)
 
 
+@query(f"""WITH {_E}, v AS (SELECT *, floor(x / 40) AS v FROM e), d AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS dt FROM v),
+m AS (SELECT *, median(CASE WHEN dt > 0 THEN dt END) OVER (PARTITION BY user_id, event_type) AS md FROM d),
+c AS (SELECT user_id, event_type, count(*) FILTER (dt > 2 * md) AS gaps, coalesce(var_pop(v) < 1e-10, true) AS dead FROM m GROUP BY ALL),
+n AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS new FROM v WHERE v IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type ORDER BY t, event_id)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM n),
+l AS (SELECT *, count(*) OVER (PARTITION BY user_id, event_type, run) AS len FROM k),
+s AS (SELECT user_id, event_type, avg(CASE WHEN len >= 4 THEN 1.0 ELSE 0.0 END) AS ratio FROM l GROUP BY ALL),
+b AS (SELECT user_id, gaps > 3 OR dead OR coalesce(ratio > 0.3, false) AS bad FROM c LEFT JOIN s USING (user_id, event_type))
+SELECT user_id, CASE WHEN bool_or(bad) THEN 'FAIL' ELSE 'OK' END AS status, count(*) FILTER (bad) AS n_bad FROM b GROUP BY user_id""")
+def trial_status_saturated(t):
+    d = _events(t).withColumn("v", F.floor(F.col("x") / 40).cast("double"))
+    report = signal_quality.quality_report(d, "v", 4, CH, ("t", "event_id"))
+    return signal_quality.trial_status(report, TR, gap_limit=3, saturation_limit=0.3)
+
+
 @query(f"""WITH {_E}, a AS (SELECT user_id, count(DISTINCT event_type) AS n_trials, count(DISTINCT floor(t / 864000)) AS n_sensors, count(*) AS n_rows FROM (SELECT DISTINCT user_id, event_type, floor(t / 864000) * 864000 AS t FROM e) GROUP BY user_id)
 SELECT *, CASE WHEN n_trials = 5 AND n_sensors = 3 AND n_rows = 15 THEN 'OK' ELSE 'WARN' END AS status FROM a""")
 def completeness(t):

@@ -34,3 +34,8 @@ def test_same_rows(spark, con, name):
     names = [d[0] for d in r.description]
     assert sorted(names) == cols
     assert got == sorted(tuple(plain(row[names.index(c)]) for c in cols) for row in r.fetchall())
+
+
+def test_saturation_rule_decides_trials(con):
+    sql = oracle_sql()["trial_status_saturated"]
+    assert set(con.execute(sql).fetchall()) != set(con.execute(sql.replace("ratio > 0.3", "ratio > 2")).fetchall())
