@@ -47,7 +47,7 @@ def statistics(t: Texts) -> dict[str, np.ndarray]:
     row = np.searchsorted(t.off, lo, "right") - 1
     lines = np.bincount(row, minlength=t.rows)
     out["n_lines"] = lines
-    out["n_dup_lines"] = lines - distinct_by_row(range_hash(w.total, lo, hi), row, t.rows)
+    out["n_dup_lines"] = lines - distinct_by_row(range_hash(buf, lo, hi), row, t.rows)
 
     m = len(w.hash) - 4
     covered = np.zeros(len(w.hash) + 1, np.int64)

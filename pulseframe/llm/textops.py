@@ -2,8 +2,9 @@
 
 All functions work on one slice of texts laid out as a single UTF-8 byte
 buffer with row offsets.  Words are maximal runs without the bytes 0x20 and
-0x09-0x0D.  Word identity is a 64-bit hash; a slice is bounded in bytes, so
-memory does not follow the size of an Arrow batch.
+0x09-0x0D.  Word identity is a 64-bit hash of the bytes; a slice is bounded in
+bytes, so memory does not follow the size of an Arrow batch: some tens of bytes
+of arrays for each byte of the slice, which a single longer text exceeds alone.
 """
 
 from __future__ import annotations
@@ -35,28 +36,53 @@ _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything that is no ASCII letter or digit and no part of a wider character.
 NO_LETTER = np.ones(256, bool)
 NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_CODE = seeds(256, 7)
-_CODE_LOWER = _CODE.copy()
-_CODE_LOWER[65:91] = _CODE[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_UPPER = np.zeros(256, np.uint8)
+_UPPER[65:91] = 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n + 1, base, np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
+#: Masks of the lowest 0 to 8 bytes.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_PLACE = np.uint64(0x2545F4914F6CDD1D)
 
 
-def powers(kind: str, n: int) -> np.ndarray:
-    """Powers 0..n of the hash base or of its inverse; each worker keeps up to 4M of them."""
-    cache = np.__dict__.setdefault("_kept_powers", {})  # not a global here: those are shipped with each task
-    have = cache.get(kind)
-    if have is None or len(have) <= n:
-        have = _powers(_BASE if kind == "up" else _BASE_INV, max(n, 1 << 16))
-        if n <= 4 << 20:
-            cache[kind] = have
-    return have
+class Ranges:
+    """Ranges [lo, hi) of a buffer as 64-bit words, with zeros after the last byte.
+
+    size: bytes; head: the first word of each; long: the ranges of more than eight bytes, whose further words
+    are more[first[k] : first[k + 1]].
+    """
+
+    def __init__(self, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        padded = np.zeros(len(buf) + 8, np.uint8)
+        padded[: len(buf)] = buf
+        view = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # eight bytes from any place
+        self.size = hi - lo
+        self.head = view[lo] & _LOW_BYTES[np.minimum(self.size, 8)]
+        self.long = np.flatnonzero(self.size > 8)
+        rest = self.size[self.long] - 8
+        n = (rest + 7) >> 3
+        self.first = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=self.first[1:])
+        self.place = np.arange(int(self.first[-1])) - np.repeat(self.first[:-1], n)
+        self.more = view[np.repeat(lo[self.long] + 8, n) + 8 * self.place]
+        self.more[self.first[1:] - 1] &= _LOW_BYTES[rest - 8 * (n - 1)]
+
+    def hash(self) -> np.ndarray:
+        """64 bits for each range.
+
+        A word's part is mixed with its place by more than a factor, so no shape of text makes parts cancel out;
+        ranges of one length up to eight bytes never collide.
+        """
+        part = mix(self.head + _PLACE)
+        if len(self.long):
+            place = mix(self.place.astype(np.uint64) * _ODD + _ODD)
+            part[self.long] += np.add.reduceat(mix(self.more + place), self.first[:-1])
+        return mix(part + self.size.astype(np.uint64) * _ODD)
+
+
+def range_hash(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of the bytes [lo, hi), whatever their place in the buffer."""
+    return Ranges(buf, lo, hi).hash()
 
 
 class Texts:
@@ -77,11 +103,9 @@ class Texts:
     def words(self, lower: bool = False, separators: np.ndarray = _IS_SEP) -> "Words":
         return Words(self, lower, separators)
 
-    def prefix(self, lower: bool = False) -> np.ndarray:
-        """Running sums from which any byte range can be hashed."""
-        total = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum((_CODE_LOWER if lower else _CODE)[self.buf] * powers("up", len(self.buf))[: len(self.buf)], out=total[1:])
-        return total
+    def lowered(self) -> np.ndarray:
+        """The bytes with ASCII letters in lower case."""
+        return self.buf | _UPPER[self.buf]
 
     def per_row(self, flags: np.ndarray) -> np.ndarray:
         """Flagged bytes of each row."""
@@ -107,8 +131,8 @@ class Words:
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(t.rows), self.count)
         self.inside = inside
-        self.total = t.prefix(lower)
-        self.hash = range_hash(self.total, self.start, self.end)
+        self.bytes = t.lowered() if lower else buf
+        self.hash = range_hash(self.bytes, self.start, self.end)
 
     def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, row) of every n-word window that stays inside its row."""
@@ -123,11 +147,6 @@ class Words:
         return mix(s[ok]), self.row[:m][ok]
 
 
-def range_hash(total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hash of the bytes [lo, hi), whatever their place in the buffer."""
-    return mix((total[hi] - total[lo]) * powers("down", len(total))[lo])
-
-
 def count_between(flags: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Set flags in [lo, hi) for each pair of bounds."""
     total = np.zeros(len(flags) + 1, np.int64)

@@ -5,13 +5,17 @@ before a single space between two visible ASCII or Latin-1 characters, on both s
 single newline between such characters, and between an ASCII letter and a full
 stop or comma.  No token crosses such a place (the special strings hold none),
 so the pieces' ids joined are the ids of the whole text.  Equal pieces are
-encoded once: a worker keeps up to `CACHE` pieces by 64-bit hash (a false match
-needs two of them to collide).  A new piece that is one word of letters goes
+encoded once: a worker keeps up to `CACHE` pieces by 64-bit hash, with their
+bytes, which each match is compared with; a piece that only hashes like another
+is encoded by itself, so ids do not rest on the hash.  A new piece that is one word of letters goes
 straight to the library's BPE model, any other through its whole pipeline.
 Other tokenizers get whole texts, in batches balanced by bytes.
 
 Edge cases: a null text counts as empty (0 tokens); special strings in a text
-are treated as the library does by default; there is no truncation or padding.
+are treated as the library does by default; there is no truncation or padding;
+a very long text is cut into pieces like any other, and only its ids grow with
+it; repeated rows are counted each; an empty table gives an empty result; a
+column of the input that has the name of an added one is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textops import Texts, map_texts, range_hash
+from . import workers
+from .textops import Ranges, Texts, map_texts
 
 CACHE = 1_000_000
 _VISIBLE = np.zeros(256, bool)
@@ -53,12 +58,9 @@ def vocabulary_file(name: str) -> str:
 
 def encoder(path: str) -> "Encoder":
     """The worker's encoder of this file; what it has learnt serves its later tasks."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if path not in workers.ENCODERS:
+        workers.ENCODERS[path] = Encoder(path)
+    return workers.ENCODERS[path]
 
 
 class Encoder:
@@ -96,6 +98,8 @@ class Encoder:
         self.slot = np.zeros(0, np.int32)  # of each key, its place in first and size
         self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.store = np.zeros(0, np.int32)
+        # Bytes of the pieces by slot: size, first word, and where the further words begin in more.
+        self.bytes, self.head, self.rest, self.more = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         out, rest = [], []
@@ -109,17 +113,23 @@ class Encoder:
             out[k] = ids
         return out
 
-    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> np.ndarray:
-        """Slots of new pieces (hashes are sorted); beyond CACHE they serve this slice only."""
+    def learn(self, hashes: np.ndarray, pieces: list[bytes], keep: bool = True) -> np.ndarray:
+        """Slots of new pieces (hashes are sorted); beyond CACHE, or if not to be kept, they serve this slice only."""
         got = self.encode_pieces(pieces)
         size = np.fromiter(map(len, got), np.int32, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
         slot = (len(self.first) + np.arange(len(hashes))).astype(np.int32)
         self.first = np.r_[self.first, (len(self.store) + np.cumsum(size) - size).astype(np.int32)]
         self.size, self.store = np.r_[self.size, size], np.r_[self.store, flat]
-        if len(self.keys) + len(hashes) <= CACHE:
+        if keep and len(self.keys) + len(hashes) <= CACHE:
             place = np.searchsorted(self.keys, hashes)
             self.keys, self.slot = np.insert(self.keys, place, hashes), np.insert(self.slot, place, slot)
+            length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            ends = np.cumsum(length)
+            r = Ranges(np.frombuffer(b"".join(pieces), np.uint8), ends - length, ends)
+            rest = np.zeros(len(pieces), np.int64)
+            rest[r.long] = len(self.more) + r.first[:-1]
+            self.bytes, self.head, self.rest, self.more = np.r_[self.bytes, length], np.r_[self.head, r.head], np.r_[self.rest, rest], np.r_[self.more, r.more]
         return slot
 
     def settle(self) -> None:
@@ -155,7 +165,8 @@ class Encoder:
         cut[t.off[:-1][t.off[:-1] < t.off[1:]]] = True
         lo = np.flatnonzero(cut)
         hi = np.r_[lo[1:], len(buf)].astype(np.int64)[: len(lo)]
-        h = range_hash(t.prefix(), lo, hi)
+        pieces = Ranges(buf, lo, hi)
+        h = pieces.hash()
         order = np.argsort(h)
         new = np.ones(len(h), bool)
         new[1:] = h[order][1:] != h[order][:-1]
@@ -163,11 +174,28 @@ class Encoder:
         keys, back = h[first], np.empty(len(h), np.int64)
         back[order] = np.cumsum(new) - 1
         slot, known = self.find(keys)
+        # Pieces that only hash like another one of this slice or of the cache: those of eight bytes and one size cannot.
+        rep = first[back]
+        alone = pieces.size != pieces.size[rep]
+        at = pieces.long[~alone[pieces.long]]
+        rest = np.zeros(len(h), np.int64)
+        rest[pieces.long] = pieces.first[:-1]
+        alone[at] = ~_equal(pieces, at, pieces.head, rest, pieces.more, rep[at])
+        at = np.flatnonzero(known)
+        other = self.bytes[slot[at]] != pieces.size[first[at]]
+        long = np.flatnonzero(~other & (pieces.size[first[at]] > 8))
+        other[long] = ~_equal(pieces, first[at[long]], self.head, self.rest, self.more, slot[at[long]])
+        if other.any():
+            alone |= np.isin(back, at[other])
+        data = buf.tobytes() if not known.all() or alone.any() else b""
         if not known.all():
             new = np.flatnonzero(~known)
-            data, a, b = buf.tobytes(), lo[first[new]].tolist(), hi[first[new]].tolist()
+            a, b = lo[first[new]].tolist(), hi[first[new]].tolist()
             slot[new] = self.learn(keys[new], [data[x:y] for x, y in zip(a, b)])
         slot = slot[back]
+        if alone.any():
+            at = np.flatnonzero(alone)
+            slot[at] = self.learn(h[at], [data[x:y] for x, y in zip(lo[at].tolist(), hi[at].tolist())], keep=False)
         size = self.size[slot]
         ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
         off = ends[np.searchsorted(lo, t.off)]
@@ -177,6 +205,18 @@ class Encoder:
         return out, off
 
 
+def _equal(r: Ranges, i: np.ndarray, head, rest, more, j: np.ndarray) -> np.ndarray:
+    """Whether range i[k] of r, of more than eight bytes, has the first and further words that stand at j[k], where one of its size is."""
+    same = r.head[i] == head[j]
+    own = np.searchsorted(r.long, i)
+    n = r.first[own + 1] - r.first[own]
+    ends = np.cumsum(n)
+    step = np.arange(int(n.sum()))
+    differs = r.more[step + np.repeat(r.first[own] - (ends - n), n)] != more[step + np.repeat(rest[j] - (ends - n), n)]
+    same[np.repeat(np.arange(len(i)), n)[differs]] = False
+    return same
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "text", keep=None) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit (n_tokens > limit)."""
 

@@ -42,7 +42,7 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     length = w.end - w.start
     for k in _STARTS:
         at = np.flatnonzero(length > k)
-        hashes.append(range_hash(w.total, w.start[at], w.start[at] + k) ^ np.uint64(k))
+        hashes.append(range_hash(w.bytes, w.start[at], w.start[at] + k) ^ np.uint64(k))
         rows.append(w.row[at])
     return np.concatenate(hashes), np.concatenate(rows)
 

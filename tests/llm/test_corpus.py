@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 SMALL = "/root/testdata/sf0.001"
 
-from pulseframe.llm import chat, mixing, queries
+from pulseframe.llm import chat, mixing, queries, textops
 from pulseframe.llm.binary import pack, read_token_files, unpack, write_token_files
 from pulseframe.llm.mixing import mix_sources
 from pulseframe.llm.rangecoder import decode_blocks, encode_blocks
@@ -72,6 +72,40 @@ def test_pieces_equal_whole_texts():
     assert all(ids[off[i] : off[i + 1]].tolist() == e.ids for i, e in enumerate(whole))
 
 
+def doubling(n: int, letters: str) -> str:
+    """The Thue-Morse word, whose shape makes polynomial hashes of it and of its complement equal."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_hashes_of_alike_words():
+    w = Texts(pa.array([doubling(n, x) for n in (8, 64, 1024, 2048, 8192) for x in ("ab", "ba")])).words().hash
+    assert len(set(w.tolist())) == 10
+    r = np.random.default_rng(3)
+    buf = r.integers(97, 100, 20_000).astype(np.uint8)
+    lo = r.integers(0, 19_900, 5000)
+    hi = lo + r.integers(0, 60, 5000)
+    seen: dict = {}
+    for a, b, h in zip(lo, hi, textops.range_hash(buf, lo, hi).tolist()):
+        assert seen.setdefault(buf[a:b].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_ids_do_not_rest_on_the_hash(monkeypatch, weak):
+    from tokenizers import Tokenizer
+
+    if weak:
+        monkeypatch.setattr(textops.Ranges, "hash", lambda self: textops.mix(self.head))
+    t = Tokenizer.from_file(vocabulary_file(VOCABULARY))
+    e = Encoder(vocabulary_file(VOCABULARY))
+    r = random.Random(1)
+    for _ in range(4):
+        texts = [doubling(2048, "ab"), doubling(2048, "ba"), "", doubling(3000, "ab") + " " + doubling(3000, "ba")]
+        texts += [" ".join("".join(r.choice("ab") for _ in range(r.randint(1, 20))) for _ in range(30)) for _ in range(30)]
+        ids, off = e.ids(Texts(pa.array(texts)))
+        assert all(ids[off[i] : off[i + 1]].tolist() == x.ids for i, x in enumerate(t.encode_batch(texts, add_special_tokens=False)))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_counts(spark, odd, name):
     path = vocabulary_file(name)
