@@ -18,7 +18,11 @@ ones; other words are looked up by a join on their hash.
 
 Edge cases: a null or empty text has just its end mark; a null id counts as
 training; repeated rows are scored each; without training texts all words are
-unknown.
+unknown; an empty table gives an empty result.  A very long text is one lane, so
+its memory follows its own tokens (some hundred bytes each), whatever texts stand
+beside it.  Only the columns named in the results come back, so none can clash.
+The averaged model, and so the score, depends on how the table is split into
+tasks; with the same files and settings it is the same.
 """
 
 from __future__ import annotations
@@ -308,19 +312,17 @@ def _lanes(off: np.ndarray) -> list[np.ndarray]:
 def log_probabilities(model: GRU, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Natural log probability of each token given all before it in its text."""
     words, begins = _inputs(ids, off)
-    order = [np.concatenate([np.arange(off[r], off[r + 1]) for r in rows]) for rows in _lanes(off)]
-    length = np.array([len(x) for x in order])
-    place = np.full((int(length.max(initial=0)), len(order)), -1)
-    for k, x in enumerate(order):
-        place[: len(x), k] = x
+    lanes = [np.concatenate([np.arange(off[r], off[r + 1]) for r in rows]) for rows in _lanes(off)]
+    length = np.array([len(x) for x in lanes], np.int64)
+    order, first = np.concatenate([np.zeros(0, np.int64), *lanes]), np.cumsum(length) - length
     out = np.zeros(len(ids))
-    h = np.zeros((len(order), HIDDEN), np.float32)
-    for t in range(0, len(place), WINDOW):
+    h = np.zeros((len(lanes), HIDDEN), np.float32)
+    for t in range(0, int(length.max(initial=0)), WINDOW):
         active = int((length > t).sum())
-        at = place[t : t + WINDOW, :active]
-        live = at >= 0
-        at0 = np.where(live, at, 0)
-        states, h, _ = model.window(words[at0], begins[at0], h[:active])
+        step = t + np.arange(WINDOW)[:, None]
+        live = step < length[:active]
+        at = order[np.where(live, first[:active] + step, 0)]
+        states, h, _ = model.window(words[at], begins[at], h[:active])
         got, _ = model.outputs(states[live], ids[at[live]])
         out[at[live]] = got
     return out
