@@ -9,7 +9,9 @@ completion.
 Turns are ordered by turn, role and text, so repeated turns have a place.  Edge
 cases: a null text is empty, a null role is "unknown"; a pair without one side
 has an empty prompt and an empty completion there; if one conversation is a
-prefix of the other its completion is empty; empty tables give empty results.
+prefix of the other its completion is empty; a null pair id is a pair like others;
+empty tables give empty results; only the five columns named are read, so others
+cannot clash.  Work is in proportion to the turns, however many a conversation has.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import running_sums
+
 END = "<|end|>\n"
 
 
@@ -27,16 +31,9 @@ def _render(turns: Column) -> Column:
 def _learned(turns: Column) -> Column:
     """start:end of what the assistant says, comma-joined."""
     size = lambda t: F.length(t["role"]) + F.length(t["text"]) + 5 + len(END)
-    start = F.aggregate(
-        turns,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans")),
-        lambda a, t: F.struct(
-            (a["at"] + size(t)).alias("at"),
-            F.when(t["role"] == "assistant", F.concat(a["spans"], F.array(F.concat_ws(":", (a["at"] + F.length(t["role"]) + 5).cast("string"), (a["at"] + size(t)).cast("string"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return F.array_join(start, ",")
+    ends = running_sums(F.transform(turns, size))
+    said = F.filter(F.transform(F.arrays_zip(turns.alias("t"), ends.alias("end")), lambda x: F.struct(x["t"]["role"].alias("role"), (x["end"] - size(x["t"]) + F.length(x["t"]["role"]) + 5).alias("start"), x["end"].alias("end"))), lambda x: x["role"] == "assistant")
+    return F.array_join(F.transform(said, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def format_preferences(turns: DataFrame) -> DataFrame:

@@ -15,7 +15,10 @@ starts are anchored by look-behind where that leaves the matches unchanged, so
 long runs neither recurse nor rescan.
 
 Edge cases: a null or empty text has no spans and the hash of the empty string;
-repeated rows are kept; an empty table gives an empty result.
+repeated rows are kept; an empty table gives an empty result; where spans of two
+kinds tie in their start, the order of KINDS decides; a column of the input comes
+back only if it is asked for, and one called base, spans or cands only by another
+name.  Work is in proportion to a text's bytes and matches, however many these are.
 """
 
 from __future__ import annotations
@@ -25,10 +28,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import running_sums, written
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 
+_CAPITAL, _SMALL, _LETTER = r"[A-ZÀ-ÖØ-Þ]", r"[a-zß-öø-ÿ]", r"[A-Za-zÀ-ÖØ-öø-ÿ]"
+_TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Mme|Mlle|Monsieur|Madame|Sra|Srta|Sr|Don|Doña|Señora|Señor)\.?"
+
 #: (kind, pattern, cheap test, in the base) in the order that spans are listed.
 KINDS = (
     ("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), True),
@@ -37,20 +43,36 @@ KINDS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), True),
     ("local_phone", r"(?<![0-9+().-])(?<!\+[0-9]{1,3}[\x20.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])", lambda t: t.rlike(r"[0-9]{3}[.-][0-9]{4}"), False),
     ("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"-[0-9]{2}-"), False),
-    ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?", lambda t: t.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z]"), False),
+    ("name", rf"(?<!{_LETTER}){_TITLE}\x20{_CAPITAL}{_SMALL}++(?:[\x20-]{_CAPITAL}{_SMALL}++)?", lambda t: t.rlike(rf"{_TITLE}\x20{_CAPITAL}"), False),
+    ("secret", r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passw(?:or)?d)[\"']?\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_=.-]{12,}+", lambda t: t.rlike(r"(?i)(?:key|secret|token|passw[a-z]*)[\"']?\x20?[=:]"), False),
 )
 _BASE = [k for k, *_, base in KINDS if base]
 
+#: Given and family names that are common where the four languages are spoken.
+NAMES = (
+    "Adam Andrew Anna Anthony Barbara Brian Charles Daniel David Edward Elizabeth Emily Emma George Helen Henry James Jane Jennifer John Joseph Karen Laura Linda Lisa Mark Mary Michael Nancy Patricia Paul "
+    "Peter Richard Robert Ruth Sarah Susan Thomas William Adams Baker Brown Clark Davis Green Hill Johnson Jones Miller Moore Smith Taylor Walker White Williams Wilson Wright "
+    "Andreas Angelika Bernd Birgit Christian Dieter Erika Frank Gabriele Hans Heike Jürgen Karl Katrin Klaus Markus Monika Petra Sabine Stefan Thorsten Ursula Uwe Wolfgang Bauer Becker Fischer Hoffmann Klein "
+    "Koch Meyer Müller Richter Schmidt Schneider Schröder Schulz Wagner Weber Wolf Antoine Brigitte Camille Catherine Céline Claire François Françoise Guillaume Hélène Isabelle Jacques Jean Julien Louis Marie "
+    "Nathalie Nicolas Philippe Pierre Sophie Sylvie Bernard Dubois Durand Fournier Laurent Lefebvre Leroy Martin Michel Moreau Petit Roux Simon Alejandro Ana Antonio Carlos Carmen Elena Francisco Isabel Javier "
+    "José Juan Lucía Luis Manuel María Miguel Pablo Pedro Rosa Álvarez Díaz Fernández García Gómez González Hernández López Martínez Pérez Rodríguez Sánchez Torres"
+).split()
+
 #: Gazetteers: what follows or opens an entity of a kind.
 GAZETTEER = {
     "email": r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us|ch|at|nl|pl|jp|cn|br)$", "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])\.", "card": r"^[2-6]",
-    "phone": r"^\+(?:1|7|2[0-9]|3[0-9]|4[0-9]|5[0-9]|6[0-9]|8[1-6]|9[0-8])", "local_phone": r"^\(?[2-9]", "national_id": r"^(?!000|666|9)",
-    "name": r"\x20(?:James|Mary|John|Linda|Robert|Anna|Peter|Maria|Michael|Sarah|David|Laura|Smith|Johnson|Brown|Garcia|Martin|Bernard|Meyer|Weber|Lopez)\b",
+    "phone": r"^\+(?:1|7|2[0-9]|3[0-9]|4[0-9]|5[0-9]|6[0-9]|8[1-6]|9[0-8])",
+    "local_phone": r"^\(?(?:201|202|206|212|213|214|215|303|305|310|312|313|404|408|412|415|503|512|602|612|617|619|702|713|718|800|818|877|888|916|917)",
+    "national_id": r"^(?:00[1-9]|0[1-9][0-9]|[1-6][0-9]{2}|7[0-6][0-9]|77[0-2])", "name": r"[\x20-](?:" + "|".join(NAMES) + rf")(?!{_LETTER})",
+    "secret": r"[=:]\x20?[\"']?(?:sk-|sk_|pk_|gh[pousr]_|xox[abp]-|AKIA|eyJ|[0-9a-fA-F]{32,}$)",
 }
 CUES = {
     "email": "mail|contact|write|kontakt|correo|courriel", "ip": r"\bip\b|host|server|address|adresse", "card": "card|visa|credit|karte|carte|tarjeta|payment",
-    "phone": "tel|phone|call|mobil|fax|anruf", "local_phone": "tel|phone|call|mobil|fax|anruf", "national_id": "ssn|social|security", "name": "name|by|from|dear|signed|von|de",
+    "phone": "tel|phone|call|mobil|fax|anruf|llam", "local_phone": "tel|phone|call|mobil|fax|anruf|llam", "national_id": "ssn|social|security|insurance", "name": "name|nom|by|from|dear|signed|geehrte|cher|estimad",
+    "secret": "config|env|export|auth|login|bearer|credential",
 }
+#: Words that follow a title without being a name.
+_NO_NAME = r"\x20(?:President|Chairman|Speaker|Minister|Secretary|Director|Right|Wrong|Who|No|Präsident|Bundeskanzler|Doktor|Direktor|Président|Ministre|Directeur|Presidente|Ministro)$"
 AGAINST = r"version|build|isbn|order\s|token|serial|sku|[=\"/]\s*$"
 _VOTES = (-1, 0, 1)
 
@@ -75,7 +97,16 @@ def _form(kind: str, m: Column) -> Column:
         return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(10, 15)
-    return F.lit(True)
+    if kind == "local_phone":  # neither part of a North American number begins with 0 or 1, nor is either a service code
+        return digits.rlike("^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{2}")
+    if kind == "national_id":
+        return ~digits.rlike("^(?:000|666|9)|^[0-9]{3}00|0000$")
+    if kind == "name":
+        return ~m.rlike(_NO_NAME)
+    if kind == "email":
+        return F.lit(True)
+    value = F.regexp_extract(m, r"[=:]\x20?[\"']?(.*)$", 1)  # a secret is no plain word or number
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
 
 
 def _case(kind: Column, of: dict[str, Column]) -> Column:
@@ -88,11 +119,12 @@ def _case(kind: Column, of: dict[str, Column]) -> Column:
 def _describe(i: int, kind: str, base: bool):
     """Votes and features of a placed match."""
 
-    def describe(x):
+    def describe(placed):
+        x, end = placed["x"], placed["end"].cast("int")
         ok = F.coalesce(_form(kind, x["m"]), F.lit(False))
         near = F.lower(F.concat_ws(" ", x["pre"], x["post"]))
         return F.struct(
-            x["start"].alias("start"), F.lit(i).alias("rank"), (x["start"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"),
+            (end - F.length(x["m"])).alias("start"), F.lit(i).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"),
             (ok & F.lit(base)).alias("base"), F.when(ok, 1).otherwise(-1).alias("form"),
             F.when(x["m"].rlike(GAZETTEER[kind]), 1).otherwise(F.lit(-1 if kind == "name" else 0)).alias("gazetteer"),
             F.when(F.lower(x["pre"]).rlike(AGAINST), -1).when(near.rlike(CUES[kind]), 1).otherwise(0).alias("context"),
@@ -104,8 +136,12 @@ def _describe(i: int, kind: str, base: bool):
     return describe
 
 
+def _lengths(gaps: Column):
+    return lambda x, j: F.length(F.get(gaps, j)) + F.length(x)
+
+
 def _beside(gaps: Column):
-    return lambda x, j: F.struct(x.alias("m"), F.length(F.get(gaps, j)).alias("gap"), F.right(F.get(gaps, j), F.lit(24)).alias("pre"), F.left(F.get(gaps, j + 1), F.lit(12)).alias("post"))
+    return lambda x, j: F.struct(x.alias("m"), F.right(F.get(gaps, j), F.lit(24)).alias("pre"), F.left(F.get(gaps, j + 1), F.lit(12)).alias("post"))
 
 
 def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -117,15 +153,9 @@ def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     arrays = []
     for i, (kind, _, _, base) in enumerate(KINDS):
         g, m = F.col(f"__g{i}"), F.col(f"__m{i}")
-        found = F.transform(m, _beside(g))
-        placed = F.aggregate(
-            found,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string,pre:string,post:string>>").alias("out")),
-            lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["m"].alias("m"), x["pre"].alias("pre"), x["post"].alias("post")))).alias("out")),
-            lambda a: a["out"],
-        )
-
-        arrays.append(F.transform(placed, _describe(i, kind, base)))
+        # A match starts where the gaps up to it and the matches before it end.
+        ends = running_sums(F.transform(m, _lengths(g)))
+        arrays.append(F.transform(F.arrays_zip(F.transform(m, _beside(g)).alias("x"), ends.alias("end")), _describe(i, kind, base)))
     return df.select(*keep, F.array_sort(F.concat(*arrays)).alias("cands"))
 
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a local one."""
+    """A new folder below spark.checkpoint.dir; where that is unset, below a local one, and only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pulseframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -25,6 +27,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BLOCK = 32
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column, levels: int = 4) -> Column:
+    """Sums of the first 1, 2, ... elements of an array of integers.
+
+    Array functions cannot grow an array in place, so sums are made in blocks, blocks of blocks and so on:
+    the work is in proportion to the array's length up to tens of millions of elements.
+    """
+
+    def plain(a):
+        none = F.array().cast("array<bigint>")
+        return F.aggregate(a, none, lambda out, x: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0).cast("bigint")) + x)))
+
+    def blocks(a):
+        n = F.greatest(F.ceil(F.size(a) / _BLOCK).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def sums(a, level):
+        if not level:
+            return plain(a)
+        return _let(F.transform(blocks(a), plain), lambda inner: _let(
+            sums(F.transform(inner, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0).cast("bigint"))), level - 1),
+            lambda ends: F.flatten(F.transform(inner, lambda x, i: F.transform(x, lambda v: v + F.when(i > 0, F.get(ends, i - 1)).otherwise(0)))),
+        ))
+
+    return _let(F.transform(values, lambda x: x.cast("bigint")), lambda a: sums(a, levels - 1))
+
+
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most `most` rows, those of least hash of the key; a threshold on the hash leaves few to order."""
     n = rows.count()
