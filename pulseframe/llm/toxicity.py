@@ -11,7 +11,9 @@ occurs in them plus a prior (so a term that the sample lacks is tied as well).
 
 Edge cases: null and empty texts have no features and get the intercept's score;
 repeated rows are scored each; without both labels the score is the share of
-label 1 (0.5 without labels).
+label 1 (0.5 without labels); an id labelled twice has its larger label; an empty
+table gives an empty result; a column of the input called score or predicted is
+replaced; a long text is one row of a slice and needs some tens of bytes a byte.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_sample
+from .shared import bounded_sample, written
 from .textops import NO_LETTER, Texts, map_texts, range_hash, slices
 
 #: Groups of identity terms; within a group any may stand for any other.
@@ -31,6 +33,9 @@ IDENTITY_TERMS = (
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"), ("black", "white", "asian", "latino", "african", "european"),
     ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"), ("immigrant", "refugee", "citizen"), ("immigrants", "refugees", "citizens"),
     ("old", "young", "elderly"), ("disabled", "blind", "deaf"), ("american", "mexican", "chinese", "indian", "french", "german"),
+    ("frauen", "männer"), ("frau", "mann"), ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"), ("schwarze", "weiße"), ("schwule", "lesben", "heteros"), ("einwanderer", "flüchtlinge", "bürger"),
+    ("femmes", "hommes"), ("femme", "homme"), ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"), ("noirs", "blancs", "arabes", "asiatiques"), ("immigrés", "réfugiés", "citoyens"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"), ("negros", "blancos", "latinos", "gitanos"), ("inmigrantes", "refugiados", "ciudadanos"),
 )
 _STARTS = range(4, 9)
 
@@ -96,13 +101,18 @@ def _fit(x: np.ndarray, y: np.ndarray, tie: np.ndarray, l2: float, swap: float,
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, max_rows: int = 12_000, max_features: int = 600, least_z: float = 6.0, l2: float = 0.3, swap: float = 50.0, groups=IDENTITY_TERMS, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Toxicity:
-    """Fit on at most `max_rows` labelled rows (those of least hash) for which `training`, a condition on the id, holds."""
+    """Fit on at most `max_rows` labelled documents (those of least hash) for which `training`, a condition on the id, holds.
+
+    A repeated id counts once, with its text of least hash.
+    """
     labelled = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & training)
         .groupBy(id_col).agg(F.max(label).cast("int").alias("__y"))
     )
     picked = bounded_sample(labelled, id_col, max_rows)
-    rows = docs.select(id_col, F.col(text).alias("text")).join(F.broadcast(picked), id_col).select("__y", "text")  # 12 bytes a row, max_rows at most
+    rows = docs.select(id_col, F.col(text).cast("string").alias("text")).join(F.broadcast(picked), id_col)  # 12 bytes a row, max_rows at most
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))  # an id that repeats counts once, so max_rows bounds the rows
+    rows = written(rows.groupBy(id_col).agg(F.max("__y").alias("__y"), least.alias("m")).select("__y", F.col("m.text").alias("text")), "toxicity-fit")
     totals = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:

@@ -13,11 +13,12 @@ SMALL = "/root/testdata/sf0.001"
 from pyspark.sql import functions as F
 
 from pulseframe.llm.language_model import CLASS_SIZE, CLASSES, GRU, HIDDEN, Vocabulary, _most_frequent, log_probabilities, score_texts, tokens, train
-from pulseframe.llm.pii import find_pii, span_counts, span_text
+from pulseframe.llm.pii import find_pii, reliabilities, span_counts, span_text
+from pulseframe.llm.shared import running_sums
 from pulseframe.llm import quality
 from pulseframe.llm.quality import FEATURES, fit_quality, fit_trees, score_quality
-from pulseframe.llm.textops import Texts
-from pulseframe.llm.toxicity import IDENTITY_TERMS, fit_toxicity, score_toxicity
+from pulseframe.llm.textops import Texts, range_hash
+from pulseframe.llm.toxicity import IDENTITY_TERMS, _fit, fit_toxicity, score_toxicity
 
 from .conftest import prose, words
 
@@ -173,6 +174,149 @@ def test_spans_against_brute_force(spark, odd):
     assert find_pii(docs.limit(0), ["text"]).count() == 0
 
 
+def test_other_kinds(spark):
+    texts = [f"Call me: (212) 555-{1000 + i}, Dr. John Smith, ssn 078-05-{1200 + i}" for i in range(30)]
+    texts += ["Sehr geehrte Frau Müller, liebe Grüße", "api_key = sk_4f9a8b7c6d5e4f3a2b1c0d", "Estimado Sr. Pérez: hola", 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f6"']
+    clean = ["Mr President said version 212-555-1234 of order 000-00-0000", "the token: ring of seventeen", "A Frau ohne Namen"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + clean)], "doc_id long, text string")
+    got = {r["text"]: [x.split(":") for x in r["s"].split(",") if x] for r in find_pii(docs, ["text"]).select("text", span_text(F.col("spans")).alias("s")).collect()}
+    found = lambda t: {(k, t[int(a) : int(b)]) for k, a, b in got[t]}
+    for i in range(30):
+        assert found(texts[i]) == {("local_phone", f"(212) 555-{1000 + i}"), ("name", "Dr. John Smith"), ("national_id", f"078-05-{1200 + i}")}
+    assert found(texts[30]) == {("name", "Frau Müller")} and found(texts[32]) == {("name", "Sr. Pérez")}
+    assert {k for k, _ in found(texts[31])} == {k for k, _ in found(texts[33])} == {"secret"}
+    assert not any(found(t) for t in clean[1:]) and not any(k == "name" for k, _ in found(clean[0]))
+
+
+def test_expectation_maximisation():
+    """Counts drawn from known reliabilities: the posteriors tell true candidates from false ones and the likelihood never falls."""
+    r = np.random.default_rng(4)
+    truth = r.random(20_000) < 0.6
+    votes = [np.where(r.random(20_000) < q, np.where(truth, 1, -1), np.where(r.random(20_000) < 0.5, 0, np.where(truth, -1, 1))) for q in (0.95, 0.6, 0.75)]
+    counted = Counter(zip(*(v.tolist() for v in votes)))
+    patterns = [("k", *v, n) for v, n in sorted(counted.items())]
+    post, rate = reliabilities(patterns)
+    p = np.array([post["k", *v] for v in zip(*(x.tolist() for x in votes))])
+    assert ((p > 0.5) == truth).mean() > 0.95
+    assert rate[0, 1][1] == pytest.approx(0.95, abs=0.03) and rate[2, 1][1] == pytest.approx(0.75, abs=0.05)
+
+    def likelihood(rounds):
+        _, rate = reliabilities(patterns, rounds)
+        share = sum(n * reliabilities(patterns, rounds)[0]["k", *v] for _, *v, n in patterns) / 20_000
+        return sum(n * math.log(share * math.prod(rate[j, 1][x] for j, x in enumerate(v)) + (1 - share) * math.prod(rate[j, 0][x] for j, x in enumerate(v))) for _, *v, n in patterns)
+
+    assert likelihood(1) < likelihood(5) <= likelihood(30) + 1
+
+
+def test_offsets_of_many_matches(spark):
+    import itertools
+
+    rows = [(k, [k % 7] * k) for k in (0, 1, 31, 32, 33, 1023, 1024, 1025, 40_000)]
+    for r in spark.createDataFrame(rows, "k int, a array<int>").select("a", running_sums(F.col("a")).alias("s")).collect():
+        assert r["s"] == list(itertools.accumulate(r["a"]))
+    text = " ".join(f"u{i}@mail{i}.org" for i in range(100_000))
+    got = find_pii(spark.createDataFrame([(text,)], "text string"), ["text"]).select(F.size("base").alias("n"), F.expr("base[99999].end").alias("end")).first()
+    assert (got["n"], got["end"]) == (100_000, len(text))
+
+
+def test_toxicity_against_brute_force(spark, odd):
+    """Scores by plain Python; the fit is at its optimum; swapped sentences score alike."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = fit_toxicity(docs, labels, F.lit(True))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    own = lambda word: [h for h in _hashes(word)]
+
+    def brute(text):
+        keys = set()
+        for w in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text or ""):
+            keys |= set(own(w))
+        return 1 / (1 + math.exp(-(model.bias + sum(weight.get(k, 0.0) for k in keys))))
+
+    some = docs.select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", "text"))
+    for r in score_toxicity(some, model).collect():
+        assert r["score"] == pytest.approx(brute(r["text"]), abs=1e-9) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def _hashes(word):
+    low = word.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode()
+    one = lambda b: int(range_hash(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+    return [one(low)] + [one(low[:k]) ^ k for k in range(4, 9) if len(low) > k]
+
+
+def test_toxicity_fit_is_the_optimum():
+    r = np.random.default_rng(2)
+    x = (r.random((400, 6)) < 0.4).astype(np.float32)
+    y = (r.random(400) < 1 / (1 + np.exp(-(2 * x[:, 0] - 1)))).astype(float)
+    d = np.array([0, 0, 0, 0, 1.0, -1])
+    tie = 5 * np.outer(d, d)
+    w, b = _fit(x, y, tie, 0.3, 50.0)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (p - y) + 0.3 * w + 50 * tie @ w).max() < 1e-2 and abs((p - y).sum()) < 1e-2
+    assert abs(w[4] - w[5]) < 0.05  # the swap penalty ties the two
+
+
+def test_toxicity_of_repeated_ids(spark):
+    docs = [(0, prose(0, 30))] * 500 + [(i, prose(i, 30) + " gruzzle" * (i % 2)) for i in range(1, 80)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    a, b = (fit_toxicity(spark.createDataFrame(d, "doc_id long, text string"), marks, F.lit(True), max_rows=80, least_z=3.0) for d in (docs, docs[::-1]))
+    assert np.array_equal(a.keys, b.keys) and np.allclose(a.weights, b.weights)
+    assert a.probability(Texts(pa.array(["some gruzzle"])))[0] > a.probability(Texts(pa.array(["some text"])))[0]
+
+
+def test_one_long_text_among_short_ones():
+    """Memory of the scoring follows the tokens, not the longest text times the lanes."""
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    counts = np.sort(r.integers(1, 90, 300))[::-1]
+    m = GRU(Vocabulary(r.integers(1, 1 << 62, 300).astype(np.uint64), counts, int(counts.sum()), 300))
+    off = np.r_[0, 60_000, 60_000 + np.cumsum(np.full(255, 3))]
+    ids = r.integers(-1, 300, off[-1])
+    tracemalloc.start()
+    got = log_probabilities(m, ids, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # a row of places for each lane would take 120 MB
+    assert np.allclose(got[off[7] : off[8]], log_probabilities(m, ids[off[7] : off[8]], np.array([0, 3])), atol=1e-3)
+
+
+def test_recurrent_gradient():
+    """One step of plain descent changes the loss of a window as finite differences say, through the carried state."""
+    r = np.random.default_rng(1)
+    counts = np.sort(r.integers(1, 90, 200))[::-1]
+    v = Vocabulary(r.integers(1, 1 << 62, 200).astype(np.uint64), counts, int(counts.sum()), 200)
+    words, begins = r.integers(0, 200, (6, 4)), np.zeros((6, 4), bool)
+    begins[3, 1] = True
+    target, h = r.integers(0, 200, (6, 4)), r.normal(0, 0.5, (4, HIDDEN)).astype(np.float32)
+
+    def fresh():
+        m = GRU(v)
+        g = np.random.default_rng(9)
+        m.class_w += g.normal(0, 0.3, m.class_w.shape).astype(np.float32)
+        m.word_w += g.normal(0, 0.3, m.word_w.shape).astype(np.float32)
+        m.gates *= 3
+        m.candidate *= 3
+        return m
+
+    def loss(m):
+        states, _, _ = m.window(words, begins, h)
+        return -m.outputs(states.reshape(-1, HIDDEN), target.ravel())[0].sum() / target.size
+
+    class Plain(dict):  # a memory that stays at one, so that the update is the gradient
+        def setdefault(self, k, x):
+            return np.full_like(x, np.float32(1e12))
+
+    m = fresh()
+    m.train_window(words, begins, target, h.copy(), Plain(), 1e6)
+    start = fresh()
+    for name, at in (("gates", (3, 5)), ("gates", (7, HIDDEN + 2)), ("candidate", (1, 4)), ("inputs", (int(words[2, 0]), 2 * HIDDEN + 3)), ("inputs", (int(words[0, 1]), 1)), ("class_w", (2, 0)), ("word_b", (0, 5))):
+        gradient = float(getattr(start, name)[at] - getattr(m, name)[at])
+        up, down = fresh(), fresh()
+        getattr(up, name)[at] += 0.02
+        getattr(down, name)[at] -= 0.02
+        assert gradient == pytest.approx((loss(up) - loss(down)) / 0.04, abs=2e-4), name
+
+
 def test_flat_vocabulary_fills_the_model(spark):
     flat = spark.range(66_000).selectExpr("id AS h", "1L AS c")
     assert [r["h"] for r in _most_frequent(flat, 65_536)] == list(range(CLASSES * CLASS_SIZE))
