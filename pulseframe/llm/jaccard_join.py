@@ -11,32 +11,43 @@ reached `DEEPEST`, in blocks of `BLOCK` nodes; others are split further.  Runs
 are repeated until the chance that a pair at the threshold meets, computed from
 the splitting process, reaches the target recall.
 
-A part's nodes without a similar enough sketch in it are dropped, and parts with
-the same nodes are searched once.  Pairs are verified exactly on the sets.  A
+A part's nodes without a similar enough sketch in it are dropped (a chance that
+the runs make up for), and parts with the same nodes are searched once.  Pairs are verified exactly on the sets.  A
 pair that meets in several parts counts in the least of them, so links are
 counted without listing pairs: a part returns, for each node, the number of rows
 linked, and a node of the spanning forest.  Classes are the components.
 
+Paths that hold more than a 2000th of a level's nodes are split where their rows
+lie, by a decision on a sample of their nodes, instead of in one task; joins deal
+hot keys (copies of one text, members of one class, hubs) over several tasks.
+Within a dense part all pairs are compared, as the number of links asks for, in
+blocks: sets are sent there once for each block of the part.
+
 Edge cases: null, empty and word-less texts are classes of their own without
-links; repeated rows are copies of each other; null ids are kept; an empty table
-gives an empty result.
+links; repeated rows are copies of each other; null ids are kept; a class whose
+ids are all null has a null class_id; an empty table gives an empty result; only
+the id and the text are read, so no other column can clash.  A text's set is held
+whole (8 bytes a word), and a part holds up to two blocks of them.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
+from .shared import HOT_SHARE, hot_values, salted_join, written
 from .textops import Texts, map_texts, mix, seeds, slices
 
 SHINGLE = 5
 COORDS = 64
 SMALL, BLOCK = 192, 256
 FIRST, DEEPEST = 2, 6
+HOT_SAMPLED = 24  # nodes of a path among a 64th of all, below which it is small
 
 
 def shingle_sets(t: Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +100,15 @@ def _children(path: np.ndarray, sketch: np.ndarray, run_root: bool = False) -> t
     return np.stack([mix(path ^ mix((c.astype(np.uint64) << np.uint64(8)) | sketch[at, c].astype(np.uint64))) for c in (a, b)])
 
 
-def runs_needed(threshold: float, recall: float, depth: int = FIRST) -> int:
-    """Runs after which a pair at the threshold has met with the target probability."""
+def runs_needed(threshold: float, recall: float, alike: float = 0.0, depth: int = DEEPEST) -> int:
+    """Runs after which a pair at the threshold has met, and was not dropped for its sketches, with the target probability."""
     p = 1.0
     for _ in range(depth):
         p = 1 - (1 - threshold * p) ** 2
-    return max(1, int(np.ceil(np.log(1 - recall) / np.log(max(1 - p, 1e-12)))))
+    kept = sum(math.comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k) for k in range(math.ceil(alike * COORDS), COORDS + 1))
+    if recall >= kept:
+        raise ValueError(f"sketches of {COORDS} hashes keep {kept:.6f} of the pairs at the threshold, less than the target recall")
+    return max(1, math.ceil(math.log(1 - recall / kept) / math.log(max(1 - p, 1e-12))))
 
 
 def _sketch_column(batch, i: int) -> np.ndarray:
@@ -151,8 +165,7 @@ def _split(depth: int, alike: float):
                 # A part too large to hold: decide on its first rows, then let the rest through.
                 sketch = _sketch_column(b, 2)
                 if state["path"] != path:
-                    some = sketch[:256]
-                    state = {"path": path, "leaf": depth >= DEEPEST or (some[:, None, :] == some[None, :, :]).mean() >= alike}
+                    state = {"path": path, "leaf": _leaf(sketch[:256], depth, alike)}
                 leaf = state["leaf"]
             elif len(key) < 2:
                 continue
@@ -167,8 +180,7 @@ def _split(depth: int, alike: float):
                 continue
             else:
                 sketch = _sketch_column(b, 2)
-                some = sketch[:256]
-                leaf = depth >= DEEPEST or (some[:, None, :] == some[None, :, :]).mean() >= alike
+                leaf = _leaf(sketch[:256], depth, alike)
             if leaf:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(len(key), pa.binary())], ["path", "key", "sketch"])
             else:
@@ -178,6 +190,47 @@ def _split(depth: int, alike: float):
     return run
 
 
+def _leaf(sketch: np.ndarray, depth: int, alike: float) -> bool:
+    """Whether a part's nodes (some of them) are alike on average, so that splitting would only repeat it."""
+    n = len(sketch)
+    same = (sketch[:, None, :] == sketch[None, :, :]).mean(2)
+    return depth >= DEEPEST or bool(same.sum() - n >= alike * n * max(n - 1, 1))  # without each node and itself
+
+
+def _hot_paths(some: DataFrame, depth: int, alike: float) -> dict[int, bool]:
+    """Paths with more than a 2000th of a level's nodes, out of a 64th of them, and whether each is a leaf: fewer than 2000 entries."""
+    n = some.count()
+    counts = some.groupBy("path").count().where(F.col("count") > max(HOT_SAMPLED, n // HOT_SHARE)).select("path")
+    held = [r[0] for r in counts.collect()] if n > HOT_SAMPLED else []
+    if not held:
+        return {}
+    slots = some.where(F.col("path").isin(held)).groupBy("path", F.pmod(F.hash("key"), F.lit(256)).alias("slot")).agg(F.min("sketch").alias("sketch"))
+
+    def decide(batches):
+        for table, _, _ in _groups(batches, 1):
+            b = table.combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([_leaf(_sketch_column(b, 2), depth, alike)])], ["path", "leaf"])
+
+    return {r["path"]: r["leaf"] for r in slots.repartition("path").sortWithinPartitions("path", "slot").mapInArrow(decide, "path long, leaf boolean").collect()}
+
+
+def _divide(hot: dict[int, bool]):
+    """Rows of hot paths as leaves or as rows of the next level, each by itself."""
+    leaves, splits = (np.array(sorted(p for p, leaf in hot.items() if leaf == want), np.int64) for want in (True, False))
+
+    def run(batches):
+        for b in batches:
+            path = b.column(0).to_numpy()
+            own = b.take(pa.array(np.flatnonzero(np.isin(path, leaves))))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.nulls(own.num_rows, pa.binary())], ["path", "key", "sketch"])
+            own = b.take(pa.array(np.flatnonzero(np.isin(path, splits))))
+            if own.num_rows:
+                for child in _children(own.column(0).to_numpy().view(np.uint64), _sketch_column(own, 2)):
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), own.column(1), own.column(2)], ["path", "key", "sketch"])
+
+    return run
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of 0/1 matrices over slices of the vocabulary."""
     n = len(sets)
@@ -259,11 +312,12 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("key != root").select("key", "root").distinct()
     both = written(e.unionAll(e.select(F.col("root").alias("key"), F.col("key").alias("root"))), "join-edges")
     labels = written(both.groupBy("key").agg(F.least(F.min("root"), F.min("key")).alias("label")), "join-labels")
+    hubs = hot_values(both, "root")
     while True:
-        near = both.join(labels.withColumnRenamed("key", "root"), "root").groupBy("key").agg(F.min("label").alias("l"))
-        low = labels.join(near, "key").select("key", F.least("label", "l").alias("label"), F.col("label").alias("was"))
+        near = salted_join(both, labels.withColumnRenamed("key", "root"), "root", hubs).groupBy("key").agg(F.min("label").alias("l"))
+        low = written(labels.join(near, "key").select("key", F.least("label", "l").alias("label"), F.col("label").alias("was")), "join-labels")
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("up"))
-        new = written(low.join(jump, "label", "left").select("key", F.least("label", "up").alias("label"), "was"), "join-labels")
+        new = written(salted_join(low, jump, "label", hot_values(low, "label"), "left").select("key", F.least("label", "up").alias("label"), "was"), "join-labels")
         labels = new.select("key", "label")
         if not new.where("label != was").limit(1).count():
             return labels
@@ -284,7 +338,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     rows = written(map_texts(source, make, [T.StructField("key", T.LongType()), T.StructField("sketch", T.BinaryType())], keep=["doc_id"]), "join-rows")
     nodes = written(rows.where("key != 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch")), "join-nodes")
 
-    runs, alike = runs_needed(threshold, recall), 0.7 * threshold
+    alike = 0.7 * threshold
+    runs = runs_needed(threshold, recall, alike)
 
     def start(batches):
         for b in batches:
@@ -299,17 +354,26 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
                     yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), b.column(0), b.column(1)], ["path", "key", "sketch"])
 
     schema = "path long, key long, sketch binary"
-    level, leaves, depth = nodes.select("key", "sketch").mapInArrow(start, schema), None, FIRST
+    first, a_64th = nodes.select("key", "sketch"), F.pmod(F.xxhash64("key"), F.lit(64)) == 0
+    level, some, leaves, depth = first.mapInArrow(start, schema), first.where(a_64th).mapInArrow(start, schema), None, FIRST
     while True:
-        out = written(level.repartition("path").sortWithinPartitions("path", "key").mapInArrow(_split(depth, alike), schema), "join-level")
+        hot = _hot_paths(some, depth, alike)
+        cold = level.where(~F.col("path").isin(list(hot))) if hot else level
+        out = cold.repartition("path").sortWithinPartitions("path", "key").mapInArrow(_split(depth, alike), schema)
+        if hot:
+            out = out.unionAll(level.where(F.col("path").isin(list(hot))).mapInArrow(_divide(hot), schema))
+        out = written(out, "join-level")
         part = out.where("sketch IS NULL").select(F.col("path").alias("bucket"), "key")
         leaves = part if leaves is None else leaves.unionAll(part)
         level, depth = out.where("sketch IS NOT NULL"), depth + 1
+        some = level.where(a_64th)
         if depth > DEEPEST or not level.limit(1).count():
             break
     members = written(leaves.distinct(), "join-members")
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes.where("blocks > 1"), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # A bucket's members are dealt over 16 tasks: a large one may hold a good part of all.
+    large = sizes.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    placed = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int")).join(large, ["bucket", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     wanted = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("bucket", "blocks", "block"))).alias("at"))  # as many as a node has paths
     wanted = written(wanted.join(nodes.select("key", "copies"), "key"), "join-wanted")
@@ -342,7 +406,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     labels = components(found)
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     linked = nodes.select("key", "first_id", "copies").join(labels, "key", "left").join(links, "key", "left")
-    class_ids = linked.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("first_id").alias("class_id"))
-    node = linked.withColumn("label", F.coalesce("label", "key")).join(class_ids, "label").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    own = F.col("key") == 0
-    return rows.select("doc_id", "key").join(node, "key", "left").select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    linked = written(linked.select("key", "first_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "key").alias("label")), "join-linked")
+    class_ids = linked.groupBy("label").agg(F.min("first_id").alias("class_id"))
+    node = salted_join(linked, class_ids, "label", hot_values(linked, "label")).select("key", "class_id", "n_links")
+    copied = hot_values(rows, "key", counts=nodes.select("key", F.col("copies").alias("count")))
+    found = salted_join(rows.where("key != 0").select("doc_id", "key"), node, "key", copied).select("doc_id", "class_id", F.col("n_links").cast("long"))
+    return found.unionAll(rows.where("key = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))

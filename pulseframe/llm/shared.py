@@ -68,3 +68,29 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
         low = F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * (most + 4 * most**0.5) / n)
         rows = rows.where(low)
     return rows.orderBy(F.xxhash64(key), key).limit(most)
+
+
+#: A key is hot if more than so many rows and more than a so-manieth part of all have it; so there are fewer than HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 10_000, 2000
+
+
+def hot_values(df: DataFrame, key: str, rows: int | None = None, counts: DataFrame | None = None) -> list:
+    """Hot values of a column of df (of `rows` rows, counted by (key, count) in `counts` where the caller has that)."""
+    n = df.count() if rows is None else rows
+    if n <= HOT_ROWS:
+        return []
+    counts = df.groupBy(key).count() if counts is None else counts
+    return [r[0] for r in counts.where(F.col("count") > max(HOT_ROWS, n // HOT_SHARE)).select(key).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner", salts: int = 64) -> DataFrame:
+    """left join right on a key that is unique on the right; rows of hot keys are dealt over `salts` tasks.
+
+    A row's number decides, whatever its columns hold, so `left` has to be a written table or a row-wise function of one.
+    """
+    if not hot:
+        return left.join(right, key, how)
+    spread = F.col(key).isin(hot)
+    left = left.withColumn("__salt", F.when(spread, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0))
+    right = right.withColumn("__salt", F.explode(F.when(spread, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")

@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+
 SMALL = "/root/testdata/sf0.001"
 from pyspark.sql import functions as F
 
@@ -86,6 +88,34 @@ def test_large_group_in_blocks(spark, monkeypatch):
     close(got, brute(rows))
 
 
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    """Hot paths, copies, labels and hubs take their own way from a few rows on, with the same result."""
+    from pulseframe.llm import jaccard_join, shared
+
+    r, base, shared_text = random.Random(4), prose(77, 300), prose(9, 60)
+    rows = [edited(base, r, r.randrange(1, 4)) for _ in range(120)] + [prose(5, 50)] * 40 + [prose(i, 40) + " " + shared_text for i in range(60)] + ["", None] * 20
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, v in (("SMALL", 8), ("BLOCK", 16), ("HOT_SAMPLED", 0)):
+        monkeypatch.setattr(jaccard_join, k, v)
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    seen = []
+    real = jaccard_join._hot_paths
+    monkeypatch.setattr(jaccard_join, "_hot_paths", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = {x["doc_id"]: (x["n_links"], x["class_id"]) for x in jaccard_classes(df).collect()}
+    close(got, brute(rows))
+    assert any(True in x.values() for x in seen) and any(False in x.values() for x in seen)
+    table = shared.written(df, "salted")
+    hot = shared.hot_values(table.withColumn("k", F.length("text")), "k")
+    assert hot and all(n > 5 for n in [sum(len(t or "") == h for _, t in rows if t is not None) for h in hot if h is not None])
+
+
+def test_runs_for_the_recall():
+    assert runs_needed(0.8, 0.9999, 0.56) >= runs_needed(0.8, 0.9999) >= runs_needed(0.9, 0.9999)
+    with pytest.raises(ValueError):
+        runs_needed(0.8, 0.99, 0.8)  # half of the pairs at the threshold have less alike sketches
+
+
 def test_odd_rows(spark, odd):
     got = jaccard_classes(odd).collect()
     assert len(got) == odd.count()
