@@ -1,19 +1,22 @@
 """Token ids as compressed binary files.
 
 Documents are range-sorted by id, tokenised, given an end id, and packed into
-parts of up to `PART_IDS` ids.  A part is a self-contained file:
+parts of up to `PART_IDS` ids (a longer document is a part by itself).  Each part
+is a file of its own, named by Spark:
 
-    magic 'ACMX1\\0\\0\\0' | u32 documents, u32 blocks, u32 ids a block, u32 largest id, u64 ids
+    magic 'ACMX2\\0\\0\\0' | u32 shard, u32 part | u32 documents, u32 blocks, u32 ids a block, u32 largest id, u64 ids
     i64 document ids | u8 null flags | u32 ids of each document
-    u32 words of each block | u32 CRC-32 of each block's ids | u16 words
+    u32 words of each block | u32 CRC-32 of each block's ids | u16 words | a newline
 
-Parts travel as the `payload` of a Parquet table (columns shard, part, n_ids,
-n_docs, payload), since Spark's writers reach every store; export_part() puts
-one into a plain file.  The table's (shard, part) order is that of the ids.
+Spark's text writer puts the bytes of one row into one file and its binary-file
+reader brings them back, so files go to every store that Spark reaches.  The
+order of (shard, part) is that of the ids.
 
 Edge cases: null texts are empty (end id only); null ids come first; rows with
 equal ids stay apart, ordered by their text's hash; an empty table gives an
-empty result; a part that fails its checksum raises.
+empty result; a part that fails its checksum raises; only the id and the text
+are read, so no column can clash.  A document's ids are held in one task, some
+tens of bytes each; a part has to stay below the 2 GB of a cell.
 """
 
 from __future__ import annotations
@@ -30,25 +33,30 @@ from .rangecoder import crc32, decode_blocks, encode_blocks
 from .textops import Texts, slices
 from .tokens import encoder
 
-MAGIC = b"ACMX1\0\0\0"
+MAGIC = b"ACMX2\0\0\0"
 BLOCK_IDS = 2048
 PART_IDS = 4_000_000
-_HEAD = "<8sIIIIQ"
+_HEAD = "<8sIIIIIIQ"
 
 
-def pack(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
+def pack(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block_ids: int = BLOCK_IDS, shard: int = 0, part: int = 0) -> bytes:
     """One part of the file format."""
     words, count, most = encode_blocks(ids, block_ids) if len(ids) else (np.zeros(0, np.uint16), np.zeros(0, np.int64), 0)
     sums = np.array([crc32(ids[i : i + block_ids]) for i in range(0, len(ids), block_ids)], "<u4")
-    head = struct.pack(_HEAD, MAGIC, len(doc_ids), len(count), block_ids, most, len(ids))
+    head = struct.pack(_HEAD, MAGIC, shard, part, len(doc_ids), len(count), block_ids, most, len(ids))
     return b"".join([head, doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), lengths.astype("<u4").tobytes(), count.astype("<u4").tobytes(), sums.tobytes(), words.astype("<u2").tobytes()])
 
 
+def place(data: bytes) -> tuple[int, int]:
+    """Shard and part of a file."""
+    return struct.unpack_from("<II", data, len(MAGIC))
+
+
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, null flags, ids of each document, all ids) of a part; ValueError if it is damaged."""
     if len(data) < struct.calcsize(_HEAD) or data[:8] != MAGIC:
         raise ValueError("not a part of token ids")
-    _, docs, blocks, block_ids, most, total = struct.unpack_from(_HEAD, data)
+    _, _, _, docs, blocks, block_ids, most, total = struct.unpack_from(_HEAD, data)
     at, found = struct.calcsize(_HEAD), []
     for kind, n in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", blocks), ("<u4", blocks)):
         found.append(np.frombuffer(data, kind, n, at))
@@ -75,8 +83,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, directory: str, end_id:
 
         def out():
             doc_ids, nulls, lengths, ids = (np.concatenate(x) for x in zip(*held))
-            payload = pack(doc_ids, nulls, lengths, ids)
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in (shard, part, len(ids), len(doc_ids), payload)], ["shard", "part", "n_ids", "n_docs", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([pack(doc_ids, nulls, lengths, ids, shard=shard, part=part)])], ["payload"])
 
         for s in slices(batches):
             ids, off = e.ids(Texts(s.column(1)))
@@ -93,37 +100,41 @@ def write_token_files(docs: DataFrame, vocabulary: str, directory: str, end_id:
         if held:
             yield out()
 
-    ordered.mapInArrow(run, "shard long, part long, n_ids long, n_docs long, payload binary").write.parquet(directory)
+    ordered.mapInArrow(run, "payload binary").select(F.col("payload").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(directory)
 
 
 def read_token_files(spark: SparkSession, directory: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, decoded from the parts."""
-    parts = spark.read.parquet(directory)
+    parts = spark.read.format("binaryFile").load(directory)
 
     def run(batches):
         for b in batches:
-            for shard, part, data in zip(b.column(0), b.column(1), b.column(2)):
-                doc_ids, nulls, lengths, ids = unpack(data.as_buffer())
+            for content in b.column(0):
+                data = content.as_buffer()
+                if not len(data):
+                    continue  # what a writer without rows leaves
+                (shard, part), (doc_ids, nulls, lengths, ids) = place(data), unpack(data)
                 ends = np.cumsum(lengths)
                 sums = np.fromiter((crc32(ids[e - n : e]) for e, n in zip(ends, lengths)), np.int64, len(lengths))
-                cols = [np.full(len(ends), shard.as_py()), np.full(len(ends), part.as_py()), pa.array(doc_ids, mask=nulls), ends - lengths, lengths, sums]
+                cols = [np.full(len(ends), shard), np.full(len(ends), part), pa.array(doc_ids, mask=nulls), ends - lengths, lengths, sums]
                 names = ["shard", "part", "doc_id", "within", "n_tokens", "ids_crc32"]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)
 
+    def heads(batches):
+        for b in batches:
+            got = [struct.unpack_from(_HEAD, x.as_buffer()) for x in b.column(0) if len(x.as_buffer())]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (1, 2, 7)], ["shard", "part", "n_ids"])
+
     schema = "shard long, part long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    decoded = parts.select("shard", "part", "payload").mapInArrow(run, schema)
+    decoded = parts.select("content").mapInArrow(run, schema)
     # Ids before each part: shards first, then the parts of a shard; a row for each of them only.
-    sizes = parts.groupBy("shard", "part").agg(F.sum("n_ids").alias("n"))
+    head = parts.select(F.substring("content", 1, struct.calcsize(_HEAD)).alias("head")).mapInArrow(heads, "shard long, part long, n_ids long")
+    sizes = head.groupBy("shard", "part").agg(F.sum("n_ids").alias("n"))
     shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).withColumn("before_shard", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).drop("n")
     before = sizes.withColumn("before_part", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n").join(shards, "shard")
     start = F.col("before_shard") + F.col("before_part") + F.col("within")
     return decoded.join(before, ["shard", "part"]).select("doc_id", start.alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
-
-def export_part(payload: bytes, path: str) -> None:
-    """A part as a plain file."""
-    with open(path, "wb") as f:
-        f.write(payload)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 
 from pulseframe.llm import chat, mixing, queries, textops
-from pulseframe.llm.binary import pack, read_token_files, unpack, write_token_files
+from pulseframe.llm.binary import pack, place, read_token_files, unpack, write_token_files
 from pulseframe.llm.mixing import mix_sources
 from pulseframe.llm.rangecoder import decode_blocks, encode_blocks
 from pulseframe.llm.shared import shared_dir, written
@@ -161,8 +162,12 @@ def test_files(spark, odd):
     t = Tokenizer.from_file(vocabulary_file(VOCABULARY))
     out = shared_dir(spark, "files")
     write_token_files(odd, vocabulary_file(VOCABULARY), out, part_ids=2000)
+    plain = [f.read_bytes() for f in Path(out).glob("part-*")]
+    got = sorted(((place(data), unpack(data)) for data in plain if data), key=lambda x: x[0])  # the files themselves, without Spark
+    assert len(got) > 1 and sum(len(x[0]) for _, x in got) == odd.count()
     rows = sorted(read_token_files(spark, out, with_ids=True).collect(), key=lambda r: r["start"])
     assert len(rows) == odd.count()
+    assert np.array_equal(np.concatenate([x[3] for _, x in got]), np.concatenate([r["ids"] for r in rows]))
     ids = [r["doc_id"] for r in rows]
     assert ids[:2] == [None, None] and ids[2:] == sorted(ids[2:])
     start = 0
