@@ -1,8 +1,9 @@
 """Corpus pipeline: documents through five stages, each a written table for the next.
 
-Stages work on rows, whatever their ids: a row number of the scanned table
-stands for a row where decisions are joined back.  Null and repeated ids, null
-texts and empty tables go through; see the operators for what each makes of them.
+Stages work on rows, whatever their ids: a row number, written once, stands for a
+row where decisions are joined back.  Null and repeated ids, null and very long
+texts, and empty tables go through; see the operators for what each makes of
+them.  Columns beside doc_id, text and source are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -20,30 +21,46 @@ from pulseframe.llm.shared import shared_dir, written
 from pulseframe.llm.tokens import vocabulary_file
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with its columns numbered, so that no name clashes with one that an operator adds."""
+    return docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+
+
+def _column(docs: DataFrame, name: str) -> str:
+    return f"__c{docs.columns.index(name)}"
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the base rules and the trees keep."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).where("kept").select(*docs.columns)
+    return _named(score_quality(_plain(docs), model, text=_column(docs, "text")).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each class of the Jaccard join."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    classes = jaccard_classes(rows, id_col="__row")
+    # Row numbers are written once: made anew in a second scan, they could differ.
+    rows = written(_plain(docs).withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    classes = jaccard_classes(rows, id_col="__row", text=_column(docs, "text"))
     first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__row"))
-    return rows.join(first, "__row", "left_semi").select(*docs.columns)
+    return _named(rows.join(first, "__row", "left_semi"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that leak no benchmark item."""
-    return mark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), flag="__leaks").where("NOT __leaks").select(*docs.columns)
+    marked = mark_leaks(_plain(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text=_column(docs, "text"), flag="__leaks")
+    return _named(marked.where("NOT __leaks"), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    taken = mix_sources(rows, keep=("__row",)).where("taken > 0").select("__row", F.expr("taken div size").cast("int").alias("__times"))
-    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    rows = written(_plain(docs).withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    names = {k: _column(docs, c) for k, c in (("id_col", "doc_id"), ("text", "text"), ("source", "source"))}
+    taken = mix_sources(rows, keep=("__row",), **names).where("taken > 0").select("__row", F.expr("taken div size").cast("int").alias("__times"))
+    return _named(rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))), docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
