@@ -17,6 +17,9 @@ SENSOR_ALIASES = {
     "intdors": "IntDors", "interdors": "IntDors", "inter dors": "IntDors", "primo inter dors": "IntDors", "interv": "IntDors",
 }
 
+#: The vocabulary of the subject matrix: muscles of the arm alone.
+MATRIX_ALIASES = {k: v for k, v in SENSOR_ALIASES.items() if v not in ("AbdV", "IntDors") and k not in ("ext", "flex", "trap desc")}
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -59,7 +62,7 @@ def group_of(s: Column | str) -> Column:
 def group_of_wide(s: Column | str) -> Column:
     """Group by synonyms; 'Unknown' otherwise."""
     x = F.lower(F.trim(col(s)))
-    return F.when(x.rlike("als|patient|sick|disease"), "ALS").when(x.rlike("healthy|control|normal|(^|[^a-z])hc([^a-z]|$)"), "Healthy").otherwise("Unknown")
+    return F.when(x.rlike("als|patient|sick|disease"), "ALS").when(x.rlike("healthy|control|hc|normal"), "Healthy").otherwise("Unknown")
 
 
 def label_of(s: Column | str) -> Column:
@@ -113,9 +116,24 @@ def effect_label(r: Column | str) -> Column:
 
 
 def shape_label(skew: Column | str, kurt: Column | str) -> Column:
-    s, k = col(skew), col(kurt)
-    side = F.when(F.abs(s) < 0.5, "symmetric").when(s > 0, "right-skewed").otherwise("left-skewed")
-    return F.concat(side, F.when(k > 1, ", heavy-tailed").when(k < -1, ", light-tailed").otherwise(""))
+    """Class of the absolute skewness, and whether excess kurtosis is over 3."""
+    s = F.abs(col(skew))
+    kind = F.when(s < 0.5, "Approximately symmetric").when(s < 1, "Mildly skewed").when(s < 2, "Moderately skewed").otherwise("Heavily skewed")
+    return F.concat(kind, F.when(col(kurt) > 3, " + heavy tails").otherwise(""))
+
+
+def ok_fail(ok: Column) -> Column:
+    return F.when(F.coalesce(ok, F.lit(False)), "OK").otherwise("FAIL")
+
+
+def ok_warn_fail(x: Column, ok: float, warn: float) -> Column:
+    """Status of a share where larger is better."""
+    return status(x >= ok, x >= warn)
+
+
+def ape_status(ape: Column, ok: float = 0.05, warn: float = 0.2) -> Column:
+    """Status of a relative error."""
+    return status(ape <= ok, ape <= warn)
 
 
 def near_share(x: Column, target: float, tol: float) -> Column:

@@ -69,21 +69,39 @@ def co_occurrence(labels: DataFrame, key: str) -> DataFrame:
 
 
 def best_jaccard(original: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """cluster, mean and sd over the rounds of the best match with the rows of the cluster that the round has; with a verdict."""
+    """cluster, mean and population sd over the rounds of the best Jaccard match of the whole cluster with a round's; with a verdict.
+
+    Rows that a round lacks stay in the union, and a round that meets none of the cluster counts as 0.
+    """
     o = original.select(key, F.col("cluster").alias("own"))
+    sizes = o.groupBy("own").agg(F.count(F.lit(1)).alias("__o"))
+    rounds = labels.agg(F.count_distinct("round").alias("__r"))
     j = labels.join(o, key)
     both = j.groupBy("round", "own", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    size_o = Window.partitionBy("round", "own")
-    size_c = Window.partitionBy("round", "cluster")
-    both = both.withColumn("jac", F.col("n") / (F.sum("n").over(size_o) + F.sum("n").over(size_c) - F.col("n")))
-    best = both.groupBy("round", "own").agg(F.max("jac").alias("jac")).groupBy("own").agg(F.avg("jac").alias("mean"), F.stddev_samp("jac").alias("sd"))
-    verdict = F.when(F.col("mean") >= 0.75, "STABLE").when(F.col("mean") >= 0.6, "MODERATE").otherwise("UNSTABLE")
-    return best.withColumnRenamed("own", "cluster").withColumn("verdict", verdict)
+    both = both.withColumn("__c", F.sum("n").over(Window.partitionBy("round", "cluster"))).join(F.broadcast(sizes), "own")  # a row a cluster
+    best = both.withColumn("jac", F.col("n") / (F.col("__o") + F.col("__c") - F.col("n"))).groupBy("own", "round").agg(F.max("jac").alias("jac"))
+    s = sizes.join(best, "own", "left").groupBy("own").agg(F.coalesce(F.sum("jac"), F.lit(0.0)).alias("__s"), F.coalesce(F.sum(F.col("jac") * F.col("jac")), F.lit(0.0)).alias("__ss")).crossJoin(F.broadcast(rounds))
+    mean = F.col("__s") / F.col("__r")
+    out = s.select(F.col("own").alias("cluster"), mean.alias("mean"), F.sqrt(F.greatest(F.col("__ss") / F.col("__r") - mean * mean, F.lit(0.0))).alias("sd"))
+    return out.withColumn("verdict", F.when(F.col("mean") >= 0.75, "STABLE").when(F.col("mean") >= 0.5, "MODERATE").otherwise("UNSTABLE"))
+
+
+def _placed(pairs: DataFrame, original: DataFrame, key: str) -> DataFrame:
+    """Each pair from both of its ends: who, own, other (clusters), share."""
+    ends = pairs.select(F.col("a").alias("who"), F.col("b").alias("with"), "share").unionByName(pairs.select(F.col("b").alias("who"), F.col("a").alias("with"), "share"))
+    of = lambda name, c: original.select(F.col(key).alias(name), F.col("cluster").alias(c))
+    return ends.join(of("who", "own"), "who").join(of("with", "other"), "with")
 
 
 def separation(pairs: DataFrame, original: DataFrame, key: str) -> DataFrame:
-    """Mean co-occurrence within each cluster and between clusters (cluster NULL)."""
-    a = original.select(F.col(key).alias("a"), F.col("cluster").alias("ca"))
-    b = original.select(F.col(key).alias("b"), F.col("cluster").alias("cb"))
-    p = pairs.join(a, "a").join(b, "b")
-    return p.groupBy(F.when(F.col("ca") == F.col("cb"), F.col("ca")).alias("cluster")).agg(F.avg("share").alias("mean_share"), F.count(F.lit(1)).alias("n_pairs"))
+    """Mean co-occurrence of each cluster within itself and with all others, their difference and its class."""
+    p = _placed(pairs, original, key)
+    same = F.col("own") == F.col("other")
+    a = p.groupBy(F.col("own").alias("cluster")).agg(F.avg(F.when(same, F.col("share"))).alias("within"), F.avg(F.when(~same, F.col("share"))).alias("between")).withColumn("separation", F.col("within") - F.col("between"))
+    return a.withColumn("verdict", F.when(F.col("separation") > 0.3, "well").when(F.col("separation") > 0.1, "moderate").otherwise("poor"))
+
+
+def member_stability(pairs: DataFrame, original: DataFrame, key: str) -> DataFrame:
+    """Mean co-occurrence of each row with the other rows of its cluster; NULL where it has none."""
+    p = _placed(pairs, original, key).where("own = other").groupBy("who").agg(F.avg("share").alias("stability"))
+    return original.select(key, "cluster").join(p.withColumnRenamed("who", key), key, "left")

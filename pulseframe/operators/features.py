@@ -70,14 +70,14 @@ def two_channels(df: DataFrame, x: str, a: str, b: str, keys, sensor: str = "sen
 def interpolated(source: DataFrame, grid: DataFrame, x: str, keys) -> DataFrame:
     """x at the grid's times, linear between the samples around, held at the ends.
 
-    Samples and grid are one ordered union, so it is one window pass.
+    Samples and grid are one ordered union, passed over once in each direction.
     """
     s = source.groupBy(*keys, "t").agg(F.avg(x).alias("__x")).withColumn("__g", F.lit(0))
     u = s.unionByName(grid.select(*keys, "t").distinct().withColumn("__x", F.lit(None).cast("double")).withColumn("__g", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy("t", "__g")
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # Both frames grow from one side, so that each is a running value.
+    up, down = (Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("t", "__g"), (F.desc("t"), "__g")))
     at = F.when(F.col("__x").isNotNull(), F.struct("t", "__x"))
-    u = u.withColumn("__p", F.last(at, True).over(past)).withColumn("__f", F.first(at, True).over(ahead)).where("__g = 1")
+    u = u.withColumn("__p", F.last(at, True).over(up)).withColumn("__f", F.last(at, True).over(down)).where("__g = 1")
     p, f = F.col("__p"), F.col("__f")
     line = p["__x"] + (f["__x"] - p["__x"]) * F.try_divide(F.col("t") - p["t"], f["t"] - p["t"])
     return u.select(*keys, "t", F.when(p.isNull(), f["__x"]).when(f.isNull() | (p["t"] == F.col("t")), p["__x"]).otherwise(line).alias(x)).where(F.col(x).isNotNull())
@@ -91,6 +91,113 @@ def coactivation_interpolated(df: DataFrame, x: str, a: str, b: str, keys, senso
     return overlap(own.join(interpolated(second, own, x, keys).withColumnRenamed(x, "b"), [*keys, "t"]), keys)
 
 
+def coactivation_on_grid(df: DataFrame, x: str, a: str, b: str, keys, sensor: str = "sensor", least: int = 3) -> DataFrame:
+    """coact of two sensors, both interpolated (held at their ends) to a grid of the median step of their common times."""
+    d = df.where(F.col(sensor).isin(a, b)).select(*keys, "t", sensor, x)
+    times = d.select(*keys, "t").distinct()
+    times = times.withColumn("__dt", F.col("t") - F.lag("t").over(_w(keys)))
+    g = times.groupBy(*keys).agg(F.min("t").alias("__a"), F.max("t").alias("__b"), F.count(F.lit(1)).alias("__n"), F.median(F.when(F.col("__dt") > 0, F.col("__dt"))).alias("__dt")).where((F.col("__n") >= least) & (F.col("__dt") > 0))
+    n = F.ceil((F.col("__b") + 1e-12 - F.col("__a")) / F.col("__dt")).cast("int")
+    g = g.where(n >= least).select(*keys, F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col("__a") + i * F.col("__dt"))).alias("t"))
+    values = d.where(F.col(x).isNotNull())
+    one, two = (interpolated(values.where(F.col(sensor) == s), g, x, keys).withColumnRenamed(x, c) for s, c in ((a, "a"), (b, "b")))
+    return overlap(one.join(two, [*keys, "t"]), keys).where("coact IS NOT NULL").select(*keys, "coact")
+
+
+def valid_windows(windows: DataFrame, flags=("emg_ok", "imu_ok")) -> DataFrame:
+    """Windows with at least one good modality; a modality without a flag counts as good."""
+    have = [f for f in flags if f in windows.columns]
+    return windows if len(have) < len(flags) else windows.where(" OR ".join(f"coalesce({f}, false)" for f in have))
+
+
+def window_features(windows: DataFrame, emg: DataFrame, imu: DataFrame, muscles: list[str], sensors: list[str], pair=("Biceps", "Triceps"), fs: float = 1259.26, length: float = 0.2, step: float = 0.1, least_emg: int = 32, least_imu: int = 8, keys=("subject", "trial", "episode_id", "window_id")) -> DataFrame:
+    """One wide row a window: EMG_<muscle>_<feature>, IMU_<sensor>_<summary>, pooled columns, has_emg and has_imu.
+
+    emg: subject, trial, sensor, t, emg_bp, env_norm; imu: subject, trial, sensor, t, gyro_mag, acc_mag, acc_dyn, acc_x_g, acc_y_g, acc_z_g.
+    The lists of sensors fix the columns.
+    """
+    from pulseframe.operators.signals import spectral_features
+    from pulseframe.operators.windowing import samples_in_windows
+
+    keys, trial = list(keys), ("subject", "trial")
+    spans = windows.select(*keys, "t_start", "t_end")
+    inside = samples_in_windows(emg.select(*trial, "sensor", "t", "emg_bp", "env_norm"), spans, length, step, trial)
+    by = [*keys, "sensor"]
+    enough = inside.withColumn("__n", F.count("emg_bp").over(Window.partitionBy(*by))).where(F.col("__n") >= least_emg).drop("__n")
+    td = time_domain(enough, "emg_bp", by, least=least_emg)
+    ar = ar_coefficients(enough, "emg_bp", by)
+    freq = spectral_features(enough.select(*by, "t", "emg_bp"), "emg_bp", by, fs, batch=(*trial, "sensor"))
+    each = td.join(ar, by, "left").join(freq, by, "left")
+    names = ["MAV", "RMS", "WL", "WAMP", "ZC", "MNF", "MDF", "AR1", "AR2", "AR3", "AR4"]
+    one = lambda sensor, c: F.max(F.when(F.col("sensor") == sensor, F.col(c)))
+    wide_emg = each.groupBy(*keys).agg(*[one(m, c).alias(f"EMG_{m}_{c}") for m in muscles for c in names], F.sum("MAV").alias("EMG_global_effort_MAV_sum"))
+    coact = coactivation_on_grid(inside, "env_norm", *pair, keys).withColumnRenamed("coact", "EMG_CoAct_Bic_Tri")
+    any_emg = inside.select(*keys).distinct().withColumn("has_emg", F.lit(True))
+
+    moving = samples_in_windows(imu, spans, length, step, trial)
+    summary = imu_summary(moving, ["gyro_mag", "acc_mag", "acc_dyn"], by).drop("acc_dyn_peak")
+    jerk = mean_jerk(moving, ("acc_x_g", "acc_y_g", "acc_z_g"), by, least=least_imu)
+    steps = summary.join(jerk, by, "left")
+    kinds = [c for c in steps.columns if c not in by]
+    wide_imu = steps.groupBy(*keys).agg(*[one(s, c).alias(f"IMU_{s}_{c}") for s in sensors for c in kinds])
+    pooled = moving.groupBy(*keys).agg(F.avg("gyro_mag").alias("IMU_all_gyro_mag_mean"), F.max("gyro_mag").alias("IMU_all_gyro_mag_peak"), F.lit(True).alias("has_imu"))
+    out = windows
+    for part in (any_emg, wide_emg, coact, pooled, wide_imu):
+        out = out.join(part, keys, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_emg", "has_imu")})
+
+
+def feature_table_report(features: DataFrame, required: list[str], optional: list[str], keys=("subject",), length: float = 0.2) -> DataFrame:
+    """Figures, the statuses of all checks, and the overall status of a wide feature table, one row a subject.
+
+    Rates are means over rows and columns; a check without its columns fails.  overall is FAIL if a critical check
+    fails (rows, required columns, window length, core coverage of both modalities, the coactivation column), else
+    WARN if any check warns.
+    """
+    from pulseframe.functions.dims import status
+
+    have, cols = set(features.columns), features.columns
+    ends = lambda head, *tails: [c for c in cols if c.startswith(head) and c.endswith(tails)]
+    emg_core = ends("EMG_", "_MAV", "_RMS", "_WL", "_MNF", "_MDF")
+    jerk = ends("IMU_", "jerk_norm_mean", "jerk_abs_mean_1d")
+    gyro, acc = ([c for c in cols if c.startswith("IMU_") and f"{k}_mag_" in c] for k in ("gyro", "acc"))
+    imu_core = [c for c in cols if c in {*jerk, *gyro, *acc}]
+    flag = lambda c, default: F.coalesce(F.col(c), F.lit(False)) if c in have else F.lit(default)
+    some = lambda names: F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in names], F.lit(False)) if names else F.lit(False)
+    share = lambda test: F.avg(test.cast("double"))
+
+    def rate(names, test):
+        """Mean over columns of the share of rows that a test holds for."""
+        return sum((share(F.coalesce(test(F.col(c)), F.lit(False))) for c in names), F.lit(0.0)) / len(names) if names else F.lit(None).cast("double")
+
+    missing, negative = (lambda c: c.isNull()), (lambda c: c < 0)
+    emg_target, imu_target = flag("has_emg", False) & flag("emg_ok", True), flag("has_imu", False) & flag("imu_ok", True)
+    pair = some(ends("EMG_Biceps_", "_MAV")) & some(ends("EMG_Triceps_", "_MAV"))
+    co = F.col("EMG_CoAct_Bic_Tri") if "EMG_CoAct_Bic_Tri" in have else F.lit(None).cast("double")
+    span = F.col("t_end") - F.col("t_start")
+    a = features.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_windows"), F.median(span).alias("win_len_med"), F.percentile(span, 0.01).alias("win_len_p01"), F.percentile(span, 0.99).alias("win_len_p99"),
+        F.avg(F.when(emg_target, some(emg_core).cast("double"))).alias("emg_feat_cov"), F.avg(F.when(imu_target, some(imu_core).cast("double"))).alias("imu_feat_cov"),
+        rate(emg_core, missing).alias("emg_nan_ratio"), rate(imu_core, missing).alias("imu_nan_ratio"), rate(ends("EMG_", "_MAV"), negative).alias("emg_mav_neg_rate"), rate(ends("EMG_", "_WL"), negative).alias("emg_wl_neg_rate"),
+        F.avg(F.when(pair, co.isNotNull().cast("double"))).alias("coact_cov"), F.avg(F.when(co.isNotNull(), ((co < 0) | (co > 1)).cast("double"))).alias("coact_bad_rate"), F.count_if(pair).alias("coact_both_present"),
+        rate(ends("IMU_", "dt_median_s"), lambda c: c.isNull() | (c <= 0)).alias("dt_bad_rate"), rate(gyro, negative).alias("gyro_bad_rate"), rate(acc, negative).alias("acc_bad_rate"), rate(jerk, negative).alias("jerk_bad_rate"),
+        F.count_if(emg_target).alias("n_emg_target"), F.count_if(imu_target).alias("n_imu_target"), share(~flag("has_emg", False)).alias("emg_missing_ratio"), share(~flag("has_imu", False)).alias("imu_missing_ratio"),
+    )
+    c, least, most = F.col, (lambda x, ok, warn: status(F.col(x) >= ok, F.col(x) >= warn)), (lambda x, ok, warn: status(F.col(x) <= ok, F.col(x) <= warn))
+    off = F.abs(c("win_len_med") - length)
+    checks = {
+        "non_empty": F.when(c("n_windows") > 0, "OK").otherwise("FAIL"), "required": F.lit("OK" if set(required) <= have else "FAIL"), "optional": F.lit("OK" if set(optional) <= have else "WARN"),
+        "window_length": status(off <= 1e-3, off <= 5e-3), "emg_coverage": least("emg_feat_cov", 0.98, 0.9), "imu_coverage": least("imu_feat_cov", 0.98, 0.9),
+        "emg_missing": most("emg_nan_ratio", 0.1, 0.25), "imu_missing": most("imu_nan_ratio", 0.1, 0.25), "mav_negative": most("emg_mav_neg_rate", 0.0, 0.001), "wl_negative": most("emg_wl_neg_rate", 0.0, 0.001),
+        "coact_column": F.lit("OK" if "EMG_CoAct_Bic_Tri" in have else "FAIL"), "coact_coverage": least("coact_cov", 0.95, 0.8), "coact_range": F.when(c("coact_bad_rate").isNotNull(), most("coact_bad_rate", 0.0, 0.01)),
+        "dt_invalid": most("dt_bad_rate", 0.0, 0.01), "gyro_negative": most("gyro_bad_rate", 0.0, 0.001), "acc_negative": most("acc_bad_rate", 0.0, 0.001), "jerk_negative": most("jerk_bad_rate", 0.0, 0.001),
+    }
+    a = a.withColumns({f"check_{k}": v for k, v in checks.items()})
+    critical = F.array(*[F.col(f"check_{k}") for k in ("non_empty", "required", "window_length", "emg_coverage", "imu_coverage", "coact_column")])
+    every = F.array(*[F.col(f"check_{k}") for k in checks])
+    return a.withColumn("overall", F.when(F.array_contains(critical, "FAIL"), "FAIL").when(F.array_contains(every, "WARN"), "WARN").otherwise("OK"))
+
+
 def overlap(pairs: DataFrame, keys) -> DataFrame:
     """coact = integral of least / integral of greatest; cci = 2 * integral of least / integral of the sum (negative parts are 0)."""
     w = Window.partitionBy(*keys).orderBy("t")

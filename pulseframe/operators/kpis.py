@@ -58,11 +58,48 @@ def mismatch_index(df: DataFrame, effort: str, motion: str) -> DataFrame:
 
 
 def average_rank(x: str, keys) -> Column:
-    """Rank with ties sharing their mean."""
+    """Rank with ties sharing their mean, in windows of keys that split the table."""
     w = Window.partitionBy(*keys)
     return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, x)) - 1) / 2.0
 
 
+def value_bucket(x: Column) -> Column:
+    """An order-preserving bucket of a double: sign and the logarithm of its size in 64ths of a doubling, so 270,000 at most."""
+    size = F.floor(F.log2(F.abs(x)) * 64) + 80_000
+    return F.when(x > 0, size).when(x < 0, -size).otherwise(0).cast("long")
+
+
+def value_ranks(df: DataFrame, x: str, keys=()) -> DataFrame:
+    """keys, x, n (rows with the value) and rank (their mean rank), of a table that keys may not split at all.
+
+    Values are counted, then counts summed within buckets of values, and over buckets, whose number is bounded; no
+    window holds the rows of a whole table.
+    """
+    c = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n")).withColumn("__b", value_bucket(F.col(x).cast("double")))
+    w = Window.partitionBy(*keys, "__b").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    before = c.groupBy(*keys, "__b").agg(F.sum("n").alias("__m"))
+    before = before.withColumn("__before", F.sum("__m").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__m")).drop("__m")
+    inside = c.withColumn("__up", F.sum("n").over(w))
+    j = inside.join(before, [*keys, "__b"])
+    return j.select(*keys, x, "n", (F.col("__before") + F.col("__up") - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
+def quantiles(df: DataFrame, x: str, qs: dict[str, float], keys=()) -> DataFrame:
+    """Exact, linearly interpolated quantiles of a table that keys may not split at all: one row a key.
+
+    As in value_ranks(), no task holds all values; each quantile lies at, or between, two places in the order.
+    """
+    v = value_ranks(df, x, keys).withColumn("__lo", F.col("rank") - (F.col("n") + 1) / 2.0)  # rows before the value
+    total = v.groupBy(*keys).agg(F.sum("n").alias("__n"))
+    j = v.join(total, list(keys)) if keys else v.crossJoin(F.broadcast(total))  # one row
+    inside = lambda place: (F.col("__lo") <= place) & (place < F.col("__lo") + F.col("n"))
+    at = {name: q * (F.col("__n") - 1) for name, q in qs.items()}
+    two = [F.max(F.when(inside(f(p)), F.col(x).cast("double"))).alias(f"__{name}{k}") for name, p in at.items() for k, f in enumerate((F.floor, F.ceil))]
+    a = j.groupBy(*keys).agg(F.max("__n").alias("__n"), *two)
+    part = {name: q * (F.col("__n") - 1) - F.floor(q * (F.col("__n") - 1)) for name, q in qs.items()}
+    return a.select(*keys, *[(F.col(f"__{name}0") + part[name] * (F.col(f"__{name}1") - F.col(f"__{name}0"))).alias(name) for name in qs])
+
+
 def spearman_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """a, b, rho, n of all column pairs; ranks are taken on the rows that have both."""
     long = df.unpivot([key], columns, "__c", "__v").where("__v IS NOT NULL")
@@ -104,3 +141,100 @@ def flag_artifacts(df: DataFrame, reasons: dict[str, str], key: str = "subject")
     table = F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv]) if reasons else F.create_map().cast("map<string,string>")
     reason = F.try_element_at(table, F.col(key).cast("string"))
     return df.withColumn("excluded", reason.isNotNull()).withColumn("exclude_reason", reason)
+
+
+def redundancy_profile(pairs: DataFrame, top: int = 10) -> DataFrame:
+    """Largest |rho| of each column with any other, the `top` columns."""
+    both = pairs.select(F.col("a").alias("kpi"), "rho").unionByName(pairs.select(F.col("b").alias("kpi"), "rho"))
+    return both.groupBy("kpi").agg(F.max(F.abs("rho")).alias("max_abs_rho")).orderBy(F.desc("max_abs_rho"), "kpi").limit(top)
+
+
+# --- indicators of trials and subjects ---
+
+#: Columns that describe a trial, where a table has them.
+META = ("group", "label", "exo", "condition", "session", "task", "task_type", "movement", "weight", "level", "side", "arm", "trial_type")
+
+
+def _mean_of(columns: list[str]) -> Column:
+    """Mean of a row's values that are there."""
+    values = F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda v: v.isNotNull())
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values).cast("double"))
+
+
+def window_kpis(features: DataFrame, keys=("subject", "trial"), distal=("Extensor", "Flexor")) -> DataFrame:
+    """Indicators of each trial out of its windows' features (columns as features.window_features names them).
+
+    The interval is that of the windows' median onset and end; motion is taken from windows with good inertial
+    data, or from all where none is good, weighed by window length.
+    """
+    have = set(features.columns)
+    length = F.col("t_end") - F.col("t_start")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in have else F.lit(True)
+    good = flag("has_imu") & flag("imu_ok")
+    rms = [c for c in features.columns if c.startswith("EMG_") and c.endswith("_RMS")]
+    far = [c for c in rms if any(f"_{m}_" in c for m in distal)]
+    jerk = [c for c in features.columns if c.endswith(("jerk_norm_mean", "jerk_abs_mean_1d"))]
+    named = {"__jerk": _mean_of(jerk) if jerk else F.lit(None).cast("double"), "__rms": _mean_of(rms) if rms else F.lit(None).cast("double"), "__far": _mean_of(far) if far else F.lit(None).cast("double")}
+    named |= {f"__{c}": F.col(c) if c in have else F.lit(None).cast("double") for c in ("IMU_all_gyro_mag_peak", "IMU_all_gyro_mag_mean", "EMG_CoAct_Bic_Tri")}
+    d = features.withColumns(named | {"__w": length, "__good": good})
+    weighed = lambda c: F.coalesce(weighted_mean(F.when(F.col("__good"), F.col(c)), F.col("__w")), F.when(~F.bool_or("__good"), weighted_mean(c, "__w")))
+    on, off = F.median("t_on"), F.median("t_off")
+    a = d.groupBy(*keys).agg(
+        F.min("episode_id").alias("episode_id"), *[most_frequent(c).alias(c) for c in META if c in have and c not in keys], on.alias("t_on"), off.alias("t_off"),
+        F.when(off > on, off - on).otherwise(F.max("t_end") - F.min("t_start")).alias("kpi_duration_s"),
+        F.when(F.bool_or("__good"), F.max(F.when(F.col("__good"), F.col("__IMU_all_gyro_mag_peak")))).otherwise(F.max("__IMU_all_gyro_mag_peak")).alias("kpi_peak_gyro_mag"),
+        weighed("__IMU_all_gyro_mag_mean").alias("kpi_mean_gyro_mag"), weighed("__jerk").alias("kpi_mean_jerk"),
+        weighted_mean("__EMG_CoAct_Bic_Tri", "__w").alias("kpi_coact_win_mean"), F.median("__EMG_CoAct_Bic_Tri").alias("kpi_coact_win_median"), F.avg("__rms").alias("kpi_abs_rms_mean"), F.avg("__far").alias("kpi_abs_rms_distal"),
+    )
+    return a.withColumn("task_type", F.coalesce("task_type", "task")) if {"task", "task_type"} <= set(a.columns) else a.withColumnRenamed("task", "task_type")
+
+
+def envelope_kpis(envelopes: DataFrame, intervals: DataFrame, sensors: list[str], pair=("Biceps", "Triceps"), keys=("subject", "trial"), least_sensor: int = 200, least_any: int = 200, duty: float = 0.05) -> DataFrame:
+    """Indicators of each trial out of the normalised envelopes (keys, sensor, t, env_norm) within [t_on, t_off], one row an interval.
+
+    Peak, area and duty of each sensor with enough samples, their sum and largest, and the overlap of the pair with
+    the second interpolated to the first; sensors fix the columns.
+    """
+    from pulseframe.operators.features import coactivation_interpolated
+
+    spans = intervals.where(F.col("t_off") > F.col("t_on")).select(*keys, "t_on", "t_off")
+    d = envelopes.join(spans, list(keys)).where("t BETWEEN t_on AND t_off").select(*keys, "sensor", "t", F.greatest("env_norm", F.lit(0.0)).alias("e"), "env_norm")
+    d = d.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("__n") >= least_any)
+    d = d.withColumn("e", F.when(F.col("env_norm").isNotNull(), F.col("e")))
+    d = d.withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy(*keys, "sensor"))).where((F.col("__m") >= least_sensor) & F.col("e").isNotNull() & F.col("t").isNotNull())
+    by = [*keys, "sensor"]
+    w = Window.partitionBy(*by).orderBy("t")
+    steps = d.withColumn("__dt", F.lead("t").over(w) - F.col("t")).withColumn("__next", F.lead("e").over(w))
+    each = steps.groupBy(*by).agg(
+        F.max("e").alias("peak"), F.sum((F.col("e") + F.col("__next")) / 2 * F.col("__dt")).alias("iemg"),
+        F.when(F.sum("__dt") > 0, F.sum(F.when(F.col("e") > duty, F.col("__dt")).otherwise(0.0)) / F.sum("__dt")).alias("duty"),
+    )
+    names = {"peak": "kpi_peak_envn", "iemg": "kpi_iemg_envn", "duty": "kpi_duty"}
+    one = lambda c, s: F.max(F.when(F.col("sensor") == s, F.col(c))).alias(f"{names[c]}_{s}")
+    wide = each.groupBy(*keys).agg(*[one(c, s) for s in sensors for c in names], F.sum("iemg").alias("kpi_iemg_envn_global_sum"), F.max("peak").alias("kpi_peak_envn_global_max"))
+    both = coactivation_interpolated(d.where(F.col("sensor").isin(*pair)), "e", *pair, keys)
+    both = both.select(*keys, F.col("coact").alias("kpi_coact_overlap_bic_tric"), F.col("cci").alias("kpi_cci_bic_tric"))
+    valid = envelopes.join(spans, list(keys)).where("t BETWEEN t_on AND t_off").groupBy(*keys).agg((F.count(F.lit(1)) >= least_any).alias("kpi_emg_valid"))
+    out = intervals.select(*keys).join(valid, list(keys), "left").join(wide, list(keys), "left").join(both, list(keys), "left")
+    paired = [F.col(f"kpi_iemg_envn_{s}").isNotNull() if s in sensors else F.lit(False) for s in pair]
+    return out.withColumns({"kpi_emg_valid": F.coalesce("kpi_emg_valid", F.lit(False)), "kpi_has_emg_any": F.col("kpi_iemg_envn_global_sum").isNotNull(), "kpi_has_bictri_pair": paired[0] & paired[1]})
+
+
+def subject_kpis(trials: DataFrame, tasks: list[str], effort: str = "kpi_abs_rms_distal__median", motion: str = "kpi_peak_gyro_mag__median") -> DataFrame:
+    """Median, mean and sd of every indicator, medians by task, counts and rates of usable trials, most frequent facts, and the mismatch index."""
+    numbers = [f.name for f in trials.schema if f.dataType.simpleString() in ("double", "bigint", "int") and f.name not in ("t_on", "t_off", "subject", "trial")]
+    out = multi_stats(trials, numbers)
+    if "task_type" in trials.columns:
+        out = out.join(task_medians(trials, numbers, tasks, task="task_type"), "subject", "left")
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    n = F.count(F.lit(1))
+    valid, emg, pair = yes(F.col("t_off") > F.col("t_on")), yes(F.col("kpi_emg_valid")), yes(F.col("kpi_has_bictri_pair"))
+    facts = [most_frequent(c).alias(c) for c in ("group", "exo", "session") if c in trials.columns]
+    rates = trials.groupBy("subject").agg(
+        n.alias("n_trials"), valid.alias("n_trials_valid_interval"), emg.alias("n_trials_emg_valid"), pair.alias("n_trials_has_bictri_pair"),
+        (valid / n).alias("rate_valid_interval"), (emg / n).alias("rate_emg_valid"), (pair / n).alias("rate_has_bictri_pair"), *facts,
+    )
+    out = out.join(rates, "subject", "left")
+    if {effort, motion} <= set(out.columns):
+        out = mismatch_index(out, effort, motion).withColumnsRenamed({"z_effort": "kpi_NMD_z_effort", "z_motion": "kpi_NMD_z_motion", "nmd": "kpi_NMD"})
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseframe.operators.kpis import quantiles
+
 
 def stratified_sample(df: DataFrame, keys, frac: float = 0.02, least: int = 5000, most: int = 200_000, seed: int = 0, order: str = "t", mode: str = "random_per_sensor") -> DataFrame:
     """clip(round(frac * N), least, most) rows of each group, N at most, by hash of the order key; 'none' keeps all, 'global_frac' a share."""
@@ -54,8 +56,11 @@ def upsert(old: DataFrame, new: DataFrame, keys, mode: str = "replace") -> DataF
 
 
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    w = Window.partitionBy()
-    return df.withColumns({c: F.coalesce(F.col(c), F.median(c).over(w)) for c in columns})
+    """Medians of the columns in place of missing values."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    m = quantiles(long, "v", {"m": 0.5}, ("c",)).agg(*[F.max(F.when(F.col("c") == c, F.col("m"))).alias(f"__m_{c}") for c in columns])
+    out = df.crossJoin(F.broadcast(m))  # one row
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in columns}).select(*df.columns)
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.functions.dims import status
+from pulseframe.functions.dims import ape_status, median_ape, near_share, ok_fail, ok_warn_fail, status
 
 
 def rate_or_fallback(channels: DataFrame, report: DataFrame, keys, fallback: float, fs: str = "fs") -> DataFrame:
@@ -31,6 +31,29 @@ def window_report(windows: DataFrame, keys=("subject",), ok: float = 0.98, warn:
     return a.withColumn("overall", F.when(F.array_contains(states, "FAIL"), "FAIL").when(F.array_contains(states, "WARN"), "WARN").otherwise("OK"))
 
 
+def window_table_report(windows: DataFrame, length: float = 0.2, step: float = 0.1, keys=("subject",), trial: str = "trial", emg_hz=(1100.0, 1400.0), imu_hz=(120.0, 180.0)) -> DataFrame:
+    """The ten checks of a window table with both modalities' columns (emg_*, imu_*), one row a subject; overall is FAIL if any of the first eight fails."""
+    inside = (F.col("t_start") >= F.col("t_on") - 1e-9) & (F.col("t_end") <= F.col("t_off") + 1e-9)
+    yes = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double"))
+    a = windows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count_distinct(trial).alias("n_trials"), near_share(F.col("t_end") - F.col("t_start"), length, 1e-6).alias("win_len_ratio"), F.avg(inside.cast("double")).alias("inside_ratio"),
+        F.median("fs_emg_est").alias("fs_emg_median"), F.median("fs_imu_est").alias("fs_imu_median"), yes("emg_ok").alias("emg_ok_ratio"), yes("imu_ok").alias("imu_ok_ratio"),
+        median_ape("emg_n", F.col("fs_emg_est") * length).alias("ape_emg_median"), median_ape("imu_n", F.col("fs_imu_est") * length).alias("ape_imu_median"),
+    )
+    e = windows.groupBy(*keys, trial, "episode_id").agg((F.first("t_off") - F.first("t_on")).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    expected = F.greatest(F.floor((F.col("__s") - length) / step), F.lit(0)) + 1
+    e = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_episodes"), F.median(F.abs(F.col("__n") - expected)).alias("episode_diff_median"))
+    d = F.col("episode_diff_median")
+    checks = {
+        "nonempty": ok_fail(F.col("n_windows") > 0), "win_len": ok_warn_fail(F.col("win_len_ratio"), 0.999, 0.98), "inside": ok_warn_fail(F.col("inside_ratio"), 0.999, 0.98),
+        "fs_emg": ok_fail(F.col("fs_emg_median").between(*emg_hz)), "fs_imu": ok_fail(F.col("fs_imu_median").between(*imu_hz)), "emg_ok": ok_warn_fail(F.col("emg_ok_ratio"), 0.98, 0.9), "imu_ok": ok_warn_fail(F.col("imu_ok_ratio"), 0.98, 0.9),
+        "episodes": status(d == 0, d <= 1), "emg_samples": ape_status(F.col("ape_emg_median")), "imu_samples": ape_status(F.col("ape_imu_median")),
+    }
+    out = a.join(e, list(keys)).withColumns({f"check_{k}": v for k, v in checks.items()})
+    decisive = F.array(*[F.col(f"check_{k}") for k in list(checks)[:8]])
+    return out.withColumn("overall", F.when(F.array_contains(decisive, "FAIL"), "FAIL").otherwise("OK"))
+
+
 def box_table(df: DataFrame, x: str, keys) -> DataFrame:
     """Quartiles and whiskers (the extremes inside the fences) of box plots."""
     w = Window.partitionBy(*keys)

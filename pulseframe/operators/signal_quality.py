@@ -68,18 +68,50 @@ def quality_report(df: DataFrame, x: str, least: int = 60, keys=CHANNEL, order=(
 
 
 def quality_by_signal(df: DataFrame, signals: dict[str, int], keys=CHANNEL, order=("t",)) -> DataFrame:
-    """quality_report of several value columns (name -> run length), long form with `signal`."""
-    out = None
-    for name, least in signals.items():
-        part = quality_report(df, name, least, keys, order).withColumn("signal", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """quality_report of several value columns (name -> run length) in one pass over the table: long form with `signal`."""
+    limits = F.create_map(*[F.lit(x) for kv in signals.items() for x in kv])
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("__v")) for c in signals]))
+    held = list(dict.fromkeys([*keys, "t", *order]))
+    long = df.select(*held, parts.alias("__p")).select(*held, "__p.*")
+    by = (*keys, "signal")
+    basic = long.groupBy(*by).agg(missing_share("__v").alias("nan_ratio"), F.var_pop(finite("__v")).alias("var"), dead_signal("__v").alias("lowvar_flag"))
+    share = F.avg((F.col("run_length") >= limits[F.col("signal")]).cast("double"))
+    runs = run_lengths(long, "__v", by, order).groupBy(*by).agg(share.alias("saturation_ratio"))
+    return basic.join(sampling(long, by, order=order), list(by)).join(runs, list(by), "left")
+
+
+def quality_wide(report: DataFrame, signals: list[str], keys=CHANNEL) -> DataFrame:
+    """One row a channel: <signal>_<figure> columns, with the informational flags of channels that have one modality alone."""
+    figures = ["fs", "gaps", "dt_min", "dt_max", "nan_ratio", "var", "lowvar_flag", "saturation_ratio", "duration_s", "n_samples"]
+    wide = report.groupBy(*keys).pivot("signal", signals).agg(*[F.first(c).alias(c) for c in figures])
+    filled = {f"{s}_n_samples": F.coalesce(f"{s}_n_samples", F.lit(0).cast("long")) for s in signals} | {f"{s}_lowvar_flag": F.coalesce(f"{s}_lowvar_flag", F.lit(False)) for s in signals}
+    return wide.withColumns(filled)
+
+
+def trial_status_wide(wide: DataFrame, emg: str, others: list[str], trial=("subject", "trial"), gap_limit: int = 0, saturation_limit: float = 0.01) -> DataFrame:
+    """FAIL if any channel has a gap, or has muscle samples that are dead or saturated, or (column mapping_ok) is mapped wrongly."""
+    over = lambda c, k: F.coalesce(F.col(c), F.lit(0)) > k
+    bad = F.coalesce(F.col(f"{emg}_n_samples"), F.lit(0)) > 0
+    bad = bad & (F.coalesce(F.col(f"{emg}_lowvar_flag"), F.lit(False)) | over(f"{emg}_saturation_ratio", saturation_limit))
+    for c in (emg, *others):
+        bad = bad | over(f"{c}_gaps", gap_limit)
+    if "mapping_ok" in wide.columns:
+        bad = bad | ~F.coalesce("mapping_ok", F.lit(True))
+    return wide.groupBy(*trial).agg(F.when(F.bool_or(bad), "FAIL").otherwise("OK").alias("status"), F.count_if(bad).alias("n_bad"))
+
+
+def of_subject(report: DataFrame, subject: str) -> DataFrame:
+    """A subject's rows; an error where there are none."""
+    rows = report.where(F.col("subject") == subject)
+    if rows.isEmpty():
+        raise LookupError(f"no quality rows of subject {subject}")
+    return rows
 
 
 def with_absent(report: DataFrame, channels: DataFrame, keys=CHANNEL) -> DataFrame:
-    """A row for each listed channel; absent ones count as dead, with no samples and no gaps."""
+    """A row for each listed channel; absent ones have no samples, no figures and no flag."""
     out = channels.select(*keys).distinct().join(report, list(keys), "left")
-    return out.withColumns({"lowvar_flag": F.coalesce("lowvar_flag", F.lit(True)), "n_samples": F.coalesce("n_samples", F.lit(0)), "gaps": F.coalesce("gaps", F.lit(0))})
+    return out.withColumns({"lowvar_flag": F.coalesce("lowvar_flag", F.lit(False)), "n_samples": F.coalesce("n_samples", F.lit(0).cast("long"))})
 
 
 def trial_status(report: DataFrame, trial=("subject", "trial"), gap_limit: int = 0, saturation_limit: float = 0.01) -> DataFrame:

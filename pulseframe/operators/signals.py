@@ -6,11 +6,14 @@ are dealt by their key and each is filtered on its own.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+@lru_cache(maxsize=256)
 def butterworth(order: int, cut, fs: float) -> tuple[np.ndarray, np.ndarray]:
     """(b, a) of a digital low-pass (one cut-off) or band-pass (two), by the bilinear transform of the analog prototype."""
     k = np.arange(order)
@@ -46,25 +49,38 @@ def _companion(b: np.ndarray, a: np.ndarray):
     return big, b[1:] - a[1:] * b[0], b[0]
 
 
-def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 128) -> np.ndarray:
-    """Recursive filter, a block of samples at a time: the response to the block's own samples is one matrix product, the state's another."""
-    big, into, b0 = _companion(b, a)
-    n = len(into)
-    powers = [np.eye(n)]
+@lru_cache(maxsize=64)
+def _blocks(b: tuple, a: tuple, block: int):
+    """What a filter needs for blocks of samples: outputs from the state, outputs from own samples, state from own samples, state over a block."""
+    big, into, b0 = _companion(np.array(b), np.array(a))
+    powers = [np.eye(len(into))]
     for _ in range(block):
         powers.append(big @ powers[-1])
-    see = np.array([p[0] for p in powers[:block]])  # what the state at the start adds to each output
+    see = np.array([p[0] for p in powers[:block]])
     impulse = np.r_[b0, [p[0] @ into for p in powers[: block - 1]]]
     lag = np.arange(block)[:, None] - np.arange(block)[None, :]
     own = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
     carry = np.stack([powers[block - 1 - i] @ into for i in range(block)], 1)
-    pad = -len(x) % block
-    rows = np.pad(x, (0, pad)).reshape(-1, block)
-    y, push, z = rows @ own.T, rows @ carry.T, state.astype(float)
+    return see, own, carry, powers[block]
+
+
+def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 128) -> np.ndarray:
+    """Recursive filter, a block of samples at a time: the response to the block's own samples is one matrix product, the state's another."""
+    see, own, carry, over = _blocks(tuple(b), tuple(a), block)
+    rows = np.pad(x, (0, -len(x) % block)).reshape(-1, block)
+    y, push = rows @ own.T, rows @ carry.T
+    states, z = np.empty((len(rows), len(over))), state.astype(float)
     for i in range(len(rows)):
-        y[i] += see @ z
-        z = powers[block] @ z + push[i]
-    return y.ravel()[: len(x)]
+        states[i] = z
+        z = over @ z + push[i]
+    return (y + states @ see.T).ravel()[: len(x)]
+
+
+@lru_cache(maxsize=64)
+def _steady(b: tuple, a: tuple) -> np.ndarray:
+    """State at rest under a constant input of one."""
+    big, into, _ = _companion(np.array(b), np.array(a))
+    return np.linalg.solve(np.eye(len(into)) - big, into)
 
 
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -73,8 +89,7 @@ def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     if len(x) <= edge:
         return np.full(len(x), np.nan)
     ext = np.r_[2 * x[0] - x[edge:0:-1], x, 2 * x[-1] - x[-2 : -edge - 2 : -1]]
-    big, into, _ = _companion(b, a)
-    steady = np.linalg.solve(np.eye(len(into)) - big, into)
+    steady = _steady(tuple(b), tuple(a))
     y = lfilter(b, a, ext, steady * ext[0])[::-1]
     return lfilter(b, a, y, steady * y[0])[::-1][edge:-edge]
 
@@ -150,46 +165,54 @@ def _rate(t: np.ndarray, given: float | None) -> float:
     return given or (1 / d.mean() if len(d) else np.nan)
 
 
-def emg_channels(df: DataFrame, x: str, keys=("subject", "trial", "sensor"), order=("t",), fs: float | None = None) -> DataFrame:
-    """Adds bp, env and notched to the samples of each channel."""
+def _mean_rate(t: np.ndarray, fallback: float = 148.0) -> float:
+    """Rate of all steps as they stand, also those back in time between sensors' blocks."""
+    d = np.diff(t)
+    return float(1 / d.mean()) if len(d) and d.mean() != 0 else fallback
+
+
+def emg_channels(df: DataFrame, x: str, keys=("subject", "trial", "sensor"), order=("t",), fs: float | None = None, fs_column: str | None = None) -> DataFrame:
+    """Adds bp, env and notched to the samples of each channel; the rate is that of a column, if named, or given, or the mean of the steps."""
 
     def make(p):
-        bp, env, mains = emg_envelope(p[x].to_numpy(float), _rate(p["t"].to_numpy(float), fs))
+        rate = float(p[fs_column].iloc[0]) if fs_column else _rate(p["t"].to_numpy(float), fs)
+        bp, env, mains = emg_envelope(p[x].to_numpy(float), rate)
         return p.assign(bp=bp, env=env, notched=mains)
 
     return _by_channel(df, keys, order, make, [("bp", T.DoubleType()), ("env", T.DoubleType()), ("notched", T.BooleanType())])
 
 
-def imu_channels(df: DataFrame, gyro: str, acc: str, keys=("subject", "trial", "sensor"), order=("t",), fs: float | None = None, gate_hz: float = 10.0, gravity_hz: float = 0.5) -> DataFrame:
-    """Adds gyro_gate, acc_dyn (magnitude less its slow part) and acc_gate."""
+def imu_channels(df: DataFrame, gyro: str, acc: str, keys=("subject", "trial", "sensor"), order=("t",), fs: float | None = None, gate_hz: float = 10.0, gravity_hz: float = 0.5, fs_column: str | None = None) -> DataFrame:
+    """Adds gyro_gate, acc_dyn (magnitude less its slow part; missing where the magnitude is) and acc_gate."""
 
     def make(p):
-        rate = _rate(p["t"].to_numpy(float), fs)
-        a = np.where(np.isfinite(p[acc]), p[acc], 0.0)
+        rate = float(p[fs_column].iloc[0]) if fs_column else _rate(p["t"].to_numpy(float), fs)
+        a = p[acc].to_numpy(float)
         dyn = a - low_pass(a, rate, gravity_hz, 2)
         return p.assign(gyro_gate=low_pass(p[gyro].to_numpy(float), rate, gate_hz), acc_dyn=dyn, acc_gate=low_pass(np.abs(dyn), rate, gate_hz))
 
     return _by_channel(df, keys, order, make, [(n, T.DoubleType()) for n in ("gyro_gate", "acc_dyn", "acc_gate")])
 
 
-def tremor_gate(df: DataFrame, x: str, keys=("subject", "trial"), order=("row",), cut: float = 7.0) -> DataFrame:
+def tremor_gate(df: DataFrame, x: str, keys=("subject", "trial"), order=("row",), cut: float = 7.0, cut_column: str | None = None, fallback: float = 148.0) -> DataFrame:
     """Gate of a trial from all sensors' samples in the order of the given row number, low-passed as they stand."""
 
     def make(p):
-        return p.assign(gate=low_pass(p[x].to_numpy(float), _rate(p["t"].to_numpy(float), None), cut, 2))
+        hz = float(p[cut_column].iloc[0]) if cut_column else cut
+        return p.assign(gate=low_pass(p[x].to_numpy(float), _mean_rate(p["t"].to_numpy(float), fallback), hz, 2))
 
     return _by_channel(df, keys, order, make, [("gate", T.DoubleType())])
 
 
-def spectral_features(df: DataFrame, x: str, keys, fs: float, order=("t",)) -> DataFrame:
-    """MNF and MDF of each window."""
+def spectral_features(df: DataFrame, x: str, keys, fs: float, order=("t",), batch=None) -> DataFrame:
+    """MNF and MDF of each window; windows that share the `batch` keys (all keys, if not given) go to Python together."""
     import pandas as pd
 
     names = list(keys)
     schema = T.StructType([df.schema[k] for k in names] + [T.StructField(n, T.DoubleType()) for n in ("MNF", "MDF")])
 
     def run(pdf):
-        v = pdf.sort_values(list(order), kind="stable")[x].to_numpy(float)
-        return pd.DataFrame([[*pdf[names].iloc[0], mean_frequency(v, fs), median_frequency(v, fs)]], columns=[*names, "MNF", "MDF"])
+        rows = [[*(k if isinstance(k, tuple) else (k,)), mean_frequency(v, fs), median_frequency(v, fs)] for k, v in ((k, g[x].to_numpy(float)) for k, g in pdf.sort_values(list(order), kind="stable").groupby(names, sort=False))]
+        return pd.DataFrame(rows, columns=[*names, "MNF", "MDF"])
 
-    return df.groupBy(*names).applyInPandas(run, schema)
+    return df.groupBy(*(batch or names)).applyInPandas(run, schema)

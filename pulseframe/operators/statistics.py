@@ -7,20 +7,31 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseframe.operators.kpis import average_rank
+from pulseframe.operators.kpis import average_rank, quantiles, value_ranks
 
 
 def describe(df: DataFrame, x: str, group: str, total: str = "All") -> DataFrame:
-    """n, mean, sd, quartiles, IQR, extremes, skewness, excess kurtosis, Tukey outliers; each group and all together."""
-    both = df.select(F.explode(F.array(F.col(group), F.lit(total))).alias(group), F.col(x).alias("x")).where("x IS NOT NULL")
-    q = Window.partitionBy(group)
-    both = both.withColumn("q1", F.percentile("x", 0.25).over(q)).withColumn("q3", F.percentile("x", 0.75).over(q))
-    fence = 1.5 * (F.col("q3") - F.col("q1"))
-    return both.groupBy(group).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.median("x").alias("median"), F.first("q1").alias("q1"), F.first("q3").alias("q3"),
-        (F.first("q3") - F.first("q1")).alias("iqr"), F.min("x").alias("least"), F.max("x").alias("largest"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"),
-        F.count_if((F.col("x") < F.col("q1") - fence) | (F.col("x") > F.col("q3") + fence)).alias("n_outliers"),
+    """n, mean, sd, quartiles, IQR, extremes, skewness, excess kurtosis, Tukey outliers; each group and all together (grouping sets).
+
+    Outliers are counted against the quartiles, which come back as one row a group.
+    """
+    d = df.select(F.col(group).alias("__g"), F.col(x).cast("double").alias("x")).where("x IS NOT NULL")
+    a = d.groupingSets([["__g"], []], "__g").agg(
+        F.grouping("__g").alias("__all"), F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
+        F.min("x").alias("least"), F.max("x").alias("largest"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"),
     )
+    qs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    q = quantiles(d, "x", qs, ("__g",)).withColumn("__f", F.lit(0)).unionByName(quantiles(d, "x", qs).withColumn("__f", F.lit(1)), allowMissingColumns=True).withColumnRenamed("__g", "__h")
+    a = a.join(q, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__all") == F.col("__f"))).drop("__h", "__f").withColumn("iqr", F.col("q3") - F.col("q1"))
+    counts = d.groupBy("__g", "x").agg(F.count(F.lit(1)).alias("__c"))
+    low, high = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
+    fences = a.select(F.col("__g").alias("__h"), F.col("__all").alias("__f"), low.alias("__lo"), high.alias("__hi"))
+    own = counts.join(fences.where("__f = 0"), F.col("__g").eqNullSafe(F.col("__h")))
+    whole = counts.crossJoin(F.broadcast(fences.where("__f = 1")))  # one row
+    out = own.unionByName(whole).groupBy("__h", "__f").agg(F.sum(F.when((F.col("x") < F.col("__lo")) | (F.col("x") > F.col("__hi")), F.col("__c")).otherwise(0)).alias("n_outliers"))
+    j = a.join(out, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__all") == F.col("__f")))
+    name = F.when(F.col("__all") == 1, F.lit(total)).otherwise(F.col("__g")).alias(group)
+    return j.select(name, "n", "mean", "sd", "median", "q1", "q3", "iqr", "least", "largest", "skew", "kurt", "n_outliers")
 
 
 def tukey_outliers(df: DataFrame, key: str, x: str, group: str) -> DataFrame:
@@ -44,9 +55,11 @@ def normal_sf(z: Column) -> Column:
 def mann_whitney(df: DataFrame, x: str, group: str, first: str, second: str, keys=()) -> DataFrame:
     """n1, n2, U of the first group, rank-biserial 1 - 2U/(n1 n2), tie-corrected Z with continuity, normal p, and |Z|/sqrt(N) without corrections."""
     d = df.where(F.col(group).isin(first, second) & F.col(x).isNotNull()).select(*keys, F.col(group).alias("__g"), F.col(x).alias("__x"))
-    d = d.withColumn("__r", average_rank("__x", keys)).withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "__x")).cast("double"))
-    one = F.col("__g") == first
-    a = d.groupBy(*keys).agg(F.count_if(one).alias("n1"), F.count_if(~one).alias("n2"), F.sum(F.when(one, F.col("__r"))).alias("r1"), F.sum(F.col("__t") * F.col("__t") - 1).alias("ties"))
+    # Counts by value come first, so that copies of a value are one row.
+    ranks = value_ranks(d, "__x", keys)
+    own = d.groupBy(*keys, "__x").agg(F.count_if(F.col("__g") == first).alias("__one"))
+    v, t = own.join(ranks, [*keys, "__x"]), F.col("n").cast("double")
+    a = v.groupBy(*keys).agg(F.sum("__one").alias("n1"), F.sum(F.col("n") - F.col("__one")).alias("n2"), F.sum(F.col("rank") * F.col("__one")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
@@ -60,9 +73,10 @@ def mann_whitney(df: DataFrame, x: str, group: str, first: str, second: str, key
 def wilcoxon(df: DataFrame, before: str, after: str, keys=()) -> DataFrame:
     """Signed-rank W = min(W+, W-) of non-zero differences, its effect 1 - 4W/(n(n+1)), medians; nothing where all differences are 0."""
     d = df.select(*keys, (F.col(after) - F.col(before)).alias("d"), F.col(before).alias("b"), F.col(after).alias("a")).where("d IS NOT NULL")
-    d = d.withColumn("__abs", F.abs("d"))
-    ranked = d.where("d <> 0").withColumn("__r", average_rank("__abs", keys))
-    w = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("d") > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"), F.count(F.lit(1)).alias("n_nonzero"))
+    ranked = d.where("d <> 0").withColumn("__abs", F.abs("d"))
+    signs = ranked.groupBy(*keys, "__abs").agg(F.count_if(F.col("d") > 0).alias("__up"), F.count_if(F.col("d") < 0).alias("__down"))
+    v = signs.join(value_ranks(ranked, "__abs", keys), [*keys, "__abs"])
+    w = v.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("__up")).alias("w_plus"), F.sum(F.col("rank") * F.col("__down")).alias("w_minus"), F.sum("n").alias("n_nonzero"))
     m = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median("b").alias("median_before"), F.median("a").alias("median_after"))
     out = m.join(w, list(keys)) if keys else m.crossJoin(w)  # one row each
     n = F.col("n_nonzero")
@@ -133,10 +147,11 @@ def detector_metrics(df: DataFrame, predicted: Column, truth: Column, keys=()) -
 
 def auc(df: DataFrame, score: str, truth: Column, keys=()) -> DataFrame:
     """Area under the ROC curve from average ranks."""
-    d = df.withColumn("__y", truth.cast("int")).withColumn("__r", average_rank(score, keys))
+    d = df.withColumn("__y", truth.cast("int"))
+    v = d.groupBy(*keys, score).agg(F.sum("__y").alias("__y"), F.count(F.lit(1)).alias("__n")).join(value_ranks(d, score, keys), [*keys, score])
     n1 = F.sum("__y").cast("double")
-    n0 = F.count(F.lit(1)) - n1
-    return d.groupBy(*keys).agg(F.try_divide(F.sum(F.col("__r") * F.col("__y")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
+    n0 = F.sum("__n") - n1
+    return v.groupBy(*keys).agg(F.try_divide(F.sum(F.col("rank") * F.col("__y")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
 
 
 def paired_conditions(df: DataFrame, keys, condition: str, x: str, first: str, second: str) -> DataFrame:
@@ -145,17 +160,49 @@ def paired_conditions(df: DataFrame, keys, condition: str, x: str, first: str, s
     return df.groupBy(*keys).agg(m(first).alias("a"), m(second).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
 
 
-def gap_closure(df: DataFrame, x: str, group: str, condition: str, patients: str, healthy: str, base: str, aided: str, keys=()) -> DataFrame:
-    """Medians of healthy and patients without and with aid, the share of the gap that aid closes, and whether the result is in the healthy 5-95 % band."""
-    of = lambda g, c: F.when((F.col(group) == g) & (F.col(condition) == c), F.col(x))
-    a = df.groupBy(*keys).agg(F.median(of(healthy, base)).alias("healthy"), F.median(of(patients, base)).alias("before"), F.median(of(patients, aided)).alias("after"), F.percentile(of(healthy, base), 0.05).alias("lo"), F.percentile(of(healthy, base), 0.95).alias("hi"))
-    return a.withColumn("pct_closed", F.try_divide(F.col("before") - F.col("after"), F.col("before") - F.col("healthy")) * 100).withColumn("in_band", F.col("after").between(F.col("lo"), F.col("hi")))
+def gap_closure(df: DataFrame, x: str, group: str, condition: str, patients: str, healthy: str, base: str, aided: str, keys=(), least: int = 3) -> DataFrame:
+    """Medians of the healthy and of patients without and with aid, the share of the gap that aid closes, and the healthy interquartile band.
+
+    Negative shares are gaps that grew.  Without `least` values on each of the three sides there is no row.  The tests
+    of both gaps are mann_whitney() on the two rows of gap_samples().
+    """
+    at = lambda g, c: (F.col(group) == g) & (F.col(condition) == c)
+    side = F.when(at(healthy, base), "healthy").when(at(patients, base), "before").when(at(patients, aided), "after")
+    d = df.select(*keys, side.alias("__s"), F.col(x).cast("double").alias("__x")).where("__s IS NOT NULL AND __x IS NOT NULL")
+    by = [*keys, "__s"]
+    q = quantiles(d, "__x", {"q1": 0.25, "m": 0.5, "q3": 0.75}, by).join(d.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    of = lambda s, c: F.max(F.when(F.col("__s") == s, F.col(c)))
+    a = q.groupBy(*keys).agg(*[of(s, "m").alias(s) for s in ("healthy", "before", "after")], of("healthy", "q1").alias("q1"), of("healthy", "q3").alias("q3"), *[of(s, "n").alias(f"n_{s}") for s in ("healthy", "before", "after")])
+    full = (F.col("n_healthy") >= least) & (F.col("n_before") >= least) & (F.col("n_after") >= least)
+    a = a.where(full).withColumn("gap_before", F.col("before") - F.col("healthy")).withColumn("gap_after", F.col("after") - F.col("healthy"))
+    inside = lambda c: F.col(c).between(F.col("q1"), F.col("q3"))
+    a = a.withColumn("pct_closed", F.try_divide(F.abs("gap_before") - F.abs("gap_after"), F.abs("gap_before")) * 100)
+    return a.withColumn("in_band_before", inside("before")).withColumn("in_band_after", inside("after")).withColumn("entered_band", inside("after") & ~inside("before"))
+
+
+def gap_samples(df: DataFrame, x: str, group: str, condition: str, patients: str, healthy: str, base: str, aided: str, keys=()) -> DataFrame:
+    """keys, gap ('baseline' or 'residual'), side ('patients' or 'healthy'), x: the samples behind both gaps' tests."""
+    is_healthy = (F.col(group) == healthy) & (F.col(condition) == base)
+    gaps = F.when(is_healthy, F.array(F.lit("baseline"), F.lit("residual"))).when((F.col(group) == patients) & (F.col(condition) == base), F.array(F.lit("baseline"))).when((F.col(group) == patients) & (F.col(condition) == aided), F.array(F.lit("residual")))
+    return df.select(*keys, F.explode(gaps).alias("gap"), F.when(is_healthy, "healthy").otherwise("patients").alias("side"), x)
+
+
+def log_ratio_shift(df: DataFrame, key: str, group: str, task: str, a: str, b: str, patients: str, healthy: str, least: int = 3, overall: str = "Overall") -> DataFrame:
+    """Median log-ratio of two measures by subject, compared between groups over all tasks and in each: medians, shift, U and effect of every scope."""
+    d = scoped(df, task, overall).groupBy("scope", key, group).agg(F.median(a).alias("__a"), F.median(b).alias("__b")).where("__a > 0 AND __b > 0")
+    d = d.withColumn("lr", F.ln(F.col("__a") / F.col("__b")))
+    m = lambda g: F.median(F.when(F.col(group) == g, F.col("lr")))
+    mid = d.groupBy("scope").agg(m(patients).alias("patients_log"), m(healthy).alias("healthy_log"))
+    u = mann_whitney(d, "lr", group, patients, healthy, ("scope",)).where(F.least("n1", "n2") >= least)
+    return u.join(mid, "scope").withColumn("shift", F.col("patients_log") - F.col("healthy_log")).withColumn("patients_ratio", F.exp("patients_log")).withColumn("healthy_ratio", F.exp("healthy_log"))
 
 
 def selectivity(df: DataFrame, a: str, b: str, group: str, patients: str, healthy: str, low: float = 0.8, high: float = 1.25) -> DataFrame:
     """Fold changes of two measures, their ratio and its class."""
-    fold = lambda c: F.try_divide(F.median(F.when(F.col(group) == patients, F.col(c))), F.median(F.when(F.col(group) == healthy, F.col(c))))
-    s = df.agg(fold(a).alias("fold_a"), fold(b).alias("fold_b")).withColumn("index", F.try_divide("fold_a", "fold_b"))
+    long = df.where(F.col(group).isin(patients, healthy)).select(F.col(group).alias("__g"), F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.col(c).cast("double").alias("v")) for n, c in (("a", a), ("b", b))])).alias("x")).select("__g", "x.*")
+    m = quantiles(long, "v", {"mid": 0.5}, ("__g", "m"))
+    of = lambda g, n: F.max(F.when((F.col("__g") == g) & (F.col("m") == n), F.col("mid")))
+    s = m.agg(*[F.try_divide(of(patients, n), of(healthy, n)).alias(f"fold_{n}") for n in "ab"]).withColumn("index", F.try_divide("fold_a", "fold_b"))
     return s.withColumn("verdict", F.when(F.col("index") > high, "a selective").when(F.col("index") < low, "b selective").otherwise("uniform"))
 
 
@@ -171,6 +218,12 @@ def scoped(df: DataFrame, task: str, overall: str = "Overall") -> DataFrame:
     return df.withColumn("scope", F.explode(F.array(F.lit(overall), F.col(task))))
 
 
+def scoped_median(df: DataFrame, task: str, x: str, overall: str = "Overall") -> DataFrame:
+    """scope, n and median of all rows and of each task."""
+    d = scoped(df.where(F.col(x).isNotNull()), task, overall).select("scope", x)
+    return d.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).join(quantiles(d, x, {"median": 0.5}, ("scope",)), "scope")
+
+
 def best_by_effect(df: DataFrame, keys, label: str, r: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(label, F.abs(r)).alias("best"), F.max(F.abs(r)).alias("best_r"))
 
@@ -197,13 +250,18 @@ def grid_posterior(spark: SparkSession, stats: DataFrame, mu=(-3.0, 3.0, 601), s
     return a.withColumn("sd", F.sqrt(F.col("__m2") - F.col("mean") * F.col("mean"))).withColumn("pct", 100 * (F.exp("mean") - 1)).drop("__m2")
 
 
-def permutation_association(df: DataFrame, key: str, a: str, b: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+def uniform(*parts: Column) -> Column:
+    """A fixed pseudo-random integer below 2**60 of some values: the first 15 hex digits of the MD5 of their text."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+def permutation_association(df: DataFrame, key: str, a: str, b: str, rounds: int = 10_000, seed: int = 42) -> DataFrame:
     """Share of label shuffles whose chi-square reaches the observed one; every round is a partition of its own."""
     base = df.select(key, F.col(a).alias("a"), F.col(b).alias("b"))
     spark = df.sparkSession
     p = base.crossJoin(spark.range(rounds).withColumnRenamed("id", "round"))  # a stated number of copies of a small table
     w = Window.partitionBy("round")
-    p = p.withColumn("i", F.row_number().over(w.orderBy(key))).withColumn("j", F.row_number().over(w.orderBy(F.xxhash64(key, "round", F.lit(seed)))))
+    p = p.withColumn("i", F.row_number().over(w.orderBy(key))).withColumn("j", F.row_number().over(w.orderBy(uniform(F.col(key), F.col("round"), F.lit(seed)), key)))
     shuffled = p.select("round", F.col("i"), "a").join(p.select("round", F.col("j").alias("i"), "b"), ["round", "i"])
     real = base.select(F.lit(-1).cast("long").alias("round"), F.lit(0).alias("i"), "a", "b")
     cells = shuffled.unionByName(real).groupBy("round", "a", "b").agg(F.count(F.lit(1)).alias("o"))
@@ -215,11 +273,11 @@ def permutation_association(df: DataFrame, key: str, a: str, b: str, rounds: int
 
 
 def bootstrap_median(df: DataFrame, x: str, rounds: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the median over resamples drawn by hash."""
+    """Percentile interval of the median over resamples drawn by hash, of a small sample."""
     v = df.where(F.col(x).isNotNull()).withColumn("i", F.row_number().over(Window.orderBy(x)) - 1).select("i", F.col(x).alias("v"))
     n = v.agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
     draws = spark.range(rounds).withColumnRenamed("id", "round").crossJoin(v.select(F.col("i").alias("k"))).crossJoin(F.broadcast(n))  # rounds x a small sample
-    draws = draws.withColumn("i", F.pmod(F.xxhash64("round", "k", F.lit(seed)), F.col("n")).cast("int"))
+    draws = draws.withColumn("i", F.pmod(uniform(F.col("round"), F.col("k"), F.lit(seed)), F.col("n")).cast("int"))
     m = draws.join(F.broadcast(v), "i").groupBy("round").agg(F.median("v").alias("m"))
     return m.agg(F.percentile("m", (1 - level) / 2).alias("lo"), F.percentile("m", (1 + level) / 2).alias("hi"))

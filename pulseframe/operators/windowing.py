@@ -10,12 +10,12 @@ EPISODE = ("subject", "trial", "episode_id")
 
 def make_windows(episodes: DataFrame, length: float = 0.2, step: float = 0.1, context: float = 0.0) -> DataFrame:
     """window_id (1..n), t_start, t_end: a grid anchored at t_on; none where an episode is shorter than a window."""
-    e = episodes.withColumn("t_on", F.col("t_on") - context).withColumn("t_off", F.col("t_off") + context) if context else episodes
-    n = F.ceil((F.col("t_off") - length + 1e-12 - F.col("t_on")) / step)
-    w = e.where(F.col("t_off") - F.col("t_on") >= length).where(n >= 1)
+    e = episodes.withColumn("__on", F.col("t_on") - context).withColumn("__off", F.col("t_off") + context)
+    n = F.ceil((F.col("__off") - length + 1e-12 - F.col("__on")) / step)
+    w = e.where(F.col("__off") - F.col("__on") >= length).where(n >= 1)
     w = w.select("*", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("__i"))
-    start = F.col("t_on") + F.col("__i") * step
-    return w.withColumn("window_id", F.col("__i") + 1).withColumn("t_start", start).withColumn("t_end", start + length).drop("__i")
+    start = F.col("__on") + F.col("__i") * step
+    return w.withColumn("window_id", F.col("__i") + 1).withColumn("t_start", start).withColumn("t_end", start + length).drop("__i", "__on", "__off")
 
 
 def samples_in_windows(samples: DataFrame, windows: DataFrame, length: float = 0.2, step: float = 0.1, trial=("subject", "trial")) -> DataFrame:

@@ -55,7 +55,7 @@ def _gate(t) -> DataFrame:
 
 
 def _thresholds(t, on: float = 0.5, off: float = 0.1) -> DataFrame:
-    return episodes.mad_thresholds(_gate(t), on, off, TR)
+    return episodes.mad_thresholds(_gate(t), on, off, keys=TR)
 
 
 def _episodes(t) -> DataFrame:
@@ -63,10 +63,14 @@ def _episodes(t) -> DataFrame:
     return episodes.with_peak(episodes.merge_close(episodes.hysteresis(g, TR), 20_000.0, TR), g, TR)
 
 
-def _hyst(on: float, off: float) -> str:
-    """Episodes by the recurrence itself."""
-    return f"""WITH RECURSIVE {_TH},
-h AS (SELECT user_id, t, gate, med + {on} * mad AS hi, med + {off} * mad AS lo, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM th),
+def _hyst(on: float | str, off: float | str, with_: str = "") -> str:
+    """Episodes by the recurrence itself, over factors of mad or, with names, over columns of a table th2."""
+    if isinstance(on, str):
+        levels, source = f"{on} AS hi, {off} AS lo", "th2"
+    else:
+        levels, source = f"med + {on} * mad AS hi, med + {off} * mad AS lo", "th"
+    return f"""WITH RECURSIVE {_TH}{with_},
+h AS (SELECT user_id, t, gate, {levels}, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM {source}),
 s AS (SELECT user_id, i, t, gate >= hi AS open FROM h WHERE i = 1
       UNION ALL SELECT h.user_id, h.i, h.t, CASE WHEN s.open THEN NOT h.gate <= h.lo ELSE h.gate >= h.hi END FROM s JOIN h ON h.user_id = s.user_id AND h.i = s.i + 1),
 o AS (SELECT *, coalesce(lag(open) OVER w, false) AS was, max(t) OVER (PARTITION BY user_id) AS tail FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)),
@@ -74,6 +78,16 @@ k AS (SELECT *, count(*) FILTER (open AND NOT was) OVER (PARTITION BY user_id OR
 ep AS (SELECT user_id, n, min(t) FILTER (open AND NOT was) AS t_on, coalesce(min(t) FILTER (NOT open AND was), any_value(tail)) AS t_off FROM k WHERE n > 0 GROUP BY user_id, n)"""
 
 
+def _padded(pad: float, gap: float, least: float, raw: float = 0.0) -> str:
+    """Episodes of ep, widened inside the trial, merged, long enough (mg), with their peaks (pk)."""
+    return f""", sp AS (SELECT user_id, min(t) AS a, max(t) AS b FROM g GROUP BY user_id HAVING count(*) >= 20),
+pc AS (SELECT ep.user_id, greatest(t_on - {pad}, a) AS t_on, least(t_off + {pad}, b) AS t_off FROM ep JOIN sp USING (user_id) WHERE t_off - t_on >= {raw}),
+w1 AS (SELECT *, max(t_off) OVER (PARTITION BY user_id ORDER BY t_on, t_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM pc),
+w2 AS (SELECT *, sum(CASE WHEN pe IS NULL OR t_on - pe > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t_on, t_off ROWS UNBOUNDED PRECEDING) AS kk FROM w1),
+mg AS (SELECT user_id, min(t_on) AS t_on, max(t_off) AS t_off FROM w2 GROUP BY user_id, kk HAVING max(t_off) - min(t_on) >= {least}),
+pk AS (SELECT mg.user_id, t_on, t_off, max(th.gate) AS peak, any_value(med) AS med, any_value(mad) AS mad FROM mg JOIN th ON th.user_id = mg.user_id AND th.t BETWEEN t_on AND t_off GROUP BY mg.user_id, t_on, t_off)"""
+
+
 _EP = f"""{_hyst(0.5, 0.1)},
 w1 AS (SELECT *, max(t_off) OVER (PARTITION BY user_id ORDER BY t_on, t_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM ep),
 w2 AS (SELECT *, sum(CASE WHEN pe IS NULL OR t_on - pe > 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t_on, t_off ROWS UNBOUNDED PRECEDING) AS kk FROM w1),
@@ -268,7 +282,7 @@ def top_n_longest(t):
 
 
 @query(_EP + """, a AS (SELECT *, count(*) OVER (PARTITION BY user_id) > 3 AS cut, row_number() OVER (PARTITION BY user_id ORDER BY peak_gate, t_on) AS weak FROM pk WHERE duration_s >= 20000),
-b AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY peak_gate DESC, t_on) AS by_peak, row_number() OVER (PARTITION BY user_id ORDER BY t_on) AS by_time FROM a WHERE NOT (cut AND weak = 1))
+b AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY peak_gate, t_on) AS by_peak, row_number() OVER (PARTITION BY user_id ORDER BY t_on) AS by_time FROM a WHERE NOT (cut AND weak = 1))
 SELECT user_id, round(t_on, 6) AS t_on, round(t_off, 6) AS t_off, round(peak_gate, 6) AS peak_gate, round(duration_s, 6) AS duration_s FROM b WHERE NOT (n >= 3 AND CASE WHEN cut THEN by_peak ELSE by_time END = 2 AND (duration_s < 60000 OR peak_gate < 70))""")
 def prune_rule(t):
     return episodes.prune(_episodes(t), 20_000.0, 3, 60_000.0, 70.0, TR)
@@ -300,21 +314,56 @@ def flat_gate_boost(t):
     return episodes.boost_flat_gate(_gate(t), 1.5, 1500.0, TR)
 
 
-@query(_hyst(1.0, 0.2) + """, sp AS (SELECT user_id, min(t) AS a, max(t) AS b FROM g GROUP BY user_id HAVING count(*) >= 20),
-pc AS (SELECT ep.user_id, greatest(t_on - 900, a) AS t_on, least(t_off + 900, b) AS t_off FROM ep JOIN sp USING (user_id)),
-w1 AS (SELECT *, max(t_off) OVER (PARTITION BY user_id ORDER BY t_on, t_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM pc),
-w2 AS (SELECT *, sum(CASE WHEN pe IS NULL OR t_on - pe > 14400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t_on, t_off ROWS UNBOUNDED PRECEDING) AS kk FROM w1),
-mg AS (SELECT user_id, min(t_on) AS t_on, max(t_off) AS t_off FROM w2 GROUP BY user_id, kk HAVING max(t_off) - min(t_on) >= 10000),
-pk AS (SELECT mg.user_id, t_on, t_off, max(th.gate) AS peak, any_value(med) AS med, any_value(mad) AS mad FROM mg JOIN th ON th.user_id = mg.user_id AND th.t BETWEEN t_on AND t_off GROUP BY mg.user_id, t_on, t_off)
-SELECT user_id, round(t_on, 6) AS t_on, round(t_off, 6) AS t_off, round(peak, 6) AS peak_gate, row_number() OVER (PARTITION BY user_id ORDER BY t_on) AS episode_id FROM pk WHERE peak >= med + 1.5 * mad""")
-def detector_mad(t):
-    e = episodes.detect_mad(_gate(t), 1.0, 0.2, (7200.0, 14400.0), 900.0, 0.0, 10_000.0, 1.5, keys=TR)
+_FOUND = "SELECT user_id, round(t_on, 6) AS t_on, round(t_off, 6) AS t_off, round(peak, 6) AS peak_gate, row_number() OVER (PARTITION BY user_id ORDER BY t_on) AS episode_id FROM pk"
+
+
+def _found(e: DataFrame) -> DataFrame:
     return e.select("user_id", "t_on", "t_off", "peak_gate", F.col("episode_id").cast("long").alias("episode_id"))
 
 
-@query()
+@query(_hyst(1.0, 0.2) + _padded(900, 14400, 10000) + _FOUND.join((" ", " WHERE peak >= med + 1.5 * mad")))
+def detector_mad(t):
+    return _found(episodes.detect_mad(_gate(t), 1.0, 0.2, (7200.0, 14400.0), 900.0, 0.0, 10_000.0, 1.5, "none", keys=TR))
+
+
+_RULE = """, ru AS (SELECT *, quantile_cont(gate, 0.95) OVER (PARTITION BY user_id) AS p95 FROM th),
+th2 AS (SELECT user_id, t, gate, med + CASE WHEN {high} THEN greatest({least}, {on} * {f}) ELSE {on} END * mad AS hi2, med + CASE WHEN {high} AND {als} THEN greatest(0.8, {off} * 0.6) ELSE {off} END * mad AS lo2 FROM ru)"""
+
+
+@query(_hyst("hi2", "lo2", _RULE.format(high="med + 2.4 * mad > p95", least="1.0", on="2.4", off="0.3", f="0.7", als="false")) + _padded(900, 14400, 10000) + _FOUND.join((" ", " WHERE peak >= med + 1.0 * mad")))
+def detector_mad_rule_standard(t):
+    return _found(episodes.detect_mad(_gate(t), 2.4, 0.3, 14_400.0, 900.0, 0.0, 10_000.0, 1.0, "standard", keys=TR))
+
+
+@query(_hyst("hi2", "lo2", _RULE.format(high="(med + 1.9 * mad > 0.85 * p95 OR p95 < 60)", least="1.5", on="1.9", off="1.5", f="0.55", als="true")) + _padded(900, 14400, 10000) + _FOUND.join((" ", " WHERE peak >= med + 1.0 * mad")))
+def detector_mad_rule_als(t):
+    return _found(episodes.detect_mad(_gate(t), 1.9, 1.5, 14_400.0, 900.0, 0.0, 10_000.0, 1.0, "standard_als", keys=TR))
+
+
+@query(_hyst("hi2", "lo2", _RULE.format(high="med + 2.6 * mad > 1.1 * p95", least="1.2", on="2.6", off="0.3", f="0.65", als="false")) + _padded(900, 14400, 10000) + _FOUND.join((" ", " WHERE peak >= med + 1.0 * mad")))
+def detector_mad_rule_weak(t):
+    return _found(episodes.detect_mad(_gate(t), 2.6, 0.3, 14_400.0, 900.0, 0.0, 10_000.0, 1.0, "weak", keys=TR))
+
+
+_QUIET = """, q0 AS (SELECT *, quantile_cont(gate, 0.15) OVER (PARTITION BY user_id) AS cut FROM th), q1 AS (SELECT *, count(*) FILTER (gate <= cut) OVER (PARTITION BY user_id) AS nq FROM q0),
+q2 AS (SELECT *, CASE WHEN nq < 10 OR gate <= cut THEN gate END AS q FROM q1), q3 AS (SELECT *, median(q) OVER (PARTITION BY user_id) AS qm FROM q2), q4 AS (SELECT *, median(abs(q - qm)) OVER (PARTITION BY user_id) + 1e-12 AS qd FROM q3),
+th2 AS (SELECT user_id, t, gate, least(qm + {on} * qd, med) AS hi2, (qm + {off} * qd) * 1.3 AS lo2 FROM q4)"""
+
+
+@query(_hyst("hi2", "lo2", _QUIET.format(on="1.0", off="1.2")) + _padded(900, 7200, 10000, 300) + _FOUND.join((" ", " WHERE peak >= 20")))
 def detector_tremor(t):
-    return episodes.detect_tremor(_gate(t), 1.0, 0.5, 7200.0, 900.0, 0.0, 10_000.0, 20.0, keys=TR).drop("episode_id")
+    return _found(episodes.detect_tremor(_gate(t), 1.0, 1.2, 7200.0, 900.0, 300.0, 10_000.0, 20.0, keys=TR))
+
+
+@query(f"""WITH {_G}, v AS (SELECT *, var_pop(gate) OVER (PARTITION BY user_id) AS va, quantile_cont(gate, 0.95) OVER (PARTITION BY user_id) AS p95 FROM g)
+SELECT user_id, round(t, 6) AS t, round(gate * CASE WHEN va >= 900 THEN 1 WHEN user_id % 2 = 0 THEN 5 WHEN p95 > 0 THEN p95 / 25 ELSE 4 END, 6) AS gate FROM v""")
+def emg_gate_boost(t):
+    return episodes.boost_emg_gate(_gate(t), F.when(F.col("user_id") % 2 == 0, "x5").otherwise("p95"), 900.0, TR)
+
+
+@query(f"""WITH {_E} SELECT user_id, round(avg(t), 6) AS t, round(median(greatest(x, 90 - x)), 6) AS gate FROM e GROUP BY user_id, CAST(round_even(t / 21600, 0) AS BIGINT)""")
+def emg_gate_bins(t):
+    return episodes.emg_gate(_events(t).withColumn("y", 90 - F.col("x")), ["x", "y"], TR, 21600.0)
 
 
 # --- windows and features ---
@@ -370,7 +419,14 @@ def ar2_coeffs(t):
     return features.ar_coefficients(_events(t), "x", TR, ("t", "event_id"), 2)
 
 
-@query()
+_LAGS = ", ".join(f"lag(c, {k}) OVER w AS l{k}" for k in range(1, 5))
+
+
+@query(f"""WITH {_E}, c AS (SELECT user_id, event_id, t, x - avg(x) OVER (PARTITION BY user_id) AS c FROM e), l AS (SELECT user_id, c, {_LAGS} FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+r AS (SELECT user_id, count(*) AS n, sum(c * c) AS r0, sum(c * l1) AS r1, sum(c * l2) AS r2, sum(c * l3) AS r3, sum(c * l4) AS r4 FROM l GROUP BY user_id),
+m1 AS (SELECT *, r1 / r0 AS k1, r0 * (1 - power(r1 / r0, 2)) AS e1 FROM r), m2 AS (SELECT *, (r2 - k1 * r1) / e1 AS k2 FROM m1), n2 AS (SELECT *, k1 - k2 * k1 AS b1, e1 * (1 - k2 * k2) AS e2 FROM m2),
+m3 AS (SELECT *, (r3 - b1 * r2 - k2 * r1) / e2 AS k3 FROM n2), n3 AS (SELECT *, b1 - k3 * k2 AS c1, k2 - k3 * b1 AS c2, e2 * (1 - k3 * k3) AS e3 FROM m3), m4 AS (SELECT *, (r4 - c1 * r3 - c2 * r2 - k3 * r1) / e3 AS k4 FROM n3)
+SELECT user_id, round(CASE WHEN n >= 14 THEN c1 - k4 * k3 END, 6) AS AR1, round(CASE WHEN n >= 14 THEN c2 - k4 * c2 END, 6) AS AR2, round(CASE WHEN n >= 14 THEN k3 - k4 * c1 END, 6) AS AR3, round(CASE WHEN n >= 14 THEN k4 END, 6) AS AR4 FROM m4""")
 def ar4_coeffs(t):
     return features.ar_coefficients(_events(t), "x", TR, ("t", "event_id"))
 
@@ -399,7 +455,14 @@ def interp_align(t):
     return features.interpolated(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "x", TR)
 
 
-@query()
+_OVER = """o AS (SELECT user_id, t, greatest(a, 0) AS a, greatest(b, 0) AS b FROM ab), d AS (SELECT user_id, t - lag(t) OVER w AS dt, least(a, b) AS lo, greatest(a, b) AS hi, lag(least(a, b)) OVER w AS plo, lag(greatest(a, b)) OVER w AS phi FROM o WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+r AS (SELECT user_id, sum((lo + plo) / 2 * dt) AS lo, sum((hi + phi) / 2 * dt) AS hi FROM d GROUP BY user_id)"""
+
+
+@query(f"""WITH {_E}, a AS (SELECT user_id, t, avg(x) AS a FROM e WHERE event_type = 'click' GROUP BY ALL), s AS (SELECT user_id, t, avg(x) AS x FROM e WHERE event_type = 'view' GROUP BY ALL), sp AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM s GROUP BY user_id),
+k AS (SELECT a.* FROM a JOIN sp USING (user_id) WHERE t BETWEEN lo AND hi), p AS (SELECT k.*, s.t AS pt, s.x AS px FROM k ASOF JOIN s ON k.user_id = s.user_id AND k.t >= s.t), f AS (SELECT p.*, s.t AS ft, s.x AS fx FROM p ASOF JOIN s ON p.user_id = s.user_id AND p.t <= s.t),
+ab AS (SELECT user_id, t, a, CASE WHEN pt = t THEN px ELSE px + (fx - px) * (t - pt) / (ft - pt) END AS b FROM f), {_OVER}
+SELECT user_id, round(lo / nullif(hi, 0), 6) AS coact, round(2 * lo / nullif(lo + hi, 0), 6) AS cci FROM r""")
 def coactivation_interpolated(t):
     return features.coactivation_interpolated(_events(t), "x", "click", "view", TR, "event_type")
 
@@ -567,8 +630,11 @@ def _gap(t) -> DataFrame:
     return t("lineitem").select("l_suppkey", F.when(F.col("l_suppkey") % 3 == 0, "P").otherwise("H").alias("g"), F.col("l_linestatus").alias("c"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
 
 
-@query(f"""WITH {_GAP}, a AS (SELECT median(x) FILTER (g = 'H' AND c = 'O') AS healthy, median(x) FILTER (g = 'P' AND c = 'O') AS before, median(x) FILTER (g = 'P' AND c = 'F') AS after, quantile_cont(x, 0.05) FILTER (g = 'H' AND c = 'O') AS lo, quantile_cont(x, 0.95) FILTER (g = 'H' AND c = 'O') AS hi FROM g)
-SELECT round(healthy, 6) AS healthy, round(before, 6) AS before, round(after, 6) AS after, round(lo, 6) AS lo, round(hi, 6) AS hi, round((before - after) / nullif(before - healthy, 0) * 100, 6) AS pct_closed, after BETWEEN lo AND hi AS in_band FROM a""")
+@query(f"""WITH {_GAP}, a AS (SELECT median(x) FILTER (g = 'H' AND c = 'O') AS healthy, median(x) FILTER (g = 'P' AND c = 'O') AS before, median(x) FILTER (g = 'P' AND c = 'F') AS after,
+quantile_cont(x, 0.25) FILTER (g = 'H' AND c = 'O') AS q1, quantile_cont(x, 0.75) FILTER (g = 'H' AND c = 'O') AS q3, count(x) FILTER (g = 'H' AND c = 'O') AS n_healthy, count(x) FILTER (g = 'P' AND c = 'O') AS n_before, count(x) FILTER (g = 'P' AND c = 'F') AS n_after FROM g)
+SELECT round(healthy, 6) AS healthy, round(before, 6) AS before, round(after, 6) AS after, round(q1, 6) AS q1, round(q3, 6) AS q3, n_healthy, n_before, n_after, round(before - healthy, 6) AS gap_before, round(after - healthy, 6) AS gap_after,
+round((abs(before - healthy) - abs(after - healthy)) / nullif(abs(before - healthy), 0) * 100, 6) AS pct_closed, before BETWEEN q1 AND q3 AS in_band_before, after BETWEEN q1 AND q3 AS in_band_after,
+after BETWEEN q1 AND q3 AND NOT before BETWEEN q1 AND q3 AS entered_band FROM a WHERE n_healthy >= 3 AND n_before >= 3 AND n_after >= 3""")
 def gap_closure(t):
     return statistics.gap_closure(_gap(t), "x", "g", "c", "P", "H", "O", "F")
 
@@ -586,7 +652,7 @@ def outside_reference_band(t):
 
 @query("SELECT scope, count(*) AS n, round(median(v), 6) AS median FROM (SELECT 'Overall' AS scope, l_quantity AS v FROM lineitem UNION ALL SELECT l_returnflag, l_quantity FROM lineitem) GROUP BY scope")
 def scoped_medians(t):
-    return statistics.scoped(t("lineitem"), "l_returnflag").groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.median("l_quantity").alias("median"))
+    return statistics.scoped_median(t("lineitem"), "l_returnflag", "l_quantity")
 
 
 @query("SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS best, round(max(o_totalprice), 6) AS best_r FROM orders GROUP BY o_custkey")
@@ -641,15 +707,25 @@ def _nations(t) -> DataFrame:
     return c.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").cast("long").alias("k"), "n_regionkey", *"abcd")
 
 
-@query()
+_NAT = "n AS (SELECT c_nationkey AS k, n_regionkey AS r, median(c_acctbal) > 4500 AS high FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"
+
+
+@query(f"""WITH {_NAT}, p AS (SELECT rd, k, r, high, row_number() OVER (PARTITION BY rd ORDER BY k) AS i, row_number() OVER (PARTITION BY rd ORDER BY CAST('0x' || substr(md5(k || '-' || rd || '-42'), 1, 15) AS BIGINT), k) AS j FROM n, range(10000) q(rd)),
+s AS (SELECT a.rd, a.r, b.high FROM p a JOIN p b ON a.rd = b.rd AND a.i = b.j UNION ALL SELECT -1, r, high FROM n),
+c AS (SELECT rd, r, high, count(*) AS o FROM s GROUP BY ALL),
+e AS (SELECT rd, o * o / (sum(o) OVER (PARTITION BY rd, r) * sum(o) OVER (PARTITION BY rd, high) / sum(o) OVER (PARTITION BY rd)) AS x, o FROM c),
+h AS (SELECT rd, sum(x) - sum(o) AS chi2 FROM e GROUP BY rd), f AS (SELECT chi2 AS observed FROM h WHERE rd = -1)
+SELECT round(observed, 6) AS observed, round(avg(CASE WHEN chi2 >= observed - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS p, count(*) AS rounds FROM h, f WHERE rd >= 0 GROUP BY observed""")
 def permutation_p(t):
     n = _nations(t).select("k", F.col("n_regionkey").alias("r"), (F.col("a") > 4500).alias("high"))
-    return statistics.permutation_association(n, "k", "r", "high", 500)
+    return statistics.permutation_association(n, "k", "r", "high")
 
 
-@query()
+@query("""WITH v AS (SELECT row_number() OVER (ORDER BY s_acctbal) - 1 AS i, s_acctbal AS v FROM supplier), n AS (SELECT count(*) AS n FROM v),
+d AS (SELECT rd, CAST('0x' || substr(md5(rd || '-' || v.i || '-42'), 1, 15) AS BIGINT) % n AS i FROM range(2000) q(rd), v, n), m AS (SELECT rd, median(v.v) AS m FROM d JOIN v ON d.i = v.i GROUP BY rd)
+SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def bootstrap_ci(t):
-    return statistics.bootstrap_median(t("supplier"), "s_acctbal", 1000)
+    return statistics.bootstrap_median(t("supplier"), "s_acctbal")
 
 
 # --- numpy tier ---
@@ -667,7 +743,12 @@ def imu_gates(t):
     return signals.imu_channels(d, "x", "a", TR, fs=148.15).select("user_id", "t", "gyro_gate", "acc_dyn", "acc_gate")
 
 
-@query()
+@query(f"""WITH {_E}, x AS (SELECT user_id, x, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(x) OVER (PARTITION BY user_id) AS m FROM e),
+w AS (SELECT user_id, n, i, (x - m) * (0.5 - 0.5 * cos(2 * pi() * i / n)) AS v, power(0.5 - 0.5 * cos(2 * pi() * i / n), 2) AS ww FROM x WHERE n BETWEEN 32 AND 256),
+f AS (SELECT user_id, n, k, power(sum(v * cos(2 * pi() * i * k / n)), 2) + power(sum(v * sin(2 * pi() * i * k / n)), 2) AS p, sum(ww) AS ww FROM w, range(129) q(k) WHERE k <= n // 2 GROUP BY ALL),
+d AS (SELECT user_id, k * 1259.26 / n AS hz, k, p / (1259.26 * ww) * CASE WHEN k = 0 OR (n % 2 = 0 AND k = n // 2) THEN 1 ELSE 2 END AS p FROM f),
+c AS (SELECT *, sum(p) OVER (PARTITION BY user_id ORDER BY k) AS cp, sum(p) OVER (PARTITION BY user_id) AS tp FROM d)
+SELECT user_id, round(sum(hz * p) / sum(p), 6) AS MNF, round(min(hz) FILTER (cp >= tp / 2), 6) AS MDF FROM c GROUP BY user_id""")
 def welch_mnf_mdf(t):
     return signals.spectral_features(_events(t).select("user_id", "t", "x"), "x", TR, 1259.26)
 
@@ -680,18 +761,18 @@ def ward_clusters(t):
 @query()
 def ward_jaccard(t):
     n = _nations(t)
-    return clustering.best_jaccard(clustering.ward(n, "k", list("abcd"), 3), clustering.bootstrap_ward(n, "k", list("abcd"), 3, 200), "k")
+    return clustering.best_jaccard(clustering.ward(n, "k", list("abcd"), 3), clustering.bootstrap_ward(n, "k", list("abcd"), 3), "k")
 
 
 @query()
 def ward_cooccurrence(t):
-    return clustering.co_occurrence(clustering.bootstrap_ward(_nations(t), "k", list("abcd"), 3, 200), "k")
+    return clustering.co_occurrence(clustering.bootstrap_ward(_nations(t), "k", list("abcd"), 3), "k")
 
 
 @query()
 def ward_separation(t):
     n = _nations(t)
-    pairs = clustering.co_occurrence(clustering.bootstrap_ward(n, "k", list("abcd"), 3, 200), "k")
+    pairs = clustering.co_occurrence(clustering.bootstrap_ward(n, "k", list("abcd"), 3), "k")
     return clustering.separation(pairs, clustering.ward(n, "k", list("abcd"), 3), "k")
 
 
@@ -705,7 +786,7 @@ def lmm_random_intercept(t):
 
 def _folds(t) -> DataFrame:
     n = _nations(t).withColumn("y", (F.col("a") > 4500).cast("int"))
-    return supervised.leave_one_out(n, "k", "y", ["b", "c", "d"], trees=40)
+    return supervised.leave_one_out(n, "k", "y", ["b", "c", "d"])
 
 
 @query()
@@ -756,7 +837,14 @@ def window_count_check(t):
     return _long(reports.window_counts(_windows(t), ("user_id", "episode_id"), 86_400.0, 43_200.0).withColumn("window_id", F.lit(0))).select("user_id", "episode_id", "n", "expected", "matches")
 
 
-@query()
+@query(_SAMP + """, st AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id, episode_id, window_id ORDER BY t) AS dt FROM sw),
+ag AS (SELECT user_id, episode_id, window_id, count(DISTINCT t) AS n, max(CASE WHEN dt > 0 THEN dt END) AS gap FROM st GROUP BY ALL), ds AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS dt FROM (SELECT DISTINCT user_id, t FROM e)),
+fs AS (SELECT user_id, 1 / median(dt) AS fs FROM ds WHERE dt > 0 GROUP BY user_id),
+q AS (SELECT wd.user_id, coalesce(n, 0) / (fs * 86400) >= 0.6 AS c, coalesce(gap <= 40000, false) AS g, coalesce(n, 0) > 0 AS f FROM wd LEFT JOIN ag USING (user_id, episode_id, window_id) LEFT JOIN fs USING (user_id)),
+a AS (SELECT user_id, count(*) AS n_windows, avg(CASE WHEN c THEN 1.0 ELSE 0 END) AS coverage, avg(CASE WHEN g THEN 1.0 ELSE 0 END) AS gap_free, avg(CASE WHEN f THEN 1.0 ELSE 0 END) AS filled FROM q GROUP BY user_id),
+b AS (SELECT *, CASE WHEN coverage >= 0.98 THEN 'OK' WHEN coverage >= 0.9 THEN 'WARN' ELSE 'FAIL' END AS coverage_status, CASE WHEN gap_free >= 0.98 THEN 'OK' WHEN gap_free >= 0.9 THEN 'WARN' ELSE 'FAIL' END AS gap_free_status, CASE WHEN filled >= 0.98 THEN 'OK' WHEN filled >= 0.9 THEN 'WARN' ELSE 'FAIL' END AS filled_status FROM a)
+SELECT user_id, n_windows, round(coverage, 6) AS coverage, round(gap_free, 6) AS gap_free, round(filled, 6) AS filled, coverage_status, gap_free_status, filled_status,
+CASE WHEN 'FAIL' IN (coverage_status, gap_free_status, filled_status) THEN 'FAIL' WHEN 'WARN' IN (coverage_status, gap_free_status, filled_status) THEN 'WARN' ELSE 'OK' END AS overall FROM b""")
 def window_report(t):
     q = windowing.window_quality(_events(t), _windows(t).select(*WN, "t_start", "t_end"), 86_400.0, 43_200.0, 0.6, 40_000.0, TR)
     return reports.window_report(q, TR)
@@ -790,7 +878,7 @@ def _driver_rows(t, rows: list, schema: str) -> DataFrame:
 def shap_depth2(t):
     p = _nations(t).withColumn("y", (F.col("a") > 4500).cast("int")).orderBy("k").toPandas()  # 25 rows
     x = clustering.standardised(p[["b", "c", "d"]].to_numpy(float))
-    trees = supervised.grow_forest(x, p["y"].to_numpy(), 100)
+    trees = supervised.grow_forest(x, p["y"].to_numpy(), 500)
     share, gini = abs(supervised.shapley(trees, x)).mean(0), supervised.gini_importance(trees, 3)
     return _driver_rows(t, [(n, float(s), float(g)) for n, s, g in zip("bcd", share, gini)], "feature string, mean_abs_shap double, gini double")
 

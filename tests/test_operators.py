@@ -191,9 +191,6 @@ def test_sinks_and_parameters(spark, tmp_path):
     tables.write_by_subject(d, str(tmp_path / "p"))
     tables.write_by_subject(d.where("subject = 'a'").withColumn("x", F.lit(5.0)), str(tmp_path / "p"))
     assert {(r["subject"], r["x"]) for r in tables.read_table(spark, str(tmp_path / "p")).collect()} == {("a", 5.0), ("b", None)}
-    conf = {"defaults": {"k": 1, "m": 1}, "tasks": {"lift": {"k": 2}}, "variants": {"weak": {"m": 3}}, "rules": [{"when": {"trial": "exo"}, "set": {"r": 9}}], "subjects": {"s": {"variant": "weak", "trials": {"lifting_exo": {"k": 7}}}}}
-    assert tables.resolve_parameters(conf, "s", "Lifting_exo") == {"variant": "weak", "task_key": "lift", "k": 7, "m": 3, "r": 9}
-    assert tables.resolve_parameters(conf, "q", "rest")["k"] == 1
 
 
 def test_names(spark):
