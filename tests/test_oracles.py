@@ -7,7 +7,8 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 SMALL = "/root/testdata/sf0.001" 
 
-from pulseframe.queries import oracle_sql, queries 
+import pulseframe.queries_given  # noqa: E402,F401
+from pulseframe.queries import oracle_sql, queries  # noqa: E402
 
 
 @pytest.fixture(scope="module")
