@@ -63,6 +63,29 @@ def encoder(path: str) -> "Encoder":
     return workers.ENCODERS[path]
 
 
+class _Column:
+    """An array that grows at its end: all, the values so far."""
+
+    def __init__(self, kind) -> None:
+        self.room = np.zeros(1024, kind)
+        self.all = self.room[:0]
+
+    def __len__(self) -> int:
+        return len(self.all)
+
+    def add(self, values: np.ndarray) -> None:
+        n = len(self.all) + len(values)
+        if n > len(self.room):
+            room = np.zeros(2 * n, self.room.dtype)
+            room[: len(self.all)] = self.all
+            self.room = room
+        self.room[len(self.all) : n] = values
+        self.all = self.room[:n]
+
+    def cut(self, n: int) -> None:
+        self.all = self.room[:n]
+
+
 class Encoder:
     """ids(Texts) -> (flat ids, row offsets); made in each task from a vocabulary file's path."""
 
@@ -96,10 +119,9 @@ class Encoder:
             self.bpe = model.model.tokenize
         self.keys = np.zeros(0, np.uint64)  # sorted hashes of known pieces
         self.slot = np.zeros(0, np.int32)  # of each key, its place in first and size
-        self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.store = np.zeros(0, np.int32)
-        # Bytes of the pieces by slot: size, first word, and where the further words begin in more.
-        self.bytes, self.head, self.rest, self.more = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        # By slot: where the piece's ids begin in store and how many they are; its size in bytes, its first word, and where its further words begin in more.
+        self.first, self.size, self.store = _Column(np.int32), _Column(np.int32), _Column(np.int32)
+        self.bytes, self.head, self.rest, self.more = _Column(np.int64), _Column(np.uint64), _Column(np.int64), _Column(np.uint64)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         out, rest = [], []
@@ -119,8 +141,9 @@ class Encoder:
         size = np.fromiter(map(len, got), np.int32, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
         slot = (len(self.first) + np.arange(len(hashes))).astype(np.int32)
-        self.first = np.r_[self.first, (len(self.store) + np.cumsum(size) - size).astype(np.int32)]
-        self.size, self.store = np.r_[self.size, size], np.r_[self.store, flat]
+        self.first.add(len(self.store) + np.cumsum(size) - size)
+        self.size.add(size)
+        self.store.add(flat)
         if keep and len(self.keys) + len(hashes) <= CACHE:
             place = np.searchsorted(self.keys, hashes)
             self.keys, self.slot = np.insert(self.keys, place, hashes), np.insert(self.slot, place, slot)
@@ -129,15 +152,17 @@ class Encoder:
             r = Ranges(np.frombuffer(b"".join(pieces), np.uint8), ends - length, ends)
             rest = np.zeros(len(pieces), np.int64)
             rest[r.long] = len(self.more) + r.first[:-1]
-            self.bytes, self.head, self.rest, self.more = np.r_[self.bytes, length], np.r_[self.head, r.head], np.r_[self.rest, rest], np.r_[self.more, r.more]
+            for column, values in ((self.bytes, length), (self.head, r.head), (self.rest, rest), (self.more, r.more)):
+                column.add(values)
         return slot
 
     def settle(self) -> None:
         """Forget what has no key."""
         n = len(self.keys)
         if len(self.first) > n:
-            self.first, self.size = self.first[:n], self.size[:n]
-            self.store = self.store[: int(self.first[-1] + self.size[-1]) if n else 0]
+            self.first.cut(n)
+            self.size.cut(n)
+            self.store.cut(int(self.first.all[-1] + self.size.all[-1]) if n else 0)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -175,16 +200,20 @@ class Encoder:
         back[order] = np.cumsum(new) - 1
         slot, known = self.find(keys)
         # Pieces that only hash like another one of this slice or of the cache: those of eight bytes and one size cannot.
-        rep = first[back]
-        alone = pieces.size != pieces.size[rep]
+        size = pieces.size[order]
+        alone = np.zeros(len(h), bool)
+        if ((size[1:] != size[:-1]) & ~new[1:]).any():
+            alone = pieces.size != pieces.size[first[back]]
         at = pieces.long[~alone[pieces.long]]
+        rep = first[back[at]]
+        at, rep = at[at != rep], rep[at != rep]
         rest = np.zeros(len(h), np.int64)
         rest[pieces.long] = pieces.first[:-1]
-        alone[at] = ~_equal(pieces, at, pieces.head, rest, pieces.more, rep[at])
+        alone[at] = ~_equal(pieces, at, pieces.head, rest, pieces.more, rep)
         at = np.flatnonzero(known)
-        other = self.bytes[slot[at]] != pieces.size[first[at]]
+        other = self.bytes.all[slot[at]] != pieces.size[first[at]]
         long = np.flatnonzero(~other & (pieces.size[first[at]] > 8))
-        other[long] = ~_equal(pieces, first[at[long]], self.head, self.rest, self.more, slot[at[long]])
+        other[long] = ~_equal(pieces, first[at[long]], self.head.all, self.rest.all, self.more.all, slot[at[long]])
         if other.any():
             alone |= np.isin(back, at[other])
         data = buf.tobytes() if not known.all() or alone.any() else b""
@@ -196,11 +225,11 @@ class Encoder:
         if alone.any():
             at = np.flatnonzero(alone)
             slot[at] = self.learn(h[at], [data[x:y] for x, y in zip(lo[at].tolist(), hi[at].tolist())], keep=False)
-        size = self.size[slot]
+        size = self.size.all[slot]
         ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
         off = ends[np.searchsorted(lo, t.off)]
-        at = None if lengths_only else np.arange(ends[-1]) + np.repeat(self.first[slot] - ends[:-1], size)
-        out = None if lengths_only else self.store[at]
+        at = None if lengths_only else np.arange(ends[-1]) + np.repeat(self.first.all[slot] - ends[:-1], size)
+        out = None if lengths_only else self.store.all[at]
         self.settle()
         return out, off
 
