@@ -7,11 +7,14 @@ of every block.  For each id the model
 * looks up the id last seen after the same two ids (order 2) and after the same
   id (order 1), each with a flag that tells if the entry was right last time;
 * mixes the two orders' estimates of "order 2 is right", "order 1 is right" and
-  "neither", learnt by flag and by agreement, and codes which of them holds;
+  "neither", learnt by flag and by agreement, by weights that the block learns
+  from how well each order has estimated so far, and codes which of them holds;
 * if neither, codes the id's class with the order-0 estimate of this block and
   its place in the class evenly.
 
 The looked-up ids adapt with every id, the estimates after every `SEGMENT` ids.
+Weights come from sums of squared errors, so that sums, products and quotients
+alone decide: they are the same on every machine, as exponentials need not be.
 The coder keeps 32 bits of range and moves 16-bit words; carries are resolved
 when a block is complete.
 """
@@ -55,6 +58,7 @@ class Model:
         self.prev1, self.prev2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.seen = np.zeros((2, 4, 3, lanes), np.int32)  # by order, by flag and agreement: which held
         self.seen[:, :, 0], self.seen[:, :, 1], self.seen[:, :, 2] = 1, 1, 6
+        self.error = np.full((2, lanes), 8.0)  # by order: squared errors so far
         self.used = np.ones((n, lanes), np.int32)
         self.held = np.zeros((SEGMENT, lanes), np.int32)
         self.class_of = np.full((SEGMENT, lanes), n, np.int32)
@@ -62,8 +66,10 @@ class Model:
         self.estimate()
 
     def estimate(self) -> None:
-        share = self.seen / self.seen.sum(2, keepdims=True)
-        mixed = (share[0][[0, 0, 1, 1, 2, 2, 3, 3]] + share[1][[0, 1, 0, 1, 2, 3, 2, 3]]) / 2  # by agreement, order 2's flag, order 1's flag
+        share = self.share = self.seen / self.seen.sum(2, keepdims=True)
+        near = 1 / (self.error * self.error * self.error)
+        weight = near[0] / (near[0] + near[1])
+        mixed = weight * share[0][[0, 0, 1, 1, 2, 2, 3, 3]] + (1 - weight) * share[1][[0, 1, 0, 1, 2, 3, 2, 3]]  # by agreement, order 2's flag, order 1's flag
         f = (mixed[:, :2] * (TOTAL - 128)).astype(np.int32) + 16
         self.f2 = np.ascontiguousarray(f[:, 0]).ravel().view(np.uint32)
         self.either = np.ascontiguousarray(f[:, 0] + f[:, 1]).ravel().view(np.uint32)
@@ -100,8 +106,10 @@ class Model:
     def learn(self) -> None:
         n, step = len(self.first), self.step
         seen = np.bincount((self.held[:step] * self.lanes + self.lane).ravel(), minlength=24 * self.lanes).reshape(2, 2, 2, 3, self.lanes)
-        self.seen[0] += seen.sum(2).reshape(4, 3, -1)
-        self.seen[1] += seen.sum(1).reshape(4, 3, -1)
+        for order, n_held in enumerate((seen.sum(2).reshape(4, 3, -1), seen.sum(1).reshape(4, 3, -1))):
+            p = self.share[order]
+            self.error[order] += (n_held * (1 - 2 * p + (p * p).sum(1, keepdims=True))).reshape(12, -1).sum(0)
+            self.seen[order] += n_held
         used = np.bincount((self.class_of[:step] * self.lanes + self.lane).ravel(), minlength=(n + 1) * self.lanes)
         self.used += (4 * used.reshape(n + 1, self.lanes)[:n]).astype(np.int32)
         self.class_of[:] = n
