@@ -1,13 +1,14 @@
 """Corpus pipeline: documents through five stages, each a written table for the next.
 
-Stages work on rows, whatever their ids: a row number, written once, stands for a
-row where decisions are joined back.  Null and repeated ids, null and very long
+Stages work on rows, whatever their ids: a row's place in its file stands for it
+where decisions are joined back.  Null and repeated ids, null and very long
 texts, and empty tables go through; see the operators for what each makes of
 them.  Columns beside doc_id, text and source are carried whatever their names.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,21 @@ def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """_plain(docs) with __row, which names each row: its id, and its place in the files, which no split of them changes.
+
+    A table that lies in no files is written with numbers instead, since numbers made anew in a second scan could differ.
+    """
+    plain, id_col = _plain(docs), _column(docs, "doc_id")
+    try:
+        place = docs.select("*", F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
+    except AnalysisException:
+        plain = written(plain.withColumn("__i", F.monotonically_increasing_id()), "pipeline-rows").withColumn("__f", F.lit(0).cast("long"))
+    else:
+        plain = place.toDF(*plain.columns, "__f", "__i")
+    return plain.withColumn("__row", F.struct(F.col(id_col).alias("doc_id"), "__f", "__i")).drop("__f", "__i")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the base rules and the trees keep."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -41,9 +57,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each class of the Jaccard join."""
-    # Row numbers are written once: made anew in a second scan, they could differ.
-    rows = written(_plain(docs).withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    """The row of least id of each class of the Jaccard join."""
+    rows = _with_rows(docs)
     classes = jaccard_classes(rows, id_col="__row", text=_column(docs, "text"))
     first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__row"))
     return _named(rows.join(first, "__row", "left_semi"), docs)
@@ -57,7 +72,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them."""
-    rows = written(_plain(docs).withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    rows = _with_rows(docs)
     names = {k: _column(docs, c) for k, c in (("id_col", "doc_id"), ("text", "text"), ("source", "source"))}
     taken = mix_sources(rows, keep=("__row",), **names).where("taken > 0").select("__row", F.expr("taken div size").cast("int").alias("__times"))
     return _named(rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))), docs)
