@@ -47,7 +47,7 @@ SHINGLE = 5
 COORDS = 64
 SMALL, BLOCK = 192, 256
 FIRST, DEEPEST = 2, 6
-HOT_SAMPLED = 24  # nodes of a path among a 64th of all, below which it is small
+HOT_SAMPLED = 6  # nodes of a path among a 64th of all, below which it is small
 
 
 def shingle_sets(t: Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
