@@ -20,8 +20,11 @@ The benchmark is taken in blocks of bounded bytes (a stated query set), each
 shipped with the tasks of one pass over all documents.
 
 Edge cases: null and empty texts leak nothing; items without words are left out;
-repeated documents and items are reported each; a null id stays null; empty
-tables give empty results.
+repeated documents and items are reported each; a null id stays null; of windows
+of a document that are equally near an item, the first is reported; empty tables
+give empty results.  find_leaks() reads the id and the text alone; a column of the
+input that has the name of mark_leaks()'s flag is replaced.  A very long text is
+searched whole: some tens of bytes of arrays for each of its bytes.
 """
 
 from __future__ import annotations
@@ -88,6 +91,7 @@ class Index:
         self.triple_of, self.length_of = pair[:, 0], pair[:, 1]
         self.symbols = symbols
         self.length_repeats = np.zeros(0, np.int64)  # 0: all pairs that share enough are taken
+        self.length_recall = np.ones(len(self.lengths))  # as measured, less two standard errors
         self.repeats = most
         if self.words:
             flat, first = np.concatenate(self.words), np.cumsum(self.size) - self.size
@@ -163,6 +167,8 @@ class Index:
             found = np.maximum.accumulate(same, 0).mean(1)  # share met within the first repetitions
             sure = found - 2 * np.sqrt(found * (1 - found) / len(changed))  # two standard errors below what was met
             enough = np.flatnonzero(sure >= recall)
+            if len(enough):
+                self.length_recall[k] = sure[enough[0]]
             out[k] = int(enough[0]) + 1 if len(enough) else 0
             missed = 0 if len(enough) else missed + 1
         return out
@@ -344,7 +350,16 @@ def _blocks(items: DataFrame, id_col: str, text: str, limit: int):
         yield ids, texts
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, block_bytes: int = 1 << 20, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def search_plan(benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, block_bytes: int = 4 << 20, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """n_words, edits, repeats (0: exact search), recall of each length of item in each block: what find_leaks() does, with the recall it measured."""
+    rows = []
+    for k, (ids, texts) in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
+        x = Index(ids, texts, edit_share, recall)
+        rows += [(k, *map(int, v[:3]), float(v[3])) for v in zip(x.lengths, x.length_edits, x.length_repeats, x.length_recall)]
+    return benchmark.sparkSession.createDataFrame(rows, "block long, n_words long, edits long, repeats long, recall double")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, block_bytes: int = 4 << 20, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, edits, first_word: one row for each document and item that it leaks."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
     item_type = benchmark.schema[item_id]
@@ -366,7 +381,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, r
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def mark_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, block_bytes: int = 1 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", flag: str = "leaks") -> DataFrame:
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, block_bytes: int = 4 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", flag: str = "leaks") -> DataFrame:
     """docs with a boolean column: whether the row leaks any item."""
     out, flags = docs, []
     for k, (ids, texts) in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):

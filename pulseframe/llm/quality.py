@@ -5,8 +5,11 @@ constraints kept by bounding child values) and flattened into node arrays, so a
 batch is scored by `depth` gathers per tree.
 
 Edge cases: a null or empty text has statistics 0 and fails the base rules;
-repeated rows are scored each; an empty table gives an empty result; a column
-of the input that has the name of an added one is replaced.
+repeated rows are scored each; an id labelled twice has its larger label; equal
+documents have equal scores; without labels all probabilities are 0.5; an empty
+table gives an empty result; a column of the input that has the name of an added
+one is replaced.  A very long text is one row of a slice: some tens of bytes of
+arrays for each of its bytes.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 from pyspark.sql import functions as F
 
-from pulseframe.llm.decontamination import Index, find_leaks, mark_leaks
+from pulseframe.llm.decontamination import Index, find_leaks, mark_leaks, search_plan
 from pulseframe.llm.jaccard_join import _overlaps, jaccard_classes, runs_needed, shingle_sets
 from pulseframe.llm.textops import Texts
 
@@ -185,6 +185,14 @@ def test_exact_leaks_are_all_found(spark, odd):
     assert find_leaks(odd.limit(0), bench).count() == 0 and find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_search_plan(spark):
+    bench = spark.createDataFrame([(i, prose(i, m)) for i, m in enumerate((3, 12, 40, 40, 80, 160, 300))], "item_id long, text string")
+    plan = {r["n_words"]: r for r in search_plan(bench).collect()}
+    assert set(plan) == {3, 12, 40, 80, 160, 300} and plan[3]["edits"] == 0 and plan[3]["repeats"] == 1
+    assert all(r["recall"] >= 0.95 and (r["repeats"] or r["recall"] == 1) for r in plan.values())
+    assert search_plan(bench.limit(0)).count() == 0
+
+
 def test_recall_target():
     index = Index([1], [prose(1, 40)], 0.2, 0.95)
     assert 1 <= index.repeats <= 64
