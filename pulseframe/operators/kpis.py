@@ -108,7 +108,8 @@ def spearman_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     a, b = long.alias("a"), long.alias("b")
     p = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.__c").alias("a"), F.col("b.__c").alias("b"), F.col("a.__v").alias("x"), F.col("b.__v").alias("y"))
     p = p.withColumn("rx", average_rank("x", ("a", "b"))).withColumn("ry", average_rank("y", ("a", "b")))
-    return p.groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))  # NULL where a column is constant
+    return p.groupBy("a", "b").agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def redundant_pairs(pairs: DataFrame, threshold: float = 0.9) -> DataFrame:
