@@ -138,6 +138,16 @@ def select_by_priority(passing: DataFrame, priorities: DataFrame, most: int = 20
     return j.withColumn("rank", F.row_number().over(Window.orderBy("priority", "position"))).where((F.col("__n") <= most) | (F.col("rank") <= most)).drop("__n")
 
 
+def with_metadata(selected: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Selected features with what is known of them; features without metadata stay."""
+    return selected.join(metadata, "feature", "left")
+
+
+def with_duration(subjects: DataFrame, trials: DataFrame, duration: str = "kpi_duration_s", key: str = "subject") -> DataFrame:
+    """Subjects with the median duration of their trials, where they have any."""
+    return subjects.join(trials.groupBy(key).agg(F.median(duration).alias("duration_median")), key, "left")
+
+
 def flag_artifacts(df: DataFrame, reasons: dict[str, str], key: str = "subject") -> DataFrame:
     table = F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv]) if reasons else F.create_map().cast("map<string,string>")
     reason = F.try_element_at(table, F.col(key).cast("string"))

@@ -272,6 +272,16 @@ def permutation_association(df: DataFrame, key: str, a: str, b: str, rounds: int
     return chi.where("round >= 0").crossJoin(F.broadcast(observed)).groupBy("observed").agg(F.avg((F.col("chi2") >= F.col("observed") - 1e-9).cast("double")).alias("p"), F.count(F.lit(1)).alias("rounds"))
 
 
+def bootstrap_median_by_group(df: DataFrame, x: str, group: str, rounds: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """group, lo, hi: bootstrap_median() of each group's small sample."""
+    w = Window.partitionBy(group)
+    v = df.where(F.col(x).isNotNull()).select(group, F.col(x).alias("v")).withColumn("i", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    draws = v.select(group, F.col("i").alias("k"), "n").crossJoin(df.sparkSession.range(rounds).withColumnRenamed("id", "round"))  # rounds x small samples
+    draws = draws.withColumn("i", F.pmod(uniform(F.col("round"), F.col("k"), F.lit(seed)), F.col("n")).cast("int"))
+    m = draws.join(v.select(group, "i", "v"), [group, "i"]).groupBy(group, "round").agg(F.median("v").alias("m"))
+    return m.groupBy(group).agg(F.percentile("m", (1 - level) / 2).alias("lo"), F.percentile("m", (1 + level) / 2).alias("hi"))
+
+
 def bootstrap_median(df: DataFrame, x: str, rounds: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Percentile interval of the median over resamples drawn by hash, of a small sample."""
     v = df.where(F.col(x).isNotNull()).withColumn("i", F.row_number().over(Window.orderBy(x)) - 1).select("i", F.col(x).alias("v"))

@@ -133,6 +133,19 @@ def shapley(trees: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def importance_rows(names: list[str], trees: list, x: np.ndarray) -> list[tuple]:
+    """(feature, mean |Shapley value|, its share, rank, direction, Gini importance) of a small matrix.
+
+    The direction is the sign with which a feature's value and its Shapley value go together.
+    """
+    phi, gini = shapley(trees, x), gini_importance(trees, x.shape[1])
+    size = np.abs(phi).mean(0)
+    together = ((x - x.mean(0)) * (phi - phi.mean(0))).sum(0)
+    rank = np.argsort(np.argsort(-size, kind="stable")) + 1
+    way = np.where(together > 0, "up", np.where(together < 0, "down", "none"))
+    return [(n, float(s), float(s / size.sum()) if size.sum() else 0.0, int(r), str(d), float(g)) for n, s, r, d, g in zip(names, size, rank, way, gini)]
+
+
 MODELS = {"logistic": logistic, "svm_rbf": svm_rbf, "forest": forest}
 
 

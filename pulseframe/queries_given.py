@@ -363,3 +363,42 @@ def mismatch_check(t):
     v = F.col("c_acctbal")
     s = t("customer").select(name.alias("subject"), v.alias("kpi_NMD"), (2 * v).alias("kpi_NMD_z_effort"), (3 * v).alias("kpi_NMD_z_motion"))
     return phases.mismatch_check(s).select("measure", "n1", "n2", "u", "mean_first", "mean_second")
+
+
+# --- joins of facts, intervals, importances ---
+
+
+@query(f"""WITH {_SUPS}, l AS (SELECT feature, v FROM s UNPIVOT (v FOR feature IN (a, b, c, d))) SELECT feature, round(median(v), 6) AS median, round(skewness(v), 6) AS skew FROM l GROUP BY feature""")
+def feature_report_skew(t):
+    s = t("lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.median("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b"), F.stddev_samp("l_discount").alias("c"), F.avg("l_tax").alias("d"))
+    return kpis.feature_report(s, ["a", "b", "c", "d"]).select("feature", "median", "skew")
+
+
+@query("SELECT p_type AS feature, r_name AS area, n FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1) LEFT JOIN (SELECT r_name, CASE r_regionkey WHEN 0 THEN 'PROMO' ELSE 'ECONOMY' || r_regionkey END AS f FROM region) ON p_type = f")
+def feature_metadata(t):
+    selected = t("part").groupBy(F.col("p_type").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    about = t("region").select(F.when(F.col("r_regionkey") == 0, "PROMO").otherwise(F.concat(F.lit("ECONOMY"), F.col("r_regionkey").cast("string"))).alias("feature"), F.col("r_name").alias("area"))
+    return kpis.with_metadata(selected, about).select("feature", "area", "n")
+
+
+@query("SELECT s_suppkey AS subject, round(m, 6) AS duration_median FROM supplier LEFT JOIN (SELECT l_suppkey, median(l_quantity) AS m FROM lineitem WHERE l_suppkey % 4 > 0 GROUP BY 1) ON s_suppkey = l_suppkey")
+def subject_duration(t):
+    trials = t("lineitem").where("l_suppkey % 4 > 0").select(F.col("l_suppkey").alias("subject"), F.col("l_quantity").alias("kpi_duration_s"))
+    return kpis.with_duration(t("supplier").select(F.col("s_suppkey").alias("subject")), trials)
+
+
+@query("""WITH v AS (SELECT s_nationkey % 3 AS g, s_acctbal AS v, row_number() OVER (PARTITION BY s_nationkey % 3 ORDER BY s_acctbal) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey % 3) AS n FROM supplier),
+d AS (SELECT g, rd, CAST('0x' || substr(md5(rd || '-' || v.i || '-42'), 1, 15) AS BIGINT) % n AS i FROM range(2000) q(rd), v), m AS (SELECT g, rd, median(v.v) AS m FROM d JOIN v USING (g, i) GROUP BY 1, 2)
+SELECT g, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY g""")
+def bootstrap_ci_by_group(t):
+    return statistics.bootstrap_median_by_group(t("supplier").withColumn("g", F.col("s_nationkey") % 3), "s_acctbal", "g")
+
+
+@query()
+def shap_table(t):
+    from pulseframe.queries import _nations
+
+    p = _nations(t).withColumn("y", (F.col("a") > 4500).cast("int")).orderBy("k").toPandas()  # 25 rows
+    x = clustering.standardised(p[["b", "c", "d"]].to_numpy(float))
+    trees = supervised.grow_forest(x, p["y"].to_numpy(), 500)
+    return _driver_rows(t, supervised.importance_rows(list("bcd"), trees, x), "feature string, mean_abs_shap double, share double, rank int, direction string, gini double")
