@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import workers
 from .textops import Ranges, Texts, map_texts
+from .workers import kept
 
 CACHE = 1_000_000
 _VISIBLE = np.zeros(256, bool)
@@ -58,9 +58,10 @@ def vocabulary_file(name: str) -> str:
 
 def encoder(path: str) -> "Encoder":
     """The worker's encoder of this file; what it has learnt serves its later tasks."""
-    if path not in workers.ENCODERS:
-        workers.ENCODERS[path] = Encoder(path)
-    return workers.ENCODERS[path]
+    held = kept("encoders")
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 class _Column:

@@ -1,8 +1,15 @@
-"""What a Python worker keeps from one task to its later ones.
-
-A module of its own, since globals that a shipped function refers to travel with each task.
-"""
+"""What a Python worker keeps from one task to its later ones."""
 
 from __future__ import annotations
 
-ENCODERS: dict = {}
+
+def kept(name: str) -> dict:
+    """A dict of this process.
+
+    Where the package is not installed on the workers, its functions and their globals travel with each task, so a
+    global would be new in each; a module that is made in the process itself stays.
+    """
+    import sys
+    import types
+
+    return sys.modules.setdefault("pulseframe_kept", types.ModuleType("pulseframe_kept")).__dict__.setdefault(name, {})
