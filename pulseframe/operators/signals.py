@@ -6,14 +6,11 @@ are dealt by their key and each is filtered on its own.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-@lru_cache(maxsize=256)
 def butterworth(order: int, cut, fs: float) -> tuple[np.ndarray, np.ndarray]:
     """(b, a) of a digital low-pass (one cut-off) or band-pass (two), by the bilinear transform of the analog prototype."""
     k = np.arange(order)
@@ -49,7 +46,18 @@ def _companion(b: np.ndarray, a: np.ndarray):
     return big, b[1:] - a[1:] * b[0], b[0]
 
 
-@lru_cache(maxsize=64)
+_MEMO: dict = {}  # filters of a task's channels; a few for each rate
+
+
+def _memo(kind: str, make, *key):
+    """make(*key), once in a task."""
+    if (kind, *key) not in _MEMO:
+        if len(_MEMO) > 500:
+            _MEMO.clear()
+        _MEMO[(kind, *key)] = make(*key)
+    return _MEMO[(kind, *key)]
+
+
 def _blocks(b: tuple, a: tuple, block: int):
     """What a filter needs for blocks of samples: outputs from the state, outputs from own samples, state from own samples, state over a block."""
     big, into, b0 = _companion(np.array(b), np.array(a))
@@ -66,7 +74,7 @@ def _blocks(b: tuple, a: tuple, block: int):
 
 def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 128) -> np.ndarray:
     """Recursive filter, a block of samples at a time: the response to the block's own samples is one matrix product, the state's another."""
-    see, own, carry, over = _blocks(tuple(b), tuple(a), block)
+    see, own, carry, over = _memo("blocks", _blocks, tuple(b), tuple(a), block)
     rows = np.pad(x, (0, -len(x) % block)).reshape(-1, block)
     y, push = rows @ own.T, rows @ carry.T
     states, z = np.empty((len(rows), len(over))), state.astype(float)
@@ -76,7 +84,6 @@ def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, bloc
     return (y + states @ see.T).ravel()[: len(x)]
 
 
-@lru_cache(maxsize=64)
 def _steady(b: tuple, a: tuple) -> np.ndarray:
     """State at rest under a constant input of one."""
     big, into, _ = _companion(np.array(b), np.array(a))
@@ -89,7 +96,7 @@ def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     if len(x) <= edge:
         return np.full(len(x), np.nan)
     ext = np.r_[2 * x[0] - x[edge:0:-1], x, 2 * x[-1] - x[-2 : -edge - 2 : -1]]
-    steady = _steady(tuple(b), tuple(a))
+    steady = _memo("steady", _steady, tuple(b), tuple(a))
     y = lfilter(b, a, ext, steady * ext[0])[::-1]
     return lfilter(b, a, y, steady * y[0])[::-1][edge:-edge]
 
