@@ -1,7 +1,6 @@
 """All phases from vendor exports to predictions, through the command line's own functions."""
 
 import numpy as np
-import pytest
 
 from pulseframe import __main__ as cli
 
@@ -25,37 +24,38 @@ def export(rng, ill: bool) -> str:
     return "\r\n".join([*lines, ",".join(["9"] * 90), "not,a,number"])
 
 
-def test_all_phases(spark, tmp_path):
+def test_phases_from_exports_to_windows(spark, tmp_path):
     rng = np.random.default_rng(0)
-    subjects = [f"{g}_Subject_{k}" for g in ("ALS", "Healthy") for k in range(3)]
+    subjects = ["ALS_Subject_0", "Healthy_Subject_0"]
     for s in subjects:
         folder = tmp_path / "exports" / s
         folder.mkdir(parents=True)
-        for trial in ("lifting_exo", "lifting_noexo"):
-            (folder / f"{trial}.csv").write_bytes(export(rng, s[0] == "A").encode())
+        (folder / "lifting_exo.csv").write_bytes(export(rng, s[0] == "A").encode())
     (folder / "broken.csv").write_text("nothing here")
     phase4 = {"variants": CONFIG["variants"], "subjects": {s: {"variant": "standard"} for s in subjects}}
-    config = {
-        "phase4": phase4, "tasks": ["lifting", "default"], "groups": {"ALS": subjects[:3], "Healthy": subjects[3:]}, "excluded_from_analysis": {}, "repairs": {subjects[0]: ["lifting_exo"]},
-        "priorities": [["kpi_duration_s__median", 1], ["kpi_abs_rms_mean__median", 1], ["kpi_peak_gyro_mag__median", 2]], "curation": [{"subject": subjects[5], "trial": "LIFTING_noexo", "action": "drop_last"}],
-    }
-    run = cli.Run(spark, str(tmp_path), config)
-    for name in cli.ORDER:
+    run = cli.Run(spark, str(tmp_path), {"phase4": phase4, "repairs": {subjects[0]: ["lifting_exo"]}})
+    for name in ("0", "2", "2b", "3", "4", "5"):
         cli.PHASES[name](run)
     facts = {(r["subject"], r["trial"]): r for r in run.read("facts").collect()}
-    assert facts[subjects[5], "broken"]["issue"] and facts[subjects[0], "lifting_exo"]["names"] == "Biceps|Triceps" and facts[subjects[0], "lifting_exo"]["name_issue"] == ""
-    assert run.read("emg_raw").count() == 12 * 2 * 2800 and run.read("imu_raw").count() == 12 * 2 * 700
+    assert facts[subjects[1], "broken"]["issue"] and facts[subjects[0], "lifting_exo"]["names"] == "Biceps|Triceps" and facts[subjects[0], "lifting_exo"]["name_issue"] == ""
+    assert run.read("emg_raw").count() == 2 * 2 * 2800 and run.read("imu_raw").count() == 2 * 2 * 700
     assert {r["status"] for r in run.read("status").collect()} == {"OK"}
     e = run.read("episodes")
-    assert e.count() == 12 - 1 and e.where("abs(duration_s - 10.3) > 0.6").count() == 0  # gaps of 2.5 s are below the least gap
-    f = run.read("features")
-    assert f.count() == run.read("windows").where("emg_ok OR imu_ok").count() > 500 and f.where("EMG_Biceps_MAV IS NULL OR IMU_Triceps_gyro_mag_mean IS NULL OR EMG_CoAct_Bic_Tri IS NULL").count() < 0.05 * f.count()
-    k = run.read("subject_kpis")
-    assert k.count() == 6 and k.where("kpi_duration_s__median > 3").count() == 6
+    assert e.count() == 2 and e.where("abs(duration_s - 10.3) > 0.6").count() == 0  # gaps of 2.5 s are below the least gap
+    assert run.read("windows").where("emg_ok AND imu_ok").count() > 150
+
+
+def test_matrix_and_models_of_given_indicators(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(f"{g}_{k}", float((g == "ALS") * 3 + rng.normal()), float(rng.normal()), None if k == 2 else float(k)) for g in ("ALS", "Healthy") for k in range(5)]
+    config = {"groups": {"ALS": [r[0] for r in rows[:5]], "Healthy": [r[0] for r in rows[5:]]}, "excluded_from_analysis": {"ALS_4": "artefacts"}, "priorities": [["kpi_a__median", 1], ["kpi_b__median", 2], ["kpi_none", 1]]}
+    run = cli.Run(spark, str(tmp_path), config)
+    run.write(spark.createDataFrame(rows, "subject string, kpi_a__median double, kpi_b__median double, kpi_c__median double"), "subject_kpis")
+    for name in ("8", "10"):
+        cli.PHASES[name](run)
+    cli.phase_9(run, "groups")
     m = run.read("matrix")
-    assert set(m.columns) <= {"subject", "kpi_duration_s__median", "kpi_abs_rms_mean__median", "kpi_peak_gyro_mag__median"} and m.count() == 6
-    p = run.read("folds")
-    assert p.count() == 18 and p.where("correct").count() >= 12  # the groups' amplitudes differ
-    assert run.read("statistics/groups").where("measure = 'kpi_abs_rms_mean__median'").first()["rank_biserial"] == pytest.approx(-1)
-    assert run.read("statistics/descriptive").where("grp = 'All'").count() > 5 and run.read("predictions").count() == 6
+    assert set(m.columns) == {"subject", "kpi_a__median", "kpi_b__median"} and m.count() == 9
+    assert run.read("folds").count() == 27 and run.read("folds").where("correct").count() >= 15 and run.read("predictions").count() == 9
+    assert run.read("statistics/groups").where("measure = 'kpi_a__median'").first()["rank_biserial"] < -0.5
     assert cli.main(["11", "--root", str(tmp_path)]) == 2 and cli.main(["9:nothing", "--root", str(tmp_path)]) == 2
