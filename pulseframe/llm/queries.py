@@ -88,8 +88,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    found = (op1_jaccard_join, op2_quality_trees, op3_language_model, op4_fair_mix, op5_benchmark_leaks, op6_token_files, op7_token_counts, op8_personal_data, op9_preference_pairs, op10_toxicity)
+    found = (op1_jaccard_join, op2_quality_trees, op3_language_model, op4_fair_mix, op5_benchmark_leaks, op6_token_files, op7_token_counts, op8_personal_data, op9_preference_pairs, op10_toxicity, op13_target_resampling)
     return {f.__name__: f for f in found}
 
 

@@ -27,6 +27,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task sorts.
+SORTED_ROWS = 500_000
+
+
+def in_order(rows: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
+    """(rows with their place 1, 2, ... in the order as column `name`, number of rows).
+
+    Rows are sorted by sampled ranges, spread further where they tie, and written; each range's rows are counted
+    (one number a range) and a row's place is the counts before its range plus its place there.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SORTED_ROWS))
+    spread = rows.withColumn("__tie", F.monotonically_increasing_id())
+    dealt = spread.repartitionByRange(parts, *order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
+    dealt = written(dealt.withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    dealt = dealt.withColumn("__part", F.shiftright("__at", 33))
+    starts, before = [], 0
+    for r in sorted(dealt.groupBy("__part").count().collect()):  # one row a range
+        starts.append((r["__part"], before))
+        before += r["count"]
+    starts = F.broadcast(spark.createDataFrame(starts, "__part long, __before long"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return dealt.join(starts, "__part").withColumn(name, place).drop("__at", "__part", "__before"), n
+
+
 _BLOCK = 32
 
 
