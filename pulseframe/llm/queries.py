@@ -88,6 +88,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit_sources
+
+    return audit_sources(_table(spark, sf_dir, "documents"))
+
+
 def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .top_products import query_rows, top_products
 
@@ -101,11 +107,11 @@ def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_jaccard_join, op2_quality_trees, op3_language_model, op4_fair_mix, op5_benchmark_leaks, op6_token_files, op7_token_counts, op8_personal_data, op9_preference_pairs, op10_toxicity, op12_top_products, op13_target_resampling)
+    found = (op1_jaccard_join, op2_quality_trees, op3_language_model, op4_fair_mix, op5_benchmark_leaks, op6_token_files, op7_token_counts, op8_personal_data, op9_preference_pairs, op10_toxicity, op11_source_divergence, op12_top_products, op13_target_resampling)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, mixing, top_products
+    from . import chat, divergence, mixing, top_products
 
-    return {"op4_fair_mix": mixing.ORACLE, "op9_preference_pairs": chat.ORACLE, "op12_top_products": top_products.ORACLE}
+    return {"op4_fair_mix": mixing.ORACLE, "op9_preference_pairs": chat.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_top_products": top_products.ORACLE}

@@ -119,7 +119,7 @@ class Checksums:
 
 def feature_buckets(t: Texts, sums: Checksums, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(16-bit buckets of all features, offsets of the rows in them, words of each row) of a slice of texts."""
-    w = Words(t, True, NO_LETTER)
+    w = Words(t, True, NO_LETTER, hashed=False)
     n = len(w.start)
     if not n:
         return np.zeros(0, np.uint16), np.zeros(t.rows + 1, np.int64), w.count

@@ -113,9 +113,9 @@ class Texts:
 
 
 class Words:
-    """Words of a slice: start, end (byte), first (rows + 1, word index), row, hash."""
+    """Words of a slice: start, end (byte), first (rows + 1, word index), row, and hash if asked for."""
 
-    def __init__(self, t: Texts, lower: bool = False, separators: np.ndarray = _IS_SEP) -> None:
+    def __init__(self, t: Texts, lower: bool = False, separators: np.ndarray = _IS_SEP, hashed: bool = True) -> None:
         buf, off = t.buf, t.off
         n = len(buf)
         inside = ~separators[buf]
@@ -132,7 +132,8 @@ class Words:
         self.row = np.repeat(np.arange(t.rows), self.count)
         self.inside = inside
         self.bytes = t.lowered() if lower else buf
-        self.hash = range_hash(self.bytes, self.start, self.end)
+        if hashed:
+            self.hash = range_hash(self.bytes, self.start, self.end)
 
     def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, row) of every n-word window that stays inside its row."""

@@ -19,7 +19,7 @@ def brute(rows: list, every: int = 50, k: int = 5) -> list:
     out = []
     for a, (i, q) in enumerate(whole):
         if i is not None and i % every == 0:
-            scores = [(sum(x * y for x, y in zip(q, p)), j) for b, (j, p) in enumerate(whole) if b != a]
+            scores = [(max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(q, p)))), j) for b, (j, p) in enumerate(whole) if b != a]
             scores.sort(key=lambda s: (-s[0], s[1] is None, s[1] or 0))
             out += [(i, r + 1, j, s) for r, (s, j) in enumerate(scores[:k])]
     return sorted(out, key=str)
