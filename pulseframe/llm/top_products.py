@@ -1,7 +1,7 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors become integers (floor of a scale times each component).  They are sorted by length in sampled ranges and
-packed into blocks of similar length, longest first; ranges are the groups that tasks search.  Each query first meets
+packed into blocks of similar length, longest first; neighbouring blocks are the groups that tasks search.  Each query first meets
 at most SEEDS vectors, which give it a score that its k-th best reaches at least; divided by the query's length, that is
 the least length of a vector that matters to it.  Queries are packed by that reach, so a pack goes to the groups
 that hold long enough vectors and to no others; no table is held by one task or the driver.
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, written
+from .shared import bounded_sample, in_order, written
 
 SEEDS = 4096
 BLOCK = 2048
@@ -85,8 +85,8 @@ def _matrix(cells, dim: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packs(most: int) -> Callable:
-    """Packs the sorted rows of each partition into blocks, and blocks into parts of at most `most` rows."""
+def _packs() -> Callable:
+    """Packs the sorted rows of each partition, which is one group, into blocks."""
 
     def cut(dim: np.ndarray) -> list[int]:
         if len(dim) <= BLOCK and int(dim.max(initial=0)) * len(dim) <= BLOCK_VALUES:
@@ -99,23 +99,18 @@ def _packs(most: int) -> Callable:
         return ends
 
     def run(batches):
-        part, held = -1, 0
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
             dim = col("dim").to_numpy()
             ends = cut(dim)
             for lo, hi in zip(ends, ends[1:]):
-                if part < 0 or held + hi - lo > most:
-                    part, held = (part + 1 if part >= 0 else int(col("__part")[0].as_py()) << 32), 0
-                held += hi - lo
-                piece = b.slice(lo, hi - lo)
-                of = lambda c: piece.column(piece.schema.get_field_index(c))  # noqa: E731, B023
-                narrow = _matrix(of("vector"), dim[lo:hi])
-                small = narrow.astype(np.int32)
-                body = small.tobytes() if (small == narrow).all() else narrow.tobytes()
-                cells = [pa.array([part]), pa.array([float(pc.max(of("hi")).as_py())])]
+                of = lambda c: col(c).slice(lo, hi - lo)  # noqa: E731, B023
+                v = _matrix(of("vector"), dim[lo:hi])
+                small = v.astype(np.int32)
+                body = (small if (small == v).all() else v).tobytes()
+                cells = [pa.array([of("__part")[0].as_py()], pa.int64()), pa.array([float(pc.max(of("hi")).as_py())])]
                 cells += [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), of(c)) for c in ("id", "__row", "norm", "theta", "tie")]
-                yield pa.RecordBatch.from_arrays([*cells, pa.array([narrow.shape[1]], pa.int32()), pa.array([body], pa.binary())], ["part", "hi", "id", "__row", "norm", "theta", "tie", "dim", "vectors"])
+                yield pa.RecordBatch.from_arrays([*cells, pa.array([v.shape[1]], pa.int32()), pa.array([body], pa.binary())], ["part", "hi", "id", "__row", "norm", "theta", "tie", "dim", "vectors"])
 
     return run
 
@@ -312,15 +307,17 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 2
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = min(GROUP, max(BLOCK // 2, -(-n // tasks)))
 
-    def packed(df: DataFrame, most: int, size: int, name: str) -> DataFrame:
-        dealt = df.repartitionByRange(max(1, -(-size // most)), F.col("hi").desc(), "__row").sortWithinPartitions(F.col("hi").desc(), "__row")
-        return written(dealt.withColumn("__part", F.spark_partition_id()).mapInArrow(_packs(most), PACKED), name)
+    def packed(df: DataFrame, most: int, name: str) -> DataFrame:
+        """Groups of `most` neighbours in the order of `hi`, whatever the partitions of the sort."""
+        placed, size = in_order(df, [F.col("hi").desc(), F.col("__row")], "__place")
+        near = placed.withColumn("__part", F.expr(f"(__place - 1) div {most}").cast("int")).repartitionById(max(1, -(-size // most)), "__part")
+        return written(near.sortWithinPartitions("__place").drop("__place").mapInArrow(_packs(), PACKED), name)
 
     nothing = F.lit(None).cast("long")
-    blocks = packed(rows.withColumn("hi", F.col("norm")).withColumn("theta", nothing).withColumn("tie", nothing), group, n, "top-blocks")
+    blocks = packed(rows.withColumn("hi", F.col("norm")).withColumn("theta", nothing).withColumn("tie", nothing), group, "top-blocks")
     asking = rows.where("__row < 0")
     seeded = written(asking.mapInArrow(_seeded(seeds, k), f"{VECTOR}, theta long, tie long, hi double"), "top-queries")
-    packs = packed(seeded, PACK, seeded.count(), "top-packs")
+    packs = packed(seeded, PACK, "top-packs")
 
     # One row a group or pack of thousands of vectors; a pack's `hi` is less its least reach.
     groups = [(r["part"], r["hi"]) for r in blocks.groupBy("part").agg(F.max("hi").alias("hi")).sort("part").collect()]
