@@ -110,41 +110,17 @@ def valid_windows(windows: DataFrame, flags=("emg_ok", "imu_ok")) -> DataFrame:
     return windows if len(have) < len(flags) else windows.where(" OR ".join(f"coalesce({f}, false)" for f in have))
 
 
-def window_features(windows: DataFrame, emg: DataFrame, imu: DataFrame, muscles: list[str], sensors: list[str], pair=("Biceps", "Triceps"), fs: float = 1259.26, length: float = 0.2, step: float = 0.1, least_emg: int = 32, least_imu: int = 8, keys=("subject", "trial", "episode_id", "window_id")) -> DataFrame:
+def window_features(windows: DataFrame, emg: DataFrame, imu: DataFrame, muscles: list[str], sensors: list[str], pair=("Biceps", "Triceps"), fs: float | None = None, length: float = 0.2, least_emg: int = 32, least_imu: int = 8, trial=("subject", "trial"), span: float = 120.0) -> DataFrame:
     """One wide row a window: EMG_<muscle>_<feature>, IMU_<sensor>_<summary>, pooled columns, has_emg and has_imu.
 
-    emg: subject, trial, sensor, t, emg_bp, env_norm; imu: subject, trial, sensor, t, gyro_mag, acc_mag, acc_dyn, acc_x_g, acc_y_g, acc_z_g.
-    The lists of sensors fix the columns.
+    emg: trial, sensor, t, emg_bp, env_norm; imu: trial, sensor, t, gyro_mag, acc_mag, acc_dyn, acc_x_g, acc_y_g, acc_z_g.
+    The lists of sensors fix the columns.  The rate is `fs`, or the windows' fs_emg_est, or that of the times in a window.
+    A missing sample makes a channel's mean features missing, as it does the spectrum; counts leave it out.  Samples and
+    windows are shuffled once each, by trial and stretch of `span` seconds.
     """
-    from pulseframe.operators.signals import spectral_features
-    from pulseframe.operators.windowing import samples_in_windows
-
-    keys, trial = list(keys), ("subject", "trial")
-    spans = windows.select(*keys, "t_start", "t_end")
-    inside = samples_in_windows(emg.select(*trial, "sensor", "t", "emg_bp", "env_norm"), spans, length, step, trial)
-    by = [*keys, "sensor"]
-    enough = inside.withColumn("__n", F.count("emg_bp").over(Window.partitionBy(*by))).where(F.col("__n") >= least_emg).drop("__n")
-    td = time_domain(enough, "emg_bp", by, least=least_emg)
-    ar = ar_coefficients(enough, "emg_bp", by)
-    freq = spectral_features(enough.select(*by, "t", "emg_bp"), "emg_bp", by, fs, batch=(*trial, "sensor"))
-    each = td.join(ar, by, "left").join(freq, by, "left")
-    names = ["MAV", "RMS", "WL", "WAMP", "ZC", "MNF", "MDF", "AR1", "AR2", "AR3", "AR4"]
-    one = lambda sensor, c: F.max(F.when(F.col("sensor") == sensor, F.col(c)))
-    wide_emg = each.groupBy(*keys).agg(*[one(m, c).alias(f"EMG_{m}_{c}") for m in muscles for c in names], F.sum("MAV").alias("EMG_global_effort_MAV_sum"))
-    coact = coactivation_on_grid(inside, "env_norm", *pair, keys).withColumnRenamed("coact", "EMG_CoAct_Bic_Tri")
-    any_emg = inside.select(*keys).distinct().withColumn("has_emg", F.lit(True))
-
-    moving = samples_in_windows(imu, spans, length, step, trial)
-    summary = imu_summary(moving, ["gyro_mag", "acc_mag", "acc_dyn"], by).drop("acc_dyn_peak")
-    jerk = mean_jerk(moving, ("acc_x_g", "acc_y_g", "acc_z_g"), by, least=least_imu)
-    steps = summary.join(jerk, by, "left")
-    kinds = [c for c in steps.columns if c not in by]
-    wide_imu = steps.groupBy(*keys).agg(*[one(s, c).alias(f"IMU_{s}_{c}") for s in sensors for c in kinds])
-    pooled = moving.groupBy(*keys).agg(F.avg("gyro_mag").alias("IMU_all_gyro_mag_mean"), F.max("gyro_mag").alias("IMU_all_gyro_mag_peak"), F.lit(True).alias("has_imu"))
-    out = windows
-    for part in (any_emg, wide_emg, coact, pooled, wide_imu):
-        out = out.join(part, keys, "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_emg", "has_imu")})
+    from pulseframe.operators.window_pass import features_of
+
+    return features_of(emg, imu, windows, muscles, sensors, pair, length, fs, least_emg, least_imu, trial, span)
 
 
 def feature_table_report(features: DataFrame, required: list[str], optional: list[str], keys=("subject",), length: float = 0.2) -> DataFrame:

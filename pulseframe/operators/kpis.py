@@ -52,9 +52,10 @@ def task_medians(df: DataFrame, columns: list[str], tasks: list[str], keys=("sub
 
 def mismatch_index(df: DataFrame, effort: str, motion: str) -> DataFrame:
     """z(effort) - z(motion) over all subjects, population sd; NULL where a sd is 0."""
-    every = Window.partitionBy()
-    z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(every), F.stddev_pop(c).over(every))
-    return df.withColumn("z_effort", z(effort)).withColumn("z_motion", z(motion)).withColumn("nmd", F.col("z_effort") - F.col("z_motion"))
+    one = df.agg(*[f(c).alias(f"__{n}_{k}") for k, c in (("e", effort), ("m", motion)) for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    z = lambda c, k: F.try_divide(F.col(c) - F.col(f"__mean_{k}"), F.col(f"__sd_{k}"))
+    d = df.crossJoin(F.broadcast(one))  # one row
+    return d.withColumn("z_effort", z(effort, "e")).withColumn("z_motion", z(motion, "m")).withColumn("nmd", F.col("z_effort") - F.col("z_motion")).drop("__mean_e", "__sd_e", "__mean_m", "__sd_m")
 
 
 def average_rank(x: str, keys) -> Column:
@@ -232,20 +233,18 @@ def envelope_kpis(envelopes: DataFrame, intervals: DataFrame, sensors: list[str]
 
 
 def subject_kpis(trials: DataFrame, tasks: list[str], effort: str = "kpi_abs_rms_distal__median", motion: str = "kpi_peak_gyro_mag__median") -> DataFrame:
-    """Median, mean and sd of every indicator, medians by task, counts and rates of usable trials, most frequent facts, and the mismatch index."""
+    """Median, mean and sd of every indicator, medians by task, counts and rates of usable trials, most frequent facts (one aggregation), and the mismatch index."""
     numbers = [f.name for f in trials.schema if f.dataType.simpleString() in ("double", "bigint", "int") and f.name not in ("t_on", "t_off", "subject", "trial")]
-    out = multi_stats(trials, numbers)
-    if "task_type" in trials.columns:
-        out = out.join(task_medians(trials, numbers, tasks, task="task_type"), "subject", "left")
     yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     n = F.count(F.lit(1))
     valid, emg, pair = yes(F.col("t_off") > F.col("t_on")), yes(F.col("kpi_emg_valid")), yes(F.col("kpi_has_bictri_pair"))
+    stats = [f(c).alias(f"{c}__{k}") for c in numbers for k, f in (("median", F.median), ("mean", F.avg), ("std", F.stddev_samp))]
+    by_task = [F.median(F.when(F.col("task_type") == k, F.col(c))).alias(f"{c}__taskmed__{k}") for k in tasks for c in numbers] if "task_type" in trials.columns else []
     facts = [most_frequent(c).alias(c) for c in ("group", "exo", "session") if c in trials.columns]
-    rates = trials.groupBy("subject").agg(
-        n.alias("n_trials"), valid.alias("n_trials_valid_interval"), emg.alias("n_trials_emg_valid"), pair.alias("n_trials_has_bictri_pair"),
+    out = trials.groupBy("subject").agg(
+        *stats, *by_task, n.alias("n_trials"), valid.alias("n_trials_valid_interval"), emg.alias("n_trials_emg_valid"), pair.alias("n_trials_has_bictri_pair"),
         (valid / n).alias("rate_valid_interval"), (emg / n).alias("rate_emg_valid"), (pair / n).alias("rate_has_bictri_pair"), *facts,
     )
-    out = out.join(rates, "subject", "left")
     if {effort, motion} <= set(out.columns):
         out = mismatch_index(out, effort, motion).withColumnsRenamed({"z_effort": "kpi_NMD_z_effort", "z_motion": "kpi_NMD_z_motion", "nmd": "kpi_NMD"})
     return out

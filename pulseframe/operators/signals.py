@@ -102,13 +102,13 @@ def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def welch(x: np.ndarray, fs: float, segment: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, power density): Hann windows, half overlap, each segment's mean removed."""
-    m = min(segment, len(x))
+    """(frequencies, power density) along the last axis: Hann windows, half overlap, each segment's mean removed."""
+    m = min(segment, x.shape[-1])
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(m) / m)
-    parts = np.lib.stride_tricks.sliding_window_view(x, m)[:: max(1, m - m // 2)]
-    power = np.abs(np.fft.rfft((parts - parts.mean(1, keepdims=True)) * w)) ** 2
-    power = power.mean(0) / (fs * (w**2).sum())
-    power[1 : -1 if m % 2 == 0 else None] *= 2
+    parts = np.lib.stride_tricks.sliding_window_view(x, m, axis=-1)[..., :: max(1, m - m // 2), :]
+    power = np.abs(np.fft.rfft((parts - parts.mean(-1, keepdims=True)) * w)) ** 2
+    power = power.mean(-2) / (fs * (w**2).sum())
+    power[..., 1 : -1 if m % 2 == 0 else None] *= 2
     return np.fft.rfftfreq(m, 1 / fs), power
 
 
@@ -211,15 +211,22 @@ def tremor_gate(df: DataFrame, x: str, keys=("subject", "trial"), order=("row",)
     return _by_channel(df, keys, order, make, [("gate", T.DoubleType())])
 
 
-def spectral_features(df: DataFrame, x: str, keys, fs: float, order=("t",), batch=None) -> DataFrame:
-    """MNF and MDF of each window; windows that share the `batch` keys (all keys, if not given) go to Python together."""
+def spectral_features(df: DataFrame, x: str, keys, fs: float, order=("t",), batch=None, least: int = 32) -> DataFrame:
+    """MNF and MDF of each window; windows that share the `batch` keys (all keys, if not given) go to Python together, those of one size as a matrix."""
     import pandas as pd
 
+    from pulseframe.operators.window_pass import spectra, stacks
+
     names = list(keys)
     schema = T.StructType([df.schema[k] for k in names] + [T.StructField(n, T.DoubleType()) for n in ("MNF", "MDF")])
 
     def run(pdf):
-        rows = [[*(k if isinstance(k, tuple) else (k,)), mean_frequency(v, fs), median_frequency(v, fs)] for k, v in ((k, g[x].to_numpy(float)) for k, g in pdf.sort_values(list(order), kind="stable").groupby(names, sort=False))]
-        return pd.DataFrame(rows, columns=[*names, "MNF", "MDF"])
+        pdf = pdf.sort_values([*names, *order], kind="stable").reset_index(drop=True)
+        first = np.flatnonzero(~pdf.duplicated(names).to_numpy())
+        last = np.r_[first[1:], len(pdf)]
+        out, v = np.full((2, len(first)), np.nan), pdf[x].to_numpy(float)
+        for own, at in stacks(first, last, least):
+            out[:, own] = spectra(v[at], np.full(len(own), float(fs)))
+        return pd.concat([pdf.loc[first, names].reset_index(drop=True), pd.DataFrame({"MNF": out[0], "MDF": out[1]})], axis=1)
 
     return df.groupBy(*(batch or names)).applyInPandas(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPISODE = ("subject", "trial", "episode_id")
@@ -32,9 +32,15 @@ def samples_in_windows(samples: DataFrame, windows: DataFrame, length: float = 0
 
 def rate(samples: DataFrame, keys=("subject", "trial"), least: int = 3) -> DataFrame:
     """fs_est: 1 / median step of the distinct times of a trial."""
-    d = samples.select(*keys, "t").distinct()
-    d = d.withColumn("dt", F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t")))
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median(F.when(F.col("dt") > 0, F.col("dt"))).alias("dt")).select(*keys, F.when(F.col("n") >= least, F.try_divide(F.lit(1.0), F.col("dt"))).alias("fs_est"))
+    d = samples.select(*keys, "t").withColumn("dt", F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t")))
+    steps = F.when(F.col("dt") > 0, F.col("dt"))
+    return d.groupBy(*keys).agg(F.count(steps).alias("n"), F.median(steps).alias("dt")).select(*keys, F.when(F.col("n") >= least - 1, F.try_divide(F.lit(1.0), F.col("dt"))).alias("fs_est"))
+
+
+def _flags(n: Column, fs: Column, gap: Column, length: float, least_coverage: float, longest_gap: float) -> dict[str, Column]:
+    covered = F.coalesce(F.try_divide(n, fs * length) >= least_coverage, F.lit(False))
+    gap_ok = F.coalesce(gap <= longest_gap, F.lit(False))
+    return {"expected_n": fs * length, "cov_ok": covered, "gap_ok": gap_ok, "ok": covered & gap_ok}
 
 
 def window_quality(samples: DataFrame, windows: DataFrame, length: float = 0.2, step: float = 0.1, least_coverage: float = 0.6, longest_gap: float = 0.05, trial=("subject", "trial")) -> DataFrame:
@@ -44,7 +50,24 @@ def window_quality(samples: DataFrame, windows: DataFrame, length: float = 0.2,
     inside = inside.withColumn("dt", F.col("t") - F.lag("t").over(Window.partitionBy(*key).orderBy("t")))
     got = inside.groupBy(*key).agg(F.count_distinct("t").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.max(F.when(F.col("dt") > 0, F.col("dt"))).alias("max_gap_s"))
     out = windows.join(got, key, "left").join(rate(samples, trial), list(trial), "left").withColumns({"n": F.coalesce("n", F.lit(0)), "n_rows": F.coalesce("n_rows", F.lit(0))})
-    expected = F.col("fs_est") * length
-    covered = F.coalesce(F.try_divide(F.col("n"), expected) >= least_coverage, F.lit(False))
-    gap_ok = F.coalesce(F.col("max_gap_s") <= longest_gap, F.lit(False))
-    return out.withColumns({"expected_n": expected, "cov_ok": covered, "gap_ok": gap_ok, "ok": covered & gap_ok})
+    return out.withColumns(_flags(F.col("n"), F.col("fs_est"), F.col("max_gap_s"), length, least_coverage, longest_gap))
+
+
+def both_rates(emg: DataFrame, imu: DataFrame, trial=("subject", "trial"), least: int = 3) -> DataFrame:
+    """fs_emg_est and fs_imu_est of each trial, with one shuffle of the samples' times."""
+    both = emg.select(*trial, "t", F.lit("emg").alias("__m")).unionByName(imu.select(*trial, "t", F.lit("imu").alias("__m"))).repartition(*trial)
+    d = both.withColumn("dt", F.col("t") - F.lag("t").over(Window.partitionBy(*trial, "__m").orderBy("t")))
+    steps = lambda m: F.when((F.col("dt") > 0) & (F.col("__m") == m), F.col("dt"))
+    est = lambda m: F.when(F.count(steps(m)) >= least - 1, F.try_divide(F.lit(1.0), F.median(steps(m)))).alias(f"fs_{m}_est")
+    return d.groupBy(*trial).agg(est("emg"), est("imu"))
+
+
+def windows_of_both(windows: DataFrame, emg: DataFrame, imu: DataFrame, length: float = 0.2, least_coverage: float = 0.6, longest_gap: float = 0.05, trial=("subject", "trial"), span: float = 120.0) -> DataFrame:
+    """All windows with both modalities' rates, counts, gaps and flags, out of one pass over the samples and one for the rates."""
+    from pulseframe.operators.window_pass import coverage_of
+
+    w = coverage_of(emg, imu, windows, length, trial, span).join(both_rates(emg, imu, trial), list(trial), "left")
+    for m in ("emg", "imu"):
+        flags = _flags(F.col(f"{m}_n"), F.col(f"fs_{m}_est"), F.col(f"{m}_max_gap_s"), length, least_coverage, longest_gap)
+        w = w.withColumns({f"{m}_{c}": v for c, v in flags.items()})
+    return w

@@ -174,13 +174,8 @@ def _percentile(config: dict) -> float:
 
 def windows_of(found: DataFrame, emg: DataFrame, imu: DataFrame, length: float = 0.2, step: float = 0.1, context: float = 0.0, least_coverage: float = 0.6, longest_gap: float = 0.05) -> DataFrame:
     """Windows of all episodes with both modalities' rates, counts, gaps and flags."""
-    key = [*TRIAL, "episode_id", "window_id"]
     w = windowing.make_windows(found, length, step, context).withColumn("context_used", F.lit(context > 0))
-    for name, samples in (("emg", emg), ("imu", imu)):
-        q = windowing.window_quality(samples, w.select(*key, "t_start", "t_end"), length, step, least_coverage, longest_gap, TRIAL)
-        renamed = {"n": f"{name}_n", "n_rows": f"{name}_n_rows", "max_gap_s": f"{name}_max_gap_s", "expected_n": f"{name}_expected_n", "cov_ok": f"{name}_cov_ok", "gap_ok": f"{name}_gap_ok", "ok": f"{name}_ok", "fs_est": f"fs_{name}_est"}
-        w = w.join(q.select(*key, *renamed).withColumnsRenamed(renamed), key, "left")
-    return w
+    return windowing.windows_of_both(w, emg, imu, length, least_coverage, longest_gap, TRIAL)
 
 
 # --- 6 to 8: features, indicators, matrix ---
@@ -193,9 +188,10 @@ def window_features(samples: DataFrame, windows: DataFrame, x: str = "x", length
 
 
 def indicators(feature_table: DataFrame, envelopes: DataFrame, sensors: list[str], tasks: list[str], least: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(trial indicators, subject indicators)."""
-    base = kpis.window_kpis(feature_table)
+    """(trial indicators, subject indicators); the trials' rows, which the subjects' are made of, are written once."""
+    base = tables.staged(kpis.window_kpis(feature_table), "trial-windows")
     trials = base.join(kpis.envelope_kpis(envelopes, base.select(*TRIAL, "t_on", "t_off"), sensors, least_sensor=least, least_any=least), list(TRIAL), "left")
+    trials = tables.staged(trials, "trial-indicators")
     return trials, kpis.subject_kpis(trials, tasks)
 
 
