@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions.dims import ape_status, median_ape, near_share, ok_fail, ok_warn_fail, status
+from pulseframe.operators.ranks import quantiles, same
 
 
 def rate_or_fallback(channels: DataFrame, report: DataFrame, keys, fallback: float, fs: str = "fs") -> DataFrame:
@@ -56,19 +57,22 @@ def window_table_report(windows: DataFrame, length: float = 0.2, step: float = 0
 
 def box_table(df: DataFrame, x: str, keys) -> DataFrame:
     """Quartiles and whiskers (the extremes inside the fences) of box plots."""
-    w = Window.partitionBy(*keys)
-    d = df.where(F.col(x).isNotNull()).withColumn("q1", F.percentile(x, 0.25).over(w)).withColumn("q3", F.percentile(x, 0.75).over(w))
+    keys = list(keys)
+    q = quantiles(df, x, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
+    d = df.where(F.col(x).isNotNull()).select(*keys, x).alias("d").join(q.alias("q"), same("d", "q", keys)).select(*[F.col(f"d.{k}") for k in keys], x, "q1", "median", "q3")
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.when(F.col(x).between(F.col("q1") - fence, F.col("q3") + fence), F.col(x))
-    return d.groupBy(*keys).agg(F.first("q1").alias("q1"), F.median(x).alias("median"), F.first("q3").alias("q3"), F.min(inside).alias("low"), F.max(inside).alias("high"), F.count(x).alias("n"))
+    return d.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("q1", "median", "q3")], F.min(inside).alias("low"), F.max(inside).alias("high"), F.count(x).alias("n"))
 
 
 def histogram(df: DataFrame, x: str, bins: int, keys=()) -> DataFrame:
     """Counts of equal bins between the extremes; the last bin holds its upper edge."""
-    w = Window.partitionBy(*keys)
-    d = df.where(F.col(x).isNotNull()).withColumn("lo", F.min(x).over(w)).withColumn("width", (F.max(x).over(w) - F.min(x).over(w)) / bins)
-    b = F.least(F.coalesce(F.floor(F.try_divide(F.col(x) - F.col("lo"), F.col("width"))), F.lit(0)), F.lit(bins - 1))
-    return d.groupBy(*keys, b.alias("bin")).agg(F.first(F.col("lo")).alias("__lo"), F.first("width").alias("__w"), F.count(F.lit(1)).alias("n")).select(*keys, "bin", (F.col("__lo") + F.col("bin") * F.col("__w")).alias("edge"), "n")
+    keys = list(keys)
+    d = df.where(F.col(x).isNotNull()).select(*keys, x)
+    ends = d.groupBy(*keys).agg(F.min(x).alias("__lo"), ((F.max(x) - F.min(x)) / bins).alias("__w"))
+    d = d.alias("d").join(ends.alias("e"), same("d", "e", keys)).select(*[F.col(f"d.{k}") for k in keys], x, "__lo", "__w")
+    b = F.least(F.coalesce(F.floor(F.try_divide(F.col(x) - F.col("__lo"), F.col("__w"))), F.lit(0)), F.lit(bins - 1))
+    return d.groupBy(*keys, b.alias("bin")).agg(F.first("__lo").alias("__lo"), F.first("__w").alias("__w"), F.count(F.lit(1)).alias("n")).select(*keys, "bin", (F.col("__lo") + F.col("bin") * F.col("__w")).alias("edge"), "n")
 
 
 def change_grid(df: DataFrame, row: str, column: str, x: str, columns: list[str]) -> DataFrame:

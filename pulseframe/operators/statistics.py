@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseframe.operators.kpis import average_rank, quantiles, value_ranks
+from pulseframe.operators.ranks import quantiles, row_ranks, value_ranks
 
 
 def describe(df: DataFrame, x: str, group: str, total: str = "All") -> DataFrame:
@@ -20,27 +20,30 @@ def describe(df: DataFrame, x: str, group: str, total: str = "All") -> DataFrame
         F.grouping("__g").alias("__all"), F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
         F.min("x").alias("least"), F.max("x").alias("largest"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"),
     )
-    qs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    q = quantiles(d, "x", qs, ("__g",)).withColumn("__f", F.lit(0)).unionByName(quantiles(d, "x", qs).withColumn("__f", F.lit(1)), allowMissingColumns=True).withColumnRenamed("__g", "__h")
+    # Each row counts in its group and in all: one set of keys for quantiles and fences.
+    twice = d.select("x", F.explode(F.array(F.struct(F.col("__g").alias("__h"), F.lit(0).alias("__f")), F.struct(F.lit(None).cast(d.schema["__g"].dataType).alias("__h"), F.lit(1).alias("__f")))).alias("k")).select("x", "k.*")
+    q = quantiles(twice, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ("__h", "__f"))
     a = a.join(q, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__all") == F.col("__f"))).drop("__h", "__f").withColumn("iqr", F.col("q3") - F.col("q1"))
-    counts = d.groupBy("__g", "x").agg(F.count(F.lit(1)).alias("__c"))
     low, high = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
-    fences = a.select(F.col("__g").alias("__h"), F.col("__all").alias("__f"), low.alias("__lo"), high.alias("__hi"))
-    own = counts.join(fences.where("__f = 0"), F.col("__g").eqNullSafe(F.col("__h")))
-    whole = counts.crossJoin(F.broadcast(fences.where("__f = 1")))  # one row
-    out = own.unionByName(whole).groupBy("__h", "__f").agg(F.sum(F.when((F.col("x") < F.col("__lo")) | (F.col("x") > F.col("__hi")), F.col("__c")).otherwise(0)).alias("n_outliers"))
+    fences = a.select(F.col("__g").alias("__k"), F.col("__all").alias("__a"), low.alias("__lo"), high.alias("__hi"))
+    beyond = twice.join(fences, F.col("__h").eqNullSafe(F.col("__k")) & (F.col("__f") == F.col("__a")))
+    out = beyond.groupBy("__h", "__f").agg(F.count_if((F.col("x") < F.col("__lo")) | (F.col("x") > F.col("__hi"))).alias("n_outliers"))
     j = a.join(out, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__all") == F.col("__f")))
     name = F.when(F.col("__all") == 1, F.lit(total)).otherwise(F.col("__g")).alias(group)
     return j.select(name, "n", "mean", "sd", "median", "q1", "q3", "iqr", "least", "largest", "skew", "kurt", "n_outliers")
 
 
+def outlier_rows(df: DataFrame, key: str, x: str, group: str) -> DataFrame:
+    """group, key, x of rows outside the fences of their group."""
+    q = quantiles(df, x, {"__q1": 0.25, "__q3": 0.75}, (group,)).withColumnRenamed(group, "__g")
+    fence = 1.5 * (F.col("__q3") - F.col("__q1"))
+    d = df.select(group, key, x).join(q, F.col(group).eqNullSafe(F.col("__g")))
+    return d.where((F.col(x) < F.col("__q1") - fence) | (F.col(x) > F.col("__q3") + fence)).select(group, key, x)
+
+
 def tukey_outliers(df: DataFrame, key: str, x: str, group: str) -> DataFrame:
-    """Rows outside the fences of their group, listed by group."""
-    w = Window.partitionBy(group)
-    d = df.withColumn("q1", F.percentile(x, 0.25).over(w)).withColumn("q3", F.percentile(x, 0.75).over(w))
-    fence = 1.5 * (F.col("q3") - F.col("q1"))
-    out = d.where((F.col(x) < F.col("q1") - fence) | (F.col(x) > F.col("q3") + fence))
-    return out.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("who"))
+    """outlier_rows() as a report: the names of a group's outliers in one cell, which has to be short enough for a reader."""
+    return outlier_rows(df, key, x, group).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("who"))
 
 
 def normal_sf(z: Column) -> Column:
@@ -87,7 +90,7 @@ def friedman(df: DataFrame, subject: str, task: str, x: str, tasks: list[str], l
     """Tie-corrected chi-square over subjects with all tasks; for three tasks p = exp(-chi2 / 2)."""
     k = len(tasks)
     wide = df.groupBy(subject).pivot(task, tasks).agg(F.median(x)).dropna()
-    long = wide.unpivot([subject], tasks, "t", "v").withColumn("r", average_rank("v", (subject,)))
+    long = row_ranks(wide.unpivot([subject], tasks, "t", "v"), "v", (subject,), "r", k)
     long = long.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy(subject, "v")).cast("double"))
     ties = long.agg(F.sum(F.col("c") * F.col("c") - 1).alias("ties"), F.count_distinct(subject).cast("double").alias("n"))
     sums = long.groupBy("t").agg(F.sum("r").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
@@ -99,14 +102,12 @@ def friedman(df: DataFrame, subject: str, task: str, x: str, tasks: list[str], l
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family=(), name: str = "p_fdr") -> DataFrame:
-    """Adjusted p-values in each family; NULLs stay and do not count."""
+    """Adjusted p-values in each family; NULLs stay and do not count.  A family, which is a report's tests, is one task."""
     d = df.withColumn("__ok", F.col(p).isNotNull())
     w = Window.partitionBy(*family, "__ok")
-    scaled = F.col(p) * F.count(F.lit(1)).over(w) / F.rank().over(w.orderBy(F.desc(p))).cast("double")
     n = F.count(F.lit(1)).over(w)
     ascending = n - F.row_number().over(w.orderBy(F.desc(p))) + 1
     d = d.withColumn("__q", F.col(p) * n / ascending)
-    del scaled
     low = F.min("__q").over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
     return d.withColumn(name, F.when(F.col("__ok"), F.least(low, F.lit(1.0)))).drop("__ok", "__q")
 
