@@ -9,6 +9,8 @@ has distinct values; places before a range are sums over ranges.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,12 @@ def cut_points(df: DataFrame, x: str, full: int | None = None) -> list[float]:
     one = v.agg(F.count("v").alias("n"), F.percentile_approx("v", fractions, ACCURACY * CUTS).alias("cuts")).first()
     if one["n"] <= full:
         return []
-    cuts = sorted(set(one["cuts"]))
+    cuts = sorted(_around(one["cuts"]))
     largest = one["n"] * (1 / CUTS + 2 / (ACCURACY * CUTS))
     while largest > full:
         per = with_range(v, "v", cuts).groupBy("__r").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", fractions, ACCURACY * CUTS).alias("cuts"))
         crowded = [r for r in per.where((F.col("n") > full) & (F.col("lo") < F.col("hi"))).collect()]  # at most rows / full
-        # A range that a single value fills is cut right after and right before it.
-        fresh = {c for r in crowded for c in (*r["cuts"], r["hi"]) if r["lo"] < c <= r["hi"]} - set(cuts)
+        fresh = {c for r in crowded for c in _around([*r["cuts"], r["hi"]]) if r["lo"] < c <= r["hi"]} - set(cuts)
         if not fresh:
             break
         cuts = sorted(set(cuts) | fresh)
@@ -39,6 +40,11 @@ def cut_points(df: DataFrame, x: str, full: int | None = None) -> list[float]:
     return cuts
 
 
+def _around(found: list[float]) -> set[float]:
+    """Splitters; a value that was found twice is frequent and is also cut off from all above it."""
+    return {*found, *(math.nextafter(a, math.inf) for a, b in zip(found, found[1:]) if a == b)}
+
+
 def with_range(df: DataFrame, x: str, cuts: list[float]) -> DataFrame:
     """df with __r: the number of splitters at or below x, found among every _COARSE-th one and then between two of these."""
     if not cuts:
