@@ -6,16 +6,12 @@ tasks.  Scaling is fitted inside the fold.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def balanced_weights(y: np.ndarray) -> np.ndarray:
-    n = np.bincount(y, minlength=2).astype(float)
-    return (len(y) / (2 * np.maximum(n, 1)))[y]
+from pulseframe.operators.margins import SupportVectors
+from pulseframe.operators.trees import Forest, balanced_weights
 
 
 def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0):
@@ -31,122 +27,11 @@ def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0):
     return lambda v: 1 / (1 + np.exp(-(np.c_[v, np.ones(len(v))] @ beta)))
 
 
-def svm_rbf(x: np.ndarray, y: np.ndarray, c: float = 1.0, sweeps: int = 200):
-    """RBF support vectors (gamma 'scale', balanced) by dual coordinate ascent with the bias in the kernel, then a logistic map of the margin."""
-    var = x.var()
-    gamma = 1 / (x.shape[1] * var) if var > 0 else 1.0
-    kernel = lambda a, b: np.exp(-gamma * ((a[:, None] - b[None]) ** 2).sum(2)) + 1.0
-    s, k, top = 2 * y - 1.0, kernel(x, x), c * balanced_weights(y)
-    alpha = np.zeros(len(x))
-    for _ in range(sweeps):
-        old = alpha.copy()
-        for i in range(len(x)):
-            grad = 1 - s[i] * (k[i] @ (alpha * s))
-            alpha[i] = min(max(alpha[i] + grad / k[i, i], 0.0), top[i])
-        if np.abs(alpha - old).max() < 1e-8:
-            break
-    margin = lambda v: kernel(v, x) @ (alpha * s)
-    to_p = logistic(margin(x)[:, None], y)
-    return lambda v: to_p(margin(v)[:, None])
-
-
-def _tree(x, y, w, depth: int, leaf: int, rng, features: int):
-    total = w.sum()
-    p = (w * y).sum() / total
-    if depth == 0 or p in (0.0, 1.0) or len(y) < 2 * leaf:
-        return p, total
-    best = (1e-12, None)
-    gini = lambda q: 2 * q * (1 - q)
-    for j in rng.choice(x.shape[1], features, replace=False):
-        order = np.argsort(x[:, j], kind="stable")
-        v, cw, cy = x[order, j], np.cumsum(w[order]), np.cumsum((w * y)[order])
-        for i in range(leaf - 1, len(y) - leaf):
-            if v[i] < v[i + 1]:
-                l, r = cw[i], total - cw[i]
-                gain = gini(p) - (l * gini(cy[i] / l) + r * gini((cy[-1] - cy[i]) / r)) / total
-                if gain > best[0]:
-                    best = (gain, (j, (v[i] + v[i + 1]) / 2))
-    if best[1] is None:
-        return p, total
-    j, cut = best[1]
-    left = x[:, j] <= cut
-    return j, cut, _tree(x[left], y[left], w[left], depth - 1, leaf, rng, features), _tree(x[~left], y[~left], w[~left], depth - 1, leaf, rng, features), best[0] * total
-
-
-def _tree_value(t, v, known=None):
-    """Value of a tree; features outside `known` are averaged by training weight."""
-    if len(t) == 2:
-        return t[0]
-    j, cut, a, b, _ = t
-    if known is None or j in known:
-        return _tree_value(a if v[j] <= cut else b, v, known)
-    wa, wb = _tree_weight(a), _tree_weight(b)
-    return (wa * _tree_value(a, v, known) + wb * _tree_value(b, v, known)) / (wa + wb)
-
-
-def _tree_weight(t):
-    return t[1] if len(t) == 2 else _tree_weight(t[2]) + _tree_weight(t[3])
-
-
-def _tree_gains(t, out):
-    if len(t) > 2:
-        out[t[0]] += t[4]
-        _tree_gains(t[2], out)
-        _tree_gains(t[3], out)
-
-
-def grow_forest(x, y, trees: int = 500, depth: int = 2, leaf: int = 3, seed: int = 42) -> list:
-    rng = np.random.default_rng(seed)
-    w, m = balanced_weights(y), max(1, int(np.sqrt(x.shape[1])))
-    out = []
-    for _ in range(trees):
-        pick = rng.integers(0, len(y), len(y))
-        out.append(_tree(x[pick], y[pick], w[pick], depth, leaf, rng, m))
-    return out
-
-
-def forest(x, y, **kw):
-    f = grow_forest(x, y, **kw)
-    return lambda v: np.array([np.mean([_tree_value(t, r) for t in f]) for r in v])
-
-
-def gini_importance(trees: list, features: int) -> np.ndarray:
-    total = np.zeros(features)
-    for t in trees:
-        own = np.zeros(features)
-        _tree_gains(t, own)
-        total += own / own.sum() if own.sum() > 0 else own
-    return total / total.sum() if total.sum() > 0 else total
-
-
-def shapley(trees: list, x: np.ndarray) -> np.ndarray:
-    """Exact Shapley values of each row by all subsets of the (few) features."""
-    from math import factorial
-
-    k = x.shape[1]
-    sets = [frozenset(c) for n in range(k + 1) for c in itertools.combinations(range(k), n)]
-    out = np.zeros_like(x)
-    for i, v in enumerate(x):
-        value = {s: float(np.mean([_tree_value(t, v, s) for t in trees])) for s in sets}
-        for j in range(k):
-            out[i, j] = sum(factorial(len(s)) * factorial(k - len(s) - 1) / factorial(k) * (value[s | {j}] - value[s]) for s in sets if j not in s)
-    return out
-
-
-def importance_rows(names: list[str], trees: list, x: np.ndarray) -> list[tuple]:
-    """(feature, mean |Shapley value|, its share, rank, direction, Gini importance) of a small matrix.
-
-    The direction is the sign with which a feature's value and its Shapley value go together.
-    """
-    phi, gini = shapley(trees, x), gini_importance(trees, x.shape[1])
-    size = np.abs(phi).mean(0)
-    together = ((x - x.mean(0)) * (phi - phi.mean(0))).sum(0)
-    rank = np.argsort(np.argsort(-size, kind="stable")) + 1
-    way = np.where(together > 0, "up", np.where(together < 0, "down", "none"))
-    return [(n, float(s), float(s / size.sum()) if size.sum() else 0.0, int(r), str(d), float(g)) for n, s, r, d, g in zip(names, size, rank, way, gini)]
+def forest(x: np.ndarray, y: np.ndarray, trees: int = 500) -> Forest:
+    return Forest.grown(x, y, trees)
 
 
-MODELS = {"logistic": logistic, "svm_rbf": svm_rbf, "forest": forest}
+MODELS = {"logistic": logistic, "svm_rbf": SupportVectors, "forest": forest}
 
 
 def leave_one_out(df: DataFrame, key: str, label: str, columns: list[str], models=tuple(MODELS), trees: int = 500) -> DataFrame:
@@ -167,8 +52,10 @@ def leave_one_out(df: DataFrame, key: str, label: str, columns: list[str], model
         mean, sd = x[~test].mean(0), x[~test].std(0)
         x = (x - mean) / np.where(sd > 0, sd, 1)
         more = {"trees": trees} if name == "forest" else {}
-        prob = float(MODELS[name](x[~test], y[~test], **more)(x[test])[0])
-        truth, pred = int(y[test][0]), int(prob >= 0.5)
+        model = MODELS[name](x[~test], y[~test], **more)
+        prob = float(model(x[test])[0])
+        # Support vectors decide by the side of the margin.
+        truth, pred = int(y[test][0]), int(model.decide(x[test])[0] if hasattr(model, "decide") else prob >= 0.5)
         return pd.DataFrame([[name, out, truth, pred, round(prob, 4), truth == pred]], columns=["model", key, "y_true", "y_pred", "y_prob", "correct"])
 
     return d.groupBy("model", "__out").applyInPandas(run, f"model string, {key} {kind}, y_true int, y_pred int, y_prob double, correct boolean")
@@ -184,5 +71,23 @@ def prediction_table(folds: DataFrame, key: str, models: list[str]) -> DataFrame
     return folds.groupBy(key, "y_true").pivot("model", models).agg(F.first("y_pred").alias("pred"), F.first("y_prob").alias("prob"), F.first("correct").alias("correct"))
 
 
+def model_metrics(folds: DataFrame) -> DataFrame:
+    """One row a model: balanced accuracy, area under the curve, sensitivity, specificity, predictive values, macro F1, accuracy, and the four counts.
+
+    A rate without cases is 0, as is an F1 without any.
+    """
+    from pulseframe.operators.statistics import auc
+
+    y, p = F.col("y_true") == 1, F.col("y_pred") == 1
+    n = {"tp": y & p, "fp": ~y & p, "fn": y & ~p, "tn": ~y & ~p}
+    a = folds.groupBy("model").agg(*[F.count_if(c).alias(k) for k, c in n.items()])
+    tp, fp, fn, tn = (F.col(k).cast("double") for k in ("tp", "fp", "fn", "tn"))
+    of = lambda x, whole: F.coalesce(F.try_divide(x, whole), F.lit(0.0))
+    sens, spec = of(tp, tp + fn), of(tn, tn + fp)
+    f1 = (of(2 * tp, 2 * tp + fp + fn) + of(2 * tn, 2 * tn + fp + fn)) / 2
+    a = a.select("model", ((sens + spec) / 2).alias("balanced_accuracy"), sens.alias("sensitivity"), spec.alias("specificity"), of(tp, tp + fp).alias("ppv"), of(tn, tn + fn).alias("npv"), f1.alias("f1_macro"), of(tp + tn, tp + tn + fp + fn).alias("accuracy"), "tp", "tn", "fp", "fn")
+    return a.join(auc(folds, "y_prob", y, ("model",)), "model", "left")
+
+
 def truth(column: str = "y_true") -> Column:
     return F.col(column) == 1

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.functions import dims
-from pulseframe.operators import batteries, clustering, episodes, exact_tests, features, kpis, mixed_model, normalisation, reports, signal_quality, signals, statistics, supervised, windowing
+from pulseframe.operators import batteries, clustering, episodes, exact_tests, features, kpis, mixed_model, normalisation, reports, signal_quality, signals, statistics, supervised, trees, windowing
 from pulseframe.sources import exports
 
 _QUERIES: dict = {}
@@ -874,13 +874,15 @@ def _driver_rows(t, rows: list, schema: str) -> DataFrame:
     return t("nation").sparkSession.createDataFrame(rows, schema)
 
 
+def _importances(t) -> DataFrame:
+    n = _nations(t).withColumn("y", (F.col("a") > 4500).cast("int"))
+    forest = trees.Forest.of_table(trees.forest_table(n, "y", list("bcd")))
+    return trees.importance_table(trees.shapley_rows(n, "k", list("bcd"), forest), forest, list("bcd"))
+
+
 @query()
 def shap_depth2(t):
-    p = _nations(t).withColumn("y", (F.col("a") > 4500).cast("int")).orderBy("k").toPandas()  # 25 rows
-    x = clustering.standardised(p[["b", "c", "d"]].to_numpy(float))
-    trees = supervised.grow_forest(x, p["y"].to_numpy(), 500)
-    share, gini = abs(supervised.shapley(trees, x)).mean(0), supervised.gini_importance(trees, 3)
-    return _driver_rows(t, [(n, float(s), float(g)) for n, s, g in zip("bcd", share, gini)], "feature string, mean_abs_shap double, gini double")
+    return _importances(t).select("feature", "mean_abs_shap", "gini")
 
 
 @query()

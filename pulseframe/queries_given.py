@@ -396,9 +396,6 @@ def bootstrap_ci_by_group(t):
 
 @query()
 def shap_table(t):
-    from pulseframe.queries import _nations
+    from pulseframe.queries import _importances
 
-    p = _nations(t).withColumn("y", (F.col("a") > 4500).cast("int")).orderBy("k").toPandas()  # 25 rows
-    x = clustering.standardised(p[["b", "c", "d"]].to_numpy(float))
-    trees = supervised.grow_forest(x, p["y"].to_numpy(), 500)
-    return _driver_rows(t, supervised.importance_rows(list("bcd"), trees, x), "feature string, mean_abs_shap double, share double, rank int, direction string, gini double")
+    return _importances(t).select("feature", "mean_abs_shap", "share", "rank", "direction", "gini")

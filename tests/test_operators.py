@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.functions import dims
-from pulseframe.operators import clustering, episodes, exact_tests, mixed_model, normalisation, signal_quality, signals, statistics, supervised, windowing
+from pulseframe.operators import clustering, episodes, exact_tests, mixed_model, normalisation, signal_quality, signals, statistics, trees, windowing
 from pulseframe.sources import exports, tables
 
 
@@ -140,12 +140,9 @@ def test_random_intercept_recovers(spark):
 def test_shapley_adds_up():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(30, 3))
-    trees = supervised.grow_forest(x, (x[:, 0] > 0).astype(int), 20)
-    out = supervised.shapley(trees, x[:4])
-    for row, v in zip(out, x[:4]):
-        full = np.mean([supervised._tree_value(t, v) for t in trees])
-        none = np.mean([supervised._tree_value(t, v, frozenset()) for t in trees])
-        assert row.sum() == pytest.approx(full - none)
+    f = trees.Forest.grown(x, (x[:, 0] > 0).astype(int), 20)
+    for row, v in zip(f.shapley(x[:4]), x[:4]):
+        assert row.sum() == pytest.approx(f(v[None])[0] - f.value[f.roots].mean())
 
 
 def test_ward_separates():
