@@ -7,11 +7,13 @@ Phases 0, 2, 2b, 3, 4, 5, 6, 7, 8, 9, 9:STEP and 10, or all.  Each reads tables
   3   emg_filtered -> emg, scales                         4   imu_gates, emg -> episodes, episode_log
   5   episodes, emg, imu_gates -> windows, window_report  6   windows, emg, imu_gates -> features, feature_report
   7   features, emg -> trial_kpis, subject_kpis, redundant_pairs
-  8   subject_kpis -> matrix                              9   subject_kpis, trial_kpis -> statistics/STEP
-  10  matrix -> folds, consistency, predictions
+  8   subject_kpis -> matrix, kpi_summary, heatmap        9   subject_kpis, trial_kpis, matrix, features -> statistics/STEP...
+  10  matrix, or features -> folds, metrics, consistency, predictions, importances, shap
 
 The configuration (YAML) has phase4 (variants and subjects), curation (a list of rules), repairs ({subject: [trials]}),
-groups and excluded_from_analysis, priorities ([[feature, priority], ...]) and tasks; all but phase4 may be absent.
+groups and excluded_from_analysis, priorities ([[feature, priority], ...]), tasks, and for the statistics clusters
+({columns, k, rounds}), lmm ([measures]), posterior ({measure, task}) and phase10 ({muscles}: medians of their windows'
+RMS in place of the matrix); all but phase4 may be absent.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.functions import dims
-from pulseframe.operators import batteries, features, kpis, reports, statistics, supervised
-from pulseframe.plans import phases
+from pulseframe.operators import features, kpis, reports
+from pulseframe.plans import phases, steps
+from pulseframe.plans.steps import STEPS
 from pulseframe.sources import exports, tables
 
 ORDER = ("0", "2", "2b", "3", "4", "5", "6", "7", "8", "9", "10")
@@ -143,47 +146,24 @@ def phase_8(run: Run) -> None:
     listed = run.config.get("priorities") or [(c, 1) for c in names]
     priorities = run.spark.createDataFrame([(f, int(p), i) for i, (f, p) in enumerate(listed)], "feature string, priority int, position int")
     run.write(phases.matrix(s, names, priorities), "matrix")
-
-
-def _step_descriptive(run: Run) -> DataFrame:
-    s = _analysed(run, "subject_kpis").withColumn("grp", dims.group_of("subject"))
-    names = [c for c in s.columns if c.startswith("kpi_") and c.endswith("__median")]
-    parts = [statistics.describe(s, c, "grp").withColumn("kpi", F.lit(c)) for c in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("shape", dims.shape_label("skew", "kurt"))
-
-
-def _step_groups(run: Run) -> DataFrame:
-    s = _analysed(run, "subject_kpis").withColumn("grp", dims.group_of("subject"))
-    return batteries.two_group_battery(s, "subject", "grp", [c for c in s.columns if c.startswith("kpi_") and c.endswith("__median")], "ALS", "Healthy")
-
-
-def _step_exo(run: Run) -> DataFrame:
-    d = _analysed(run, "trial_kpis").withColumn("condition", dims.condition_of("trial")).withColumn("task", dims.task_of("trial"))
-    names = [f.name for f in d.schema if f.name.startswith("kpi_") and f.dataType.simpleString() == "double"]
-    return batteries.paired_battery(d, "subject", "condition", names, "noexo", "exo", ("task",))
-
-
-def _step_mismatch(run: Run) -> DataFrame:
-    return phases.mismatch_check(_analysed(run, "subject_kpis"))
-
-
-STEPS = {"descriptive": _step_descriptive, "groups": _step_groups, "exo": _step_exo, "mismatch": _step_mismatch}
+    run.write(steps.distribution_summary(s, names), "kpi_summary")
+    run.write(steps.heatmap(s, names), "heatmap")
 
 
 def phase_9(run: Run, step: str | None = None) -> None:
+    inputs = steps.Inputs(lambda name: _analysed(run, name), run.config)
     for name in [step] if step else STEPS:
-        run.write(STEPS[name](run), f"statistics/{name}")
+        for suffix, df in STEPS[name](inputs).items():
+            run.write(df, f"statistics/{name}{suffix}")
 
 
 def phase_10(run: Run) -> None:
-    m = run.read("matrix").withColumn("y", dims.label_of("subject"))
-    folds = supervised.leave_one_out(m, "subject", "y", [c for c in m.columns if c not in ("subject", "y")])
-    run.write(folds, "folds")
-    run.write(supervised.consistency(run.read("folds"), "subject"), "consistency")
-    run.write(supervised.prediction_table(run.read("folds"), "subject", list(supervised.MODELS)), "predictions")
+    if run.config.get("phase10", {}).get("muscles"):
+        m = steps.rms_matrix(_analysed(run, "features"), run.config["phase10"]["muscles"])
+    else:
+        m = _analysed(run, "matrix").withColumn("y", dims.label_of("subject"))
+    for name, df in steps.models(m, [c for c in m.columns if c not in ("subject", "y")]).items():
+        run.write(df, name)
 
 
 PHASES = {"0": phase_0, "2": phase_2, "2b": phase_2b, "3": phase_3, "4": phase_4, "5": phase_5, "6": phase_6, "7": phase_7, "8": phase_8, "9": phase_9, "10": phase_10}

@@ -8,6 +8,7 @@ duckdb = pytest.importorskip("duckdb")
 SMALL = "/root/testdata/sf0.001"
 
 import pulseframe.queries_given  # noqa: E402,F401
+import pulseframe.queries_models  # noqa: E402,F401
 import pulseframe.queries_recordings  # noqa: E402,F401
 from pulseframe.queries import oracle_sql, queries  # noqa: E402
 
