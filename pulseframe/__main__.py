@@ -10,6 +10,7 @@ Phases 0, 2, 2b, 3, 4, 5, 6, 7, 8, 9, 9:STEP and 10, or all.  Each reads tables
   8   subject_kpis -> matrix, kpi_summary, heatmap        9   subject_kpis, trial_kpis, matrix, features -> statistics/STEP...
   10  matrix, or features -> folds, metrics, consistency, predictions, importances, shap
 
+Every table that is written adds a row to run_log (name, n_rows, n_subjects, seconds).
 The configuration (YAML) has phase4 (variants and subjects), curation (a list of rules), repairs ({subject: [trials]}),
 groups and excluded_from_analysis, priorities ([[feature, priority], ...]), tasks, and for the statistics clusters
 ({columns, k, rounds}), lmm ([measures]), posterior ({measure, task}) and phase10 ({muscles}: medians of their windows'
@@ -20,8 +21,9 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.functions import dims
@@ -45,10 +47,18 @@ class Run:
         return df.where(F.col("subject").isin(self.subjects)) if self.subjects and "subject" in df.columns else df
 
     def write(self, df: DataFrame, name: str) -> None:
-        if "subject" in df.columns:
-            tables.write_by_subject(df, f"{self.root}/{name}")
+        """Writes a table and appends its rows, subjects and time to run_log; the figures are observed while it is written."""
+        seen, began = Observation(), time.time()
+        by_subject = "subject" in df.columns
+        figures = [F.count(F.lit(1)).alias("n_rows"), *([F.approx_count_distinct("subject").alias("n_subjects")] if by_subject else [])]
+        watched = df.observe(seen, *figures)
+        if by_subject:
+            tables.write_by_subject(watched, f"{self.root}/{name}")
         else:
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            watched.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        got = seen.get
+        row = (name, int(got["n_rows"]), int(got.get("n_subjects", 0)), time.time() - began)
+        tables.append_log(self.spark.createDataFrame([row], "name string, n_rows long, n_subjects long, seconds double").coalesce(1), f"{self.root}/run_log")
 
     def repaired(self) -> DataFrame:
         rows = [(s, t) for s, trials in self.config.get("repairs", {}).items() for t in trials]

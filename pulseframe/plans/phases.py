@@ -61,7 +61,8 @@ def preprocess_emg(emg: DataFrame, report: DataFrame, status: DataFrame, repaire
     after = F.last("__hit", True).over(w.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0))
     near = F.coalesce(F.least(F.col("__i") - before, after - F.col("__i")) <= F.rint(pad_s * F.col("fs_used")), F.lit(False))
     d = d.withColumn("__drop", F.coalesce("__repair", F.lit(False)) & near).drop("__i", "__hit", "saturated", "__repair")
-    out = signals.emg_channels(d, "emg_mv", CHANNEL, fs_column="fs_used")
+    # Data and log come from one run of the filters.
+    out = tables.staged(signals.emg_channels(d, "emg_mv", CHANNEL, fs_column="fs_used"), "emg-channels")
     log = out.groupBy(*CHANNEL).agg(F.first("fs_used").alias("fs_emg_used"), F.first("notched").alias("notch_applied"))
     kept = lambda c: F.when(~F.col("__drop"), F.col(c))
     return out.select(*CHANNEL, "t", kept("bp").alias("emg_bp"), kept("env").alias("env")), log
@@ -143,7 +144,8 @@ def detect_episodes(imu: DataFrame, emg: DataFrame, config: dict, curation: Data
     curation: subject, trial, action, k (and position), see episodes.curate().
     """
     trials = trials_of(imu, emg, config)
-    calm, shaky = gates(imu, emg, trials, config)
+    # Episodes and log come from one run of the gates.
+    calm, shaky = (tables.staged(g, f"gates-{n}") for g, n in zip(gates(imu, emg, trials, config), ("calm", "shaky")))
     p = F.col("params")
     carry = ("params", "use_imu")
     gap = F.greatest(p["merge_gap_s"], p["secondary_merge_gap"], p["third_merge_gap"])

@@ -91,4 +91,6 @@ def test_every_step_of_the_statistics(spark, tmp_path):
     assert got("selectivity").first()["fold_a"] > 1 and got("selectivity_outside").count() == 12
     assert got("posterior").first()["mean"] < 0
     cli.phase_10(run)
+    log = {r["name"]: r for r in run.read("run_log").collect()}
+    assert log["statistics/clusters"]["n_rows"] == log["statistics/clusters"]["n_subjects"] == 12 and log["statistics/gap"]["n_rows"] == 6 and log["metrics"]["n_rows"] == 3
     assert run.read("folds").count() == 36 and run.read("importances").count() == 2
