@@ -13,7 +13,7 @@ Phases 0, 2, 2b, 3, 4, 5, 6, 7, 8, 9, 9:STEP and 10, or all.  Each reads tables
 Every table that is written adds a row to run_log (name, n_rows, n_subjects, seconds).
 The configuration (YAML) has phase4 (variants and subjects), curation (a list of rules), repairs ({subject: [trials]}),
 groups and excluded_from_analysis, priorities ([[feature, priority], ...]), tasks, and for the statistics clusters
-({columns, k, rounds}), lmm ([measures]), posterior ({measure, task}) and phase10 ({muscles}: medians of their windows'
+({columns, k, rounds}), range_bytes (exports are read by ranges of so many bytes instead of whole files), lmm ([measures]), posterior ({measure, task}) and phase10 ({muscles}: medians of their windows'
 RMS in place of the matrix); all but phase4 may be absent.
 """
 
@@ -30,7 +30,7 @@ from pulseframe.functions import dims
 from pulseframe.operators import features, kpis, reports
 from pulseframe.plans import phases, steps
 from pulseframe.plans.steps import STEPS
-from pulseframe.sources import exports, tables
+from pulseframe.sources import export_source, exports, tables
 
 ORDER = ("0", "2", "2b", "3", "4", "5", "6", "7", "8", "9", "10")
 TASKS = ("drinking", "lifting", "pick&place", "default")
@@ -78,7 +78,8 @@ def _canonical(df: DataFrame) -> DataFrame:
 
 
 def phase_0(run: Run) -> None:
-    rows = exports.read_exports(run.spark, f"{run.root}/exports/*/*.csv")
+    where, size = f"{run.root}/exports/*/*.csv", run.config.get("range_bytes")
+    rows = export_source.read_export_ranges(run.spark, where, int(size), folders=run.subjects) if size else exports.read_exports(run.spark, where)
     rows = rows.withColumn("subject", F.col("folder")).withColumn("trial", F.regexp_replace("file", r"\.csv$", ""))
     if run.subjects:
         rows = rows.where(F.col("subject").isin(run.subjects))

@@ -87,6 +87,14 @@ def _numbered(lines: list[str], first: int, end: int):
     return pd.Series(lines[first:end], index=range(first, max(first, end)), dtype=object)
 
 
+def header_cells(line: str, most: int) -> list[str]:
+    return next(csv.reader([line.rstrip("\r")]))[:most]
+
+
+def layout_of(kinds: list[str]) -> str:
+    return {"full": "full_emg_imu"}.get(kinds[0], kinds[0]) if len(set(kinds)) == 1 else "mixed" if kinds else "unknown"
+
+
 def parse_export(text: str, max_columns: int = MAX_COLUMNS) -> dict:
     """Blocks with their numbers, and the facts about the file; ValueError without a header."""
     lines = text.split("\n")
@@ -100,14 +108,14 @@ def parse_export(text: str, max_columns: int = MAX_COLUMNS) -> dict:
     raw = list(dict.fromkeys(raw))
     available = lines[head].count(",") + 1
     width = min(max_columns, available)
-    header = next(csv.reader([lines[head].rstrip("\r")]))[:width]
+    header = header_cells(lines[head], width)
     data = _numbers(lines[head + 1 :], available, width)
     used = ~np.isnan(data).all(0) if len(data) else np.zeros(width, bool)
     header, data = [h for h, u in zip(header, used) if u], data[:, used]
     blocks = find_blocks(header)
     names, source, reason = name_sensors(raw, len(blocks))
     kinds = [k for k, _, _ in blocks]
-    layout = {"full": "full_emg_imu"}.get(kinds[0], kinds[0]) if len(set(kinds)) == 1 else "mixed" if kinds else "unknown"
+    layout = layout_of(kinds)
     return {"blocks": [(n, k, data[:, a:b]) for n, (k, a, b) in zip(names, blocks)], "names": names, "source": source, "layout": layout, "kinds": kinds, "available": available, "requested": width, "used": int(used.sum()), "rows": len(data), "header_row": head, "names_row": above, "raw_names": raw, "reason": reason}
 
 

@@ -33,7 +33,7 @@ def test_phases_from_exports_to_windows(spark, tmp_path):
         (folder / "lifting_exo.csv").write_bytes(export(rng, s[0] == "A").encode())
     (folder / "broken.csv").write_text("nothing here")
     phase4 = {"variants": CONFIG["variants"], "subjects": {s: {"variant": "standard"} for s in subjects}}
-    run = cli.Run(spark, str(tmp_path), {"phase4": phase4, "repairs": {subjects[0]: ["lifting_exo"]}})
+    run = cli.Run(spark, str(tmp_path), {"phase4": phase4, "repairs": {subjects[0]: ["lifting_exo"]}, "range_bytes": 100_000})
     for name in ("0", "2", "2b", "3", "4", "5"):
         cli.PHASES[name](run)
     facts = {(r["subject"], r["trial"]): r for r in run.read("facts").collect()}
