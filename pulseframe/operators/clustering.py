@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseframe.operators.ranks import spread
+
 
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     """Labels 1..k (by first row) after merging the pair of least increase of variance until k clusters are left."""
@@ -57,7 +59,7 @@ def bootstrap_ward(df: DataFrame, key: str, columns: list[str], k: int, rounds:
         first = np.r_[True, pick[1:] != pick[:-1]]
         return p.loc[pick[first], ["round", key]].assign(cluster=labels[first].astype("int32"))
 
-    return r.groupBy("round").applyInPandas(run, f"round long, {key} {kind}, cluster int")
+    return spread(r, "round").groupBy("round").applyInPandas(run, f"round long, {key} {kind}, cluster int")
 
 
 def co_occurrence(labels: DataFrame, key: str) -> DataFrame:

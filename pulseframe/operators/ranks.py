@@ -57,6 +57,11 @@ def with_range(df: DataFrame, x: str, cuts: list[float]) -> DataFrame:
     return d.withColumn("__r", F.col("__c") + among(F.slice("__cuts", F.col("__c") + 1, F.lit(_COARSE)))).drop("__cuts", "__coarse", "__c")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over all shuffle partitions, for groups that cost more time than bytes (by which partitions would be joined)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def same(left: str, right: str, keys) -> Column:
     """Equality of keys, nulls among them."""
     out = F.lit(True)

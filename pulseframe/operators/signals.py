@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pulseframe.operators.ranks import spread
+
 
 def butterworth(order: int, cut, fs: float) -> tuple[np.ndarray, np.ndarray]:
     """(b, a) of a digital low-pass (one cut-off) or band-pass (two), by the bilinear transform of the analog prototype."""
@@ -163,7 +165,7 @@ def _by_channel(df: DataFrame, keys, order, make, extra: list[tuple[str, T.DataT
     def run(pdf):
         return make(pdf.sort_values(list(order), kind="stable"))
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return spread(df, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def _rate(t: np.ndarray, given: float | None) -> float:
@@ -229,4 +231,4 @@ def spectral_features(df: DataFrame, x: str, keys, fs: float, order=("t",), batc
             out[:, own] = spectra(v[at], np.full(len(own), float(fs)))
         return pd.concat([pdf.loc[first, names].reset_index(drop=True), pd.DataFrame({"MNF": out[0], "MDF": out[1]})], axis=1)
 
-    return df.groupBy(*(batch or names)).applyInPandas(run, schema)
+    return spread(df, *(batch or names)).groupBy(*(batch or names)).applyInPandas(run, schema)

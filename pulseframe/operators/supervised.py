@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.operators.margins import SupportVectors
+from pulseframe.operators.ranks import spread
 from pulseframe.operators.trees import Forest, balanced_weights
 
 
@@ -58,7 +59,7 @@ def leave_one_out(df: DataFrame, key: str, label: str, columns: list[str], model
         truth, pred = int(y[test][0]), int(model.decide(x[test])[0] if hasattr(model, "decide") else prob >= 0.5)
         return pd.DataFrame([[name, out, truth, pred, round(prob, 4), truth == pred]], columns=["model", key, "y_true", "y_pred", "y_prob", "correct"])
 
-    return d.groupBy("model", "__out").applyInPandas(run, f"model string, {key} {kind}, y_true int, y_pred int, y_prob double, correct boolean")
+    return spread(d, "model", "__out").groupBy("model", "__out").applyInPandas(run, f"model string, {key} {kind}, y_true int, y_pred int, y_prob double, correct boolean")
 
 
 def consistency(folds: DataFrame, key: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseframe.operators.ranks import spread
+
 #: Cells of a matrix of windows.
 CELLS = 1 << 22
 
@@ -57,7 +59,7 @@ def meet(samples: DataFrame, windows: DataFrame, figures: Callable, fields: list
         return pa.table(out, names=[*own, *kinds])
 
     keys = [*trial, "__stretch"]
-    return s.groupBy(*keys).cogroup(w.groupBy(*keys)).applyInArrow(run, schema)
+    return spread(s, *keys).groupBy(*keys).cogroup(spread(w, *keys).groupBy(*keys)).applyInArrow(run, schema)
 
 
 # --- coverage ---
