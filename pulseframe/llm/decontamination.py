@@ -360,10 +360,13 @@ def search_plan(benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.95, block_bytes: int = 4 << 20, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, edits, first_word: one row for each document and item that it leaks."""
+    """doc_id, item_id, edits, first_word, repeats, recall: one row for each document and item that it leaks.
+
+    repeats (0: exact search) and recall are those of the item's length, as in search_plan().
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
     item_type = benchmark.schema[item_id]
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("item_id", item_type.dataType), T.StructField("edits", T.LongType()), T.StructField("first_word", T.LongType())])
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("item_id", item_type.dataType), T.StructField("edits", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("repeats", T.LongType()), T.StructField("recall", T.DoubleType())])
     found = None
     for ids, texts in _blocks(benchmark, item_id, item_text, block_bytes):
         index = Index(ids, texts, edit_share, recall)
@@ -372,8 +375,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, r
             for s in slices(batches):
                 row, item, edits, first = index.leaks(Texts(s.column(1)))
                 names = pa.array([index.ids[i] for i in item], None if len(item) else pa.null())
-                cols = [s.column(0).take(pa.array(row)), names if len(item) else None, pa.array(edits), pa.array(first)]
                 if len(item):
+                    of = np.searchsorted(index.lengths, index.size[item])
+                    cols = [s.column(0).take(pa.array(row)), names, pa.array(edits), pa.array(first), pa.array(index.length_repeats[of]), pa.array(index.length_recall[of])]
                     yield pa.RecordBatch.from_arrays(cols, schema.names)
 
         part = rows.mapInArrow(run, schema)
