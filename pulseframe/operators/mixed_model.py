@@ -71,23 +71,26 @@ class Fit:
 def fit_random_intercept(stats: DataFrame, names: list[str], reml: bool = True) -> Fit:
     """Maximise the (restricted) profile likelihood over theta by golden section on its logarithm."""
     k = len(names)
-    # Summed per group size, since groups of one size enter alike but for their sums' products.
-    rows = stats.collect()  # one row a group: subjects, not samples
-    n = np.array([r["n"] for r in rows], float)
-    s = np.array([[r[f"s{i}"] for i in range(k)] for r in rows], float)
-    sy = np.array([r["sy"] for r in rows], float)
-    xx = sum(np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float) for r in rows)
-    xy = sum(np.array([r[f"v{i}"] for i in range(k)], float) for r in rows)
-    yy, total = sum(r["yy"] for r in rows), n.sum()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    # Groups of one size enter alike, so the driver gets the sums of each size and not a row a group.
+    rows = stats.groupBy("n").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("yy").alias("yy"), F.sum(F.col("sy") * F.col("sy")).alias("tt"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(k)], *[F.sum(F.col(f"s{i}") * F.col("sy")).alias(f"t{i}") for i in range(k)],
+        *[F.sum(f"m{i}_{j}").alias(f"m{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"q{i}_{j}") for i, j in pairs],
+    ).sort("n").collect()
+    n, groups = (np.array([r[c] for r in rows], float) for c in ("n", "groups"))
+    square = lambda c: np.array([[[r[f"{c}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)] for r in rows], float)
+    vector = lambda c: np.array([[r[f"{c}{i}"] for i in range(k)] for r in rows], float)
+    xx, xy, ss, sy, tt = square("m").sum(0), vector("v").sum(0), square("q"), vector("t"), np.array([r["tt"] for r in rows], float)
+    yy, total = sum(r["yy"] for r in rows), float((n * groups).sum())
 
     def solve(theta: float):
         w = theta / (1 + theta * n)
-        a = xx - (s * w[:, None]).T @ s
-        v = xy - (s * w[:, None]).T @ sy
+        a = xx - np.tensordot(w, ss, 1)
+        v = xy - w @ sy
         beta = np.linalg.solve(a, v)
-        rss = yy - (w * sy) @ sy - beta @ v
+        rss = yy - w @ tt - beta @ v
         free = total - k if reml else total
-        ll = -0.5 * (free * math.log(2 * math.pi * rss / free) + np.log1p(theta * n).sum() + free)
+        ll = -0.5 * (free * math.log(2 * math.pi * rss / free) + groups @ np.log1p(theta * n) + free)
         if reml:
             ll -= 0.5 * np.linalg.slogdet(a)[1]
         return ll, beta, a, rss / free
@@ -109,7 +112,7 @@ def fit_random_intercept(stats: DataFrame, names: list[str], reml: bool = True)
     if solve(0.0)[0] >= f((lo + hi) / 2):
         theta = 0.0
     ll, beta, m, var = solve(theta)
-    return Fit(names, beta, np.sqrt(np.diag(np.linalg.inv(m)) * var), theta * var, var, float(ll), int(total), len(rows), reml)
+    return Fit(names, beta, np.sqrt(np.diag(np.linalg.inv(m)) * var), theta * var, var, float(ll), int(total), int(groups.sum()), reml)
 
 
 def likelihood_ratio(full: Fit, reduced: Fit) -> tuple[float, int, float]:

@@ -55,6 +55,11 @@ def upsert(old: DataFrame, new: DataFrame, keys, mode: str = "replace") -> DataF
     return {"replace": replace_keys, "append": append_new}[mode](old, new, keys)
 
 
+def upsert_with_facts(old: DataFrame, new: DataFrame, keys, mode: str = "replace", **facts) -> DataFrame:
+    """upsert() by several keys in which each row carries the facts (source, version, ...) of the run that it comes from."""
+    return upsert(old, new.withColumns({k: F.lit(v) for k, v in facts.items()}), keys, mode)
+
+
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Medians of the columns in place of missing values."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")

@@ -140,6 +140,14 @@ def completeness(report: DataFrame, trials: int, sensors: int) -> DataFrame:
     return a.withColumn("status", F.when(full, "OK").otherwise("WARN"))
 
 
+def completeness_failures(report: DataFrame, trials: int, sensors: int) -> DataFrame:
+    """subject, what ('trials', 'sensors' or 'rows'), expected and found: every count of completeness() that is not as expected."""
+    a = completeness(report, trials, sensors)
+    rows = [("trials", trials), ("sensors", sensors), ("rows", trials * sensors)]
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.lit(e).cast("long").alias("expected"), F.col(f"n_{n}").alias("found")) for n, e in rows])).alias("x")
+    return a.select("subject", parts).select("subject", "x.*").where("expected <> found")
+
+
 def range_summary(df: DataFrame, columns: list[str], keys=()) -> DataFrame:
     """metric, least, median, largest of several columns."""
     long = df.unpivot(list(keys), columns, "metric", "value")

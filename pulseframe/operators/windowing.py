@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPISODE = ("subject", "trial", "episode_id")
 
@@ -44,12 +45,12 @@ def _flags(n: Column, fs: Column, gap: Column, length: float, least_coverage: fl
 
 
 def window_quality(samples: DataFrame, windows: DataFrame, length: float = 0.2, step: float = 0.1, least_coverage: float = 0.6, longest_gap: float = 0.05, trial=("subject", "trial")) -> DataFrame:
-    """All windows, also empty ones, with n distinct times, rows, largest gap, and flags."""
-    key = [*trial, "episode_id", "window_id"]
-    inside = samples_in_windows(samples.select(*trial, "t"), windows.select(*key, "t_start", "t_end"), length, step, trial)
-    inside = inside.withColumn("dt", F.col("t") - F.lag("t").over(Window.partitionBy(*key).orderBy("t")))
-    got = inside.groupBy(*key).agg(F.count_distinct("t").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.max(F.when(F.col("dt") > 0, F.col("dt"))).alias("max_gap_s"))
-    out = windows.join(got, key, "left").join(rate(samples, trial), list(trial), "left").withColumns({"n": F.coalesce("n", F.lit(0)), "n_rows": F.coalesce("n_rows", F.lit(0))})
+    """All windows, also empty ones, with n distinct times, rows, largest gap, and flags; windows are planned once, in one pass with the samples."""
+    from pulseframe.operators.window_pass import coverage, meet
+
+    fields = [T.StructField("n", T.LongType()), T.StructField("n_rows", T.LongType()), T.StructField("max_gap_s", T.DoubleType())]
+    got = meet(samples.select(*trial, F.col("t").cast("double").alias("t")), windows, lambda s, a, b, _: coverage(s["t"].astype(float), a, b), fields, length, trial, max(120.0, 20 * length))
+    out = got.fillna(0, ["n", "n_rows"]).join(rate(samples, trial), list(trial), "left")
     return out.withColumns(_flags(F.col("n"), F.col("fs_est"), F.col("max_gap_s"), length, least_coverage, longest_gap))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.operators import features, windowing
+from pulseframe.operators import features, normalisation, signal_quality, windowing
 from pulseframe.queries import TR, WN, _E, _events, _long, query
 
 LENGTH, STEP, STRETCH = 864_000.0, 432_000.0, 1_000_000.0
@@ -91,3 +91,19 @@ SELECT user_id, window_id, round(sum((lo + pl) / 2 * dt) / sum((hi + ph) / 2 * d
 def window_coactivation(t):
     f = features.window_features(_windows(t), _emg(t), _imu(t), list(MUSCLES), list(SENSORS), MUSCLES, None, LENGTH, 3, 3, TR, STRETCH)
     return f.where("EMG_CoAct_Bic_Tri IS NOT NULL").select("user_id", F.col("window_id").cast("long").alias("window_id"), F.col("EMG_CoAct_Bic_Tri").alias("coact"))
+
+
+@query(f"""WITH {_E}, r AS (SELECT DISTINCT user_id AS subject, event_type AS trial, CAST(floor(t / 864000) AS BIGINT) AS sensor FROM e),
+a AS (SELECT subject, count(DISTINCT trial) AS n_trials, count(DISTINCT sensor) AS n_sensors, count(*) AS n_rows FROM r GROUP BY 1), l AS (SELECT subject, unnest(['trials', 'sensors', 'rows']) AS what, CAST(unnest([5, 3, 15]) AS BIGINT) AS expected, unnest([n_trials, n_sensors, n_rows]) AS found FROM a)
+SELECT * FROM l WHERE expected <> found""")
+def completeness_failures(t):
+    r = _events(t).select(F.col("user_id").alias("subject"), F.col("event_type").alias("trial"), F.floor(F.col("t") / 864_000).alias("sensor")).distinct()
+    return signal_quality.completeness_failures(r, 5, 3)
+
+
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_tax AS v, 'first' AS source FROM lineitem WHERE l_linenumber < 5), n AS (SELECT l_orderkey, l_linenumber, l_discount AS v, 'second' AS source FROM lineitem WHERE l_linenumber > 2 AND l_orderkey % 3 = 0)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.l_orderkey = o.l_orderkey AND n.l_linenumber = o.l_linenumber)""")
+def upsert_two_keys_with_source(t):
+    d, keys = t("lineitem"), ("l_orderkey", "l_linenumber")
+    old = normalisation.upsert_with_facts(d.limit(0).select(*keys, F.col("l_tax").alias("v"), F.lit("").alias("source")), d.where("l_linenumber < 5").select(*keys, F.col("l_tax").alias("v")), keys, source="first")
+    return normalisation.upsert_with_facts(old, d.where("l_linenumber > 2 AND l_orderkey % 3 = 0").select(*keys, F.col("l_discount").alias("v")), keys, source="second")
