@@ -144,8 +144,7 @@ def detect_episodes(imu: DataFrame, emg: DataFrame, config: dict, curation: Data
     curation: subject, trial, action, k (and position), see episodes.curate().
     """
     trials = trials_of(imu, emg, config)
-    # Episodes and log come from one run of the gates.
-    calm, shaky = (tables.staged(g, f"gates-{n}") for g, n in zip(gates(imu, emg, trials, config), ("calm", "shaky")))
+    calm, shaky = gates(imu, emg, trials, config)
     p = F.col("params")
     carry = ("params", "use_imu")
     gap = F.greatest(p["merge_gap_s"], p["secondary_merge_gap"], p["third_merge_gap"])
@@ -160,6 +159,7 @@ def detect_episodes(imu: DataFrame, emg: DataFrame, config: dict, curation: Data
     e = episodes.numbered(e, TRIAL).select(
         *TRIAL, "episode_id", "t_on", "t_off", "duration_s", "thr_on", "thr_off", "peak_gate", p["task_key"].alias("task_type"), p["variant"].alias("variant"), F.when(F.col("use_imu"), "IMU").otherwise("EMG_fallback").alias("data_source")
     )
+    e = tables.staged(e, "detected-episodes")  # the detectors run once for episodes and log
     figures = [F.count(F.lit(1)).alias("n_samples"), F.median("gate").alias("gate_median"), F.percentile("gate", 0.95).alias("gate_95p"), F.var_pop("gate").alias("gate_var")]
     log = calm.select(*TRIAL, "gate").unionByName(shaky.select(*TRIAL, "gate")).groupBy(*TRIAL).agg(*figures)
     log = trials.join(log, list(TRIAL), "left").join(e.groupBy(*TRIAL).agg(F.count(F.lit(1)).alias("n_episodes")), list(TRIAL), "left").withColumn("n_episodes", F.coalesce("n_episodes", F.lit(0)))

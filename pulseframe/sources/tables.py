@@ -37,7 +37,9 @@ def append_log(df: DataFrame, path: str) -> None:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table below spark.checkpoint.dir, which all executors share; where that is unset, below a local folder, and only in local mode.
 
-    What follows reads the table instead of planning and running all that led to it once for each use.
+    What follows reads the table instead of planning and running all that led to it once for each use.  Not for struct
+    columns: where two uses of one file read different fields of a struct, Spark 4.1 may take one's exchange for the
+    other's (seen with gates that carried their parameters; right with spark.sql.exchange.reuse off).
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
