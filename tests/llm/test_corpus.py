@@ -62,6 +62,23 @@ def test_mix_of_odd_rows(spark, odd):
     assert mix_sources(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 5, "b": 7, "c": 2, "d": 40, None: 3}, {"a": 162, "b": 24, "c": 509, "d": 1106, "e": 6441, None: 1}, {f"s{i:02}": 90 + i for i in range(20)}])
+def test_mix_targets_are_reshared_until_none_is_above(spark, sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    capped: set = set()
+    while True:
+        left, share = sum(sizes.values()) - sum(3 * sizes[s] for s in capped), sum(weight[s] for s in names if s not in capped)
+        above = {s for s in names if s not in capped and left * weight[s] > 3 * sizes[s] * share}
+        if not above:
+            break
+        capped |= above
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    for r in mix_sources(docs, keep=("source",)).collect():
+        assert r["size"] == r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(3 * r["size"] if r["source"] in capped else left * weight[r["source"]] / share)
+
+
 def test_pieces_equal_whole_texts():
     from tokenizers import Tokenizer
 
