@@ -62,6 +62,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def steady_mean(x: str) -> Column:
+    """avg(x) added in ascending order: the same to the last bit in each evaluation, whatever order a shuffle delivers its blocks in.
+
+    A group's values are held together, as a median holds them.  For means that are matched, compared or ranked after being read twice.
+    """
+    v = F.array_sort(F.collect_list(F.col(x).cast("double")))
+    return F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, b: a + b), F.count(x))
+
+
 def same(left: str, right: str, keys) -> Column:
     """Equality of keys, nulls among them."""
     out = F.lit(True)
@@ -70,11 +79,11 @@ def same(left: str, right: str, keys) -> Column:
     return out
 
 
-def value_places(df: DataFrame, x: str, keys=(), cuts: list[float] | None = None) -> DataFrame:
-    """keys, x, n (rows with the value), __lo (rows before it) and __n (rows of the keys)."""
+def value_places(df: DataFrame, x: str, keys=(), cuts: list[float] | None = None, **also: Column) -> DataFrame:
+    """keys, x, n (rows with the value), `also` (aggregates of them), __lo (rows before it) and __n (rows of the keys)."""
     keys = list(keys)
     cuts = cut_points(df, x) if cuts is None else cuts
-    c = with_range(df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n")), x, cuts)
+    c = with_range(df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"), *[a.alias(c) for c, a in also.items()]), x, cuts)
     inside = Window.partitionBy(*keys, "__r").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("__lo", F.sum("n").over(inside) - F.col("n"))
     if not cuts:
@@ -83,12 +92,15 @@ def value_places(df: DataFrame, x: str, keys=(), cuts: list[float] | None = None
     ordered = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumn("__before", F.sum("__m").over(ordered) - F.col("__m")).withColumn("__n", F.sum("__m").over(Window.partitionBy(*keys)))
     j = c.alias("c").join(per.alias("p"), same("c", "p", [*keys, "__r"]))
-    return j.select(*[F.col(f"c.{k}") for k in keys], F.col(f"c.{x}"), "n", (F.col("__lo") + F.col("__before")).alias("__lo"), "__n")
+    return j.select(*[F.col(f"c.{k}") for k in keys], F.col(f"c.{x}"), "n", *also, (F.col("__lo") + F.col("__before")).alias("__lo"), "__n")
+
 
+def value_ranks(df: DataFrame, x: str, keys=(), **also: Column) -> DataFrame:
+    """keys, x, n (rows with the value), `also` (aggregates of them) and rank (their mean rank).
 
-def value_ranks(df: DataFrame, x: str, keys=()) -> DataFrame:
-    """keys, x, n (rows with the value) and rank (their mean rank)."""
-    return value_places(df, x, keys).select(*keys, x, "n", (F.col("__lo") + (F.col("n") + 1) / 2.0).alias("rank"))
+    What is wanted of a value's rows is aggregated here rather than joined on by value: a mean that is worked out again may differ in its last bit.
+    """
+    return value_places(df, x, keys, **also).select(*keys, x, "n", *also, (F.col("__lo") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
 def row_ranks(df: DataFrame, x: str, keys, name: str = "rank", largest: int | None = None) -> DataFrame:

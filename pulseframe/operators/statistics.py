@@ -59,9 +59,7 @@ def mann_whitney(df: DataFrame, x: str, group: str, first: str, second: str, key
     """n1, n2, U of the first group, rank-biserial 1 - 2U/(n1 n2), tie-corrected Z with continuity, normal p, and |Z|/sqrt(N) without corrections."""
     d = df.where(F.col(group).isin(first, second) & F.col(x).isNotNull()).select(*keys, F.col(group).alias("__g"), F.col(x).alias("__x"))
     # Counts by value come first, so that copies of a value are one row.
-    ranks = value_ranks(d, "__x", keys)
-    own = d.groupBy(*keys, "__x").agg(F.count_if(F.col("__g") == first).alias("__one"))
-    v, t = own.join(ranks, [*keys, "__x"]), F.col("n").cast("double")
+    v, t = value_ranks(d, "__x", keys, __one=F.count_if(F.col("__g") == first)), F.col("n").cast("double")
     a = v.groupBy(*keys).agg(F.sum("__one").alias("n1"), F.sum(F.col("n") - F.col("__one")).alias("n2"), F.sum(F.col("rank") * F.col("__one")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -77,8 +75,7 @@ def wilcoxon(df: DataFrame, before: str, after: str, keys=()) -> DataFrame:
     """Signed-rank W = min(W+, W-) of non-zero differences, its effect 1 - 4W/(n(n+1)), medians; nothing where all differences are 0."""
     d = df.select(*keys, (F.col(after) - F.col(before)).alias("d"), F.col(before).alias("b"), F.col(after).alias("a")).where("d IS NOT NULL")
     ranked = d.where("d <> 0").withColumn("__abs", F.abs("d"))
-    signs = ranked.groupBy(*keys, "__abs").agg(F.count_if(F.col("d") > 0).alias("__up"), F.count_if(F.col("d") < 0).alias("__down"))
-    v = signs.join(value_ranks(ranked, "__abs", keys), [*keys, "__abs"])
+    v = value_ranks(ranked, "__abs", keys, __up=F.count_if(F.col("d") > 0), __down=F.count_if(F.col("d") < 0))
     w = v.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("__up")).alias("w_plus"), F.sum(F.col("rank") * F.col("__down")).alias("w_minus"), F.sum("n").alias("n_nonzero"))
     m = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median("b").alias("median_before"), F.median("a").alias("median_after"))
     out = m.join(w, list(keys)) if keys else m.crossJoin(w)  # one row each
@@ -149,10 +146,10 @@ def detector_metrics(df: DataFrame, predicted: Column, truth: Column, keys=()) -
 def auc(df: DataFrame, score: str, truth: Column, keys=()) -> DataFrame:
     """Area under the ROC curve from average ranks."""
     d = df.withColumn("__y", truth.cast("int"))
-    v = d.groupBy(*keys, score).agg(F.sum("__y").alias("__y"), F.count(F.lit(1)).alias("__n")).join(value_ranks(d, score, keys), [*keys, score])
-    n1 = F.sum("__y").cast("double")
-    n0 = F.sum("__n") - n1
-    return v.groupBy(*keys).agg(F.try_divide(F.sum(F.col("rank") * F.col("__y")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
+    v = value_ranks(d, score, keys, __ones=F.sum("__y"))
+    n1 = F.sum("__ones").cast("double")
+    n0 = F.sum("n") - n1
+    return v.groupBy(*keys).agg(F.try_divide(F.sum(F.col("rank") * F.col("__ones")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
 
 
 def paired_conditions(df: DataFrame, keys, condition: str, x: str, first: str, second: str) -> DataFrame:

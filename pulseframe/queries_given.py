@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions import dims
-from pulseframe.operators import batteries, clustering, exact_tests, features, kpis, normalisation, reports, signal_quality, statistics, supervised
+from pulseframe.operators import batteries, clustering, exact_tests, features, kpis, normalisation, ranks, reports, signal_quality, statistics, supervised
 from pulseframe.operators import episodes as ep
 from pulseframe.plans import phases
 from pulseframe.queries import TR, _E, _driver_rows, _events, query
@@ -102,7 +102,7 @@ _TWO = "l AS (SELECT s, g, measure, v FROM d UNPIVOT (v FOR measure IN (q, e))),
 
 
 def _by_flag(t) -> DataFrame:
-    return t("lineitem").where(F.col("l_returnflag").isin("A", "R")).groupBy(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("g"), F.col("l_linestatus").alias("s")).agg(F.median("l_quantity").alias("q"), F.avg("l_extendedprice").alias("e"))
+    return t("lineitem").where(F.col("l_returnflag").isin("A", "R")).groupBy(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("g"), F.col("l_linestatus").alias("s")).agg(F.median("l_quantity").alias("q"), ranks.steady_mean("l_extendedprice").alias("e"))
 
 
 @query(f"WITH {_GRP}, {_TWO} SELECT s, measure, n1, n2, round(u, 6) AS u, round(1 - 2 * u / (n1 * n2), 6) AS rank_biserial, round(abs(u - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) / sqrt(n1 + n2), 6) AS r FROM b WHERE n1 > 0 AND n2 > 0")
