@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseframe.operators.ranks import steady_mean
+
 TRIAL = ("subject", "trial")
 
 
@@ -18,7 +20,7 @@ def _w(keys, *order) -> Window:
 
 def binned_gate(df: DataFrame, columns: dict[str, float], keys=TRIAL, bin_s: float = 0.001) -> DataFrame:
     """Mean t and the largest of weight * median(column) in bins (half to even) over all sensors."""
-    b = df.groupBy(*keys, F.rint(F.col("t") / bin_s).cast("long").alias("bin")).agg(F.avg("t").alias("t"), *[F.median(c).alias(c) for c in columns])
+    b = df.groupBy(*keys, F.rint(F.col("t") / bin_s).cast("long").alias("bin")).agg(steady_mean("t").alias("t"), *[F.median(c).alias(c) for c in columns])
     parts = [F.col(c) * w for c, w in columns.items()]
     return b.select(*keys, "t", (F.greatest(*parts) if len(parts) > 1 else parts[0]).alias("gate"))
 
@@ -27,7 +29,7 @@ def emg_gate(df: DataFrame, columns: str | list[str], keys=TRIAL, bin_s: float =
     """Mean t and, over all sensors, median of the largest of a row's normalised envelopes, in bins."""
     names = [columns] if isinstance(columns, str) else columns
     top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
-    return df.groupBy(*keys, F.rint(F.col("t") / bin_s).cast("long").alias("bin")).agg(F.avg("t").alias("t"), F.median(top).alias("gate")).drop("bin")
+    return df.groupBy(*keys, F.rint(F.col("t") / bin_s).cast("long").alias("bin")).agg(steady_mean("t").alias("t"), F.median(top).alias("gate")).drop("bin")
 
 
 def median_filter(df: DataFrame, x: str = "gate", kernel: int = 5, keys=TRIAL, order=("t",)) -> DataFrame:
