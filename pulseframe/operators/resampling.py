@@ -111,15 +111,19 @@ def bootstrap_median_places(df: DataFrame, x: str, keys=(), rounds: int = 2000,
                     own.insert(i, k, row[i])
                 yield own
 
-    drawn = sizes.mapInPandas(draw, fields)
+    m = at_places(sizes.mapInPandas(draw, fields), places, keys)
+    real = F.when(F.col("round") >= 0, F.col("m"))
+    return m.groupBy(*keys, "n").agg(F.max(F.when(F.col("round") < 0, F.col("m"))).alias("median"), F.percentile(real, (1 - level) / 2).alias("lo"), F.percentile(real, (1 + level) / 2).alias("hi"))
+
+
+def at_places(drawn: DataFrame, places: DataFrame, keys) -> DataFrame:
+    """keys, n, round, m: sums of half * value over the rows of drawn (keys, __n, round, place from 1, half), from value_places() of __x."""
     wide = F.ceil(F.col("__n") / STRETCHES)
     drawn = drawn.withColumn("__s", F.floor((F.col("place") - 1) / wide))
     held = places.withColumn("__s", F.explode(F.sequence(F.floor(F.col("__lo") / wide), F.floor((F.col("__lo") + F.col("n") - 1) / wide))))
     inside = same("d", "p", [*keys, "__s"]) & (F.col("d.place") > F.col("p.__lo")) & (F.col("d.place") <= F.col("p.__lo") + F.col("p.n"))
     j = drawn.alias("d").join(held.alias("p"), inside).select(*[F.col(f"d.{k}") for k in keys], F.col("d.__n").alias("n"), "round", (F.col("half") * F.col("p.__x")).alias("v"))
-    m = j.groupBy(*keys, "n", "round").agg(F.sum("v").alias("m"))
-    real = F.when(F.col("round") >= 0, F.col("m"))
-    return m.groupBy(*keys, "n").agg(F.max(F.when(F.col("round") < 0, F.col("m"))).alias("median"), F.percentile(real, (1 - level) / 2).alias("lo"), F.percentile(real, (1 + level) / 2).alias("hi"))
+    return j.groupBy(*keys, "n", "round").agg(F.sum("v").alias("m"))
 
 
 def place_law(n: int) -> np.ndarray:

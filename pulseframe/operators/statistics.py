@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseframe.operators.ranks import quantiles, row_ranks, value_ranks
+from pulseframe.operators.ranks import quantiles, row_ranks, spread, value_places, value_ranks
 
 
 def describe(df: DataFrame, x: str, group: str, total: str = "All") -> DataFrame:
@@ -271,21 +271,41 @@ def permutation_association(df: DataFrame, key: str, a: str, b: str, rounds: int
 
 
 def bootstrap_median_by_group(df: DataFrame, x: str, group: str, rounds: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """group, lo, hi: bootstrap_median() of each group's small sample."""
-    w = Window.partitionBy(group)
-    v = df.where(F.col(x).isNotNull()).select(group, F.col(x).alias("v")).withColumn("i", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    draws = v.select(group, F.col("i").alias("k"), "n").crossJoin(df.sparkSession.range(rounds).withColumnRenamed("id", "round"))  # rounds x small samples
-    draws = draws.withColumn("i", F.pmod(uniform(F.col("round"), F.col("k"), F.lit(seed)), F.col("n")).cast("int"))
-    m = draws.join(v.select(group, "i", "v"), [group, "i"]).groupBy(group, "round").agg(F.median("v").alias("m"))
-    return m.groupBy(group).agg(F.percentile("m", (1 - level) / 2).alias("lo"), F.percentile("m", (1 + level) / 2).alias("hi"))
+    """group, lo, hi: bootstrap_median() of each group."""
+    return _bootstrap_median(df.where(F.col(group).isNotNull()), x, [group], rounds, seed, level)
 
 
 def bootstrap_median(df: DataFrame, x: str, rounds: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the median over resamples drawn by hash, of a small sample."""
-    v = df.where(F.col(x).isNotNull()).withColumn("i", F.row_number().over(Window.orderBy(x)) - 1).select("i", F.col(x).alias("v"))
-    n = v.agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    draws = spark.range(rounds).withColumnRenamed("id", "round").crossJoin(v.select(F.col("i").alias("k"))).crossJoin(F.broadcast(n))  # rounds x a small sample
-    draws = draws.withColumn("i", F.pmod(uniform(F.col("round"), F.col("k"), F.lit(seed)), F.col("n")).cast("int"))
-    m = draws.join(F.broadcast(v), "i").groupBy("round").agg(F.median("v").alias("m"))
-    return m.agg(F.percentile("m", (1 - level) / 2).alias("lo"), F.percentile("m", (1 + level) / 2).alias("hi"))
+    """Percentile interval of the median over resamples drawn by hash."""
+    return _bootstrap_median(df, x, [], rounds, seed, level)
+
+
+#: Draws that one row of the plan unfolds to.
+BLOCK = 8192
+
+
+def _bootstrap_median(df: DataFrame, x: str, keys: list[str], rounds: int, seed: int, level: float) -> DataFrame:
+    """keys, lo, hi.  A round draws places of the ordered values, so its median is at the middle of the places drawn, and only these are looked up.
+
+    The middle of n drawn places has a deviation of sqrt(n) / 2 around n / 2: places within 16 deviations are kept, those below
+    are counted, so a round holds 16 sqrt(n) numbers at most; samples of up to 1,024 rows keep all.  A middle outside
+    raises an error, which no hash of a round's number will meet.
+    """
+    from pulseframe.operators.resampling import at_places
+
+    v = value_places(df.select(*keys, F.col(x).cast("double").alias("__x")), "__x", keys)
+    sizes = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 0")
+    blocks = sizes.crossJoin(df.sparkSession.range(rounds).withColumnRenamed("id", "round"))  # a row a group and round
+    blocks = spread(blocks.withColumn("__b", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {BLOCK}")))), *keys, "round", "__b")
+    draws = blocks.withColumn("k", F.explode(F.sequence(F.col("__b") * BLOCK, F.least(F.col("__b") * BLOCK + BLOCK, "__n") - 1)))
+    draws = draws.select(*keys, "__n", "round", F.pmod(uniform(F.col("round"), F.col("k"), F.lit(seed)), F.col("__n")).alias("i"))
+    half = F.when(F.col("__n") <= 1024, F.col("__n")).otherwise(F.ceil(8 * F.sqrt("__n")))
+    low, high = F.expr("__n div 2") - half, F.expr("__n div 2") + half
+    near = F.sort_array(F.collect_list(F.when((F.col("i") >= low) & (F.col("i") <= high), F.col("i"))))
+    r = draws.groupBy(*keys, "__n", "round").agg(F.count_if(F.col("i") < low).alias("__below"), near.alias("__near"))
+    middle = F.explode(F.array(F.expr("(__n - 1) div 2 - __below"), F.expr("__n div 2 - __below")))
+    r = r.select(*keys, "__n", "round", "__near", middle.alias("__m"))
+    place = F.when((F.col("__m") >= 0) & (F.col("__m") < F.size("__near")), F.get("__near", F.col("__m").cast("int"))).otherwise(F.raise_error(F.lit("the median of a round lies outside the places kept")).cast("long"))
+    drawn = r.select(*keys, "__n", "round", (place + 1).alias("place"), F.lit(0.5).alias("half"))
+    m = at_places(drawn, v, keys)
+    return m.groupBy(*keys).agg(F.percentile("m", (1 - level) / 2).alias("lo"), F.percentile("m", (1 + level) / 2).alias("hi"))

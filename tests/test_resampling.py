@@ -65,3 +65,22 @@ def test_interval_of_groups(spark):
     whole = bootstrap_median_places(df, "v", (), 500).first()
     assert whole["n"] == 372 and whole["lo"] <= whole["median"] <= whole["hi"]
     assert bootstrap_median_places(df.limit(0), "v", ()).count() == 0
+
+
+@pytest.mark.parametrize("n", [7, 2500, 2501])
+def test_hashed_rounds_look_up_their_middles_only(spark, n):
+    """Medians of draws by hash, worked out in full here; the plan has no median of looked-up rows."""
+    import hashlib
+
+    from pulseframe.operators import statistics
+
+    v = np.sort(np.random.default_rng(n).normal(size=n).round(2))
+    d = spark.createDataFrame([(float(x), "one") for x in v] + [(None, "one"), (1.5, "two")], "x double, g string")
+    rounds = 25
+    want = [np.median(v[[int(hashlib.md5(f"{r}-{k}-42".encode()).hexdigest()[:15], 16) % n for k in range(n)]]) for r in range(rounds)]
+    lo, hi = np.quantile(want, [0.025, 0.975])
+    got = statistics.bootstrap_median(d.where("g = 'one'"), "x", rounds)
+    by = statistics.bootstrap_median_by_group(d, "x", "g", rounds)
+    assert "median(" not in got._jdf.queryExecution().toString() + by._jdf.queryExecution().toString()
+    assert tuple(got.first()) == pytest.approx((lo, hi))
+    assert {r["g"]: (r["lo"], r["hi"]) for r in by.collect()} == {"one": pytest.approx((lo, hi)), "two": (1.5, 1.5)}
