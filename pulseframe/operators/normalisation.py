@@ -6,18 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.operators.kpis import quantiles
+from pulseframe.operators.ranks import same
+
+#: Ranges of the order's hash in which a group's rows are counted to find where its sample ends.
+RANGES = 4096
 
 
 def stratified_sample(df: DataFrame, keys, frac: float = 0.02, least: int = 5000, most: int = 200_000, seed: int = 0, order: str = "t", mode: str = "random_per_sensor") -> DataFrame:
-    """clip(round(frac * N), least, most) rows of each group, N at most, by hash of the order key; 'none' keeps all, 'global_frac' a share."""
+    """clip(round(frac * N), least, most) rows of each group, N at most, by hash of the order key; 'none' keeps all, 'global_frac' a share.
+
+    Counts by range of the hash tell in which range a group's sample ends; only rows up to that range, `most` and a range's
+    at most, are ordered.
+    """
     if mode == "none":
         return df
     if mode == "global_frac":
         return df.where(F.pmod(F.xxhash64(*keys, order, F.lit(seed)), F.lit(1_000_000)) < int(frac * 1_000_000))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(order, F.lit(seed)), order))
-    size = F.least(F.greatest(F.rint(n * frac), F.lit(float(least))), F.lit(float(most)), n)
-    return df.withColumn("__n", size).withColumn("__r", rank).where("__r <= __n").drop("__n", "__r")
+    keys = list(keys)
+    d = df.withColumn("__h", F.xxhash64(order, F.lit(seed)))
+    d = d.withColumn("__b", F.shiftright("__h", 65 - RANGES.bit_length()))
+    by_range = d.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__m"))
+    so_far = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    by_range = by_range.withColumn("__up", F.sum("__m").over(so_far)).withColumn("__all", F.sum("__m").over(Window.partitionBy(*keys)))
+    size = F.least(F.greatest(F.rint(F.col("__all") * frac), F.lit(float(least))), F.lit(float(most)), "__all")
+    ends = by_range.groupBy(*keys).agg(F.max(size).alias("__n"), F.min(F.when(F.col("__up") >= size, F.col("__b"))).alias("__end"))
+    near = d.alias("d").join(F.broadcast(ends).alias("e"), same("d", "e", keys) & (F.col("__b") <= F.col("__end"))).select("d.*", "__n")  # one row a group
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__h", order))
+    return near.withColumn("__r", rank).where("__r <= __n").select(*df.columns)
 
 
 def percentile_scales(df: DataFrame, x: str, keys, p: int = 95, too_small: float = 1e-8) -> DataFrame:
