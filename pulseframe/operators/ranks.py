@@ -117,15 +117,44 @@ def row_ranks(df: DataFrame, x: str, keys, name: str = "rank", largest: int | No
 
 
 def quantiles(df: DataFrame, x: str, qs: dict[str, float], keys=()) -> DataFrame:
-    """Exact, linearly interpolated quantiles: one row a key.  Each lies at, or between, two places in the order."""
+    """Exact, linearly interpolated quantiles: one row a key.  Each lies at, or between, two places in the order.
+
+    In tables beyond FULL, approximate percentiles (of a known largest error in rank) bracket both places; rows outside the brackets
+    are counted up to them, so that only about a thousandth of a key's rows a quantile, or all of a key of at most 50,000, are counted by value.
+    """
     keys = list(keys)
-    cuts = cut_points(df, x)
-    if not cuts:
+    if df.where(F.col(x).isNotNull()).count() <= FULL:
         return df.where(F.col(x).isNotNull()).groupBy(*keys).agg(*[F.percentile(x, q).alias(name) for name, q in qs.items()])
-    v = value_places(df, x, keys, cuts)
+    v = _bracketed(df, x, list(qs.values()), keys)
     inside = lambda place: (F.col("__lo") <= place) & (place < F.col("__lo") + F.col("n"))
     at = {name: q * (F.col("__n") - 1) for name, q in qs.items()}
     two = [F.max(F.when(inside(f(p)), F.col(x).cast("double"))).alias(f"__{name}{k}") for name, p in at.items() for k, f in enumerate((F.floor, F.ceil))]
     a = v.groupBy(*keys).agg(F.max("__n").alias("__n"), *two)
     part = {name: q * (F.col("__n") - 1) - F.floor(q * (F.col("__n") - 1)) for name, q in qs.items()}
     return a.select(*keys, *[(F.col(f"__{name}0") + part[name] * (F.col(f"__{name}1") - F.col(f"__{name}0"))).alias(name) for name in qs])
+
+
+#: Accuracy of the percentiles that bracket a quantile (largest error in rank: rows / NEAR), and the brackets' slack in such errors.
+NEAR, SLACK = 10_000, 5
+
+
+def _bracketed(df: DataFrame, x: str, qs: list[float], keys: list[str]) -> DataFrame:
+    """value_places() of the values around the quantiles of each key."""
+    d = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias(x))
+    ends = [min(max(q + s * SLACK / NEAR, 0.0), 1.0) for q in qs for s in (-1, 1)]
+    a = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(x, ends, NEAR).alias("__e"))
+    # A small key is bracketed whole, and so are both ends of the order.
+    small = F.col("__n") <= SLACK * NEAR
+    low = [F.when(small | F.lit(p <= 0), F.lit(-math.inf)).otherwise(F.col("__e")[2 * i]) for i, p in enumerate(ends[::2])]
+    high = [F.when(small | F.lit(p >= 1), F.lit(math.nan)).otherwise(F.col("__e")[2 * i + 1]) for i, p in enumerate(ends[1::2])]  # NaN is the greatest
+    a = a.select(*keys, "__n", *[c.alias(f"__l{i}") for i, c in enumerate(low)], *[c.alias(f"__h{i}") for i, c in enumerate(high)])
+    j = d.alias("d").join(a.alias("a"), same("d", "a", keys)).select("d.*", *[F.col(f"a.{c}") for c in a.columns if c not in keys])
+    held = F.lit(False)
+    for i in range(len(qs)):
+        held = held | F.col(x).between(F.col(f"__l{i}"), F.col(f"__h{i}"))
+    below = F.array_max(F.array(F.lit(-math.inf), *[F.when(F.col(f"__h{i}") < F.col(x), F.col(f"__h{i}")) for i in range(len(qs))]))
+    c = j.withColumn("__out", ~held).withColumn(x, F.when(held, F.col(x)).otherwise(below))
+    c = c.groupBy(*keys, x, "__out").agg(F.count(F.lit(1)).alias("n"), F.max("__n").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy(x, "__out").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("__lo", F.sum("n").over(before) - F.col("n"))
+    return c.where("NOT __out").select(*keys, x, "n", "__lo", "__n")

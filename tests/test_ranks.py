@@ -94,3 +94,33 @@ def test_times_of_bins_do_not_depend_on_the_order_of_rows(spark, gate):
         spark.createDataFrame(rows[::2] + rows[1::2], "k long, t double, x double").repartition(7),
     ))
     assert up == down == apart and len(up) == 200
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_quantiles_of_large_keys_count_values_near_them_only(spark, small_tasks, monkeypatch, kind):
+    monkeypatch.setattr(ranks, "NEAR", 50)
+    monkeypatch.setattr(ranks, "SLACK", 2)
+    v = {k: KINDS[kind](np.random.default_rng(i)) for i, k in enumerate(("a", None))} | {"small": np.array([3.0, 1.0, 2.0])}
+    d = spark.createDataFrame([(k, float(x)) for k, xs in v.items() for x in xs] + [("a", None)], "k string, x double").repartition(3)
+    qs = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "p95": 0.95, "hi": 1.0}
+    got = {r["k"]: r for r in ranks.quantiles(d, "x", qs, ("k",)).collect()}
+    for k, xs in v.items():
+        assert [got[k][c] for c in qs] == pytest.approx([np.quantile(xs, q) for q in qs.values()], rel=1e-12)
+    near = ranks._bracketed(d, "x", [0.5], ["k"]).where("k = 'a'").count()
+    assert near <= 3 or near < 0.25 * len(v["a"])
+
+
+def test_sample_orders_only_rows_up_to_its_end(spark, monkeypatch):
+    from pulseframe.operators.normalisation import stratified_sample
+
+    d = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("k"), F.col("id").cast("string").alias("t")).union(spark.createDataFrame([("few", str(i)) for i in range(4)], "k string, t string"))
+    s = stratified_sample(d, ("k",), 0.02, least=10, most=30)
+    plan = s._jdf.queryExecution().toString()
+    assert "count(1) windowspecdefinition(k" not in plan
+    want = {}
+    for r in d.select("k", "t", F.xxhash64("t", F.lit(0)).alias("h")).collect():
+        want.setdefault(r["k"], []).append((r["h"], r["t"]))
+    got = {}
+    for r in s.collect():
+        got.setdefault(r["k"], set()).add(r["t"])
+    assert got == {k: {t for _, t in sorted(v)[: min(len(v), max(10, min(30, round(len(v) * 0.02))))]} for k, v in want.items()}
