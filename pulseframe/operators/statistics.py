@@ -187,7 +187,9 @@ def gap_samples(df: DataFrame, x: str, group: str, condition: str, patients: str
 
 def log_ratio_shift(df: DataFrame, key: str, group: str, task: str, a: str, b: str, patients: str, healthy: str, least: int = 3, overall: str = "Overall") -> DataFrame:
     """Median log-ratio of two measures by subject, compared between groups over all tasks and in each: medians, shift, U and effect of every scope."""
-    d = scoped(df, task, overall).groupBy("scope", key, group).agg(F.median(a).alias("__a"), F.median(b).alias("__b")).where("__a > 0 AND __b > 0")
+    # A key's rows are shuffled once for both scopes, before each is copied into its two.
+    own = df.select(key, group, task, a, b).repartition(key)
+    d = scoped(own, task, overall).groupBy("scope", key, group).agg(F.median(a).alias("__a"), F.median(b).alias("__b")).where("__a > 0 AND __b > 0")
     d = d.withColumn("lr", F.ln(F.col("__a") / F.col("__b")))
     m = lambda g: F.median(F.when(F.col(group) == g, F.col("lr")))
     mid = d.groupBy("scope").agg(m(patients).alias("patients_log"), m(healthy).alias("healthy_log"))

@@ -124,3 +124,14 @@ def test_sample_orders_only_rows_up_to_its_end(spark, monkeypatch):
     for r in s.collect():
         got.setdefault(r["k"], set()).add(r["t"])
     assert got == {k: {t for _, t in sorted(v)[: min(len(v), max(10, min(30, round(len(v) * 0.02))))]} for k, v in want.items()}
+
+
+def test_both_scopes_of_a_shift_share_one_shuffle_of_rows(spark):
+    import re
+
+    from pulseframe.operators import statistics
+
+    d = spark.createDataFrame([(k, "P" if k % 3 else "H", "xy"[i % 2], float(1 + (k * i) % 7), float(1 + i % 3)) for k in range(30) for i in range(8)], "k long, g string, task string, a double, b double")
+    r = statistics.log_ratio_shift(d, "k", "g", "task", "a", "b", "P", "H")
+    assert not re.search(r"Exchange hashpartitioning\(scope#\d+, k#\d+", r._jdf.queryExecution().executedPlan().toString())
+    assert {(x["scope"], x["n1"], x["n2"]) for x in r.collect()} == {(s, 20, 10) for s in ("Overall", "x", "y")}
