@@ -40,6 +40,7 @@ HOT = 65_536
 LANES, WINDOW = 256, 32
 END = 0x1E35A7BD1E35A7BD
 _PIECES = 64
+_PLACE_BITS = 20
 
 
 def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -113,20 +114,25 @@ class Vocabulary:
         ids = np.where(np.arange(len(hashes)) < size, np.arange(len(hashes)), -1)
         order = np.argsort(hashes)
         self.keys, self.counts, self.ids = hashes[order], counts[order], ids[order]
+        self.place = None  # by the first bits of a hash: the place of the only key with them, -1: none, -2: several; made where it is used
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(model id or -1, count, whether the token is among these)."""
         if not len(self.keys):
             return np.full(len(h), -1), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        ok = self.keys[at] == h
+        if self.place is None:
+            self.place = np.full(1 << _PLACE_BITS, -1, np.int32)
+            first = (self.keys >> np.uint64(64 - _PLACE_BITS)).astype(np.intp)
+            same = first[1:] == first[:-1]
+            self.place[first] = np.arange(len(first))
+            self.place[first[1:][same]] = -2
+        at = self.place.take((h >> np.uint64(64 - _PLACE_BITS)).astype(np.intp))
+        several = np.flatnonzero(at == -2)
+        at[several] = np.minimum(np.searchsorted(self.keys, h[several]), len(self.keys) - 1)
+        ok = self.keys.take(at, mode="wrap") == h  # -1 is the last key, which then differs
         return np.where(ok, self.ids[at], -1), np.where(ok, self.counts[at], 0), ok
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class GRU:
     """Parameters: input rows (3 gates), recurrent matrices, class and word outputs."""
 
@@ -155,59 +161,83 @@ class GRU:
             at += old.size
 
     def window(self, words: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States before each step's output: words and begins are (steps, lanes); h is the state before."""
-        steps, states = [], np.empty((*words.shape, HIDDEN), np.float32)
-        for t in range(len(words)):
-            h = h * ~begins[t][:, None]
-            x = self.inputs[words[t]]
-            g = _sigmoid(x[:, : 2 * HIDDEN] + h @ self.gates)
-            z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-            rh = r * h
-            n = np.tanh(x[:, 2 * HIDDEN :] + rh @ self.candidate)
-            if keep:
-                steps.append((h, z, r, rh, n))
-            h = n + z * (h - n)
-            states[t] = h
-        return states, h, steps
+        """States before each step's output: words and begins are (steps, lanes); h is the state before.
+
+        With keep, also each step's (state before, gates z and r, r * state, candidate), as arrays over all steps.
+        """
+        steps, lanes = words.shape
+        states, held = np.empty((steps, lanes, HIDDEN), np.float32), steps if keep else 1
+        before, scaled, candidate = (np.empty((held, lanes, HIDDEN), np.float32) for _ in range(3))
+        gates = np.empty((held, lanes, 2 * HIDDEN), np.float32)
+        x, goes_on = np.empty((lanes, 3 * HIDDEN), np.float32), (~begins).astype(np.float32)[:, :, None]
+        for t in range(steps):
+            k = t if keep else 0
+            hp, g, rh, n = before[k], gates[k], scaled[k], candidate[k]
+            np.multiply(h, goes_on[t], out=hp)
+            self.inputs.take(words[t], 0, out=x, mode="clip")
+            np.matmul(hp, self.gates, out=g)
+            g += x[:, : 2 * HIDDEN]
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.multiply(g[:, HIDDEN:], hp, out=rh)
+            np.matmul(rh, self.candidate, out=n)
+            n += x[:, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            h = states[t]
+            np.subtract(hp, n, out=h)
+            h *= g[:, :HIDDEN]
+            h += n
+        return states, h, (before, gates, scaled, candidate) if keep else None
 
     def outputs(self, states: np.ndarray, target: np.ndarray, gradients: dict | None = None):
         """Natural log probability of each target (-1: of the shared class as a whole) and, with gradients, the states' ones."""
-        kind = np.where(target < 0, CLASSES, target // CLASS_SIZE)
-        at = np.arange(len(target))
-
-        def soft(x):
+        kind = np.where(target < 0, CLASSES, target // CLASS_SIZE).astype(np.int16)
+        order = np.argsort(kind, kind="stable")  # rows of a class lie together from here on
+        kind, word, states = kind[order], target[order] % CLASS_SIZE, states.take(order, 0)
+        edge = np.searchsorted(kind, np.arange(CLASSES + 1))
+        ones = {n: np.ones((n, 1), np.float32) for n in (CLASSES + 1, CLASS_SIZE)}
+
+        def soft(x, own):
+            """Log probabilities of the columns `own`; x becomes the gradients, where they are wanted."""
             np.minimum(x, 80.0, out=x)  # float32 holds e**80 times the classes
-            e = np.exp(x)
-            return x, e, e @ np.ones((x.shape[1], 1), np.float32)  # a product is faster than a sum over short rows
-
-        x, e, total = soft(states @ self.class_w + self.class_b)
-        out = x[at, kind] - np.log(total[:, 0])
-        d = None
+            at = np.arange(0, x.size, x.shape[1]) + own
+            flat = x.reshape(-1)
+            chosen = flat[at]
+            np.exp(x, out=x)
+            total = x @ ones[x.shape[1]]  # a product is faster than a sum over short rows
+            if gradients is not None:
+                x /= total
+                flat[at] -= 1
+            return chosen - np.log(total[:, 0])
+
+        x = states @ self.class_w
+        x += self.class_b
+        got, d = soft(x, kind), None
         if gradients is not None:
-            p = e / total
-            p[at, kind] -= 1
-            gradients["class_w"], gradients["class_b"] = states.T @ p, p.sum(0)
+            gradients["class_w"], gradients["class_b"] = states.T @ x, x.sum(0)
             gradients["word_w"], gradients["word_b"] = np.zeros_like(self.word_w), np.zeros_like(self.word_b)
-            d = p @ self.class_w.T
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+            d = x @ self.class_w.T
         for c in range(CLASSES):
-            own = order[edge[c] : edge[c + 1]]
-            if len(own):
-                s, w = states[own], target[own] % CLASS_SIZE
-                x, e, total = soft(s @ self.word_w[c] + self.word_b[c])
-                i = np.arange(len(own))
-                out[own] += x[i, w] - np.log(total[:, 0])
+            a, b = edge[c], edge[c + 1]
+            if a < b:
+                x = states[a:b] @ self.word_w[c]
+                x += self.word_b[c]
+                got[a:b] += soft(x, word[a:b])
                 if gradients is not None:
-                    p = e / total
-                    p[i, w] -= 1
-                    gradients["word_w"][c], gradients["word_b"][c] = s.T @ p, p.sum(0)
-                    d[own] += p @ self.word_w[c].T
+                    gradients["word_w"][c], gradients["word_b"][c] = states[a:b].T @ x, x.sum(0)
+                    d[a:b] += x @ self.word_w[c].T
+        out = np.empty_like(got)
+        out[order] = got
+        if d is not None:
+            sorted_d, d = d, np.empty_like(d)
+            d[order] = sorted_d
         return out, d
 
     def train_window(self, words, begins, target, h, memory: dict, rate: float, live: np.ndarray | None = None) -> np.ndarray:
         """One update of truncated backpropagation (Adagrad); returns the state after.  Steps that are not live end lanes and teach nothing."""
-        states, after, steps = self.window(words, begins, h, keep=True)
+        states, after, (before, gates, scaled, candidate) = self.window(words, begins, h, keep=True)
         g: dict = {}
         if live is None or live.all():
             _, d = self.outputs(states.reshape(-1, HIDDEN), target.ravel(), g)
@@ -215,30 +245,44 @@ class GRU:
         else:
             d = np.zeros_like(states)
             d[live] = self.outputs(states[live], target[live], g)[1]
-        g["gates"], g["candidate"] = np.zeros_like(self.gates), np.zeros_like(self.candidate)
         into = np.empty((*words.shape, 3 * HIDDEN), np.float32)
-        later = np.zeros_like(h)
+        later, goes_on = np.zeros_like(h), (~begins).astype(np.float32)[:, :, None]
+        # What does not depend on later steps is made for all steps at once.
+        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        to_candidate = (1 - z) * (1 - candidate * candidate)
+        to_z, to_r = (before - candidate) * z * (1 - z), scaled * (1 - r)
         for t in range(len(words) - 1, -1, -1):
-            hp, z, r, rh, n = steps[t]
-            dh = d[t] + later
-            dn = dh * (1 - z) * (1 - n * n)
+            dh, step = d[t], into[t]
+            dh += later
+            dn = step[:, 2 * HIDDEN :]
+            np.multiply(dh, to_candidate[t], out=dn)
             drh = dn @ self.candidate.T
-            g["candidate"] += rh.T @ dn
-            gate = into[t, :, : 2 * HIDDEN]
-            gate[:, :HIDDEN] = dh * (hp - n) * z * (1 - z)
-            gate[:, HIDDEN:] = drh * hp * r * (1 - r)
-            into[t, :, 2 * HIDDEN :] = dn
-            g["gates"] += hp.T @ gate
-            later = (dh * z + drh * r + gate @ self.gates.T) * ~begins[t][:, None]
-        flat, order = words.ravel(), np.argsort(words.ravel(), kind="stable")
-        used, first = np.unique(flat[order], return_index=True)
-        rows = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first)
+            np.multiply(dh, to_z[t], out=step[:, :HIDDEN])
+            np.multiply(drh, to_r[t], out=step[:, HIDDEN : 2 * HIDDEN])
+            later = step[:, : 2 * HIDDEN] @ self.gates.T
+            drh *= r[t]
+            later += drh
+            dh *= z[t]
+            later += dh
+            later *= goes_on[t]
+        into = into.reshape(-1, 3 * HIDDEN)
+        g["gates"] = before.reshape(-1, HIDDEN).T @ into[:, : 2 * HIDDEN]
+        g["candidate"] = scaled.reshape(-1, HIDDEN).T @ into[:, 2 * HIDDEN :]
+        flat = words.ravel().astype(np.int16)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        used, rows = flat[first], np.add.reduceat(into.take(order, 0).view(np.complex64), first).view(np.float32)  # pairs of columns at a time
         n = len(flat) if live is None else int(live.sum())
         for k, grad, at in [("inputs", rows, used)] + [(k, g[k], slice(None)) for k in self.NAMES[1:]]:
             grad = grad / n
             m = memory.setdefault(k, np.full_like(getattr(self, k), 1e-8))
-            m[at] += grad * grad
-            getattr(self, k)[at] -= rate * grad / np.sqrt(m[at])
+            sums = m[at] + grad * grad
+            m[at] = sums
+            np.sqrt(sums, out=sums)
+            grad *= rate
+            grad /= sums
+            getattr(self, k)[at] -= grad
         return after
 
 

@@ -343,3 +343,19 @@ def test_copies_of_an_id_crowd_out_no_document(spark, monkeypatch):
         fit_quality(spark.createDataFrame(rows, "doc_id long, text string"), marks, max_rows=8)
     (x, y), (x2, y2) = seen
     assert len(y) == 8 and y.sum() == 4 and np.array_equal(x, x2) and np.array_equal(y, y2)
+
+
+def test_few_words_are_bisected(monkeypatch):
+    r = np.random.default_rng(8)
+    known = np.unique(r.integers(0, 2**64, 60_000, dtype=np.uint64))
+    known = r.permutation(np.unique(np.r_[known, np.arange(4, dtype=np.uint64), known[:3] + np.uint64(1)]))  # some share their first bits
+    counts = r.integers(1, 99, len(known))
+    asked = np.r_[known, r.integers(0, 2**64, 5000, dtype=np.uint64), np.uint64(2**64 - 1)]
+    vocabulary, seen, plain = Vocabulary(known, counts, int(counts.sum()), len(known)), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **more: seen.append(np.size(v)) or plain(a, v, *rest, **more))
+    ids, found, there = vocabulary.find(asked)
+    assert sum(seen) < len(asked) // 10
+    place = {int(h): k for k, h in enumerate(known)}
+    for h, i, c, ok in zip(asked.tolist(), ids, found, there):
+        k = place.get(h)
+        assert ok == (k is not None) and c == (counts[k] if ok else 0) and i == (k if ok and k < CLASSES * CLASS_SIZE else -1)
