@@ -32,10 +32,13 @@ from pyspark.sql import types as T
 from .rangecoder import crc32, decode_blocks, encode_blocks
 from .textops import Texts, slices
 from .tokens import encoder
+from .workers import released
 
 MAGIC = b"ACMX2\0\0\0"
 BLOCK_IDS = 2048
 PART_IDS = 4_000_000
+#: Bytes of texts that are encoded at once: a task needs some tens of bytes for each.
+ENCODED_BYTES = 1 << 20
 _HEAD = "<8sIIIIIIQ"
 
 
@@ -83,9 +86,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, directory: str, end_id:
 
         def out():
             doc_ids, nulls, lengths, ids = (np.concatenate(x) for x in zip(*held))
+            held.clear()  # its arrays are not needed beside their copies
             return pa.RecordBatch.from_arrays([pa.array([pack(doc_ids, nulls, lengths, ids, shard=shard, part=part)])], ["payload"])
 
-        for s in slices(batches):
+        for s in slices(batches, limit=ENCODED_BYTES):
             ids, off = e.ids(Texts(s.column(1)))
             lengths = np.diff(off) + 1
             whole = np.full(len(ids) + s.num_rows, end_id, np.int32)
@@ -96,11 +100,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, directory: str, end_id:
             n += len(whole)
             if n >= part_ids:
                 yield out()
-                held, n, part = [], 0, part + 1
+                n, part = 0, part + 1
         if held:
             yield out()
 
-    ordered.mapInArrow(run, "payload binary").select(F.col("payload").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(directory)
+    ordered.mapInArrow(released(run), "payload binary").select(F.col("payload").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(directory)
 
 
 def read_token_files(spark: SparkSession, directory: str, with_ids: bool = False) -> DataFrame:
@@ -129,7 +133,7 @@ def read_token_files(spark: SparkSession, directory: str, with_ids: bool = False
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (1, 2, 7)], ["shard", "part", "n_ids"])
 
     schema = "shard long, part long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    decoded = parts.select("content").mapInArrow(run, schema)
+    decoded = parts.select("content").mapInArrow(released(run), schema)
     # Ids before each part: shards first, then the parts of a shard; a row for each of them only.
     head = parts.select(F.substring("content", 1, struct.calcsize(_HEAD)).alias("head")).mapInArrow(heads, "shard long, part long, n_ids long")
     sizes = head.groupBy("shard", "part").agg(F.sum("n_ids").alias("n"))

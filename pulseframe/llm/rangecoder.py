@@ -121,13 +121,15 @@ def encode_blocks(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, i
     """(16-bit words of all blocks, words of each block, largest id). ids is cut into blocks of `size`."""
     lanes = -(-len(ids) // size)
     most = int(ids.max(initial=0))
-    grid = np.zeros(lanes * size, np.int32)
-    grid[: len(ids)] = ids
     steps = min(size, len(ids))
-    grid = np.ascontiguousarray(grid.reshape(lanes, size).T)
+    whole = len(ids) // size
+    grid = np.zeros((steps, lanes), np.int32)  # the only copy of the ids
+    grid[:, :whole] = ids[: whole * size].reshape(whole, size).T[:steps]
+    grid[: len(ids) - whole * size, whole:] = ids[whole * size :, None]
     m = Model(lanes, most)
     kind_of = np.repeat(np.arange(len(m.first), dtype=np.int32), 1 << m.bits.astype(np.int64))
-    room = 3 * steps + 4  # a step moves at most 12 + 12 + 12 bits
+    most_moved = 3 * SEGMENT + 4  # a step moves at most 12 + 12 + 12 bits
+    room = min(steps, 3 * steps // 4 + SEGMENT) + most_moved  # of a lane; made larger where ids take more
     out, count = np.zeros(lanes * room, np.uint32), (np.arange(lanes, dtype=np.int64) * room)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 32) - 1, np.uint32)
     word, bits, over = np.uint64(16), np.uint32(BITS), np.uint64((1 << 64) - (1 << 32))
@@ -143,6 +145,13 @@ def encode_blocks(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, i
         span <<= need.astype(np.uint32) << np.uint32(4)
 
     for step in range(steps):
+        if step % SEGMENT == 0:
+            used = int((count - np.arange(lanes, dtype=np.int64) * room).max(initial=0))
+            if used + most_moved > room:
+                wider = np.zeros((lanes, 2 * room), np.uint32)
+                wider[:, :room] = out.reshape(lanes, room)
+                count += np.arange(lanes, dtype=np.int64) * room
+                out, room = wider.ravel(), 2 * room
         x = grid[step]
         f2, either = m.predict()
         hit2 = m.p2 == x
@@ -175,11 +184,11 @@ def encode_blocks(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, i
         count += 1
         low = (low & rest) << word
     count -= np.arange(lanes, dtype=np.int64) * room
-    used = out.reshape(lanes, room)[:, : int(count.max(initial=0))].astype(np.int64)
-    while (used > 0xFFFF).any():
-        carry = used >> 16
-        used &= 0xFFFF
-        used[:, :-1] += carry[:, 1:]
+    used = out.reshape(lanes, room)[:, : int(count.max(initial=0))]
+    while used.max(initial=0) > 0xFFFF:
+        carry = (used[:, 1:] >> np.uint32(16)).astype(np.uint16)
+        used &= np.uint32(0xFFFF)
+        used[:, :-1] += carry
     return used[np.arange(used.shape[1]) < count[:, None]].astype(np.uint16), count, most
 
 

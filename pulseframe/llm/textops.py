@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .workers import released
+
 SLICE_BYTES = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,4 +210,4 @@ def map_texts(df, make, fields, text: str = "text", keep=None):
             got = [x if isinstance(x, pa.Array) else pa.array(x) for x in f(Texts(s.column(at("__text"))))]
             yield pa.RecordBatch.from_arrays([s.column(at(c)) for c in keep] + got, names)
 
-    return source.mapInArrow(run, T.StructType([source.schema[c] for c in keep] + list(fields)))
+    return source.mapInArrow(released(run), T.StructType([source.schema[c] for c in keep] + list(fields)))

@@ -1,6 +1,7 @@
 """Mixing, tokens, files, chat and the pipeline."""
 
 import random
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -180,6 +181,17 @@ def test_weights_of_orders_are_learnt():
     assert (grown > 0).all() and grown[0] != grown[1]
 
 
+@pytest.mark.parametrize("largest", [2000, 50_000, 200_000])
+def test_coder_memory_an_id(largest):
+    ids = np.random.default_rng(1).integers(0, largest, 300 * 2048 + 77).astype(np.int32)  # the largest take more words than a lane has room for at first
+    tracemalloc.start()
+    words, count, most = encode_blocks(ids, 2048)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 36 * len(ids)
+    assert (decode_blocks(words, count, 2048, most, len(ids)) == ids).all()
+
+
 def test_damage_is_seen():
     data = pack(np.array([5]), np.array([False]), np.array([900]), np.arange(900) % 77)
     assert (unpack(data)[3] == np.arange(900) % 77).all()
