@@ -4,9 +4,9 @@ Documents are range-sorted by id, tokenised, given an end id, and packed into
 parts of up to `PART_IDS` ids (a longer document is a part by itself).  Each part
 is a file of its own, named by Spark:
 
-    magic 'ACMX2\\0\\0\\0' | u32 shard, u32 part | u32 documents, u32 blocks, u32 ids a block, u32 largest id, u64 ids
+    magic 'ACMX3\\0\\0\\0' | u32 shard, u32 part | u32 documents, u32 blocks, u32 ids a block, u32 largest id, u64 ids
     i64 document ids | u8 null flags | u32 ids of each document
-    u32 words of each block | u32 CRC-32 of each block's ids | u16 words | a newline
+    u32 words of each block | u32 CRC-32 of each block's ids and words | u16 words | a newline
 
 Spark's text writer puts the bytes of one row into one file and its binary-file
 reader brings them back, so files go to every store that Spark reaches.  The
@@ -22,6 +22,7 @@ tens of bytes each; a part has to stay below the 2 GB of a cell.
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .textops import Texts, slices
 from .tokens import encoder
 from .workers import released
 
-MAGIC = b"ACMX2\0\0\0"
+MAGIC = b"ACMX3\0\0\0"
 BLOCK_IDS = 2048
 PART_IDS = 4_000_000
 #: Bytes of texts that are encoded at once: a task needs some tens of bytes for each.
@@ -42,10 +43,16 @@ ENCODED_BYTES = 1 << 20
 _HEAD = "<8sIIIIIIQ"
 
 
+def _sums(ids: np.ndarray, block_ids: int, words: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """CRC-32 of each block's ids followed by its words, so that no bit goes unseen."""
+    ends = np.cumsum(count).tolist()
+    return np.array([zlib.crc32(words[a:b], crc32(ids[k * block_ids : (k + 1) * block_ids])) for k, (a, b) in enumerate(zip([0, *ends], ends))], "<u4")
+
+
 def pack(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block_ids: int = BLOCK_IDS, shard: int = 0, part: int = 0) -> bytes:
     """One part of the file format."""
     words, count, most = encode_blocks(ids, block_ids) if len(ids) else (np.zeros(0, np.uint16), np.zeros(0, np.int64), 0)
-    sums = np.array([crc32(ids[i : i + block_ids]) for i in range(0, len(ids), block_ids)], "<u4")
+    sums = _sums(ids, block_ids, words.astype("<u2"), count)
     head = struct.pack(_HEAD, MAGIC, shard, part, len(doc_ids), len(count), block_ids, most, len(ids))
     return b"".join([head, doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), lengths.astype("<u4").tobytes(), count.astype("<u4").tobytes(), sums.tobytes(), words.astype("<u2").tobytes()])
 
@@ -67,9 +74,9 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     doc_ids, nulls, lengths, count, sums = found
     words = np.frombuffer(data, "<u2", int(count.sum()), at)
     ids = decode_blocks(words, count.astype(np.int64), block_ids, most, total) if total else np.zeros(0, np.int32)
-    for k in range(blocks):
-        if crc32(ids[k * block_ids : (k + 1) * block_ids]) != sums[k]:
-            raise ValueError(f"block {k} fails its checksum")
+    wrong = np.flatnonzero(_sums(ids, block_ids, words, count.astype(np.int64)) != sums)
+    if len(wrong):
+        raise ValueError(f"block {wrong[0]} fails its checksum")
     return doc_ids, nulls.astype(bool), lengths.astype(np.int64), ids
 
 

@@ -203,6 +203,30 @@ def test_damage_is_seen():
         unpack(b"nothing")
 
 
+def test_every_damaged_bit_is_seen():
+    ids = np.random.default_rng(3).integers(0, 50_000, 150)
+    data = pack(np.array([5]), np.array([False]), np.array([150]), ids, block_ids=64)
+    assert (unpack(data)[3] == ids).all()
+    words = encode_blocks(ids, 64)[0].nbytes
+    for bit in range(8 * (len(data) - words), 8 * len(data)):
+        broken = bytearray(data)
+        broken[bit // 8] ^= 1 << bit % 8
+        with pytest.raises(ValueError):
+            unpack(bytes(broken))
+
+
+def test_even_places_go_past_the_coder():
+    """They lie behind a block's coded words, first from its end, and cost their bits and no more."""
+    from pulseframe.llm import rangecoder
+
+    values, bits = np.array([[0xABC, 0x12, 0, 0x345], [1, 0, 0, 0]]), np.array([[12, 8, 0, 12], [4, 0, 0, 0]], np.int32)
+    words, count = rangecoder._raw_words(values, bits)
+    assert count.tolist() == [2, 1] and words[0, :2].tolist() == [0xABC1, 0x2345] and words[1, 0] == 0x1000
+    ids = 4096 * 5 + np.random.default_rng(0).permutation(4096)[:2048]  # new ids of one class, which soon costs nothing
+    coded, count, _ = encode_blocks(ids, 2048)
+    assert count[0] * 16 < 2048 * 12 + 2500 and coded[-1] == (ids[0] - 4096 * 5) << 4 & 0xFFFF | (ids[1] - 4096 * 5) >> 8
+
+
 def test_files(spark, odd):
     from tokenizers import Tokenizer
 
