@@ -1,8 +1,10 @@
 """Figures of sliding windows in one pass: samples and windows of a stretch of a recording meet once, in Arrow batches.
 
 A stretch is `span` seconds of a trial, so that a long recording is many groups: a window belongs to the stretch of its
-start, and samples near a border go to both sides.  In a stretch each channel is sorted once and windows are ranges
-of it, found by bisection; windows of equal size are the rows of one matrix, on which every figure is array arithmetic.
+start, and samples near a border go to both sides.  Many stretches are worked on at once: their times are complex numbers,
+the stretch's number as real part, which numpy orders by stretch and then by time, so that steps inside a stretch stay
+exact.  Each channel is sorted once and windows are ranges of it, found by bisection; windows of equal size are the rows
+of one matrix, on which every figure is array arithmetic.
 """
 
 from __future__ import annotations
@@ -19,6 +21,19 @@ from pulseframe.operators.ranks import spread
 
 #: Cells of a matrix of windows.
 CELLS = 1 << 22
+#: Samples and windows that are worked on at once, if a single stretch does not hold more.
+ROWS = 1 << 17
+
+
+def by_stretch(group: np.ndarray, t: np.ndarray) -> np.ndarray:
+    out = np.empty(len(t), complex)
+    out.real, out.imag = group, t
+    return out
+
+
+def seconds(t: np.ndarray) -> np.ndarray:
+    """Times without their stretch."""
+    return t.imag if np.iscomplexobj(t) else t
 
 
 def stacks(lo: np.ndarray, hi: np.ndarray, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -31,23 +46,45 @@ def stacks(lo: np.ndarray, hi: np.ndarray, least: int = 1) -> Iterator[tuple[np.
             yield own, lo[own][:, None] + np.arange(n)
 
 
-def meet(samples: DataFrame, windows: DataFrame, figures: Callable, fields: list[T.StructField], length: float, trial=("subject", "trial"), span: float = 120.0) -> DataFrame:
-    """windows with the columns that figures(samples' columns, t_start, t_end, rate) -> {name: array} gives to those of a stretch.
+def meet(samples: DataFrame, windows: DataFrame, figures: Callable, fields: list[T.StructField], length: float, trial=("subject", "trial"), span: float = 120.0, at_once: int = ROWS) -> DataFrame:
+    """windows with the columns that figures(samples' columns, t_start, t_end, rate) -> {name: array} gives to those of some stretches.
 
     samples need trial and t; windows trial, t_start and t_end, which lie `length` apart; rate is their column __fs, if any.
+    figures gets times by stretch, see above.
     """
     first, last = F.floor((F.col("t") - length - 1e-9) / span), F.floor(F.col("t") / span)
-    s = samples.where(F.col("t").isNotNull() & ~F.isnan("t")).withColumn("__stretch", F.explode(F.sequence(first, last)))
+    s = samples.where(F.col("t").isNotNull() & ~F.isnan("t")).withColumn("t", F.col("t").cast("double")).withColumn("__stretch", F.explode(F.sequence(first, last)))
     w = windows.withColumn("__stretch", F.floor(F.col("t_start") / span))
     own = [c for c in windows.columns if c not in {f.name for f in fields}]
     schema = T.StructType([windows.schema[c] for c in own] + fields)
     kinds = {f.name: {"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in fields}
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = {c: left[c].combine_chunks() if left.num_rows else left[c] for c in left.column_names}
-        plain = {c: (v.to_numpy(zero_copy_only=False) if isinstance(v, pa.Array) else v.to_numpy()) for c, v in columns.items() if c not in trial}
-        start, end, rate = (right[c].to_numpy().astype(float) if c in right.column_names else None for c in ("t_start", "t_end", "__fs"))
-        got = figures(plain, start, end, rate) if right.num_rows else {}
+    keys, plain = [*trial, "__stretch"], [c for c in samples.columns if c not in trial]
+    same_kind = [F.col(c).cast(windows.schema[c].dataType).alias(c) for c in trial]
+    left = s.select(*same_kind, "__stretch", *[F.col(c).alias(f"__s_{c}") for c in plain], F.lit(False).alias("__window"))
+    both = left.unionByName(w.withColumn("__window", F.lit(True)), allowMissingColumns=True)
+
+    def groups(table: pa.Table) -> np.ndarray:
+        """0, 1, ... by stretch; rows of one lie together."""
+        new = np.zeros(table.num_rows, bool)
+        for c in keys:
+            code = table[c].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        return np.cumsum(new)
+
+    def values(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().to_numpy(zero_copy_only=False)
+
+    def whole(table: pa.Table, group: np.ndarray):
+        is_window = values(table["__window"])
+        right, at = table.filter(pa.array(is_window)), group[is_window]
+        if not right.num_rows:
+            return
+        needed = ~is_window & (np.bincount(at, minlength=group[-1] + 1) > 0)[group]
+        samples = table.filter(pa.array(needed))
+        s = {c: values(samples[f"__s_{c}"]) for c in plain}
+        s["t"] = by_stretch(group[needed], s["t"])
+        start, end = (by_stretch(at, values(right[c])) for c in ("t_start", "t_end"))
+        got = figures(s, start, end, values(right["__fs"]).astype(float) if "__fs" in right.column_names else None)
         out = [right[c] for c in own]
         for name, kind in kinds.items():
             v = got.get(name)
@@ -56,10 +93,26 @@ def meet(samples: DataFrame, windows: DataFrame, figures: Callable, fields: list
             else:
                 v = np.asarray(v)
                 out.append(pa.array(v, mask=np.isnan(v) if v.dtype.kind == "f" else None).cast(kind))
-        return pa.table(out, names=[*own, *kinds])
-
-    keys = [*trial, "__stretch"]
-    return spread(s, *keys).groupBy(*keys).cogroup(spread(w, *keys).groupBy(*keys)).applyInArrow(run, schema)
+        yield from pa.table(out, names=[*own, *kinds]).combine_chunks().to_batches()
+
+    def run(batches):
+        held, rows, limit = [], 0, at_once
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= limit:
+                table = pa.Table.from_batches(held)
+                group = groups(table)
+                cut = int(np.searchsorted(group, group[-1]))  # the last stretch may go on
+                if cut:
+                    yield from whole(table.slice(0, cut), group[:cut])
+                held, rows = table.slice(cut).to_batches(), rows - cut
+                limit = max(at_once, 2 * rows)
+        if rows:
+            table = pa.Table.from_batches(held)
+            yield from whole(table, groups(table))
+
+    return spread(both, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 # --- coverage ---
@@ -74,7 +127,7 @@ def coverage(t: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.
     two = np.flatnonzero(hi - lo >= 2)
     if len(two):
         # reduceat takes [lo, hi - 1) from each even place; a last zero keeps every place inside.
-        gap[two] = np.maximum.reduceat(np.r_[np.diff(u), 0.0], np.c_[lo[two], hi[two] - 1].ravel())[::2]
+        gap[two] = np.maximum.reduceat(np.r_[np.diff(seconds(u)), 0.0], np.c_[lo[two], hi[two] - 1].ravel())[::2]
     return {"n": hi - lo, "n_rows": np.searchsorted(t, end, "left") - np.searchsorted(t, start, "left"), "max_gap_s": gap}
 
 
@@ -105,7 +158,8 @@ def autoregression(x: np.ndarray, order: int = 4) -> np.ndarray:
     r = np.stack([(x[:, k:] * x[:, : n - k]).sum(1) for k in range(order + 1)], 1)
     ok = np.flatnonzero(np.isfinite(r).all(1) & (r[:, 0] != 0))
     at = np.abs(np.arange(order)[:, None] - np.arange(order))
-    for i in [ok] if len(ok) and (np.linalg.matrix_rank(r[ok][:, at]) == order).all() else ok[:, None]:
+    full = np.linalg.matrix_rank(r[ok][:, at]) == order if len(ok) else np.zeros(0, bool)
+    for i in [ok[full], *ok[~full][:, None]]:
         try:
             out[i] = np.linalg.solve(r[i][:, at], r[i][:, 1:, None])[..., 0]
         except np.linalg.LinAlgError:
@@ -144,7 +198,7 @@ def median_step(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int = 3) -
     some = np.flatnonzero(hi > lo)
     a, b = np.zeros(len(lo), int), np.zeros(len(lo), int)
     a[some], b[some] = place[lo[some]], place[hi[some] - 1] + 1
-    d = np.diff(u)
+    d = np.diff(seconds(u))
     for own, at in stacks(a, b - 1, least - 1):
         out[own] = np.median(d[at], axis=1)
     return out
@@ -162,7 +216,7 @@ def _held_line(t: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, at:
     j = np.clip(np.searchsorted(t, at, "right"), lo + 1, np.maximum(hi - 1, lo + 1))
     i, j = j - 1, np.minimum(j, hi - 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        part = np.clip(np.where(j > i, (at - t[i]) / (t[j] - t[i]), 0.0), 0.0, 1.0)
+        part = np.clip(np.where(j > i, seconds(at - t[i]) / seconds(t[j] - t[i]), 0.0), 0.0, 1.0)
     return x[i] + (x[j] - x[i]) * part
 
 
@@ -177,13 +231,14 @@ def overlap_figure(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np
     if not len(own):
         return out
     first, last, dt = u[bounds[0][0][own]], u[bounds[0][1][own] - 1], dt[own]
-    n = np.ceil((last + 1e-12 - first) / dt).astype(int)
+    n = np.ceil((seconds(last) + 1e-12 - seconds(first)) / dt).astype(int)
     own, first, dt, n = (v[n >= 3] for v in (own, first, dt, n))
     if not len(own):
         return out
     begin = np.cumsum(n) - n
-    grid = np.repeat(first, n) + (np.arange(int(n.sum())) - np.repeat(begin, n)) * np.repeat(dt, n)
-    a, b = (np.maximum(_held_line(t, x, np.repeat(lo[own], n), np.repeat(hi[own], n), grid), 0.0) for (t, x), (lo, hi) in zip(((ta, xa), (tb, xb)), bounds[1:]))
+    grid = np.repeat(seconds(first), n) + (np.arange(int(n.sum())) - np.repeat(begin, n)) * np.repeat(dt, n)
+    places = by_stretch(np.repeat(first.real, n), grid) if np.iscomplexobj(first) else grid
+    a, b = (np.maximum(_held_line(t, x, np.repeat(lo[own], n), np.repeat(hi[own], n), places), 0.0) for (t, x), (lo, hi) in zip(((ta, xa), (tb, xb)), bounds[1:]))
 
     def area(v: np.ndarray) -> np.ndarray:
         inner = (v[1:] + v[:-1]) / 2 * np.diff(grid)
@@ -237,7 +292,7 @@ def coverage_of(emg: DataFrame, imu: DataFrame, windows: DataFrame, length: floa
 
     def figures(s, start, end, _):
         moving = s["moving"].astype(bool)
-        return {f"{m}_{c}": v for m, own in (("emg", ~moving), ("imu", moving)) for c, v in coverage(s["t"][own].astype(float), start, end).items()}
+        return {f"{m}_{c}": v for m, own in (("emg", ~moving), ("imu", moving)) for c, v in coverage(s["t"][own], start, end).items()}
 
     got = meet(both, windows, figures, [T.StructField(f"{m}_{c}", k) for m in ("emg", "imu") for c, k in names.items()], length, trial, span)
     return got.fillna(0, [f"{m}_{c}" for m in ("emg", "imu") for c in ("n", "n_rows")])
@@ -262,7 +317,7 @@ def features_of(emg: DataFrame, imu: DataFrame, windows: DataFrame, muscles: lis
         order = np.argsort(s["t"], kind="stable")
         s = {c: v[order] for c, v in s.items()}
         moving = s["moving"].astype(bool)
-        number = {c: v.astype(float) for c, v in s.items() if c not in ("sensor", "moving")}
+        number = {c: v.astype(float) for c, v in s.items() if c not in ("sensor", "moving", "t")} | {"t": s["t"]}
         out: dict[str, np.ndarray] = {}
 
         def channel(own):

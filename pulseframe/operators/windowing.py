@@ -49,7 +49,7 @@ def window_quality(samples: DataFrame, windows: DataFrame, length: float = 0.2,
     from pulseframe.operators.window_pass import coverage, meet
 
     fields = [T.StructField("n", T.LongType()), T.StructField("n_rows", T.LongType()), T.StructField("max_gap_s", T.DoubleType())]
-    got = meet(samples.select(*trial, F.col("t").cast("double").alias("t")), windows, lambda s, a, b, _: coverage(s["t"].astype(float), a, b), fields, length, trial, max(120.0, 20 * length))
+    got = meet(samples.select(*trial, F.col("t").cast("double").alias("t")), windows, lambda s, a, b, _: coverage(s["t"], a, b), fields, length, trial, max(120.0, 20 * length))
     out = got.fillna(0, ["n", "n_rows"]).join(rate(samples, trial), list(trial), "left")
     return out.withColumns(_flags(F.col("n"), F.col("fs_est"), F.col("max_gap_s"), length, least_coverage, longest_gap))
 

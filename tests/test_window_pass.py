@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.operators import features, signals, windowing
-from pulseframe.operators.window_pass import autoregression, overlap_figure, stacks
+from pulseframe.operators.window_pass import autoregression, coverage, meet, overlap_figure, stacks
 
 
 def loop_overlap(one, two, lo, hi):
@@ -108,3 +108,34 @@ def test_ranges_and_singular_windows():
     assert np.isnan(a[0]).all() and np.isfinite(a[1:]).all()
     t = np.arange(10.0)
     assert overlap_figure((t, t * 0 + 2), (t + 0.5, t * 0 + 1), np.array([0.0]), np.array([9.0]))[0] == pytest.approx(0.5)
+
+
+def test_many_stretches_at_once(spark):
+    """One call works on many stretches, a stretch never is in two calls, and times far apart in value keep their steps."""
+    from pyspark.sql import types as T
+
+    rows = [(f"s{k}" if k else None, 1, 2e6 + j * 0.25 + k * 1e-6) for k in range(60) for j in range(40)]
+    samples = spark.createDataFrame(rows, "subject string, trial int, t double")
+    windows = windowing.make_windows(samples.groupBy("subject", "trial").agg(F.lit(1).alias("episode_id"), F.min("t").alias("t_on"), F.max("t").alias("t_off")), 2.0, 1.0)
+    fields = [T.StructField(c, k) for c, k in (("n", T.LongType()), ("n_rows", T.LongType()), ("max_gap_s", T.DoubleType()), ("call", T.DoubleType()))]
+
+    def figures(s, start, end, _):
+        import random
+
+        return coverage(s["t"], start, end) | {"call": np.full(len(start), random.SystemRandom().random())}
+
+    got = meet(samples, windows, figures, fields, 2.0, span=3.0).collect()
+    assert len(got) == windows.count() == 60 * 8 and len({r["call"] for r in got}) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    times = {k: np.array([r[2] for r in rows if r[0] == k]) for k in {r[0] for r in rows}}
+    for r in got:
+        t = times[r["subject"]]
+        t = t[(t >= r["t_start"]) & (t < r["t_end"])]
+        assert (r["n"], r["n_rows"], r["max_gap_s"]) == (len(t), len(t), np.diff(t).max())
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, 16)  # stretches go on from one batch to the next
+    try:
+        few = meet(samples, windows, figures, fields, 2.0, span=3.0, at_once=7).collect()
+    finally:
+        spark.conf.unset(batch)
+    plain = lambda found: sorted((str(r["subject"]), r["window_id"], r["n"], r["max_gap_s"]) for r in found)
+    assert plain(few) == plain(got) and len({r["call"] for r in few}) > 60
