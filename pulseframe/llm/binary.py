@@ -111,7 +111,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, directory: str, end_id:
         if held:
             yield out()
 
-    ordered.mapInArrow(released(run), "payload binary").select(F.col("payload").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(directory)
+    ordered.mapInArrow(released(run, ("encoders",)), "payload binary").select(F.col("payload").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(directory)
 
 
 def read_token_files(spark: SparkSession, directory: str, with_ids: bool = False) -> DataFrame:
@@ -142,7 +142,7 @@ def read_token_files(spark: SparkSession, directory: str, with_ids: bool = False
     schema = "shard long, part long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     decoded = parts.select("content").mapInArrow(released(run), schema)
     # Ids before each part: shards first, then the parts of a shard; a row for each of them only.
-    head = parts.select(F.substring("content", 1, struct.calcsize(_HEAD)).alias("head")).mapInArrow(heads, "shard long, part long, n_ids long")
+    head = parts.select(F.substring("content", 1, struct.calcsize(_HEAD)).alias("head")).mapInArrow(released(heads), "shard long, part long, n_ids long")
     sizes = head.groupBy("shard", "part").agg(F.sum("n_ids").alias("n"))
     shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).withColumn("before_shard", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).drop("n")
     before = sizes.withColumn("before_part", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n").join(shards, "shard")

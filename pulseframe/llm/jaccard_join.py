@@ -42,10 +42,12 @@ from pyspark.sql import types as T
 
 from .shared import HOT_SHARE, hot_values, salted_join, written
 from .textops import Texts, map_texts, mix, seeds, slices
+from .workers import released
 
 SHINGLE = 5
 COORDS = 64
 SMALL, BLOCK = 192, 256
+SLICE = 512 << 10  # bytes of text at a time: executors hold several workers
 FIRST, DEEPEST = 2, 6
 HOT_SAMPLED = 6  # nodes of a path among a 64th of all, below which it is small
 
@@ -211,7 +213,7 @@ def _hot_paths(some: DataFrame, depth: int, alike: float) -> dict[int, bool]:
             b = table.combine_chunks().to_batches()[0]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([_leaf(_sketch_column(b, 2), depth, alike)])], ["path", "leaf"])
 
-    return {r["path"]: r["leaf"] for r in slots.repartition("path").sortWithinPartitions("path", "slot").mapInArrow(decide, "path long, leaf boolean").collect()}
+    return {r["path"]: r["leaf"] for r in slots.repartition("path").sortWithinPartitions("path", "slot").mapInArrow(released(decide), "path long, leaf boolean").collect()}
 
 
 def _divide(hot: dict[int, bool]):
@@ -335,7 +337,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
         return f
 
-    rows = written(map_texts(source, make, [T.StructField("key", T.LongType()), T.StructField("sketch", T.BinaryType())], keep=["doc_id"]), "join-rows")
+    rows = written(map_texts(source, make, [T.StructField("key", T.LongType()), T.StructField("sketch", T.BinaryType())], keep=["doc_id"], limit=SLICE), "join-rows")
     nodes = written(rows.where("key != 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch")), "join-nodes")
 
     alike = 0.7 * threshold
@@ -355,13 +357,17 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
     schema = "path long, key long, sketch binary"
     first, a_64th = nodes.select("key", "sketch"), F.pmod(F.xxhash64("key"), F.lit(64)) == 0
-    level, some, leaves, depth = first.mapInArrow(start, schema), first.where(a_64th).mapInArrow(start, schema), None, FIRST
+    level, some, leaves, depth = first.mapInArrow(released(start), schema), first.where(a_64th).mapInArrow(released(start), schema), None, FIRST
     while True:
         hot = _hot_paths(some, depth, alike)
         cold = level.where(~F.col("path").isin(list(hot))) if hot else level
-        out = cold.repartition("path").sortWithinPartitions("path", "key").mapInArrow(_split(depth, alike), schema)
+        out = cold.repartition("path").sortWithinPartitions("path", "key").mapInArrow(released(_split(depth, alike)), schema)
         if hot:
-            out = out.unionAll(level.where(F.col("path").isin(list(hot))).mapInArrow(_divide(hot), schema))
+            divide = _divide(hot)
+            if depth == FIRST:  # in the function that makes the level: a second one would take a second worker beside it for each task
+                out = out.unionAll(first.mapInArrow(released(lambda batches, divide=divide: divide(start(batches))), schema))
+            else:
+                out = out.unionAll(level.where(F.col("path").isin(list(hot))).mapInArrow(released(divide), schema))
         out = written(out, "join-level")
         part = out.where("sketch IS NULL").select(F.col("path").alias("bucket"), "key")
         leaves = part if leaves is None else leaves.unionAll(part)
@@ -385,7 +391,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
     def sets(batches):
         seen: set = set()
-        for s in slices(batches):
+        for s in slices(batches, limit=SLICE):
             h, off = shingle_sets(Texts(s.column(0)))
             key = _keys(h, off)
             u = key.view(np.uint64)
@@ -396,11 +402,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
             if take:
                 yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array([h[off[k] : off[k + 1]].tobytes() for k in take], pa.binary())], ["key", "members"])
 
-    payload = source.select("text").mapInArrow(sets, "key long, members binary").join(wanted, "key").dropDuplicates(["key"])
+    payload = source.select("text").mapInArrow(released(sets), "key long, members binary").join(wanted, "key").dropDuplicates(["key"])
     lists = payload.select("key", "copies", F.transform("at", lambda x: x["bucket"]).alias("buckets"), "members", F.explode("at").alias("p"))
     pieces = lists.select("key", "copies", "buckets", "members", "p.*", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)).alias("other"))
     parts = pieces.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "buckets", "members")
-    found = parts.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key").mapInArrow(_verify(threshold), "key long, root long, links long")
+    found = parts.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key").mapInArrow(released(_verify(threshold)), "key long, root long, links long")
     found = written(found, "join-found")
 
     labels = components(found)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import bounded_sample
-from .textops import Texts, count_between, distinct_by_row, map_texts, mix, range_hash, sum_by_row
+from .textops import SLICE_BYTES, Texts, count_between, distinct_by_row, map_texts, mix, range_hash, sum_by_row
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -214,4 +214,4 @@ def score_quality(docs: DataFrame, model: Trees, threshold: float = 0.5, text: s
         return f
 
     fields = [T.StructField(c, T.LongType()) for c in counts] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("quality_score", T.DoubleType())]
-    return map_texts(docs, make, fields, text, keep)
+    return map_texts(docs, make, fields, text, keep, limit=SLICE_BYTES // 2)

@@ -188,12 +188,13 @@ def distinct_by_row(key: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount((k & np.uint64((1 << 20) - 1)).astype(np.int64), minlength=rows)
 
 
-def map_texts(df, make, fields, text: str = "text", keep=None):
+def map_texts(df, make, fields, text: str = "text", keep=None, limit: int = SLICE_BYTES, uses: tuple[str, ...] = ()):
     """DataFrame of `keep` columns (default: all) plus `fields` computed from whole texts.
 
     make() runs once per task and returns f(Texts) -> arrays in the order of
     `fields`.  A kept column whose name is among `fields` is replaced.  A null
-    text counts as empty.
+    text counts as empty.  Slices have `limit` bytes of text; `uses` names what
+    the worker keeps for later tasks of this operator.
     """
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
@@ -205,9 +206,9 @@ def map_texts(df, make, fields, text: str = "text", keep=None):
 
     def run(batches):
         f = make()
-        for s in slices(batches, "__text"):
+        for s in slices(batches, "__text", limit):
             at = s.schema.get_field_index
             got = [x if isinstance(x, pa.Array) else pa.array(x) for x in f(Texts(s.column(at("__text"))))]
             yield pa.RecordBatch.from_arrays([s.column(at(c)) for c in keep] + got, names)
 
-    return source.mapInArrow(released(run), T.StructType([source.schema[c] for c in keep] + list(fields)))
+    return source.mapInArrow(released(run, uses), T.StructType([source.schema[c] for c in keep] + list(fields)))

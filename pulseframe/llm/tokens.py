@@ -260,4 +260,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
         return f
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return map_texts(docs, make, fields, text, keep)
+    return map_texts(docs, make, fields, text, keep, uses=("encoders",))

@@ -15,17 +15,23 @@ def kept(name: str) -> dict:
     return sys.modules.setdefault("pulseframe_kept", types.ModuleType("pulseframe_kept")).__dict__.setdefault(name, {})
 
 
-def released(run):
-    """run(batches) -> batches, after which what the task has freed goes back to the system.
+def released(run, uses: tuple[str, ...] = ()):
+    """run(batches) -> batches, before which the worker forgets what it kept under other names than `uses`, and after
+    which what the task has freed goes back to the system.
 
     An idle worker stays beside those of later stages, and allocators keep what was freed for reuse.
     """
 
     def f(batches):
         import ctypes
+        import sys
+        import types
 
         import pyarrow as pa
 
+        for name, values in vars(sys.modules.get("pulseframe_kept", types.SimpleNamespace())).items():
+            if name not in uses and not name.startswith("__"):
+                values.clear()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only

@@ -110,6 +110,34 @@ def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
     assert hot and all(n > 5 for n in [sum(len(t or "") == h for _, t in rows if t is not None) for h in hot if h is not None])
 
 
+def test_join_needs_one_worker_a_task(spark, monkeypatch):
+    """No stage runs one Python function on another's rows, hot paths of the first level neither: each takes a worker of its own."""
+    from pulseframe.llm import jaccard_join
+
+    r, base = random.Random(4), prose(77, 300)
+    rows = list(enumerate([edited(base, r, r.randrange(1, 4)) for _ in range(120)] + [prose(i, 40) for i in range(60)]))
+    for k, v in (("SMALL", 8), ("BLOCK", 16), ("HOT_SAMPLED", 0)):
+        monkeypatch.setattr(jaccard_join, k, v)
+    plans, hot = [], []
+    real, paths = jaccard_join.written, jaccard_join._hot_paths
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or real(df, name))
+    monkeypatch.setattr(jaccard_join, "_hot_paths", lambda *a: hot.append(paths(*a)) or hot[-1])
+    got = {x["doc_id"]: (x["n_links"], x["class_id"]) for x in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close(got, brute(rows))
+    assert hot[0] and sum(p.count("MapInArrow") for p in plans) > 3
+    for plan in plans:
+        nodes = [n for line in plan.split("\n") for n in ("MapInArrow", "Exchange", "Scan", "Union") if n in line.split("(")[0].split("[")[0]]
+        assert ("MapInArrow", "MapInArrow") not in set(zip(nodes, nodes[1:]))
+
+
+def test_workers_forget_what_others_kept():
+    from pulseframe.llm.workers import kept, released
+
+    kept("encoders")["a"], kept("other")["b"] = 1, 2
+    assert list(released(iter, ("encoders",))([3])) == [3] and kept("encoders") == {"a": 1} and not kept("other")
+    assert list(released(iter)([])) == [] and not kept("encoders")
+
+
 def test_runs_for_the_recall():
     assert runs_needed(0.8, 0.9999, 0.56) >= runs_needed(0.8, 0.9999) >= runs_needed(0.9, 0.9999)
     with pytest.raises(ValueError):
