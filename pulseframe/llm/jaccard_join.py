@@ -224,7 +224,8 @@ def _divide(hot: dict[int, bool]):
         for b in batches:
             path = b.column(0).to_numpy()
             own = b.take(pa.array(np.flatnonzero(np.isin(path, leaves))))
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.nulls(own.num_rows, pa.binary())], ["path", "key", "sketch"])
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.nulls(own.num_rows, pa.binary())], ["path", "key", "sketch"])
             own = b.take(pa.array(np.flatnonzero(np.isin(path, splits))))
             if own.num_rows:
                 for child in _children(own.column(0).to_numpy().view(np.uint64), _sketch_column(own, 2)):
